@@ -453,3 +453,106 @@ def _dv25(spark, sf):
         "doc_id", "group",
         _r6(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)).alias("vsum"),
         _r6(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)).alias("vsq"))
+
+
+# --------------------------------------------------------------------------
+# Losses (LS1-LS14)
+
+from bugroute.functions.losses import LOSS_NAMES, activate, example_score  # noqa: E402
+from bugroute.operators import losses as lossops  # noqa: E402
+
+# Activation used for each loss in the check (output layer pairing).
+LOSS_ACTIVATION = {
+    "MCXENT": "softmax", "NegativeLogLikelihood": "softmax", "KLD": "softmax", "Poisson": "softmax",
+    "BinaryXENT": "sigmoid", "MSLE": "sigmoid",
+}
+
+
+def loss_inputs(spark: SparkSession, sf: str) -> DataFrame:
+    """(vec_id, labels, pre_output, mask) derived from ``embeddings``:
+    labels = softmax of components 11-20, pre_output = components 1-10."""
+    e = load_table(spark, sf, "embeddings")
+    emb = F.col("embedding").cast("array<double>")
+    return e.select(
+        "vec_id",
+        activate(F.slice(emb, 11, 10), "softmax").alias("labels"),
+        F.slice(emb, 1, 10).alias("pre_output"),
+        F.when(F.col("label") % 3 == 0, F.lit(0.0)).otherwise(F.lit(1.0)).alias("mask"))
+
+
+_DUCK_ACT = {
+    "identity": "z",
+    "sigmoid": "list_transform(z, lambda x: 1.0 / (1.0 + exp(-x)))",
+    "softmax": ("list_transform(z, lambda x: exp(x - list_max(z)) / "
+                "list_sum(list_transform(z, lambda t: exp(t - list_max(z)))))"),
+}
+_CLIP = "least(greatest({x}, 1e-10), 1 - 1e-10)"
+
+
+def _duck_loss(name: str, p: str) -> str:
+    a, b = "y[i]", f"{p}[i]"
+    cb = _CLIP.format(x=b)
+    terms = {
+        "MSE": f"({a} - {b}) * ({a} - {b})", "L2": f"({a} - {b}) * ({a} - {b})",
+        "MAE": f"abs({a} - {b})", "L1": f"abs({a} - {b})",
+        "MCXENT": f"{a} * ln({cb})", "NegativeLogLikelihood": f"{a} * ln({cb})",
+        "BinaryXENT": f"{a} * ln({cb}) + (1.0 - {a}) * ln(1.0 - {cb})",
+        "Hinge": f"greatest(0.0, 1.0 - {a} * {b})",
+        "SquaredHinge": f"pow(greatest(0.0, 1.0 - {a} * {b}), 2)",
+        "KLD": f"least(greatest({a}, 1e-10), 1.0) * ln(least(greatest({a}, 1e-10), 1.0) / least(greatest({b}, 1e-10), 1.0))",
+        "MAPE": f"abs(({a} - {b}) / {a})",
+        "MSLE": f"pow(ln(({b} + 1.0) / ({a} + 1.0)), 2)",
+        "Poisson": f"{b} - {a} * ln({cb})",
+    }
+    if name == "CosineProximity":
+        return ("-(list_sum(list_transform(range(1, len(y) + 1), lambda i: y[i] * p[i])) / "
+                "(sqrt(list_sum(list_transform(y, lambda a: a * a))) * "
+                f"sqrt(list_sum(list_transform({p}, lambda b: b * b)))))").replace("p[i]", f"{p}[i]")
+    s = f"list_sum(list_transform(range(1, len(y) + 1), lambda i: {terms[name]}))"
+    if name in ("MCXENT", "NegativeLogLikelihood", "BinaryXENT"):
+        s = f"-({s})"
+    if name in ("MSE", "MAE", "MSLE", "Poisson"):
+        s = f"({s}) / len(y)"
+    if name == "MAPE":
+        s = f"100.0 * ({s}) / len(y)"
+    return s
+
+
+_LOSS_BASE = """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS emb FROM embeddings),
+i AS (SELECT vec_id, CASE WHEN label % 3 = 0 THEN 0.0 ELSE 1.0 END AS mask,
+  list_transform(emb[11:20], lambda x: exp(x - list_max(emb[11:20])) /
+    list_sum(list_transform(emb[11:20], lambda t: exp(t - list_max(emb[11:20]))))) AS y,
+  emb[1:10] AS z FROM e),
+act AS (SELECT vec_id, mask, y, """ + ", ".join(
+    f"{v} AS p_{k}" for k, v in _DUCK_ACT.items()) + """ FROM i),
+scores AS (""" + "\nUNION ALL\n".join(
+    f"SELECT vec_id, mask, '{n}' AS loss, "
+    f"CAST({_duck_loss(n, 'p_' + LOSS_ACTIVATION.get(n, 'identity'))} AS DOUBLE) AS score FROM act"
+    for n in LOSS_NAMES) + ")\n"
+
+
+def _loss_scores(spark, sf):
+    inp = loss_inputs(spark, sf)
+    cols = []
+    for n in LOSS_NAMES:
+        act = LOSS_ACTIVATION.get(n, "identity")
+        cols += [F.lit(n), example_score(n, "labels", activate("pre_output", act))]
+    stacked = F.stack(F.lit(len(LOSS_NAMES)), *cols).alias("loss", "score")
+    return inp.select("vec_id", "mask", stacked)
+
+
+@check("losses", _LOSS_BASE + "SELECT vec_id, loss, round(score, 6) AS score FROM scores")
+def _losses(spark, sf):
+    return _loss_scores(spark, sf).select("vec_id", "loss", _r6(F.col("score")).alias("score"))
+
+
+@check("loss_totals", _LOSS_BASE + """SELECT loss, round(sum(score * mask), 6) AS total,
+  round(sum(score * mask) / count(*), 6) AS average FROM scores GROUP BY loss""")
+def _loss_totals(spark, sf):
+    inp = loss_inputs(spark, sf)
+    parts = [lossops.loss_total(inp, n, "labels", "pre_output", LOSS_ACTIVATION.get(n, "identity"), "mask")
+             for n in LOSS_NAMES]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("loss", _r6(F.col("total")).alias("total"), _r6(F.col("average")).alias("average"))
