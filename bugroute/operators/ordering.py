@@ -171,3 +171,37 @@ def with_progress(df: DataFrame, name: str = "progress"):
 
     obs = Observation(name)
     return df.observe(obs, F.count(F.lit(1)).alias("rows")), obs
+
+
+_ID_BITS = 33  # monotonically_increasing_id: partition id in the upper 31 bits
+
+
+def rank_by(df: DataFrame, order, name: str = "idx") -> DataFrame:
+    """0-based dense position of each row under a total ``order`` (list of
+    Columns), computed without a single-partition window.
+
+    The range-partitioned sort is distributed; the sorted rows are tagged with
+    ``monotonically_increasing_id`` and checkpointed to the shared checkpoint
+    folder, which fixes partitions and ids (safe against task retries and
+    executor loss).  Per-partition counts (one row per partition) give the
+    offsets, joined back by broadcast (bounded by the partition count).
+    """
+    from bugroute.session import ensure_checkpoint_dir
+
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    tagged = df.orderBy(*order).withColumn("__mid", F.monotonically_increasing_id())
+    tagged = tagged.checkpoint(eager=True)
+    pid = F.shiftright(F.col("__mid"), _ID_BITS)
+    counts = sorted((r["__pid"], r["n"]) for r in
+                    tagged.groupBy(pid.alias("__pid")).agg(F.count(F.lit(1)).alias("n")).collect())
+    offsets, total = [], 0
+    for p, c in counts:
+        offsets.append((int(p), total))
+        total += c
+    table = spark.createDataFrame(offsets or [(0, 0)], "__pid long, __offset long")
+    local = F.col("__mid").bitwiseAND(F.lit((1 << _ID_BITS) - 1))
+    return (tagged.withColumn("__pid", pid)
+            .join(F.broadcast(table), "__pid")
+            .withColumn(name, (F.col("__offset") + local).cast("int" if total < 2**31 else "long"))
+            .drop("__pid", "__offset", "__mid"))

@@ -35,16 +35,16 @@ def clear_nans(df: DataFrame, column: str = "vector", out: str | None = None) ->
 def build_vocab(df: DataFrame, tokens: str = "tokens", min_count: int = 1) -> DataFrame:
     """(word, count, idx): idx by count descending then word (VEC3).
 
-    Word counting is a partial + final aggregate; the index is a window over
-    the distinct vocabulary only.
+    Word counting is a partial + final aggregate; the index is a distributed
+    rank over the distinct vocabulary (range sort, no single-task window).
+    The result is checkpointed once, so later joins reuse it.
     """
-    from pyspark.sql import Window
+    from bugroute.operators.ordering import rank_by
 
-    exploded = posexplode_rows(df, [], tokens, "__pos", "word")
+    exploded = posexplode_rows(df.select(tokens), [], tokens, "__pos", "word")
     counts = (exploded.groupBy("word").agg(F.count(F.lit(1)).alias("count"))
               .where(F.col("count") >= min_count))
-    w = Window.orderBy(F.col("count").desc(), F.col("word"))
-    return counts.withColumn("idx", (F.row_number().over(w) - 1).cast("int"))
+    return rank_by(counts, [F.col("count").desc(), F.col("word")], "idx").select("word", "count", "idx")
 
 
 def vectors_from(vocab: DataFrame, matrix: DataFrame, matrix_idx: str = "idx",

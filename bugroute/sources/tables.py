@@ -20,8 +20,24 @@ TABLES = (
 ).split()
 
 
-def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Give a scan at least ``defaultParallelism`` partitions.
+
+    A file written as one row group is read by one task, which would run all
+    per-row work (regex splits, tokenising) single-threaded.  Only then is the
+    scan hash-repartitioned on its key column (deterministic, no pre-sort); a
+    large input with many splits is returned unchanged (no shuffle).
+    """
+    sc = df.sparkSession.sparkContext
+    target = sc.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, F.col(key or df.columns[0]))
+
+
+def load_table(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = True) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if spread_rows else df
 
 
 # The stand-in status rotation, class per language, offsets.
