@@ -556,3 +556,156 @@ def _loss_totals(spark, sf):
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.select("loss", _r6(F.col("total")).alias("total"), _r6(F.col("average")).alias("average"))
+
+
+# --------------------------------------------------------------------------
+# Formats: each sink writes to the shared scratch folder, its source reads
+# it back, and the check compares with the table the file was made from.
+
+from bugroute.session import scratch_path  # noqa: E402
+from bugroute.sinks import vectors as snk  # noqa: E402
+from bugroute.functions.text import unescape_word  # noqa: E402
+from bugroute.sources import vectors as src  # noqa: E402
+
+_WORD_SQL = ("CASE WHEN label % 4 = 0 THEN 'v ' || CAST(vec_id AS VARCHAR) "
+             "ELSE 'v' || CAST(vec_id AS VARCHAR) END")
+
+
+def named_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """(word, idx, vector, is_label, count) from ``embeddings``; every fourth
+    label gets a word with a space (exercises the escape)."""
+    e = load_table(spark, sf, "embeddings")
+    vid = F.col("vec_id").cast("string")
+    word = F.when(F.col("label") % 4 == 0, F.concat(F.lit("v "), vid)).otherwise(F.concat(F.lit("v"), vid))
+    return e.select(word.alias("word"), F.col("vec_id").cast("int").alias("idx"),
+                    F.col("embedding").alias("vector"), (F.col("label") % 2 == 0).alias("is_label"),
+                    (F.col("label") + 1).cast("double").alias("count"))
+
+
+def _vec_rows(df: DataFrame, keys, vector: str = "vector") -> DataFrame:
+    out = posexplode_rows(df, keys, vector)
+    return out.withColumn("value", _r6(F.col("value").cast("double")))
+
+
+_VEC_ROWS_SQL = ("SELECT {keys}, CAST(generate_subscripts(v, 1) - 1 AS INT) AS pos, "
+                 "round(CAST(unnest(v) AS DOUBLE), 6) AS value FROM (SELECT {cols}, embedding AS v FROM embeddings)")
+
+
+@check("word_vectors_text", _VEC_ROWS_SQL.format(keys="word", cols=_WORD_SQL + " AS word"))
+def _wv_text(spark, sf):
+    path = scratch_path(spark, "vectors-text")
+    snk.write_word_vectors(named_vectors(spark, sf), path)
+    return _vec_rows(src.read_word_vectors(spark, path, header="auto"), "word")
+
+
+@check("tagged_vectors", _VEC_ROWS_SQL.format(
+    keys="is_label, word", cols=_WORD_SQL + " AS word, label % 2 = 0 AS is_label"))
+def _tagged(spark, sf):
+    path = scratch_path(spark, "vectors-tagged")
+    snk.write_tagged_vectors(named_vectors(spark, sf), path)
+    return _vec_rows(src.read_tagged_vectors(spark, path), ["is_label", "word"])
+
+
+def _model_words(spark, sf):
+    v = named_vectors(spark, sf)
+    return v.select("word", "count", "idx",
+                    F.array((F.col("count").cast("int") % 2), (F.col("idx") % 2)).alias("codes"),
+                    F.array(F.col("idx"), F.col("count").cast("int")).alias("points"),
+                    F.col("vector").cast("array<double>").alias("syn0"),
+                    F.reverse(F.col("vector").cast("array<double>")).alias("syn1"))
+
+
+@check("full_model_json", """SELECT """ + _WORD_SQL + """ AS word, CAST(label + 1 AS DOUBLE) AS count,
+  CAST(vec_id AS INT) AS idx,
+  CAST((label + 1) % 2 AS VARCHAR) || ',' || CAST(vec_id % 2 AS VARCHAR) AS codes,
+  CAST(vec_id AS VARCHAR) || ',' || CAST(label + 1 AS VARCHAR) AS points,
+  round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS syn0_sum,
+  round(list_sum(list_transform(range(1, len(embedding) + 1),
+        lambda i: i * CAST(embedding[len(embedding) + 1 - i] AS DOUBLE))), 6) AS syn1_moment
+FROM embeddings""")
+def _full_model(spark, sf):
+    path = scratch_path(spark, "full-model")
+    snk.write_full_model(_model_words(spark, sf), path, config_json='{"layersSize": 64}')
+    words, _config = src.read_full_model(spark, path)
+    moment = F.aggregate(F.zip_with(F.sequence(F.lit(1), F.size("syn1")), "syn1", lambda i, x: i * x),
+                         F.lit(0.0), lambda a, x: a + x)
+    return words.select(
+        "word", "count", "idx", F.array_join("codes", ",").alias("codes"),
+        F.array_join("points", ",").alias("points"),
+        _r6(F.aggregate("syn0", F.lit(0.0), lambda a, x: a + x)).alias("syn0_sum"),
+        _r6(moment).alias("syn1_moment"))
+
+
+@check("sequence_vectors", _VEC_ROWS_SQL.format(keys="object", cols=_WORD_SQL + " AS object"))
+def _sequence(spark, sf):
+    path = scratch_path(spark, "sequence")
+    v = named_vectors(spark, sf).select(F.col("word").alias("object"), "vector")
+    snk.write_sequence_vectors(v, path, config_json='{"layersSize": 64}')
+    elements, _config = src.read_sequence_vectors(spark, path)
+    return _vec_rows(elements, "object")
+
+
+@check("vocab_json", "WITH " + VOCAB_CTE + " SELECT word, CAST(count AS DOUBLE) AS count, idx FROM vocab")
+def _vocab_json(spark, sf):
+    path = scratch_path(spark, "vocab")
+    vocab = vec.build_vocab(txt.tokens(load_table(spark, sf, "documents"), "text"), "tokens")
+    snk.write_vocab(vocab, path)
+    return src.read_vocab(spark, path).select("word", "count", "idx")
+
+
+@check("embedding_bundle", """SELECT """ + _WORD_SQL + """ AS word, CAST(vec_id AS INT) AS idx,
+  label = 0 AS is_label,
+  CAST(CASE WHEN vec_id % 3 = 0 THEN 2 END AS INT) AS n_codes,
+  round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS vec_sum,
+  round(list_sum(CAST(embedding AS DOUBLE[])) * 2, 6) AS syn1_sum
+FROM embeddings""")
+def _bundle(spark, sf):
+    path = scratch_path(spark, "bundle")
+    v = named_vectors(spark, sf)
+    lab = F.col("is_label") & (F.col("count") == 1)
+    syn1 = v.select("idx", F.transform(F.col("vector").cast("array<double>"), lambda x: 2 * x).alias("syn1"))
+    known = v.where(F.col("idx") % 3 == 0).select(
+        "word", F.array(F.lit(0), F.lit(1)).alias("codes"), F.array("idx", "idx").alias("points"))
+    unknown = v.select(F.concat(F.lit("u"), F.col("word")).alias("word"),
+                       F.array(F.lit(1)).alias("codes"), F.array("idx").alias("points"))
+    labels = v.select(F.when(lab, F.concat(F.lit(" "), F.col("word"), F.lit(" ")))
+                      .otherwise(F.concat(F.lit("nolabel"), F.col("word"))).alias("label"))
+    snk.write_embedding_bundle(path, v, syn1, known.unionByName(unknown), labels, '{"layersSize": 64}')
+    b = src.read_embedding_bundle(spark, path)
+    total = F.aggregate(F.col("vector").cast("array<double>"), F.lit(0.0), lambda a, x: a + x)
+    return b.select("word", "idx", "is_label",
+                    F.when(F.col("codes").isNotNull(), F.size("codes")).alias("n_codes"),
+                    _r6(total).alias("vec_sum"),
+                    _r6(F.aggregate("syn1", F.lit(0.0), lambda a, x: a + x)).alias("syn1_sum"))
+
+
+@check("projection_csv", """SELECT """ + _WORD_SQL + """ AS word,
+  round(CAST(embedding[1] AS DOUBLE), 6) AS x, round(CAST(embedding[2] AS DOUBLE), 6) AS y FROM embeddings""")
+def _projection(spark, sf):
+    path = scratch_path(spark, "projection")
+    v = named_vectors(spark, sf)
+    coords = v.select("idx", F.slice("vector", 1, 2).alias("coords"))
+    snk.write_projection_csv(v.select("word", "idx"), coords, path)
+    lines = spark.read.text(path)
+    parts = lines.select(F.split("value", ",", -1).alias("p"))
+    return parts.select(
+        unescape_word(F.rtrim(F.element_at("p", -1))).alias("word"),
+        _r6(F.col("p")[0].cast("double")).alias("x"), _r6(F.col("p")[1].cast("double")).alias("y"))
+
+
+@check("libsvm", """SELECT CAST(label AS DOUBLE) AS label,
+  round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS feature_sum,
+  CAST(len(list_filter(embedding, lambda x: x <> 0)) AS INT) AS n_nonzero FROM embeddings""")
+def _libsvm(spark, sf):
+    from pyspark.ml.functions import vector_to_array
+
+    path = scratch_path(spark, "libsvm")
+    e = load_table(spark, sf, "embeddings").select(
+        F.col("embedding").cast("array<double>").alias("features"), "label")
+    snk.write_libsvm(e, path)
+    dims = len(e.first()["features"])
+    back = spark.read.format("libsvm").option("numFeatures", dims).load(path)
+    arr = vector_to_array("features")
+    return back.select("label",
+                       _r6(F.aggregate(arr, F.lit(0.0), lambda a, x: a + x)).alias("feature_sum"),
+                       F.size(F.filter(arr, lambda x: x != 0)).alias("n_nonzero"))
