@@ -1,0 +1,141 @@
+"""Small numpy networks used inside tasks by parameter averaging (ML3).
+
+Each net is a flat float64 parameter vector plus shapes, a forward pass and
+a backward pass for softmax + multi-class cross entropy.  Nets:
+
+* ``softmax``: one dense softmax layer.
+* ``dense``: relu hidden layers, softmax output.
+* ``lstm``: one LSTM layer over a single time step (height 1), softsign
+  block input and cell activation, sigmoid gates, softmax output.  With one
+  step the previous state is zero, so recurrent weights never act and are
+  not stored (stated simplification).
+"""
+
+from __future__ import annotations
+
+import numpy as np
+
+
+def shapes(net: str, n_in: int, n_out: int, hidden=(100,)) -> list[tuple[str, tuple]]:
+    if net == "softmax":
+        return [("W", (n_in, n_out)), ("b", (n_out,))]
+    if net == "dense":
+        out, prev = [], n_in
+        for i, h in enumerate(hidden):
+            out += [(f"W{i}", (prev, h)), (f"b{i}", (h,))]
+            prev = h
+        return out + [("Wo", (prev, n_out)), ("bo", (n_out,))]
+    if net == "lstm":
+        u = hidden[0]
+        return [("Wx", (n_in, 4 * u)), ("bx", (4 * u,)), ("Wo", (u, n_out)), ("bo", (n_out,))]
+    raise ValueError(f"unknown net {net!r}")
+
+
+def init(net: str, n_in: int, n_out: int, hidden=(100,), seed: int = 12345) -> np.ndarray:
+    """Xavier-style initialisation, biases zero."""
+    rng = np.random.default_rng(seed)
+    parts = []
+    for name, shp in shapes(net, n_in, n_out, hidden):
+        if len(shp) == 2:
+            scale = np.sqrt(2.0 / (shp[0] + shp[1]))
+            parts.append(rng.normal(0.0, scale, size=shp).ravel())
+        else:
+            parts.append(np.zeros(shp))
+    return np.concatenate(parts)
+
+
+def unpack(flat: np.ndarray, net: str, n_in: int, n_out: int, hidden=(100,)) -> dict:
+    out, i = {}, 0
+    for name, shp in shapes(net, n_in, n_out, hidden):
+        size = int(np.prod(shp))
+        out[name] = flat[i:i + size].reshape(shp)
+        i += size
+    return out
+
+
+def _softmax(z):
+    z = z - z.max(axis=1, keepdims=True)
+    e = np.exp(z)
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def _sigmoid(x):
+    return 1.0 / (1.0 + np.exp(-x))
+
+
+def _softsign(x):
+    return x / (1.0 + np.abs(x))
+
+
+def forward(p: dict, net: str, x: np.ndarray, hidden=(100,), train=False, dropout=0.0, rng=None):
+    """Class probabilities and a cache for backward."""
+    cache = {"x": x}
+    if train and dropout > 0:
+        mask = (rng.random(x.shape) >= dropout) / (1.0 - dropout)
+        x = x * mask
+        cache["x"] = x
+    if net == "softmax":
+        return _softmax(x @ p["W"] + p["b"]), cache
+    if net == "dense":
+        a = x
+        acts = [a]
+        for i in range(len(hidden)):
+            a = np.maximum(0.0, a @ p[f"W{i}"] + p[f"b{i}"])
+            acts.append(a)
+        cache["acts"] = acts
+        return _softmax(a @ p["Wo"] + p["bo"]), cache
+    if net == "lstm":
+        u = hidden[0]
+        z = x @ p["Wx"] + p["bx"]
+        i_g, f_g, o_g, g = (_sigmoid(z[:, :u]), _sigmoid(z[:, u:2 * u]),
+                            _sigmoid(z[:, 2 * u:3 * u]), _softsign(z[:, 3 * u:]))
+        c = i_g * g
+        h = o_g * _softsign(c)
+        cache.update(z=z, i=i_g, o=o_g, g=g, c=c, h=h)
+        return _softmax(h @ p["Wo"] + p["bo"]), cache
+    raise ValueError(net)
+
+
+def backward(p: dict, net: str, probs, y_onehot, cache, hidden=(100,), l2=0.0) -> dict:
+    n = max(len(probs), 1)
+    d = (probs - y_onehot) / n
+    g = {}
+    if net == "softmax":
+        g["W"] = cache["x"].T @ d + l2 * p["W"]
+        g["b"] = d.sum(axis=0)
+        return g
+    if net == "dense":
+        acts = cache["acts"]
+        g["Wo"] = acts[-1].T @ d + l2 * p["Wo"]
+        g["bo"] = d.sum(axis=0)
+        delta = d @ p["Wo"].T
+        for i in reversed(range(len(hidden))):
+            delta = delta * (acts[i + 1] > 0)
+            g[f"W{i}"] = acts[i].T @ delta + l2 * p[f"W{i}"]
+            g[f"b{i}"] = delta.sum(axis=0)
+            delta = delta @ p[f"W{i}"].T
+        return g
+    if net == "lstm":
+        h, c, i_g, o_g, gg = cache["h"], cache["c"], cache["i"], cache["o"], cache["g"]
+        g["Wo"] = h.T @ d + l2 * p["Wo"]
+        g["bo"] = d.sum(axis=0)
+        dh = d @ p["Wo"].T
+        sc = _softsign(c)
+        do = dh * sc * o_g * (1 - o_g)
+        dc = dh * o_g / (1.0 + np.abs(c)) ** 2
+        di = dc * gg * i_g * (1 - i_g)
+        dg = dc * i_g / (1.0 + np.abs(cache["z"][:, 3 * hidden[0]:])) ** 2
+        df = np.zeros_like(di)  # forget gate acts on a zero previous cell
+        dz = np.concatenate([di, df, do, dg], axis=1)
+        g["Wx"] = cache["x"].T @ dz + l2 * p["Wx"]
+        g["bx"] = dz.sum(axis=0)
+        return g
+    raise ValueError(net)
+
+
+def flatten_grads(g: dict, net: str, n_in: int, n_out: int, hidden=(100,)) -> np.ndarray:
+    return np.concatenate([g[name].ravel() for name, _ in shapes(net, n_in, n_out, hidden)])
+
+
+def cross_entropy(probs, y) -> float:
+    return float(-np.log(np.clip(probs[np.arange(len(y)), y], 1e-10, 1.0)).mean()) if len(y) else 0.0

@@ -60,3 +60,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
     base = base.rstrip("/")
     return f"{base}/bugroute/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``bugroute`` importable in executor Python workers (once per
+    application): zip the package on the driver and ``addPyFile`` it; Spark
+    distributes the file to every executor."""
+    import shutil
+    import tempfile
+
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out_dir = tempfile.mkdtemp(prefix="bugroute-pyfiles-")
+    archive = shutil.make_archive(os.path.join(out_dir, "bugroute"), "zip",
+                                  root_dir=os.path.dirname(pkg_dir), base_dir="bugroute")
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)

@@ -230,6 +230,9 @@ def read_word2vec_binary(spark: SparkSession, path: str, linebreaks: bool = Fals
     task; the task streams it and emits bounded batches (memory does not grow
     with the file).  Only file paths go through the scan (content not read).
     """
+    from bugroute.session import ship_package
+
+    ship_package(spark)
     files = (spark.read.format("binaryFile").load(path).select("path")
              .repartition(F.col("path")))
 
@@ -243,6 +246,9 @@ def read_word2vec_binary(spark: SparkSession, path: str, linebreaks: bool = Fals
 def read_bundle_zip(spark: SparkSession, path: str) -> DataFrame:
     """Foreign zip bundle (SRC8): (part, line_no, line) for every text part,
     streamed entry by entry inside one task per zip file."""
+    from bugroute.session import ship_package
+
+    ship_package(spark)
     files = spark.read.format("binaryFile").load(path).select("path").repartition(F.col("path"))
 
     def parse(it):
