@@ -709,3 +709,82 @@ def _libsvm(spark, sf):
     return back.select("label",
                        _r6(F.aggregate(arr, F.lit(0.0), lambda a, x: a + x)).alias("feature_sum"),
                        F.size(F.filter(arr, lambda x: x != 0)).alias("n_nonzero"))
+
+
+# --------------------------------------------------------------------------
+# Training and iterative jobs: no SQL oracle (rows-only check by the driver,
+# invariants in tests/).
+
+from bugroute.operators import param_avg as pavg  # noqa: E402
+from bugroute.operators import train as tr  # noqa: E402
+from bugroute.plans import routing  # noqa: E402
+
+
+@check("describe_schema", None)
+def _describe(spark, sf):
+    from bugroute.schema import STATUS_STATES
+
+    return colops.describe_schema(bugs_table(spark, sf),
+                                  {"bug_severity": SEVERITY_STATES, "bug_status": STATUS_STATES})
+
+
+@check("route_text_softmax", None)
+def _route_text(spark, sf):
+    return routing.route_and_score(spark, sf, "rnn")
+
+
+@check("route_text_cnn_groups", None)
+def _route_cnn(spark, sf):
+    return routing.route_and_score(spark, sf, "cnn", max_iter=30)
+
+
+@check("route_light_softmax", None)
+def _route_light(spark, sf):
+    return routing.route_light(spark, sf)
+
+
+def _text_plan(spark, sf, architecture="rnn"):
+    wv, dims = routing.derived_word_vectors(spark, sf)
+    return routing.text_features(bugs_table(spark, sf), wv, dims, architecture)
+
+
+@check("route_text_mlp", None)
+def _route_mlp(spark, sf):
+    plan = _text_plan(spark, sf)
+    train, test = order.train_test(plan.features, "row_id", 9, 10)
+    model = tr.train_mlp(train, plan.width, len(plan.classes), hidden=(100, 100, 100), max_iter=50)
+    return ev.metrics(tr.score(model, test))
+
+
+def _param_avg_curve(spark, sf, net, updater, lr, epochs, hidden=(100,), dropout=0.0, clip=None):
+    plan = _text_plan(spark, sf)
+    train, test = order.train_test(plan.features, "row_id", 9, 10)
+    spec = pavg.NetSpec(net=net, n_in=plan.width, n_out=len(plan.classes), hidden=hidden, lr=lr,
+                        updater=updater, l2=1e-5, clip=clip, dropout=dropout)
+    rows = []
+
+    def on_epoch(epoch, trained):
+        for split, part in (("train", train), ("test", test)):
+            m = ev.metrics(pavg.predict(trained, part)).first()
+            rows.append((epoch, split, m))
+
+    pavg.train_param_avg(train, spec, epochs=epochs, batch=25, avg_every=5,
+                         save_path=scratch_path(spark, f"model-{net}"), on_epoch=on_epoch)
+    return tr.learning_curve(spark, rows)
+
+
+@check("param_avg_softmax_curve", None)
+def _pavg_softmax(spark, sf):
+    return _param_avg_curve(spark, sf, "softmax", "sgd", 0.5, epochs=3)
+
+
+@check("param_avg_lstm_curve", None)
+def _pavg_lstm(spark, sf):
+    return _param_avg_curve(spark, sf, "lstm", "rmsprop", 0.01, epochs=3, hidden=(250,),
+                            dropout=0.5, clip=1.0)
+
+
+@check("word2vec_vectors", None)
+def _word2vec(spark, sf):
+    toks = txt.tokens(load_table(spark, sf, "documents").select("text"), "text")
+    return tr.train_word_vectors(toks, "tokens", dims=100, max_iter=1, min_count=5)
