@@ -85,7 +85,9 @@ def group_copies(words: Column | str, height: int, per_group: int = 5) -> Column
     """How many times the word list is repeated before grouping (TXT4)."""
     n = F.size(_col(words))
     need = per_group * height
-    return F.when(n < need, F.lit(2) + F.floor(F.lit(need) / n).cast("int")).otherwise(F.lit(1))
+    return (F.when(F.coalesce(n, F.lit(0)) <= 0, F.lit(0))
+            .when(n < need, F.lit(2) + F.floor(F.lit(need) / n).cast("int"))
+            .otherwise(F.lit(1)))
 
 
 def padded_words(words: Column | str, height: int, per_group: int = 5) -> Column:
