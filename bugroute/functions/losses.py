@@ -67,6 +67,12 @@ def _clip(x, lo=EPS, hi=1.0 - EPS):
     return F.least(F.greatest(x, F.lit(lo)), F.lit(hi))
 
 
+def _ln(x):
+    """Natural log with IEEE results outside the domain (Spark's log gives null)."""
+    return (F.when(x > 0, F.log(x)).when(x == 0, F.lit(float("-inf")))
+            .otherwise(F.lit(float("nan"))))
+
+
 def _sum(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x)
 
@@ -112,7 +118,7 @@ def example_score(name: str, labels: Column | str, output: Column | str) -> Colu
         return 100.0 * zsum(lambda a, b: F.when(a == 0, F.lit(float("nan")))
                              .otherwise(F.abs((a - b) / a))) / n_out
     if name == "MSLE":
-        return zsum(lambda a, b: F.pow(F.log((b + 1.0) / (a + 1.0)), 2)) / n_out
+        return zsum(lambda a, b: F.pow(_ln((b + 1.0) / (a + 1.0)), 2)) / n_out
     if name == "Poisson":
         return zsum(lambda a, b: b - a * F.log(_clip(b))) / n_out
     raise ValueError(name)

@@ -28,9 +28,36 @@ SparkFn = Callable[[SparkSession, str], DataFrame]
 CATALOG: dict[str, tuple[SparkFn, str | None]] = {}
 
 
+def positive_zero_rounds(sql: str) -> str:
+    """Wrap every ``round(...)`` as ``(round(...) + 0.0)``: DuckDB keeps a
+    negative zero after rounding, Spark does not; IEEE -0.0 + 0.0 = 0.0."""
+    out, i = [], 0
+    while True:
+        j = sql.find("round(", i)
+        if j < 0 or (j > 0 and (sql[j - 1].isalnum() or sql[j - 1] == "_")):
+            if j < 0:
+                out.append(sql[i:])
+                return "".join(out)
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        depth, k = 0, j + 5
+        while k < len(sql):
+            if sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        inner = positive_zero_rounds(sql[j + 6:k])
+        out.append(sql[i:j] + "(round(" + inner + ") + 0.0)")
+        i = k + 1
+
+
 def check(name: str, sql: str | None):
     def deco(fn: SparkFn) -> SparkFn:
-        CATALOG[name] = (fn, sql)
+        CATALOG[name] = (fn, positive_zero_rounds(sql) if sql else sql)
         return fn
     return deco
 

@@ -27,4 +27,6 @@ def write_bugs_csv(df: DataFrame, path: str) -> None:
     cols = [f.name for f in BUG_SCHEMA.fields]
     (flatten_text(df).select(*cols).write.mode("overwrite")
      .option("header", False).option("timestampNTZFormat", TIMESTAMP_FORMAT)
+     # keep cell text exactly (the CSV writer trims white space by default)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .csv(path))

@@ -49,5 +49,8 @@ def read_bugs(spark: SparkSession, path: str, mode: str = "PERMISSIVE",
 
 
 def rejected(df: DataFrame) -> DataFrame:
-    """Rows the CSV parser could not convert (needs ``keep_corrupt=True``)."""
+    """Rows the CSV parser could not convert (needs ``keep_corrupt=True``).
+
+    Read whole rows from it: Spark refuses a scan whose only required column
+    is the corrupt-record column (e.g. a bare ``count()``)."""
     return df.where(F.col(CORRUPT).isNotNull())
