@@ -44,23 +44,38 @@ class FeaturePlan:
                               + len(SEVERITY_STATES))
 
 
-def encode_columns(bugs: DataFrame, columns=TEXT_JOB_COLUMNS, key: str = "row_id"):
-    """Projection, category fits and one-hots shared by both jobs."""
+def encode_columns(bugs: DataFrame, columns=TEXT_JOB_COLUMNS, key: str = "row_id",
+                   fitted: tuple | None = None):
+    """Projection, category fits and one-hots shared by both jobs.
+
+    ``fitted`` = (components, products, classes) reuses earlier fits (new
+    data, streams); otherwise they are fitted here (distinct lists only).
+    """
     kept = colops.keep_columns(bugs, [key, *columns])
-    comps = cat.fit_categories(kept, "component_id")
-    prods = cat.fit_categories(kept, "product_id")
+    if fitted is None:
+        comps = cat.fit_categories(kept, "component_id")
+        prods = cat.fit_categories(kept, "product_id")
+    else:
+        comps, prods, _ = fitted
     encoded = cat.one_hot(kept, "bug_severity", SEVERITY_STATES)
     encoded = cat.one_hot(encoded, "component_id", comps)
     encoded = cat.one_hot(encoded, "product_id", prods)
-    encoded, classes = cat.index_classes(encoded, "class", "dense", "label")
+    if fitted is None:
+        encoded, classes = cat.index_classes(encoded, "class", "dense", "label")
+    else:
+        classes = fitted[2]
+        lookup = {int(c): i for i, c in enumerate(classes)}
+        encoded = encoded.withColumn("label", F.element_at(
+            F.create_map(*[x for k, v in lookup.items() for x in (F.lit(k), F.lit(v))]),
+            F.col("class").try_cast("int")))
     return encoded, comps, prods, classes
 
 
 def text_features(bugs: DataFrame, word_vectors: DataFrame, dims: int,
                   architecture: str = "rnn", key: str = "row_id",
-                  checkpoint: bool = True) -> FeaturePlan:
+                  checkpoint: bool = True, fitted: tuple | None = None) -> FeaturePlan:
     height = HEIGHT_BY_ARCHITECTURE[architecture]
-    encoded, comps, prods, classes = encode_columns(bugs, TEXT_JOB_COLUMNS, key)
+    encoded, comps, prods, classes = encode_columns(bugs, TEXT_JOB_COLUMNS, key, fitted)
     rows = colops.drop_empty_text(encoded)
     gv = vec.doc_vectors(rows.select(key, "text"), word_vectors, key, height, dims)
     feats = vec.assemble(rows, key, gv, ["bug_severity", "component_id", "product_id"],

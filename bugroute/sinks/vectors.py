@@ -118,3 +118,9 @@ def write_libsvm(df: DataFrame, path: str, features: str = "features", label: st
     (df.select(F.col(label).cast("double").alias("label"),
                array_to_vector(F.col(features)).alias("features"))
      .write.mode("overwrite").format("libsvm").save(path))
+
+
+def save_embeddings(df: DataFrame, base: str, epoch: int) -> None:
+    """Embedding checkpoint after a training epoch (SNK10): every epoch is
+    kept, as ``{base}/epoch=NN`` (zero-padded below 10)."""
+    df.write.mode("overwrite").parquet(f"{base.rstrip('/')}/epoch={epoch:02d}")
