@@ -31,3 +31,22 @@ def loss_total(df: DataFrame, name: str, labels: str = "labels", pre_output: str
     avg = F.when(F.col("n") == 0, F.lit(float("nan"))).otherwise(F.col("total") / F.col("n"))
     return agg.select(F.lit(canonical(name)).alias("loss"), F.col("total"),
                       (avg if average else F.col("total")).alias("average"))
+
+
+def loss_totals(df: DataFrame, names_activations, labels: str = "labels",
+                pre_output: str = "pre_output", mask: str | None = None) -> DataFrame:
+    """(loss, total, average) for several losses in ONE pass over ``df``:
+    one projection with every score, one aggregate, then a stack."""
+    scores = []
+    for i, (name, act) in enumerate(names_activations):
+        s = loss_score(canonical(name), labels, pre_output, act)
+        if mask is not None:
+            s = s * F.col(mask).cast("double")
+        scores.append(s.alias(f"__s{i}"))
+    agg = df.select(*scores).agg(F.count(F.lit(1)).alias("n"),
+                                 *[F.sum(f"__s{i}").alias(f"__t{i}") for i in range(len(scores))])
+    stacked = F.stack(F.lit(len(scores)), *[x for i, (name, _) in enumerate(names_activations)
+                                            for x in (F.lit(canonical(name)), F.col(f"__t{i}"))])
+    out = agg.select("n", stacked.alias("loss", "total"))
+    avg = F.when(F.col("n") == 0, F.lit(float("nan"))).otherwise(F.col("total") / F.col("n"))
+    return out.select("loss", "total", avg.alias("average"))

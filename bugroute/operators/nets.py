@@ -9,12 +9,22 @@ a backward pass for softmax + multi-class cross entropy.  Nets:
   block input and cell activation, sigmoid gates, softmax output.  With one
   step the previous state is zero, so recurrent weights never act and are
   not stored (stated simplification).
+* ``cnn``: input seen as (height groups x width features); 20 filters of
+  5x1 over consecutive groups (identity activation), max-pool 3x1 stride 3,
+  dense relu layer, softmax output.  ``hidden`` = (dense units, height).
+* ``deep``: one RBM-style sigmoid layer (CD-1 pre-training available) and a
+  softmax output trained with mean squared error.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+# Convolution filters, kernel height and pooling height.
+CNN_FILTERS = 20
+CNN_KERNEL = 5
+CNN_POOL = 3
+
 
 def shapes(net: str, n_in: int, n_out: int, hidden=(100,)) -> list[tuple[str, tuple]]:
     if net == "softmax":
@@ -28,6 +38,16 @@ def shapes(net: str, n_in: int, n_out: int, hidden=(100,)) -> list[tuple[str, tu
     if net == "lstm":
         u = hidden[0]
         return [("Wx", (n_in, 4 * u)), ("bx", (4 * u,)), ("Wo", (u, n_out)), ("bo", (n_out,))]
+    if net == "cnn":
+        units, height = hidden
+        width = n_in // height
+        pooled = (height - CNN_KERNEL + 1) // CNN_POOL
+        flat = pooled * width * CNN_FILTERS
+        return [("K", (CNN_FILTERS, CNN_KERNEL)), ("kb", (CNN_FILTERS,)),
+                ("Wd", (flat, units)), ("bd", (units,)), ("Wo", (units, n_out)), ("bo", (n_out,))]
+    if net == "deep":
+        h = hidden[0]
+        return [("W1", (n_in, h)), ("b1", (h,)), ("c", (n_in,)), ("Wo", (h, n_out)), ("bo", (n_out,))]
     raise ValueError(f"unknown net {net!r}")
 
 
@@ -93,6 +113,25 @@ def forward(p: dict, net: str, x: np.ndarray, hidden=(100,), train=False, dropou
         h = o_g * _softsign(c)
         cache.update(z=z, i=i_g, o=o_g, g=g, c=c, h=h)
         return _softmax(h @ p["Wo"] + p["bo"]), cache
+    if net == "cnn":
+        units, height = hidden
+        width = x.shape[1] // height
+        img = x[:, :height * width].reshape(len(x), height, width)
+        hc = height - CNN_KERNEL + 1
+        windows = np.stack([img[:, k:k + hc, :] for k in range(CNN_KERNEL)], axis=-1)
+        z = windows @ p["K"].T + p["kb"]                      # (n, hc, w, filters)
+        hp = hc // CNN_POOL
+        blocks = z[:, :hp * CNN_POOL].reshape(len(x), hp, CNN_POOL, width, CNN_FILTERS)
+        pooled = blocks.max(axis=2)
+        arg = blocks.argmax(axis=2)
+        flat = pooled.reshape(len(x), -1)
+        a = np.maximum(0.0, flat @ p["Wd"] + p["bd"])
+        cache.update(windows=windows, arg=arg, hc=hc, hp=hp, width=width, flat=flat, a=a)
+        return _softmax(a @ p["Wo"] + p["bo"]), cache
+    if net == "deep":
+        h = _sigmoid(x @ p["W1"] + p["b1"])
+        cache["h"] = h
+        return _softmax(h @ p["Wo"] + p["bo"]), cache
     raise ValueError(net)
 
 
@@ -130,9 +169,61 @@ def backward(p: dict, net: str, probs, y_onehot, cache, hidden=(100,), l2=0.0) -
         g["Wx"] = cache["x"].T @ dz + l2 * p["Wx"]
         g["bx"] = dz.sum(axis=0)
         return g
+    if net == "cnn":
+        a, flat = cache["a"], cache["flat"]
+        g["Wo"] = a.T @ d + l2 * p["Wo"]
+        g["bo"] = d.sum(axis=0)
+        da = (d @ p["Wo"].T) * (a > 0)
+        g["Wd"] = flat.T @ da + l2 * p["Wd"]
+        g["bd"] = da.sum(axis=0)
+        dpool = (da @ p["Wd"].T).reshape(len(d), cache["hp"], cache["width"], CNN_FILTERS)
+        onehot = (np.arange(CNN_POOL)[None, None, :, None, None] == cache["arg"][:, :, None])
+        dblocks = onehot * dpool[:, :, None]
+        dz = np.zeros((len(d), cache["hc"], cache["width"], CNN_FILTERS))
+        dz[:, :cache["hp"] * CNN_POOL] = dblocks.reshape(len(d), -1, cache["width"], CNN_FILTERS)
+        g["K"] = np.einsum("nhwk,nhwf->fk", cache["windows"], dz) + l2 * p["K"]
+        g["kb"] = dz.sum(axis=(0, 1, 2))
+        return g
+    if net == "deep":
+        h = cache["h"]
+        k = probs.shape[1]
+        # mean squared error on softmax outputs, per example
+        dp = 2.0 * (probs - y_onehot) / (k * n)
+        dzo = probs * (dp - (dp * probs).sum(axis=1, keepdims=True))
+        g["Wo"] = h.T @ dzo + l2 * p["Wo"]
+        g["bo"] = dzo.sum(axis=0)
+        dh = (dzo @ p["Wo"].T) * h * (1 - h)
+        g["W1"] = cache["x"].T @ dh + l2 * p["W1"]
+        g["b1"] = dh.sum(axis=0)
+        g["c"] = np.zeros_like(p["c"])
+        return g
     raise ValueError(net)
 
 
+def cd1_gradient(p: dict, x: np.ndarray, rng) -> dict:
+    """Contrastive divergence (one Gibbs step) for the ``deep`` net's RBM
+    layer; returns a gradient to *descend* (negative log-likelihood)."""
+    h0 = _sigmoid(x @ p["W1"] + p["b1"])
+    hs = (rng.random(h0.shape) < h0).astype(float)
+    v1 = _sigmoid(hs @ p["W1"].T + p["c"])
+    h1 = _sigmoid(v1 @ p["W1"] + p["b1"])
+    n = max(len(x), 1)
+    g = {name: np.zeros_like(v) for name, v in p.items()}
+    g["W1"] = -(x.T @ h0 - v1.T @ h1) / n
+    g["b1"] = -(h0 - h1).mean(axis=0)
+    g["c"] = -(x - v1).mean(axis=0)
+    return g
+
+
+def loss(net: str, probs, y) -> float:
+    """Training score: MSE for ``deep``, cross entropy otherwise."""
+    if net == "deep":
+        onehot = np.zeros_like(probs)
+        onehot[np.arange(len(y)), y] = 1.0
+        return float(((probs - onehot) ** 2).mean()) if len(y) else 0.0
+    return cross_entropy(probs, y)
+
+
 def flatten_grads(g: dict, net: str, n_in: int, n_out: int, hidden=(100,)) -> np.ndarray:
     return np.concatenate([g[name].ravel() for name, _ in shapes(net, n_in, n_out, hidden)])
 

@@ -577,11 +577,8 @@ def _losses(spark, sf):
   round(sum(score * mask) / count(*), 6) AS average FROM scores GROUP BY loss""")
 def _loss_totals(spark, sf):
     inp = loss_inputs(spark, sf)
-    parts = [lossops.loss_total(inp, n, "labels", "pre_output", LOSS_ACTIVATION.get(n, "identity"), "mask")
-             for n in LOSS_NAMES]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = lossops.loss_totals(inp, [(n, LOSS_ACTIVATION.get(n, "identity")) for n in LOSS_NAMES],
+                              "labels", "pre_output", "mask")
     return out.select("loss", _r6(F.col("total")).alias("total"), _r6(F.col("average")).alias("average"))
 
 
@@ -783,11 +780,19 @@ def _route_mlp(spark, sf):
     return ev.metrics(tr.score(model, test))
 
 
-def _param_avg_curve(spark, sf, net, updater, lr, epochs, hidden=(100,), dropout=0.0, clip=None):
-    plan = _text_plan(spark, sf)
+def _param_avg_curve(spark, sf, net, updater, lr, epochs, hidden=(100,), dropout=0.0, clip=None,
+                     architecture="rnn", l2=1e-5, pretrain_epochs=0):
+    plan = _text_plan(spark, sf, architecture)
     train, test = order.train_test(plan.features, "row_id", 9, 10)
+    if net == "cnn":
+        hidden = (hidden[0], plan.height)
     spec = pavg.NetSpec(net=net, n_in=plan.width, n_out=len(plan.classes), hidden=hidden, lr=lr,
-                        updater=updater, l2=1e-5, clip=clip, dropout=dropout)
+                        updater=updater, l2=l2, clip=clip, dropout=dropout)
+    start = None
+    if pretrain_epochs:
+        pre = pavg.NetSpec(**{**spec.__dict__, "pretrain": True})
+        start = pavg.train_param_avg(train, pre, epochs=pretrain_epochs)
+        start.spec = spec
     rows = []
 
     def on_epoch(epoch, trained):
@@ -795,7 +800,7 @@ def _param_avg_curve(spark, sf, net, updater, lr, epochs, hidden=(100,), dropout
             m = ev.metrics(pavg.predict(trained, part)).first()
             rows.append((epoch, split, m))
 
-    pavg.train_param_avg(train, spec, epochs=epochs, batch=25, avg_every=5,
+    pavg.train_param_avg(train, spec, epochs=epochs, batch=25, avg_every=5, start=start,
                          save_path=scratch_path(spark, f"model-{net}"), on_epoch=on_epoch)
     return tr.learning_curve(spark, rows)
 
@@ -811,6 +816,17 @@ def _pavg_lstm(spark, sf):
                             dropout=0.5, clip=1.0)
 
 
+@check("param_avg_cnn_curve", None)
+def _pavg_cnn(spark, sf):
+    return _param_avg_curve(spark, sf, "cnn", "nesterov", 0.01, epochs=2, hidden=(100,),
+                            architecture="cnn", l2=5e-4)
+
+
+@check("param_avg_deep_curve", None)
+def _pavg_deep(spark, sf):
+    return _param_avg_curve(spark, sf, "deep", "sgd", 0.5, epochs=2, hidden=(500,), pretrain_epochs=1)
+
+
 @check("word2vec_vectors", None)
 def _word2vec(spark, sf):
     toks = txt.tokens(load_table(spark, sf, "documents").select("text"), "text")

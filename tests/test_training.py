@@ -65,14 +65,16 @@ def test_nets_gradients_numerically():
     x = rng.normal(size=(6, 5))
     y = rng.integers(0, 3, size=6)
     onehot = np.eye(3)[y]
-    for net, hidden in (("softmax", (4,)), ("dense", (4, 3)), ("lstm", (4,))):
-        flat = nets.init(net, 5, 3, hidden, seed=1)
-        p = nets.unpack(flat, net, 5, 3, hidden)
-        probs, cache = nets.forward(p, net, x, hidden)
-        g = nets.flatten_grads(nets.backward(p, net, probs, onehot, cache, hidden), net, 5, 3, hidden)
-        for i in rng.choice(len(flat), size=10, replace=False):
+    for net, hidden, n_in in (("softmax", (4,), 5), ("dense", (4, 3), 5), ("lstm", (4,), 5),
+                              ("cnn", (6, 11), 22), ("deep", (4,), 5)):
+        xx = rng.normal(size=(6, n_in))
+        flat = nets.init(net, n_in, 3, hidden, seed=1)
+        p = nets.unpack(flat, net, n_in, 3, hidden)
+        probs, cache = nets.forward(p, net, xx, hidden)
+        g = nets.flatten_grads(nets.backward(p, net, probs, onehot, cache, hidden), net, n_in, 3, hidden)
+        for i in rng.choice(len(flat), size=12, replace=False):
             e = np.zeros_like(flat)
             e[i] = 1e-6
-            lp = nets.cross_entropy(nets.forward(nets.unpack(flat + e, net, 5, 3, hidden), net, x, hidden)[0], y)
-            lm = nets.cross_entropy(nets.forward(nets.unpack(flat - e, net, 5, 3, hidden), net, x, hidden)[0], y)
-            assert g[i] == pytest.approx((lp - lm) / 2e-6, rel=1e-3, abs=1e-6)
+            lp = nets.loss(net, nets.forward(nets.unpack(flat + e, net, n_in, 3, hidden), net, xx, hidden)[0], y)
+            lm = nets.loss(net, nets.forward(nets.unpack(flat - e, net, n_in, 3, hidden), net, xx, hidden)[0], y)
+            assert g[i] == pytest.approx((lp - lm) / 2e-6, rel=1e-3, abs=1e-6), (net, i)
