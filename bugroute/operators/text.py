@@ -96,3 +96,15 @@ def escape_words(df: DataFrame, column: str = "word", out: str | None = None) ->
 
 def unescape_words(df: DataFrame, column: str = "word", out: str | None = None) -> DataFrame:
     return df.withColumn(out or column, unescape_word(F.col(column)))
+
+
+def group_token_arrays(df: DataFrame, key: str, height: int, text: str = "text",
+                       per_group: int = WORDS_PER_GROUP) -> DataFrame:
+    """(key, group, tokens array): each word group's tokens, built with array
+    functions on the row (no collect, no shuffle).  See
+    ``exploded_group_tokens`` for why ``translate`` equals the pre-processor."""
+    w = words(df.select(key, text), text, "__w")
+    g = word_groups(w, height, "__w", "__g", per_group)
+    rows = posexplode_rows(g, key, "__g", "group", "__ws")
+    cleaned = F.transform("__ws", lambda x: F.lower(F.translate(x, "0123456789", "")))
+    return rows.select(key, "group", F.filter(cleaned, lambda t: t != F.lit("")).alias("tokens"))

@@ -831,3 +831,19 @@ def _pavg_deep(spark, sf):
 def _word2vec(spark, sf):
     toks = txt.tokens(load_table(spark, sf, "documents").select("text"), "text")
     return tr.train_word_vectors(toks, "tokens", dims=100, max_iter=1, min_count=5)
+
+
+@check("paragraph_vectors", None)
+def _paragraph(spark, sf):
+    from bugroute.operators import paragraph as pv
+
+    docs = txt.tokens(load_table(spark, sf, "documents").select("doc_id", "text"), "text")
+    vectors, model = pv.train_paragraph_vectors(docs, "doc_id", "tokens", dims=32, epochs=2,
+                                                min_count=5)
+    inferred = pv.infer_vectors(model, docs, "doc_id", "tokens", epochs=2)
+    return vectors.join(inferred.withColumnRenamed("vector", "inferred"), "doc_id")
+
+
+@check("route_text_paragraph", None)
+def _route_pv(spark, sf):
+    return routing.route_with_paragraph_vectors(spark, sf)

@@ -71,13 +71,23 @@ def encode_columns(bugs: DataFrame, columns=TEXT_JOB_COLUMNS, key: str = "row_id
     return encoded, comps, prods, classes
 
 
-def text_features(bugs: DataFrame, word_vectors: DataFrame, dims: int,
+def text_features(bugs: DataFrame, word_vectors: DataFrame | None, dims: int,
                   architecture: str = "rnn", key: str = "row_id",
-                  checkpoint: bool = True, fitted: tuple | None = None) -> FeaturePlan:
+                  checkpoint: bool = True, fitted: tuple | None = None,
+                  paragraph=None) -> FeaturePlan:
+    """Feature rows of the text job.  Group vectors are the mean of known word
+    vectors, or, with a trained ``paragraph`` model, inferred paragraph
+    vectors (one per word group, as the reference infers them)."""
     height = HEIGHT_BY_ARCHITECTURE[architecture]
     encoded, comps, prods, classes = encode_columns(bugs, TEXT_JOB_COLUMNS, key, fitted)
     rows = colops.drop_empty_text(encoded)
-    gv = vec.doc_vectors(rows.select(key, "text"), word_vectors, key, height, dims)
+    if paragraph is not None:
+        from bugroute.operators.paragraph import paragraph_group_vectors
+
+        gv = paragraph_group_vectors(paragraph, rows.select(key, "text"), key, height)
+        dims = paragraph.dims
+    else:
+        gv = vec.doc_vectors(rows.select(key, "text"), word_vectors, key, height, dims)
     feats = vec.assemble(rows, key, gv, ["bug_severity", "component_id", "product_id"],
                          height, label="label")
     if checkpoint:
@@ -118,6 +128,20 @@ def route_and_score(spark: SparkSession, sf_dir: str, architecture: str = "rnn",
     return ev.metrics(tr.score(model, test))
 
 
+def route_with_paragraph_vectors(spark: SparkSession, sf_dir: str, dims: int = 32, epochs: int = 2,
+                                 min_count: int = 5, max_iter: int = 50) -> DataFrame:
+    """Text job with PV-DBOW group vectors trained on all document tokens."""
+    from bugroute.operators import paragraph as pv
+    from bugroute.operators import text as txt
+
+    docs = txt.tokens(load_table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    _, model = pv.train_paragraph_vectors(docs, "doc_id", "tokens", dims=dims, epochs=epochs,
+                                          min_count=min_count)
+    plan = text_features(bugs_table(spark, sf_dir), None, dims, "rnn", paragraph=model)
+    train, test = order.train_test(plan.features, "row_id", 9, 10)
+    return ev.metrics(tr.score(tr.train_softmax(train, max_iter=max_iter), test))
+
+
 def route_light(spark: SparkSession, sf_dir: str, max_iter: int = 50) -> DataFrame:
     """The no-text job: 7/10 split, softmax over one-hot columns."""
     plan = light_features(bugs_table(spark, sf_dir))

@@ -78,3 +78,26 @@ def test_nets_gradients_numerically():
             lp = nets.loss(net, nets.forward(nets.unpack(flat + e, net, n_in, 3, hidden), net, xx, hidden)[0], y)
             lm = nets.loss(net, nets.forward(nets.unpack(flat - e, net, n_in, 3, hidden), net, xx, hidden)[0], y)
             assert g[i] == pytest.approx((lp - lm) / 2e-6, rel=1e-3, abs=1e-6), (net, i)
+
+
+def test_paragraph_vectors_separate_languages(spark):
+    from bugroute.operators import paragraph as pv
+    from bugroute.operators import text as txt
+    from bugroute.sources.tables import load_table
+    from tests.conftest import SF_SMALL
+
+    docs = txt.tokens(load_table(spark, SF_SMALL, "documents").select("doc_id", "text", "lang"), "text")
+    vecs, model = pv.train_paragraph_vectors(docs.select("doc_id", "tokens"), "doc_id", "tokens",
+                                             dims=16, epochs=3, min_count=2)
+    assert model.out.shape == (len(model.words), 16)
+    rows = vecs.join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert len(rows) == docs.count()
+    by = {}
+    for r in rows:
+        v = np.asarray(r.vector)
+        by.setdefault(r.lang, []).append(v / (np.linalg.norm(v) + 1e-12))
+    cent = {k: np.mean(v, axis=0) for k, v in by.items() if len(v) > 5}
+    within = np.mean([np.mean([c @ x for x in by[k]]) for k, c in cent.items()])
+    assert within > 0.0
+    inf = pv.infer_vectors(model, docs.select("doc_id", "tokens"), "doc_id", "tokens", epochs=2)
+    assert inf.count() == docs.count()
