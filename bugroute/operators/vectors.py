@@ -67,13 +67,18 @@ def _sized_for_broadcast(vectors: DataFrame, vector_col: str, limit: int) -> boo
     return n * max(d, 1) <= limit
 
 
-def doc_vectors(df: DataFrame, vectors: DataFrame, key: str, height: int, dims: int,
-                text: str = "text", per_group: int = WORDS_PER_GROUP,
-                broadcast_cell_limit: int = BROADCAST_CELL_LIMIT) -> DataFrame:
-    """One vector per (key, group): the mean of the known word vectors (VEC6).
-
-    Groups whose words are all unknown (or empty texts) get the zero vector.
-    Output: (key, group, vector array<double>).
+def group_vector_arrays(df: DataFrame, vectors: DataFrame, key: str, height: int, dims: int,
+                        text: str = "text", per_group: int = WORDS_PER_GROUP,
+                        broadcast_cell_limit: int = BROADCAST_CELL_LIMIT) -> DataFrame:
+    """(key, vectors array<array<double>>): ``height`` group vectors per
+    document, each the mean of the known word vectors of that group, zeros
+    when none is known.  Documents without any known token are absent
+    (callers left-join and fill zeros).
+
+    Tokens are joined to the word table (broadcast only under a measured
+    size bound), means are a partial + final ``Summarizer`` aggregate per
+    (key, group), and the per-document gather holds at most ``height``
+    vectors.
     """
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
@@ -83,31 +88,50 @@ def doc_vectors(df: DataFrame, vectors: DataFrame, key: str, height: int, dims:
         wv = F.broadcast(wv)
     toks = exploded_group_tokens(df, key, height, text, per_group)
     hits = toks.join(wv, toks["token"] == wv["word"]).select(key, "group", "__v")
-    means = (hits.groupBy(key, "group")
-             .agg(Summarizer.mean(array_to_vector("__v")).alias("__m"))
-             .select(key, "group", vector_to_array("__m").alias("vector")))
-    all_groups = df.select(key, F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("group"))
+    mean = vector_to_array(Summarizer.mean(array_to_vector("__v")))
+    if height == 1:
+        return hits.groupBy(key).agg(F.array(mean).alias("vectors"))
+    means = hits.groupBy(key, "group").agg(mean.alias("__m"))
     zeros = F.array_repeat(F.lit(0.0), dims)
-    return (all_groups.join(means, [key, "group"], "left")
-            .select(key, "group", F.coalesce("vector", zeros).alias("vector")))
+    per_key = means.groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.struct("group", "__m"))).alias("__map"))
+    filled = F.transform(F.sequence(F.lit(0), F.lit(height - 1)),
+                         lambda i: F.coalesce(F.element_at("__map", i), zeros))
+    return per_key.select(key, filled.alias("vectors"))
+
+
+def _zero_groups(height: int, dims: int):
+    return F.array_repeat(F.array_repeat(F.lit(0.0), dims), height)
+
 
+def doc_vectors(df: DataFrame, vectors: DataFrame, key: str, height: int, dims: int,
+                text: str = "text", per_group: int = WORDS_PER_GROUP,
+                broadcast_cell_limit: int = BROADCAST_CELL_LIMIT) -> DataFrame:
+    """One vector per (key, group): the mean of the known word vectors (VEC6).
 
-def assemble(df: DataFrame, key: str, group_vectors: DataFrame, one_hot_columns: Sequence[str],
-             height: int, label: str = "label", out: str = "features") -> DataFrame:
+    Groups whose words are all unknown (or empty texts) get the zero vector.
+    Output: (key, group, vector array<double>).
+    """
+    from bugroute.functions.arrays import posexplode_rows
+
+    arrays = group_vector_arrays(df, vectors, key, height, dims, text, per_group, broadcast_cell_limit)
+    full = (df.select(key).join(arrays, key, "left")
+            .select(key, F.coalesce("vectors", _zero_groups(height, dims)).alias("vectors")))
+    return posexplode_rows(full, key, "vectors", "group", "vector")
+
+
+def assemble(df: DataFrame, key: str, group_arrays: DataFrame, one_hot_columns: Sequence[str],
+             height: int, dims: int, label: str = "label", out: str = "features") -> DataFrame:
     """Feature row: for each group i < height, [vector_i ++ one-hots], then label (PRJ5).
 
-    Width = height * (dims + sum of one-hot widths).  ``group_vectors`` is the
-    (key, group, vector) output of ``doc_vectors`` (one row per group).  The
-    per-document collect holds exactly ``height`` small arrays.
+    Width = height * (dims + sum of one-hot widths).  ``group_arrays`` is the
+    (key, vectors) output of ``group_vector_arrays``; documents missing there
+    get zero vectors.
     """
     tail = F.concat(*[F.col(c).cast("array<double>") for c in one_hot_columns]) \
         if one_hot_columns else F.array().cast("array<double>")
     base = df.select(key, tail.alias("__tail"), F.col(label).alias(label))
-    gv = group_vectors.select(key, "group", F.col("vector").cast("array<double>").alias("__v"))
-    joined = base.join(gv, key)
-    if height == 1:
-        return joined.select(key, F.concat("__v", "__tail").alias(out), F.col(label))
-    parts = F.sort_array(F.collect_list(F.struct("group", F.concat("__v", "__tail").alias("p"))))
-    return (joined.groupBy(key)
-            .agg(parts.alias("__parts"), F.first(label).alias(label))
-            .select(key, F.flatten(F.transform("__parts", lambda x: x["p"])).alias(out), F.col(label)))
+    joined = base.join(group_arrays, key, "left").withColumn(
+        "vectors", F.coalesce("vectors", _zero_groups(height, dims)))
+    feats = F.flatten(F.transform("vectors", lambda v: F.concat(v, F.col("__tail"))))
+    return joined.select(key, feats.alias(out), F.col(label))

@@ -84,12 +84,15 @@ def text_features(bugs: DataFrame, word_vectors: DataFrame | None, dims: int,
     if paragraph is not None:
         from bugroute.operators.paragraph import paragraph_group_vectors
 
-        gv = paragraph_group_vectors(paragraph, rows.select(key, "text"), key, height)
         dims = paragraph.dims
+        gv = paragraph_group_vectors(paragraph, rows.select(key, "text"), key, height)
+        # one row per (key, group), exactly height per key: gather in order
+        gv = gv.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("group", "vector"))).alias("__p"))
+        gv = gv.select(key, F.transform("__p", lambda x: x["vector"]).alias("vectors"))
     else:
-        gv = vec.doc_vectors(rows.select(key, "text"), word_vectors, key, height, dims)
+        gv = vec.group_vector_arrays(rows.select(key, "text"), word_vectors, key, height, dims)
     feats = vec.assemble(rows, key, gv, ["bug_severity", "component_id", "product_id"],
-                         height, label="label")
+                         height, dims, label="label")
     if checkpoint:
         ensure_checkpoint_dir(feats.sparkSession)
         feats = feats.checkpoint(eager=True)
