@@ -87,8 +87,16 @@ def group_vector_arrays(df: DataFrame, vectors: DataFrame, key: str, height: int
     if _sized_for_broadcast(wv, "__v", broadcast_cell_limit):
         wv = F.broadcast(wv)
     toks = exploded_group_tokens(df, key, height, text, per_group)
-    hits = toks.join(wv, toks["token"] == wv["word"]).select(key, "group", "__v")
-    mean = vector_to_array(Summarizer.mean(array_to_vector("__v")))
+    if height == 1:
+        # Whole-document groups repeat tokens a lot: pre-aggregate them (a
+        # codegen'd hash aggregate) so the join and the weighted mean see each
+        # distinct (key, token) once.  Groups of a few words barely repeat, so
+        # there the extra aggregate is not worth it.
+        counts = toks.groupBy(key, "group", "token").agg(F.count(F.lit(1)).cast("double").alias("__n"))
+    else:
+        counts = toks.withColumn("__n", F.lit(1.0))
+    hits = counts.join(wv, counts["token"] == wv["word"]).select(key, "group", "__v", "__n")
+    mean = vector_to_array(Summarizer.mean(array_to_vector("__v"), F.col("__n")))
     if height == 1:
         return hits.groupBy(key).agg(F.array(mean).alias("vectors"))
     means = hits.groupBy(key, "group").agg(mean.alias("__m"))
