@@ -44,6 +44,33 @@ def fit_categories(df: DataFrame, column: str, parse_int: bool = True,
     return [r.v for r in rows]
 
 
+def fit_categories_many(df: DataFrame, columns: Sequence[str], parse_int: bool = True,
+                        max_states: int = DEFAULT_MAX_STATES) -> dict:
+    """Sorted distinct values of several columns in ONE pass over ``df``:
+    (column, value) pairs are exploded, de-duplicated by one partial + final
+    aggregate, and only the distinct pairs (checked against ``max_states``
+    per column) reach the driver."""
+    cols = list(columns)
+    pairs = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("c"),
+                 (F.col(c).try_cast("int") if parse_int else F.col(c).cast("string")).alias("v"))
+        for c in cols]))
+    distinct = (df.select(pairs.alias("p")).select("p.c", "p.v").where(F.col("v").isNotNull())
+                .distinct())
+    bound = max_states * len(cols) + 1
+    rows = distinct.limit(bound).collect()
+    out = {c: [] for c in cols}
+    for r in rows:
+        out[r.c].append(r.v)
+    for c in cols:
+        if len(out[c]) > max_states:
+            raise ValueError(f"{c}: more than {max_states} categories")
+        out[c].sort()
+    if len(rows) >= bound:
+        raise ValueError(f"more than {max_states} categories in a column")
+    return out
+
+
 def one_hot(df: DataFrame, column: str, states: Sequence, out: str = "array",
             strict: bool = False) -> DataFrame:
     """Replace ``column`` by its one-hot encoding over ``states`` (PRJ4).
@@ -88,13 +115,16 @@ def one_hot(df: DataFrame, column: str, states: Sequence, out: str = "array",
 
 
 def index_classes(df: DataFrame, column: str = "class", mode: str = "dense",
-                  out: str = "label", max_classes: int = DEFAULT_MAX_STATES) -> tuple[DataFrame, list]:
+                  out: str = "label", max_classes: int = DEFAULT_MAX_STATES,
+                  classes: list | None = None) -> tuple[DataFrame, list]:
     """Class -> label index (AGG2). Returns (df with ``out``, class list).
 
     mode='dense'    -> 0..k-1 in ascending class order
     mode='identity' -> the class number is its own label
+    ``classes`` reuses an already fitted class list.
     """
-    classes = fit_categories(df, column, parse_int=True, max_states=max_classes)
+    if classes is None:
+        classes = fit_categories(df, column, parse_int=True, max_states=max_classes)
     value = F.col(column).try_cast("int")
     if mode == "identity":
         return df.withColumn(out, value), classes

@@ -53,15 +53,16 @@ def encode_columns(bugs: DataFrame, columns=TEXT_JOB_COLUMNS, key: str = "row_id
     """
     kept = colops.keep_columns(bugs, [key, *columns])
     if fitted is None:
-        comps = cat.fit_categories(kept, "component_id")
-        prods = cat.fit_categories(kept, "product_id")
+        # one pass over the table for all three lists
+        lists = cat.fit_categories_many(kept, ["component_id", "product_id", "class"])
+        comps, prods, fitted_classes = lists["component_id"], lists["product_id"], lists["class"]
     else:
         comps, prods, _ = fitted
     encoded = cat.one_hot(kept, "bug_severity", SEVERITY_STATES)
     encoded = cat.one_hot(encoded, "component_id", comps)
     encoded = cat.one_hot(encoded, "product_id", prods)
     if fitted is None:
-        encoded, classes = cat.index_classes(encoded, "class", "dense", "label")
+        encoded, classes = cat.index_classes(encoded, "class", "dense", "label", classes=fitted_classes)
     else:
         classes = fitted[2]
         lookup = {int(c): i for i, c in enumerate(classes)}

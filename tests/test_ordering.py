@@ -43,3 +43,14 @@ def test_rank_by(spark):
     df = spark.createDataFrame([("b", 2), ("a", 2), ("c", 5), ("d", 1)], "word string, count long")
     got = {r.word: r.idx for r in order.rank_by(df, [F.col("count").desc(), F.col("word")]).collect()}
     assert got == {"c": 0, "a": 1, "b": 2, "d": 3}
+
+
+def test_fit_categories_many_matches_single(spark):
+    from tests.conftest import SF_SMALL
+    from bugroute.operators import categories as cat
+    from bugroute.sources.tables import bugs_table
+
+    b = bugs_table(spark, SF_SMALL)
+    many = cat.fit_categories_many(b, ["component_id", "product_id", "class", "class_raw"])
+    for c in many:
+        assert many[c] == cat.fit_categories(b, c)
