@@ -68,7 +68,8 @@ def with_position(df: DataFrame, key: str | Sequence[str], name: str = "idx",
     n = df.count()
     bounds = _bounds(df, keys[0], n, rows_per_bucket)
     bucketed = _bucketize(df, keys[0], bounds)
-    counts = _bucket_counts(bucketed.select("__b"), len(bounds) + 1)
+    # one bucket: its count is n, no extra pass
+    counts = _bucket_counts(bucketed.select("__b"), len(bounds) + 1) if bounds else [n]
     offsets, total = [], 0
     for b, c in enumerate(counts):
         offsets.append((b, total))
@@ -95,7 +96,8 @@ def positional_cutoff(df: DataFrame, key: str | Sequence[str], num: int, den: in
     if t >= n:
         return n, t, None
     bounds = _bounds(df, keys[0], n, rows_per_bucket)
-    counts = _bucket_counts(_bucketize(df.select(keys[0]), keys[0], bounds), len(bounds) + 1)
+    counts = (_bucket_counts(_bucketize(df.select(keys[0]), keys[0], bounds), len(bounds) + 1)
+              if bounds else [n])
     acc, b = 0, 0
     for b, c in enumerate(counts):
         if acc + c > t:
