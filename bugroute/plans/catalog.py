@@ -145,8 +145,8 @@ SELECT row_id, 'product_id', prod.pos,
 @check("one_hot", _ONE_HOT_SQL)
 def _one_hot(spark, sf):
     b = bugs_table(spark, sf)
-    comps = cat.fit_categories(b, "component_id")
-    prods = cat.fit_categories(b, "product_id")
+    lists = cat.fit_categories_many(b, ["component_id", "product_id"])
+    comps, prods = lists["component_id"], lists["product_id"]
     enc = cat.one_hot(cat.one_hot(cat.one_hot(b, "bug_severity", SEVERITY_STATES),
                                   "component_id", comps), "product_id", prods)
     parts = [posexplode_rows(enc.withColumn("feature", F.lit(c)), ["row_id", "feature"], c)
