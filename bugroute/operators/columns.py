@@ -59,7 +59,8 @@ def safe_int(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
 
 
 def to_category(df: DataFrame, column: str, mapping: Mapping[int, str] | DataFrame,
-                out: str | None = None, max_literal: int = 10_000) -> DataFrame:
+                out: str | None = None, max_literal: int = 10_000,
+                max_broadcast_rows: int = 1_000_000) -> DataFrame:
     """Int -> category name (PRJ3).
 
     ``mapping`` is either a small dict (inlined as a literal map, no join) or
@@ -69,6 +70,9 @@ def to_category(df: DataFrame, column: str, mapping: Mapping[int, str] | DataFra
     if isinstance(mapping, DataFrame):
         key, name = mapping.columns[:2]
         m = mapping.select(F.col(key).alias("__key"), F.col(name).alias("__name"))
+        # broadcast only under a counted bound; otherwise a shuffle join
+        if m.count() <= max_broadcast_rows:
+            m = F.broadcast(m)
         joined = df.join(m, F.col(column) == F.col("__key"), "left")
         return joined.withColumn(out, F.col("__name")).drop("__key", "__name")
     if len(mapping) > max_literal:

@@ -54,3 +54,12 @@ def test_fit_categories_many_matches_single(spark):
     many = cat.fit_categories_many(b, ["component_id", "product_id", "class", "class_raw"])
     for c in many:
         assert many[c] == cat.fit_categories(b, c)
+
+
+def test_to_category_with_table(spark):
+    from bugroute.operators import columns as colops
+
+    df = spark.createDataFrame([(1,), (2,), (3,)], "c int")
+    m = spark.createDataFrame([(1, "one"), (2, "two")], "k int, name string")
+    got = sorted((r.c, r.name) for r in colops.to_category(df, "c", m, out="name").collect())
+    assert got == [(1, "one"), (2, "two"), (3, None)]
