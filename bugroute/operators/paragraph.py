@@ -144,7 +144,8 @@ def train_paragraph_vectors(df: DataFrame, key: str, tokens: str = "tokens", dim
 
 
 def infer_vectors(model: ParagraphModel, df: DataFrame, key: str, tokens: str = "tokens",
-                  epochs: int = 5, lr: float = 0.025, negative: int = 5, seed: int = 12345) -> DataFrame:
+                  epochs: int = 5, lr: float = 0.025, negative: int = 5, seed: int = 12345,
+                  keep=()) -> DataFrame:
     """Vectors for (new) documents with the output weights frozen: each task
     trains only its own documents' vectors.  Documents without known tokens
     get the zero vector."""
@@ -172,9 +173,15 @@ def infer_vectors(model: ParagraphModel, df: DataFrame, key: str, tokens: str =
             for e in range(epochs):
                 rate = lr * (1 - e / max(1, epochs))
                 _train_docs(idx, vecs, u, cdf, rate, negative, rng, update_out=False)
-            yield pd.DataFrame({key: pdf[key], "vector": vecs})
+            out = pd.DataFrame({key: pdf[key]})
+            for k in keep:
+                out[k] = pdf[k]
+            out["vector"] = vecs
+            yield out
 
-    return df.select(key, tokens).mapInPandas(run, f"{key} {key_type}, vector array<float>")
+    extra = "".join(f", {k} {df.schema[k].dataType.simpleString()}" for k in keep)
+    return df.select(key, *keep, tokens).mapInPandas(
+        run, f"{key} {key_type}{extra}, vector array<float>")
 
 
 def paragraph_group_vectors(model: ParagraphModel, df: DataFrame, key: str, height: int,
@@ -186,7 +193,6 @@ def paragraph_group_vectors(model: ParagraphModel, df: DataFrame, key: str, heig
     groups = group_token_arrays(df, key, height, text)
     gid = (F.col(key).cast("long") * F.lit(height) + F.col("group")).alias("__gid")
     keyed = groups.select(gid, key, "group", "tokens")
-    inferred = infer_vectors(model, keyed.select("__gid", "tokens"), "__gid", "tokens", epochs,
-                             seed=seed)
-    return (keyed.select("__gid", key, "group").join(inferred, "__gid")
-            .select(key, "group", F.col("vector").cast("array<double>").alias("vector")))
+    # key and group ride along through the task: no join back
+    inferred = infer_vectors(model, keyed, "__gid", "tokens", epochs, seed=seed, keep=(key, "group"))
+    return inferred.select(key, "group", F.col("vector").cast("array<double>").alias("vector"))

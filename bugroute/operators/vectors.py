@@ -51,6 +51,8 @@ def vectors_from(vocab: DataFrame, matrix: DataFrame, matrix_idx: str = "idx",
                  matrix_vector: str = "vector") -> DataFrame:
     """(word, idx, vector): a vocabulary joined with a vector matrix (VEC7)."""
     m = matrix.select(F.col(matrix_idx).alias("idx"), F.col(matrix_vector).alias("vector"))
+    if _sized_for_broadcast(m, "vector", BROADCAST_CELL_LIMIT):
+        m = F.broadcast(m)  # measured rows x dims under the bound
     return vocab.join(m, "idx").select("word", "idx", "vector")
 
 
