@@ -50,3 +50,28 @@ def test_pad_array(spark):
     df = spark.createDataFrame([([1, 2, 3],)], "a array<int>")
     assert df.select(pad_array("a", 5).alias("p")).first().p == [1, 2, 3, 0, 0]
     assert df.select(pad_array("a", 2).alias("p")).first().p == [1, 2]
+
+
+def test_hot_class_and_hot_token(spark):
+    """A class holding over a third of the rows and a token in every document:
+    results equal a plain-Python computation."""
+    from collections import Counter
+
+    from bugroute.operators import evaluate as ev
+    from bugroute.operators import vectors as vec
+
+    pairs = [(0, 0)] * 400 + [(1, 0)] * 50 + [(1, 1)] * 300 + [(2, 2)] * 250
+    df = spark.createDataFrame(pairs, "label int, prediction int").repartition(7)
+    pc = {r["class"]: (r.tp, r.fp, r.fn) for r in ev.per_class(df).collect()}
+    cnt = Counter(pairs)
+    for c in (0, 1, 2):
+        tp = cnt[(c, c)]
+        fp = sum(v for (l, p), v in cnt.items() if p == c and l != c)
+        fn = sum(v for (l, p), v in cnt.items() if l == c and p != c)
+        assert pc[c] == (tp, fp, fn)
+
+    docs = spark.createDataFrame([(i, "the " * 50 + f"w{i % 3}") for i in range(60)], "k long, text string")
+    wv = spark.createDataFrame([("the", [1.0, 0.0]), ("w", [0.0, 1.0])], "word string, vector array<double>")
+    got = {r.k: r.vector for r in vec.doc_vectors(docs, wv, "k", 1, 2).collect()}
+    # digits are stripped from tokens, so w0/w1/w2 all look up "w"
+    assert all(v == [50 / 51, 1 / 51] for v in got.values()) and len(got) == 60
