@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from bugroute.llm import exact_dedup
-from bugroute.llm.common import prepare, read_table
+from bugroute.llm import decontaminate, exact_dedup
+from bugroute.llm.common import read_table
 
 
 def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark, sf_dir):
+    return decontaminate.decontaminate(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("rid")
+
+
 CATALOG = {
+    "op4_decontaminate": (op4_decontaminate, decontaminate.ORACLE_SQL),
     "op8_exact_dedup": (op8_exact_dedup, exact_dedup.ORACLE_SQL),
 }
