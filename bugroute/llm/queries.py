@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from bugroute.llm import decontaminate, exact_dedup
+import public_tokenizers
+from bugroute.llm import decontaminate, exact_dedup, token_blocks
 from bugroute.llm.common import read_table
 
 
@@ -15,7 +16,13 @@ def op4_decontaminate(spark, sf_dir):
         read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("rid")
 
 
+def op9_token_blocks(spark, sf_dir):
+    return token_blocks.token_blocks(
+        read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 CATALOG = {
+    "op9_token_blocks": (op9_token_blocks, None),
     "op4_decontaminate": (op4_decontaminate, decontaminate.ORACLE_SQL),
     "op8_exact_dedup": (op8_exact_dedup, exact_dedup.ORACLE_SQL),
 }
