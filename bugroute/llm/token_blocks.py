@@ -145,6 +145,19 @@ def read_block(block: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [None if x == NULL_ID else x for x in names.astype(np.int64).tolist()], counts.astype(np.int64), ids
 
 
+class _Numbers(dict):
+    """piece -> number; a new piece gets the next number and is put on ``new``."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, piece) -> int:
+        n = self[piece] = len(self)
+        self.new.append(piece)
+        return n
+
+
 class PieceEncoder:
     """The tokenizer's ids of texts, asking the library once for each distinct
     blank-separated piece.
@@ -163,28 +176,30 @@ class PieceEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict = {}  # piece -> its number; -1: can't be taken on its own
-        self.count = 0
+        self.number = _Numbers()
+        self.known = 0
         self.ids = np.empty(1 << 20, np.uint32)
         self.bounds = np.zeros(1 << 18, np.int64)
-
-    def _learn(self, pieces: set) -> None:
-        text = {p: p[0] if type(p) is tuple else p for p in pieces}
-        good = [p for p, t in text.items() if t.strip() == t and p != ""]
-        self.place.update(dict.fromkeys(pieces.difference(good), -1))
-        got = self.tokenizer.encode_batch_fast([p[0] if type(p) is tuple else " " + p for p in good],
-                                               add_special_tokens=False)
-        got = [e.ids for e in got]
-        lens, n = list(map(len, got)), self.count
-        used, total = int(self.bounds[n]), sum(lens)
+        self.alone = np.zeros(1 << 18, bool)  # may be encoded on its own
+
+    def _learn(self) -> None:
+        """Ask the library for the new pieces."""
+        new, self.number.new = self.number.new, []
+        if not new:
+            return
+        text = [p[0] if type(p) is tuple else " " + p for p in new]
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(text, add_special_tokens=False)]
+        lens, n = list(map(len, got)), self.known
+        used, total, self.known = int(self.bounds[n]), sum(lens), n + len(new)
         while used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        while n + len(good) + 1 > len(self.bounds):
+        while self.known + 1 > len(self.alone):
             self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
+            self.alone = np.concatenate([self.alone, np.zeros_like(self.alone)])
         self.ids[used:used + total] = np.fromiter(chain.from_iterable(got), np.uint32, total)
-        self.bounds[n + 1:n + 1 + len(good)] = used + np.cumsum(lens, dtype=np.int64)
-        self.place.update(zip(good, range(n, n + len(good))))
-        self.count = n + len(good)
+        self.bounds[n + 1:self.known + 1] = used + np.cumsum(lens, dtype=np.int64)
+        bare = [p[0] if type(p) is tuple else p for p in new]
+        self.alone[n:self.known] = [t.strip() == t and p != "" for p, t in zip(new, bare)]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(counts, ids) of the texts, with the end id after each."""
@@ -193,29 +208,30 @@ class PieceEncoder:
             p = t.split(" ")
             p[0] = (p[0],)
             pieces.append(p)
-        if len(self.place) > self.limit:
+        if len(self.number) > self.limit:
             self.forget()
-        self._learn(set(chain.from_iterable(pieces)).difference(self.place))
         n_pieces = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(pieces)), np.int64, int(n_pieces.sum()))
+        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(pieces)), np.int64, int(n_pieces.sum()))
+        self._learn()
         owner = np.repeat(np.arange(len(texts)), n_pieces)
-        whole = np.unique(owner[at < 0])
-        use = ~np.isin(owner, whole) if len(whole) else slice(None)
-        at, owner = at[use], owner[use]
+        whole = np.unique(owner[~self.alone[at]])
+        if len(whole):
+            use = ~np.isin(owner, whole)
+            at, owner = at[use], owner[use]
         lens = self.bounds[at + 1] - self.bounds[at]
         counts = np.bincount(owner, lens, len(texts)).astype(np.int64)
+        first = np.cumsum(counts) - counts  # of each text among the gathered ids
         rest = self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)
         rest = {int(i): np.array(e.ids, np.uint32) for i, e in zip(whole, rest)}
         for i, ids in rest.items():
             counts[i] = len(ids)
         ends = np.cumsum(counts + 1)
         out = np.full(int(ends[-1]) if len(ends) else 0, self.end_id, np.uint32)
-        # where the ids of each piece start in the output, then one gather for all
+        # a piece's ids go where its text begins, behind those of the pieces before it
         before = np.cumsum(lens) - lens
-        first = np.concatenate([[0], np.cumsum(np.bincount(owner, lens, len(texts)).astype(np.int64))])[:-1]
-        shift = (ends - counts - 1)[owner] - first[owner]
-        inside = np.arange(int(lens.sum())) - np.repeat(before, lens)
-        out[np.repeat(before + shift, lens) + inside] = self.ids[np.repeat(self.bounds[at], lens) + inside]
+        source = np.arange(int(lens.sum()))
+        target = source + np.repeat((ends - counts - 1)[owner] - first[owner], lens)
+        out[target] = self.ids[source + np.repeat(self.bounds[at] - before, lens)]
         for i, ids in rest.items():
             out[ends[i] - 1 - len(ids):ends[i] - 1] = ids
         return counts + 1, out
