@@ -92,6 +92,37 @@ class WordHash(dict):
         return h
 
 
+class Tokens(dict):
+    """token -> number of its word (``clean(token)``), -1 where that is empty;
+    new words are put on ``new`` until they have been looked at."""
+
+    def __init__(self, clean):
+        super().__init__()
+        self.clean = clean
+        self.new: list[str] = []
+        self.count = 0
+
+    def __missing__(self, token: str) -> int:
+        word = self.clean(token)
+        if not word:
+            n = -1
+        else:
+            n, self.count = self.count, self.count + 1
+            self.new.append(word)
+        self[token] = n
+        return n
+
+
+def numbered(texts: list[str], tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of the words of blank-separated tokens, their texts)."""
+    split = [t.split() for t in texts]
+    counts = np.fromiter(map(len, split), np.int64, len(split))
+    ids = np.fromiter((tokens[w] for words in split for w in words), np.int64, int(counts.sum()))
+    owner = np.repeat(np.arange(len(texts)), counts)
+    keep = ids >= 0
+    return ids[keep], owner[keep]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """splitmix64 finaliser on uint64 arrays."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -3,14 +3,23 @@
 from __future__ import annotations
 
 import public_tokenizers
-from bugroute.llm import decontaminate, exact_dedup, token_blocks
-from bugroute.llm.common import read_table
+from pyspark.sql import functions as F
+
+from bugroute.llm import decontaminate, exact_dedup, langid, token_blocks
+from bugroute.llm.common import fold, read_table
 
 
 def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op3_language_spans(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = fold("doc_id", 4) == 2
+    model = langid.train(docs.where(~held_out))
+    return langid.identify(docs, model, [F.col("doc_id"), held_out.alias("held_out")])
+
+
 def op4_decontaminate(spark, sf_dir):
     return decontaminate.decontaminate(
         read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("rid")
@@ -22,6 +31,7 @@ def op9_token_blocks(spark, sf_dir):
 
 
 CATALOG = {
+    "op3_language_spans": (op3_language_spans, None),
     "op9_token_blocks": (op9_token_blocks, None),
     "op4_decontaminate": (op4_decontaminate, decontaminate.ORACLE_SQL),
     "op8_exact_dedup": (op8_exact_dedup, exact_dedup.ORACLE_SQL),
