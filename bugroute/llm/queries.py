@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from bugroute.llm import decontaminate, exact_dedup, langid, token_blocks
+from bugroute.llm import decontaminate, exact_dedup, langid, token_blocks, toxicity
 from bugroute.llm.common import fold, read_table
 
 
@@ -30,7 +30,16 @@ def op9_token_blocks(spark, sf_dir):
         read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_toxicity(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = fold("doc_id", 5) == 0
+    labels = read_table(spark, sf_dir, "labels").where(~held_out)
+    model, coefficients = toxicity.train(docs, labels)
+    return toxicity.score(docs, model, coefficients, [F.col("doc_id"), held_out.alias("held_out")])
+
+
 CATALOG = {
+    "op10_toxicity": (op10_toxicity, None),
     "op3_language_spans": (op3_language_spans, None),
     "op9_token_blocks": (op9_token_blocks, None),
     "op4_decontaminate": (op4_decontaminate, decontaminate.ORACLE_SQL),
