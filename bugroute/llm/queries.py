@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from bugroute.llm import decontaminate, exact_dedup, langid, licenses, token_blocks, toxicity
+from bugroute.llm import decontaminate, exact_dedup, langid, licenses, pieces, token_blocks, toxicity
 from bugroute.llm.common import fold, read_table
 
 
@@ -38,11 +38,17 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.score(docs, model, coefficients, [F.col("doc_id"), held_out.alias("held_out")])
 
 
+def op6_merge_dropout(spark, sf_dir):
+    return pieces.encode_and_check(
+        read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_licenses(spark, sf_dir):
     return licenses.scan_licenses(read_table(spark, sf_dir, "documents")).drop("blocks")
 
 
 CATALOG = {
+    "op6_merge_dropout": (op6_merge_dropout, None),
     "op7_licenses": (op7_licenses, None),
     "op10_toxicity": (op10_toxicity, None),
     "op3_language_spans": (op3_language_spans, None),
