@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from bugroute.llm import decontaminate, exact_dedup, langid, licenses, pieces, token_blocks, toxicity
+from bugroute.llm import decontaminate, exact_dedup, langid, licenses, near_dedup, pieces, token_blocks, toxicity
 from bugroute.llm.common import fold, read_table
 
 
@@ -13,6 +13,10 @@ def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op2_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents")).drop("class_id")
+
+
 def op3_language_spans(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     held_out = fold("doc_id", 4) == 2
@@ -48,11 +52,12 @@ def op7_licenses(spark, sf_dir):
 
 
 CATALOG = {
-    "op6_merge_dropout": (op6_merge_dropout, None),
-    "op7_licenses": (op7_licenses, None),
-    "op10_toxicity": (op10_toxicity, None),
+    "op2_near_dedup": (op2_near_dedup, near_dedup.ORACLE_SQL),
     "op3_language_spans": (op3_language_spans, None),
-    "op9_token_blocks": (op9_token_blocks, None),
     "op4_decontaminate": (op4_decontaminate, decontaminate.ORACLE_SQL),
+    "op6_merge_dropout": (op6_merge_dropout, None),
+    "op7_licenses": (op7_licenses, None),
     "op8_exact_dedup": (op8_exact_dedup, exact_dedup.ORACLE_SQL),
+    "op9_token_blocks": (op9_token_blocks, None),
+    "op10_toxicity": (op10_toxicity, None),
 }
