@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from bugroute.llm import decontaminate, exact_dedup, langid, licenses, near_dedup, pieces, token_blocks, toxicity
+from bugroute.llm import decontaminate, exact_dedup, langid, licenses, line_dedup, near_dedup, pieces, token_blocks, toxicity
 from bugroute.llm.common import fold, read_table
 
 
@@ -42,6 +42,11 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.score(docs, model, coefficients, [F.col("doc_id"), held_out.alias("held_out")])
 
 
+def op5_line_dedup(spark, sf_dir):
+    return line_dedup.line_dedup(read_table(spark, sf_dir, "documents")).select(
+        "row.doc_id", F.col("kept").alias("text"), "n_lines", "n_dropped")
+
+
 def op6_merge_dropout(spark, sf_dir):
     return pieces.encode_and_check(
         read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -55,6 +60,7 @@ CATALOG = {
     "op2_near_dedup": (op2_near_dedup, near_dedup.ORACLE_SQL),
     "op3_language_spans": (op3_language_spans, None),
     "op4_decontaminate": (op4_decontaminate, decontaminate.ORACLE_SQL),
+    "op5_line_dedup": (op5_line_dedup, None),
     "op6_merge_dropout": (op6_merge_dropout, None),
     "op7_licenses": (op7_licenses, None),
     "op8_exact_dedup": (op8_exact_dedup, exact_dedup.ORACLE_SQL),
