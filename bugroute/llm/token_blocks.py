@@ -22,6 +22,7 @@ and blocks follow ascending document ids.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bugroute.llm.common import prepare, slices
+from bugroute.llm.common import lean, prepare, slices
 from bugroute.session import scratch_path
 
 MAGIC = 0x53384249_44530001
@@ -158,37 +159,86 @@ class _Numbers(dict):
         return n
 
 
+def byte_letters() -> list[str]:
+    """The character that a byte-level BPE writes for each byte: printable
+    Latin-1 characters stand for themselves, the others follow from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = (b for b in range(256) if b not in plain)
+    return [c for _, c in sorted([(b, chr(b)) for b in plain] + [(b, chr(0x100 + k)) for k, b in enumerate(others)])]
+
+
 class PieceEncoder:
     """The tokenizer's ids of texts, asking the library once for each distinct
-    blank-separated piece.
+    word.
 
     A blank between two other characters always starts a token of a byte-level
-    BPE with this split rule, so the pieces of a text are encoded on their own
-    (all but the first with the blank in front).  Texts with other white space
-    at a piece's edge are encoded whole.  At most ``limit`` pieces are kept.
+    BPE with this split rule, so the blank-separated pieces of a text are encoded
+    on their own (all but the first with the blank in front).  A piece that is
+    letters with ``TAIL`` signs behind is split there, as the rule does; its
+    letters go straight to the library's BPE model.  All other pieces are encoded
+    by the whole tokenizer, and texts with further white space at a piece's edge
+    are encoded whole.  At most ``limit`` pieces and words are kept.
     """
 
-    def __init__(self, path: str, end_id: int, limit: int = 600_000):
+    TAIL = ".,;:!?()[]{}<>#%&*$|/\\-_=+~^\""
+
+    def __init__(self, path: str, end_id: int, limit: int = 400_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use all cores already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end_id, self.limit = end_id, limit
+        self.letters = {b: c for b, c in enumerate(byte_letters())}
+        self.words: dict[str, list[int]] = {}
+        self.tails: dict[str, list[int]] = {}
+        self.line_end = self._whole("\n")
         self.forget()
 
     def forget(self) -> None:
         self.number = _Numbers()
         self.known = 0
-        self.ids = np.empty(1 << 20, np.uint32)
+        self.ids = np.empty(1 << 20, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
         self.bounds = np.zeros(1 << 18, np.int64)
         self.alone = np.zeros(1 << 18, bool)  # may be encoded on its own
 
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _piece(self, text: str) -> list[int]:
+        """Ids of a piece, with its blank."""
+        if "\n" in text:  # a line end between other characters is a token
+            lines = text.split("\n")
+            if not all(x.strip() == x and x for x in (lines[0][1:] if text[0] == " " else lines[0], *lines[1:])):
+                return self._whole(text)
+            ids = self._piece(lines[0])
+            for line in lines[1:]:
+                ids = ids + self.line_end + self._piece(line)
+            return ids
+        word = text.rstrip(self.TAIL)
+        tail = text[len(word):]
+        if not (word[1:].isalpha() if word[:1] == " " else word.isalpha()):
+            return self._whole(text)
+        ids = self.words.get(word)
+        if ids is None:
+            if len(self.words) >= self.limit:
+                self.words.clear()
+            spelt = word.encode().decode("latin-1").translate(self.letters)
+            ids = self.words[word] = [t.id for t in self.tokenizer.model.tokenize(spelt)]
+        if not tail:
+            return ids
+        more = self.tails.get(tail)
+        if more is None:
+            if len(self.tails) >= self.limit:
+                self.tails.clear()
+            more = self.tails[tail] = self._whole(tail)
+        return ids + more
+
     def _learn(self) -> None:
-        """Ask the library for the new pieces."""
+        """Find the ids of the new pieces."""
         new, self.number.new = self.number.new, []
         if not new:
             return
-        text = [p[0] if type(p) is tuple else " " + p for p in new]
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(text, add_special_tokens=False)]
+        got = [self._piece(p[0] if type(p) is tuple else " " + p) for p in new]
         lens, n = list(map(len, got)), self.known
         used, total, self.known = int(self.bounds[n]), sum(lens), n + len(new)
         while used + total > len(self.ids):
@@ -196,7 +246,7 @@ class PieceEncoder:
         while self.known + 1 > len(self.alone):
             self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
             self.alone = np.concatenate([self.alone, np.zeros_like(self.alone)])
-        self.ids[used:used + total] = np.fromiter(chain.from_iterable(got), np.uint32, total)
+        self.ids[used:used + total] = np.fromiter(chain.from_iterable(got), self.ids.dtype, total)
         self.bounds[n + 1:self.known + 1] = used + np.cumsum(lens, dtype=np.int64)
         bare = [p[0] if type(p) is tuple else p for p in new]
         self.alone[n:self.known] = [t.strip() == t and p != "" for p, t in zip(new, bare)]
@@ -221,8 +271,7 @@ class PieceEncoder:
         lens = self.bounds[at + 1] - self.bounds[at]
         counts = np.bincount(owner, lens, len(texts)).astype(np.int64)
         first = np.cumsum(counts) - counts  # of each text among the gathered ids
-        rest = self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)
-        rest = {int(i): np.array(e.ids, np.uint32) for i, e in zip(whole, rest)}
+        rest = {i: np.array(self._whole(texts[i]), np.uint32) for i in whole.tolist()}
         for i, ids in rest.items():
             counts[i] = len(ids)
         ends = np.cumsum(counts + 1)
@@ -264,7 +313,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, i
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                        F.monotonically_increasing_id().alias("rid"))
     rows = rows.repartitionByRange(F.col("doc_id").asc(), F.col("rid").asc()).sortWithinPartitions("doc_id", "rid")
-    rows.select("doc_id", "text").mapInArrow(_blocks(vocabulary, end_id), BLOCK_SCHEMA).write.parquet(path)
+    rows.select("doc_id", "text").mapInArrow(lean(_blocks(vocabulary, end_id)), BLOCK_SCHEMA).write.parquet(path)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
