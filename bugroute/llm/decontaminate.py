@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bugroute.llm.common import ALNUM_TABLE, ALNUM_WORD, WordHash, gram_hashes, materialize, mix64, prepare, slices
+from bugroute.llm.common import ALNUM_TABLE, ALNUM_WORD, WordHash, gram_hashes, lean, materialize, mix64, prepare, slices
 
 WINDOW = 10
 GRAM = 5
@@ -124,7 +124,7 @@ def _fingerprint_rows(lengths: list[int], bits, own_short: bool):
 
 def fingerprints(texts: DataFrame, lengths: list[int], bits=None, own_short: bool = False) -> DataFrame:
     """``texts``: (rid, id, text)."""
-    return texts.mapInArrow(_fingerprint_rows(lengths, bits, own_short), _SCHEMA)
+    return texts.mapInArrow(lean(_fingerprint_rows(lengths, bits, own_short)), _SCHEMA)
 
 
 def _bit_table(grams: DataFrame) -> np.ndarray:

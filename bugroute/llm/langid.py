@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bugroute.llm.common import Tokens, numbered, prepare, slices
+from bugroute.llm.common import Tokens, lean, numbered, prepare, slices
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -133,7 +133,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
     prepare(docs.sparkSession)
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
         F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    sums = (rows.mapInArrow(_count_rows, "lang string, bucket long, n long")
+    sums = (rows.mapInArrow(lean(_count_rows), "lang string, bucket long, n long")
             .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow())
     langs = sorted(set(sums.column("lang").to_pylist()))
     counts = np.zeros((BUCKETS + len(SCRIPT_NAMES), len(langs)))
@@ -236,4 +236,4 @@ def identify(docs: DataFrame, model: Model, keep: list[Column] = (), text_col: s
     rows = docs.select(*keep, F.col(text_col).cast("string").alias("text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
     schema = f"{fields + ', ' if fields else ''}lang_pred string, score double, spans {SPANS}"
-    return rows.mapInArrow(_label_rows(spark.sparkContext.broadcast(model)), schema)
+    return rows.mapInArrow(lean(_label_rows(spark.sparkContext.broadcast(model))), schema)

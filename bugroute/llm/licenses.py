@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bugroute.llm.common import ALNUM_TABLE, prepare, slices
+from bugroute.llm.common import ALNUM_TABLE, lean, prepare, slices
 
 THRESHOLD = 0.8
 BLOCK = 256
@@ -123,7 +123,7 @@ def word_counts(docs: DataFrame, templates: dict[str, list[str]], text_col: str
     """The number of documents that have each template word."""
     vocabulary = frozenset(w for texts in templates.values() for t in texts for w in words_of(t.encode()))
     rows = docs.select(F.col(text_col).cast("string").alias("text"))
-    sums = rows.mapInArrow(lambda b: _count_rows(b, vocabulary), "word string, n long").groupBy("word").agg(
+    sums = rows.mapInArrow(lean(lambda b: _count_rows(b, vocabulary)), "word string, n long").groupBy("word").agg(
         F.sum("n").alias("n"))
     return {r["word"].encode(): r["n"] for r in sums.collect()}  # a row for each word of the fixed list
 
@@ -189,6 +189,6 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(
-        _scan_rows(index, phrases),
+        lean(_scan_rows(index, phrases)),
         f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
         "score double, blocks array<struct<first_word:long,n_words:long,label:string,containment:double>>")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bugroute.llm.common import SPACE_WORD, WordHash, gram_hashes, materialize, mix64, prepare, slices
+from bugroute.llm.common import SPACE_WORD, WordHash, gram_hashes, lean, materialize, mix64, prepare, slices
 from bugroute.llm.components import components, relabel
 
 SHINGLE = 5
@@ -220,7 +220,7 @@ class _Links:
         wanted = materialize(classes.join(self.members.select("node").distinct(), "node").select("node", "digest", "raw"),
                              "near-wanted")
         bits = texts.sparkSession.sparkContext.broadcast(_bit_table(wanted))
-        sets = texts.select("text").mapInArrow(_set_rows(bits), "digest binary, shingles array<long>")
+        sets = texts.select("text").mapInArrow(lean(_set_rows(bits)), "digest binary, shingles array<long>")
         # copies of a text come from several tasks; their sets are equal
         self.sets = materialize(
             sets.join(wanted, "digest").groupBy("node").agg(F.any_value("shingles").alias("s")), "near-sets")
@@ -284,7 +284,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         F.col(text_col).cast("string").alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
     rows = materialize(texts.mapInArrow(
-        _document_rows, f"rid long, doc_id {kind}, n_shingles long, digest binary, sign binary, raw long"), "near-documents")
+        lean(_document_rows), f"rid long, doc_id {kind}, n_shingles long, digest binary, sign binary, raw long"), "near-documents")
     classes = materialize(
         rows.where("digest is not null").groupBy("digest").agg(
             F.min("rid").alias("node"), F.min("doc_id").alias("low"), F.min("sign").alias("sign"),

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bugroute.llm.common import mix64, prepare, slices
+from bugroute.llm.common import lean, mix64, prepare, slices
 
 VARIANTS = 4
 DROPOUT = 0.1
@@ -288,7 +288,7 @@ def encode(docs: DataFrame, vocabulary_path: str, dropout: float = DROPOUT, seed
                        F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("key"))
     vocabulary = spark.sparkContext.broadcast(Vocabulary(vocabulary_path))  # a fixed vocabulary file
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_encode_rows(vocabulary, vocabulary_path, dropout, seed),
+    return rows.mapInArrow(lean(_encode_rows(vocabulary, vocabulary_path, dropout, seed)),
                            f"doc_id {kind}, text_crc32 long, ids array<int>")
 
 
@@ -310,7 +310,7 @@ def decode(rows: DataFrame, vocabulary_path: str) -> DataFrame:
     spark = prepare(rows.sparkSession)
     vocabulary = spark.sparkContext.broadcast(Vocabulary(vocabulary_path))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(_decode_rows(vocabulary), fields + ", decoded string")
+    return rows.mapInArrow(lean(_decode_rows(vocabulary)), fields + ", decoded string")
 
 
 def encode_and_check(docs: DataFrame, vocabulary_path: str, dropout: float = DROPOUT, seed: int = SEED,
