@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from bugroute.llm import decontaminate, exact_dedup, langid, licenses, line_dedup, near_dedup, pieces, token_blocks, toxicity
+from bugroute.llm import context_mixing, decontaminate, exact_dedup, langid, licenses, line_dedup, near_dedup, pieces, token_blocks, toxicity
 from bugroute.llm.common import fold, read_table
 
 
@@ -13,6 +13,10 @@ def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op1_context_mixing(spark, sf_dir):
+    return context_mixing.score_texts(read_table(spark, sf_dir, "documents"), fold("doc_id", 7) == 2)
+
+
 def op2_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents")).drop("class_id")
 
@@ -57,6 +61,7 @@ def op7_licenses(spark, sf_dir):
 
 
 CATALOG = {
+    "op1_context_mixing": (op1_context_mixing, None),
     "op2_near_dedup": (op2_near_dedup, near_dedup.ORACLE_SQL),
     "op3_language_spans": (op3_language_spans, None),
     "op4_decontaminate": (op4_decontaminate, decontaminate.ORACLE_SQL),
