@@ -1,9 +1,9 @@
 """Language-model scores by online logistic context mixing.
 
 The model predicts a text byte by byte, each byte as the binary decisions on its
-way down a Huffman tree (built from the training texts, an end-of-text symbol
-included).  Each predictor looks up the decision under a hash of its context
-(the last two, three or four bytes, or the word so far) in a table of counts
+way down a Huffman tree (one for each last byte, built from the training texts'
+byte pairs, an end-of-text symbol included).  Each predictor looks up the decision under a hash of its context
+(the last two or four bytes, or the word so far) in a table of counts
 summed over all training texts, and gives the logarithm of the odds.  A mixer
 adds these with weights of its own for each gate (the class of the last byte),
 and an adaptive map corrects the result by what has come of similar predictions.
@@ -38,34 +38,67 @@ from bugroute.llm.common import lean, materialize, prepare, slices
 
 END = 256
 SYMBOLS = 257
-CONTEXTS = 4
-SLOTS_LOG2 = 18
+CONTEXTS = 3
+SLOTS_LOG2 = (17, 20, 21)  # slots of each context's table
 SEGMENT = 2048
 WARM_UP = 24  # bytes before a segment that make up its first contexts
 GATES = 4
-FIRST_WEIGHT = 0.33
-RATE = 0.004
-BUCKETS = 24  # of the adaptive map, over log odds from -6 to 6
+FIRST_WEIGHT = 0.42
+RATE = 0.008
+BUCKETS = 32  # of the adaptive map, over probabilities
 MAP_RATE = 0.02
-PRIOR = 0.4
+MAP_SHARE = 0.25  # of the map in the result
+PRIOR = 0.2
 CHUNK = 8 << 20
-BLOCKS_LOG2 = 6  # a count table travels in so many blocks (as a power of two)
+TRAIN_CHUNK = 2 << 20
+BLOCK = 1 << 17  # counts that travel in one row
 FAN_IN = 32
 
-_MUL = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
+_MUL = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
+_WORD = np.uint32(0x2C1B3C6D)
+
+
+def _mixed(recent: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """(context, place): 32-bit hashes of the contexts; recent: the last four bytes."""
+    context = np.stack([recent & np.uint32(0xFFFF), recent, word])
+    context ^= context >> np.uint32(15)
+    context *= _MUL[:, None]
+    context ^= context >> np.uint32(13)
+    return context
+
+
+def _slots(k: int, context: np.ndarray, node: np.ndarray) -> np.ndarray:
+    return (context ^ node) * np.uint32(0x85EBCA6B) >> np.uint32(32 - SLOTS_LOG2[k])
+
+
+def empty_counts() -> list[np.ndarray]:
+    """A count for each slot and bit, context by context."""
+    return [np.zeros(2 << b, np.int32) for b in SLOTS_LOG2]
 
 
 class Code:
-    """The decisions (tree node, bit) of every symbol, behind one another."""
+    """The decisions (tree node, bit) of every choice (last byte, symbol), behind
+    one another; a choice is ``last byte * SYMBOLS + symbol``."""
 
     def __init__(self, counts: np.ndarray):
-        heap = [(int(c) + 1, s, s) for s, c in enumerate(counts)]  # every byte may come
+        paths = [p for tree in counts.reshape(256, SYMBOLS).tolist() for p in self._paths(tree)]
+        self.length = np.array([len(p) for p in paths], np.int64)
+        self.first = np.cumsum(self.length) - self.length
+        tree = np.repeat(np.arange(len(paths)) // SYMBOLS * SYMBOLS, self.length)
+        node = tree + np.array([n for p in paths for n, _ in p])
+        self.node = node.astype(np.uint32) * np.uint32(0x165667B1)
+        self.bit = np.array([b for p in paths for _, b in p], np.float32)
+
+    @staticmethod
+    def _paths(counts: list[int]) -> list[list[tuple[int, int]]]:
+        heap = [(64 * c + 1, s, s) for s, c in enumerate(counts)]  # every byte may come
         heapq.heapify(heap)
         parent: dict[int, tuple[int, int]] = {}
-        for node in range(SYMBOLS - 1):
-            (a, _, x), (b, _, y) = heapq.heappop(heap), heapq.heappop(heap)
-            parent[x], parent[y] = (SYMBOLS + node, 0), (SYMBOLS + node, 1)
-            heapq.heappush(heap, (a + b, SYMBOLS + node, SYMBOLS + node))
+        for node in range(SYMBOLS, 2 * SYMBOLS - 1):
+            a, _, x = heapq.heappop(heap)
+            b, _, y = heapq.heappop(heap)
+            parent[x], parent[y] = (node, 0), (node, 1)
+            heapq.heappush(heap, (a + b, node, node))
         paths = []
         for s in range(SYMBOLS):
             path = []
@@ -73,10 +106,19 @@ class Code:
                 s, bit = parent[s]
                 path.append((s - SYMBOLS, bit))
             paths.append(path[::-1])
-        self.length = np.array([len(p) for p in paths], np.int64)
-        self.first = np.cumsum(self.length) - self.length
-        self.node = np.array([n for p in paths for n, _ in p], np.uint32) * np.uint32(0x165667B1)
-        self.bit = np.array([b for p in paths for _, b in p], np.float32)
+        return paths
+
+
+def pair_counts(texts: list[bytes]) -> np.ndarray:
+    """How often each choice comes in the texts; before a text stands a zero byte."""
+    data = np.frombuffer(b"".join(b"\0" + t + b"\0" for t in texts), np.uint8).astype(np.int32)
+    size = np.fromiter(map(len, texts), np.int64, len(texts)) + 2
+    ends = np.cumsum(size)
+    choice = data[:-1] * SYMBOLS + data[1:]
+    choice[ends - 2] = data[ends - 2] * SYMBOLS + END
+    inside = np.ones(len(choice), bool)
+    inside[ends[:-1] - 1] = False
+    return np.bincount(choice[inside], minlength=256 * SYMBOLS)
 
 
 # The gate of each byte: blanks, letters of either case and UTF-8 parts, all else.
@@ -88,7 +130,7 @@ _GATE[np.r_[65:91, 128:256]] = 2
 
 class Lanes:
     """The segments of some texts; ``steps`` yields, byte by byte, the lanes
-    that still have a byte, their symbols and contexts."""
+    that still have a byte, their choices, contexts and gates."""
 
     def __init__(self, texts: list[bytes]):
         size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1  # with the end
@@ -117,76 +159,90 @@ class Lanes:
             if t >= 0:
                 symbol = now.astype(np.int64)
                 symbol[self.end_at[:a] == t] = END
-                context = np.stack([recent & np.uint32(0xFFFF), recent & np.uint32(0xFFFFFF), recent, word])
-                context = (context ^ (context >> np.uint32(15))) * _MUL[:, None]
-                yield a, symbol, context, _GATE[recent & np.uint32(0xFF)]
+                last = (recent & np.uint32(0xFF)).astype(np.int64)
+                yield a, last * SYMBOLS + symbol, _mixed(recent, word), _GATE[last]
             recent = recent << np.uint32(8) | now
-            word = np.where(_GATE[now] == 0, np.uint32(0), (word + now + np.uint32(1)) * np.uint32(0x2C1B3C6D))
+            word = np.where(_GATE[now] == 0, np.uint32(0), (word + now + np.uint32(1)) * _WORD)
 
 
-def _decisions(code: Code, symbol: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first decision of each lane, lane and bit of each decision, its slots)."""
-    length = code.length[symbol]
+def _decisions(code: Code, choice: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first decision of each choice, choice of each decision, its place in the code)."""
+    length = code.length[choice]
     ends = np.cumsum(length)
     first = ends - length
-    lane = np.repeat(np.arange(len(symbol)), length)
-    at = np.arange(int(ends[-1])) + (code.first[symbol] - first)[lane]
-    h = (context[:, lane] ^ code.node[at]) * np.uint32(0x9E3779B1)
-    h ^= h >> np.uint32(16)
-    slots = ((h * np.uint32(0x85EBCA6B)) >> np.uint32(32 - SLOTS_LOG2)).astype(np.int32)
-    return first, lane, code.bit[at], slots
-
-
-def count_decisions(texts: list[bytes], code: Code, counts: np.ndarray) -> None:
-    """Add the decisions of the texts to ``counts`` (context, slot and bit)."""
-    held: list[np.ndarray] = []
-    waiting = 0
-
-    def flush():
-        for k in range(CONTEXTS):
-            counts[k] += np.bincount(np.concatenate([x[k] for x in held]), minlength=counts.shape[1]).astype(counts.dtype)
-        held.clear()
-
-    for _, symbol, context, _ in Lanes(texts).steps():
-        _, _, bit, slots = _decisions(code, symbol, context)
-        held.append(slots * 2 + bit.astype(np.int32))
-        waiting += len(bit)
-        if waiting >= 1 << 21:
-            flush()
-            waiting = 0
-    if held:
-        flush()
-
-
-def log_odds(counts: np.ndarray) -> np.ndarray:
-    zero, one = counts[:, 0::2] + PRIOR, counts[:, 1::2] + PRIOR
-    return np.log(one / zero).astype(np.float32)
-
-
-def log10_probability(texts: list[bytes], code: Code, tables: np.ndarray) -> np.ndarray:
+    lane = np.repeat(np.arange(len(choice)), length)
+    return first, lane, np.arange(len(lane)) + (code.first[choice] - first)[lane]
+
+
+def _contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(choices, contexts) of all bytes and ends of the texts at once."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    data = np.frombuffer(b"".join(bytes(4) + t + b"\0" for t in texts), np.uint8)
+    end = np.cumsum(size + 5) - 1
+    at = np.arange(len(data), dtype=np.int64)
+    inside = np.ones(len(data), bool)
+    for k in range(4):
+        inside[end - size - 1 - k] = False  # the bytes put before a text
+    wide = np.concatenate([np.zeros(4, np.uint8), data]).astype(np.uint32)
+    recent = wide[3:-1] | wide[2:-2] << np.uint32(8) | wide[1:-3] << np.uint32(16) | wide[:-4] << np.uint32(24)
+    # the rolling word hash as a difference of sums, over powers of its factor modulo 2**32
+    power = np.full(len(data) + 1, _WORD, np.uint32)
+    power[0] = 1
+    back = np.full(len(data), np.uint32(pow(int(_WORD), -1, 1 << 32)))
+    back[:1] = 1
+    sums = np.concatenate([np.zeros(1, np.uint32), np.cumsum((wide[4:] + np.uint32(1)) * np.cumprod(back, dtype=np.uint32),
+                                                             dtype=np.uint32)])[:-1]
+    begin = np.maximum.accumulate(np.where(np.concatenate([[True], _GATE[data[:-1]] == 0]), at, 0))
+    word = (sums - sums[begin]) * np.cumprod(power, dtype=np.uint32)[:-1]
+    symbol = data.astype(np.int64)
+    symbol[end] = END
+    choice = (recent & np.uint32(0xFF)).astype(np.int64) * SYMBOLS + symbol
+    return choice[inside], _mixed(recent[inside], word[inside])
+
+
+def count_decisions(texts: list[bytes], code: Code, counts: list[np.ndarray]) -> None:
+    """Add the decisions of the texts to ``counts`` (context, slot and bit): each
+    distinct (context, choice) is taken down its tree once."""
+    choice, context = _contexts(texts)
+    for k in range(CONTEXTS):
+        pairs, times = np.unique(context[k].astype(np.uint64) << np.uint64(17) | choice.astype(np.uint64), return_counts=True)
+        _, lane, at = _decisions(code, (pairs & np.uint64((1 << 17) - 1)).astype(np.int64))
+        slot = _slots(k, (pairs >> np.uint64(17)).astype(np.uint32)[lane], code.node[at]).astype(np.int64) * 2 + (code.bit[at] > 0)
+        counts[k] += np.bincount(slot, times[lane], len(counts[k])).astype(np.int32)
+
+
+def log_odds(counts: list[np.ndarray]) -> list[np.ndarray]:
+    return [np.log((c[1::2] + np.float32(PRIOR)) / (c[0::2] + np.float32(PRIOR))) for c in counts]
+
+
+def log10_probability(texts: list[bytes], code: Code, tables: list[np.ndarray]) -> np.ndarray:
     """The score of every text."""
     lanes = Lanes(texts)
     n = len(lanes.start)
     weights = np.full((CONTEXTS, n * GATES), FIRST_WEIGHT, np.float32)
-    centres = (np.arange(BUCKETS) + 0.5) / BUCKETS * 12 - 6
-    refined = np.tile((1 / (1 + np.exp(-centres))).astype(np.float32), n)
+    refined = np.tile((np.arange(BUCKETS, dtype=np.float32) + np.float32(0.5)) / BUCKETS, n)
     total = np.zeros(n)
-    for a, symbol, context, gate in lanes.steps():
-        first, lane, bit, slots = _decisions(code, symbol, context)
-        inputs = np.stack([tables[k][slots[k]] for k in range(CONTEXTS)])
+    for a, choice, context, gate in lanes.steps():
+        first, lane, at = _decisions(code, choice)
+        bit, node = code.bit[at], code.node[at]
         mixer = np.arange(a) * GATES + gate
-        w = weights[:, mixer]
-        odds = (inputs * w[:, lane]).sum(0)
-        np.clip(odds, -7.9, 7.9, out=odds)
-        p = 1 / (1 + np.exp(-odds))
-        bucket = lane * BUCKETS + np.clip((odds + 6) * (BUCKETS / 12), 0, BUCKETS - 1).astype(np.int32)
+        inputs = [np.take(tables[k], _slots(k, context[k][lane], node)) for k in range(CONTEXTS)]
+        odds = 0
+        for k in range(CONTEXTS):
+            odds = odds + inputs[k] * weights[k][mixer][lane]
+        p = np.clip(odds, -8, 8)
+        np.exp(np.negative(p, out=p), out=p)
+        p += 1
+        np.reciprocal(p, out=p)
+        bucket = (p * np.float32(BUCKETS - 0.01)).astype(np.int64)
+        bucket += lane * BUCKETS
         q = refined[bucket]
-        final = 0.75 * p + 0.25 * q
-        right = np.where(bit > 0, final, 1 - final)
-        total[:a] += np.log10(np.multiply.reduceat(right.astype(np.float64), first))
-        error = bit - p
-        weights[:, mixer] = w + RATE * np.add.reduceat(inputs * error, first, axis=1)
-        refined[bucket] = q + MAP_RATE * (bit - q)
+        wrong = np.abs(bit - p - np.float32(MAP_SHARE) * (q - p))
+        total[:a] += np.log10(np.multiply.reduceat(1 - wrong.astype(np.float64), first))
+        refined[bucket] = q + np.float32(MAP_RATE) * (bit - q)
+        error = (bit - p) * np.float32(RATE)
+        for k in range(CONTEXTS):
+            weights[k][mixer] += np.add.reduceat(inputs[k] * error, first)
     return np.bincount(lanes.text, total, len(texts))
 
 
@@ -199,11 +255,11 @@ def _texts(part: pa.RecordBatch) -> list[bytes]:
 
 def _table_rows(code):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((CONTEXTS, 2 << SLOTS_LOG2), np.int64)
+        counts = empty_counts()
         for batch in batches:
-            for part in slices(batch, "text", CHUNK):
+            for part in slices(batch, "text", TRAIN_CHUNK):
                 count_decisions(_texts(part), code.value, counts)
-        blocks = counts.reshape(CONTEXTS << BLOCKS_LOG2, -1)
+        blocks = np.concatenate(counts).reshape(-1, BLOCK)
         task = TaskContext.get().partitionId()
         used = np.flatnonzero(blocks.any(1))
         yield pa.RecordBatch.from_arrays(
@@ -214,11 +270,11 @@ def _table_rows(code):
 
 
 def _add_blocks(rows: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(x, np.int64) for x in rows["counts"])
+    total = sum(np.frombuffer(x, np.int32) for x in rows["counts"])
     return pd.DataFrame({"task": rows["task"].iloc[:1], "block": rows["block"].iloc[:1], "counts": [total.tobytes()]})
 
 
-def train_tables(texts: DataFrame, code: Code) -> np.ndarray:
+def train_tables(texts: DataFrame, code: Code) -> list[np.ndarray]:
     """The predictors' log odds, from all rows of ``texts`` (text)."""
     kind = "task long, block long, counts binary"
     blocks = materialize(texts.mapInArrow(
@@ -228,19 +284,27 @@ def train_tables(texts: DataFrame, code: Code) -> np.ndarray:
         blocks = blocks.withColumn("task", F.floor(F.col("task") / FAN_IN)).groupBy("task", "block").applyInPandas(_add_blocks, kind)
         blocks = materialize(blocks, "mixing-counts")
         tasks = -(-tasks // FAN_IN)
-    counts = np.zeros((CONTEXTS << BLOCKS_LOG2, (2 << SLOTS_LOG2) >> BLOCKS_LOG2), np.int64)
+    counts = np.concatenate(empty_counts()).reshape(-1, BLOCK)
     for r in blocks.collect():  # the tables' fixed size
-        counts[r["block"]] = np.frombuffer(r["counts"], np.int64)
-    return log_odds(counts.reshape(CONTEXTS, -1))
+        counts[r["block"]] = np.frombuffer(r["counts"], np.int32)
+    return log_odds(np.split(counts.ravel(), np.cumsum([2 << b for b in SLOTS_LOG2])[:-1]))
 
 
 # ---- words and the base score ---------------------------------------------------
 
 
+class _Places(dict):
+    """word -> its place among the distinct words; the empty one is the end."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each slice of texts one row with its documents (keys, tokens, and the
     places and times of their distinct tokens) and the training texts' byte
-    counts, and one row for each distinct token: its hash, its place, and how
+    pairs, and one row for each distinct token: its hash, its place, and how
     often the training texts have it."""
     import xxhash
 
@@ -249,24 +313,15 @@ def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, "text", CHUNK):
             texts = _texts(part)
             train = ~part.column("held_out").to_numpy(zero_copy_only=False)
-            place: dict[bytes, int] = {b"": 0}  # the end token; no word is empty
-            for t in texts:
-                for w in set(t.lower().split()):
-                    if w not in place:
-                        place[w] = len(place)
-            rows, times, sizes, tokens = [], [], [], np.empty(len(texts), np.int64)
-            in_train = np.zeros(len(place), np.int64)
-            for i, t in enumerate(texts):
-                ids = np.fromiter(map(place.__getitem__, t.lower().split()), np.int64)
-                tokens[i] = len(ids) + 1
-                own, n = np.unique(np.append(ids, 0), return_counts=True)
-                rows.append(own.astype(np.uint32))
-                times.append(n.astype(np.uint32))
-                sizes.append(len(own))
-                if train[i]:
-                    in_train[own] += n
-            seen = np.frombuffer(b"".join(t for t, k in zip(texts, train) if k), np.uint8)
-            hist = np.append(np.bincount(seen, minlength=256), train.sum()).astype(np.int64)
+            place = _Places()
+            split = [t.lower().split() for t in texts]
+            tokens = np.fromiter(map(len, split), np.int64, len(split)) + 1
+            ids = np.fromiter((place[w] for words in split for w in (b"", *words)), np.int64, int(tokens.sum()))
+            of = np.repeat(np.arange(len(texts)), tokens)
+            own, times = np.unique(of << 32 | ids, return_counts=True)
+            sizes, places = np.bincount(own >> 32, minlength=len(texts)), own & 0xFFFFFFFF
+            in_train = np.bincount(ids[train[of]], minlength=len(place))
+            hist = pair_counts([t for t, k in zip(texts, train) if k])
             chunk, seq = task << 24 | seq, seq + 1
             n, none = len(place), pa.nulls(1, pa.binary())
             hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, place), np.uint64, n).view(np.int64)
@@ -275,8 +330,7 @@ def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = np.stack([part.column(c).to_numpy() for c in ("k1", "k2")], 1)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([chunk], pa.int64()), *(pa.nulls(1, pa.int64()) for _ in range(3)), pack(keys, np.int64),
-                 pack(tokens, np.int64), pack(sizes, np.int64), pack(np.concatenate(rows), np.uint32),
-                 pack(np.concatenate(times), np.uint32), pack(hist, np.int64)], names=names)
+                 pack(tokens, np.int64), pack(sizes, np.int64), pack(places, np.uint32), pack(times, np.uint32), pack(hist, np.int32)], names=names)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(n, chunk)), pa.array(hashes), pa.array(np.arange(n)), pa.array(in_train),
                  *[pa.nulls(n, pa.binary())] * 6], names=names)
@@ -310,7 +364,7 @@ def _base_rows(n_train: int, n_distinct: int):
 
 
 def base_scores(rows: DataFrame) -> tuple[DataFrame, int, np.ndarray]:
-    """((k1, k2, n_tokens, n_known, base_score), training tokens, symbol counts)
+    """((k1, k2, n_tokens, n_known, base_score), training tokens, counts of choices)
     of ``rows`` (k1, k2, held_out, text)."""
     terms = materialize(rows.mapInArrow(lean(_term_rows), _TERMS), "mixing-terms")
     words = terms.where("word is not null").select("word", "chunk", "place", "n")
@@ -321,19 +375,20 @@ def base_scores(rows: DataFrame) -> tuple[DataFrame, int, np.ndarray]:
     slices_of = terms.where("word is null").select("chunk", "keys", "tokens", "sizes", "places", "times", "hist")
     base = slices_of.drop("hist").join(vectors, "chunk").mapInArrow(
         _base_rows(n_train, n_distinct), "k1 long, k2 long, n_tokens long, n_known long, base_score double")
-    hist = slices_of.select("hist").mapInArrow(_hist_rows, "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
-    symbols = np.zeros(SYMBOLS, np.int64)
-    for r in hist.collect():
-        symbols[r["symbol"]] = r["n"]
-    return base, n_train, symbols
+    hist = slices_of.select("hist").mapInArrow(_hist_rows, "choice int, n long").groupBy("choice").agg(F.sum("n").alias("n"))
+    choices = np.zeros(256 * SYMBOLS, np.int64)
+    got = hist.toArrow()  # at most a row a choice
+    choices[got.column("choice").to_numpy()] = got.column("n").to_numpy()
+    return base, n_train, choices
 
 
 def _hist_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(SYMBOLS, np.int64)
+    total = np.zeros(256 * SYMBOLS, np.int64)
     for batch in batches:
         for x in batch.column("hist"):
-            total += np.frombuffer(x.as_py(), np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(SYMBOLS), pa.int32()), pa.array(total)], names=["symbol", "n"])
+            total += np.frombuffer(x.as_py(), np.int32)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["choice", "n"])
 
 
 # ---- scoring ---------------------------------------------------------------------
@@ -367,8 +422,8 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out.alias("held_out"),
                        F.xxhash64(F.col(id_col), text).alias("k1"), F.xxhash64(text, F.lit(1)).alias("k2"), text.alias("text"))
-    base, n_train, symbols = base_scores(rows.select("k1", "k2", "held_out", "text"))
-    code = Code(symbols)
+    base, n_train, choices = base_scores(rows.select("k1", "k2", "held_out", "text"))
+    code = Code(choices)
     tables = train_tables(rows.where("not held_out").select("text"), code)
     kind = rows.schema["doc_id"].dataType.simpleString()
     scored = rows.mapInArrow(
