@@ -29,7 +29,7 @@ WINDOW = 10
 GRAM = 5
 BITS_LOG2 = 25  # the bit table: 4 MB whatever the size of the benchmark
 
-_SCHEMA = ("rid long, id string, n_words long, fp long, n_gram int, pos long, "
+_SCHEMA = ("rid long, id string, text_key long, n_words long, fp long, n_gram int, pos long, "
            "left string, gram string, right string")
 
 
@@ -80,7 +80,7 @@ def _fingerprint_rows(lengths: list[int], bits, own_short: bool):
                 yield _one(part, words_of, table)
 
     def _one(part: pa.RecordBatch, words_of: WordHash, table) -> pa.RecordBatch:
-        ids, rids = part.column("id").to_pylist(), part.column("rid").to_pylist()
+        ids, rids, keys = (part.column(c).to_pylist() for c in ("id", "rid", "text_key"))
         texts = [(x or b"").translate(ALNUM_TABLE).split() for x in part.column("text").cast(pa.binary()).to_pylist()]
         counts = np.fromiter(map(len, texts), np.int64, len(texts))
         words = [w for t in texts for w in t]
@@ -102,21 +102,21 @@ def _fingerprint_rows(lengths: list[int], bits, own_short: bool):
             p = np.flatnonzero(inside)
             keep = _passes(table, grams[p])
             found += [(-n, int(x), h) for x, h in zip(p[keep], grams[p[keep]].tolist())]
-        out: list[list] = [[] for _ in range(9)]
-        for i, (rid, name) in enumerate(zip(rids, ids)):
-            for c, v in zip(out, (rid, name, int(counts[i]), None, 0, None, None, None, None)):
+        out: list[list] = [[] for _ in range(10)]
+        for i, row in enumerate(zip(rids, ids, keys)):
+            for c, v in zip(out, (*row, int(counts[i]), None, 0, None, None, None, None)):
                 c.append(v)
         for n, p, h in found:
             i = int(owner[p])
             a, b, k = int(first[i]), int(first[i + 1]), abs(n)
             reach = WINDOW - GRAM if n > 0 else 0
-            row = (rids[i], ids[i], int(counts[i]), h - (1 << 64) if h >= 1 << 63 else h, n, p - a,
+            row = (rids[i], ids[i], keys[i], int(counts[i]), h - (1 << 64) if h >= 1 << 63 else h, n, p - a,
                    b" ".join(reversed(words[max(a, p - reach):p])).decode(), b" ".join(words[p:p + k]).decode(),
                    b" ".join(words[p + k:min(b, p + k + reach)]).decode())
             for c, v in zip(out, row):
                 c.append(v)
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), *[pa.string()] * 3)
-        names = ("rid", "id", "n_words", "fp", "n_gram", "pos", "left", "gram", "right")
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), *[pa.string()] * 3)
+        names = ("rid", "id", "text_key", "n_words", "fp", "n_gram", "pos", "left", "gram", "right")
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=names)
 
     return rows
@@ -124,6 +124,7 @@ def _fingerprint_rows(lengths: list[int], bits, own_short: bool):
 
 def fingerprints(texts: DataFrame, lengths: list[int], bits=None, own_short: bool = False) -> DataFrame:
     """``texts``: (rid, id, text)."""
+    texts = texts.withColumn("text_key", F.xxhash64("text"))
     return texts.mapInArrow(lean(_fingerprint_rows(lengths, bits, own_short)), _SCHEMA)
 
 
@@ -149,7 +150,7 @@ def _reach(a: str, b: str):
 
 def shared_spans(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", item_col="item_id",
                  item_text_col="text") -> tuple[DataFrame, DataFrame]:
-    """(documents as (rid, doc_id, n_words), hits as (rid, start, stop, item_id)):
+    """(documents as (rid, doc_id, text_key, n_words), hits as (rid, start, stop, item_id)):
     every run of words that a document shares with an item, found from each
     common fingerprint and reaching up to ``WINDOW - GRAM`` words around it."""
     spark = prepare(docs.sparkSession)
@@ -172,14 +173,14 @@ def shared_spans(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="t
         f"n_gram < 0 or before + after + {GRAM} >= {WINDOW}")
     spans = spans.select("rid", (F.col("pos") - F.col("before")).alias("start"),
                          (F.col("pos") + F.abs("n_gram") + F.col("after")).alias("stop"), "items").distinct()
-    texts = train.where("n_gram = 0").select("rid", F.col("id").alias("doc_id"), "n_words")
+    texts = train.where("n_gram = 0").select("rid", F.col("id").alias("doc_id"), "text_key", "n_words")
     return texts, spans
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: rid, doc_id, n_words, n_hit, n_items,
-    items_sha256, contaminated.
+    """One row per row of ``docs``: rid, doc_id, text_key, n_words, n_hit,
+    n_items, items_sha256, contaminated.
 
     A window is ``WINDOW`` consecutive words of an item (all words of a shorter
     one); a document word inside an occurrence of a window is hit.  Null and
@@ -194,7 +195,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     found = (spans.select("rid", F.explode("items").alias("item")).distinct()
              .groupBy("rid").agg(F.array_sort(F.collect_list("item")).alias("items")))
     return texts.join(hit.join(found, "rid"), "rid", "left").select(
-        "rid", F.col("doc_id").cast(docs.schema[id_col].dataType).alias("doc_id"), "n_words",
+        "rid", F.col("doc_id").cast(docs.schema[id_col].dataType).alias("doc_id"), "text_key", "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.greatest(F.size(F.coalesce("items", F.array())), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.concat_ws(",", "items"), F.lit("")).cast("binary"), 256).alias("items_sha256"),

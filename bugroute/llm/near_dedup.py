@@ -92,9 +92,9 @@ def _document_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 signs.append(signature(s).tobytes() if len(s) else None)
                 raws.append(xxhash.xxh3_64_intdigest(text or b""))
             yield pa.RecordBatch.from_arrays(
-                [part.column("rid"), part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
+                [part.column("rid"), part.column("doc_id"), part.column("text_key"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
                  pa.array(signs, pa.binary()), pa.array(np.array(raws, np.uint64).view(np.int64))],
-                names=["rid", "doc_id", "n_shingles", "digest", "sign", "raw"])
+                names=["rid", "doc_id", "text_key", "n_shingles", "digest", "sign", "raw"])
 
 
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +270,8 @@ class _Links:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, class_id.
+    """One row per row of ``docs``: doc_id, text_key, n_shingles, component_id,
+    kept, class_id.
 
     Sets of 5-word shingles of the lower-cased text (A-Z) are linked if they
     share 75 per cent of their union; component_id is the least doc_id that can
@@ -281,10 +282,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prepare(docs.sparkSession)
     texts = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"),
-                        F.col(text_col).cast("string").alias("text"))
+                        F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
     rows = materialize(texts.mapInArrow(
-        lean(_document_rows), f"rid long, doc_id {kind}, n_shingles long, digest binary, sign binary, raw long"), "near-documents")
+        lean(_document_rows), f"rid long, doc_id {kind}, text_key long, n_shingles long, digest binary, sign binary, raw long"), "near-documents")
     classes = materialize(
         rows.where("digest is not null").groupBy("digest").agg(
             F.min("rid").alias("node"), F.min("doc_id").alias("low"), F.min("sign").alias("sign"),
@@ -306,7 +307,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = named.groupBy("class_id").agg(F.min("low").alias("component_id"))
     named = named.join(least, "class_id").select("digest", "class_id", "component_id")
     return rows.join(named, "digest", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
+        "doc_id", "text_key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
         F.col("doc_id").eqNullSafe(F.coalesce("component_id", "doc_id")).alias("kept"),
         F.coalesce("class_id", "rid").alias("class_id"))
 

@@ -18,7 +18,7 @@ def op1_context_mixing(spark, sf_dir):
 
 
 def op2_near_dedup(spark, sf_dir):
-    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents")).drop("class_id")
+    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents")).drop("class_id", "text_key")
 
 
 def op3_language_spans(spark, sf_dir):
@@ -30,7 +30,7 @@ def op3_language_spans(spark, sf_dir):
 
 def op4_decontaminate(spark, sf_dir):
     return decontaminate.decontaminate(
-        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("rid")
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("rid", "text_key")
 
 
 def op9_token_blocks(spark, sf_dir):
