@@ -2,7 +2,6 @@
 
 from bugroute.functions.arrays import (  # noqa: F401
     clear_nan_values,
-    mean_of,
     one_hot_array,
     pad_array,
     unit_vector,

@@ -16,6 +16,14 @@ def as_doubles(c: Column | str) -> Column:
     return _col(c).cast("array<double>")
 
 
+def with_scalar(arr: Column, scalar: Column, body) -> Column:
+    """``body(arr, scalar)`` with both worked out once a row.  A lambda that
+    names an outer expression evaluates it again for every element; as a field of
+    an outer lambda's argument it is a value."""
+    bound = F.array(F.struct(arr.alias("a"), scalar.alias("s")))
+    return F.transform(bound, lambda t: body(t["a"], t["s"]))[0]
+
+
 def squared_norm(c: Column | str) -> Column:
     return F.aggregate(as_doubles(c), F.lit(0.0), lambda acc, x: acc + x * x)
 
@@ -23,8 +31,8 @@ def squared_norm(c: Column | str) -> Column:
 def unit_vector(c: Column | str) -> Column:
     """v / |v| in double precision; the zero vector stays zero (VEC1)."""
     v = as_doubles(c)
-    norm = F.sqrt(squared_norm(v))
-    return F.when(norm == 0, v).otherwise(F.transform(v, lambda x: x / norm))
+    return with_scalar(v, F.sqrt(squared_norm(v)), lambda a, norm: F.when(norm == 0, a).otherwise(
+        F.transform(a, lambda x: x / norm)))
 
 
 def clear_nan_values(c: Column | str) -> Column:
@@ -37,10 +45,20 @@ def one_hot_array(c: Column | str, states: Sequence[object]) -> Column:
 
     A value outside the states (or null) gives all zeros.
     """
-    value = _col(c)
-    return F.array(*[
-        F.coalesce((value == F.lit(s)).cast("double"), F.lit(0.0)) for s in states
-    ])
+    if not states:
+        return F.array().cast("array<double>")
+    place = F.array_position(F.array(*map(F.lit, states)), _col(c))
+    return one_hot_at(place - 1, len(states))
+
+
+def one_hot_at(place: Column, size: int) -> Column:
+    """``size`` doubles, 1 at ``place`` (from 0) and 0 elsewhere; a place outside
+    (or null) gives all zeros."""
+    zeros = F.array_repeat(F.lit(0.0), size)
+    inside = (place >= 0) & (place < size)
+    return F.when(inside, F.concat(
+        F.array_repeat(F.lit(0.0), place.cast("int")), F.array(F.lit(1.0)),
+        F.array_repeat(F.lit(0.0), (F.lit(size - 1) - place).cast("int")))).otherwise(zeros)
 
 
 def pad_array(c: Column | str, length: int, fill: object = 0) -> Column:
@@ -48,15 +66,6 @@ def pad_array(c: Column | str, length: int, fill: object = 0) -> Column:
     return F.slice(F.concat(_col(c), F.array_repeat(F.lit(fill), length)), 1, length)
 
 
-def mean_of(arrays: Sequence[Column]) -> Column:
-    """Element-wise mean of a fixed, small list of equal-length arrays."""
-    total = arrays[0]
-    for a in arrays[1:]:
-        total = F.zip_with(total, a, lambda x, y: x + y)
-    k = float(len(arrays))
-    return F.transform(total, lambda x: x / F.lit(k))
-
-
 def posexplode_rows(df, keep, array_col, pos: str = "pos", value: str = "value"):
     """``posexplode`` without the inferred ``size(array) > 0`` filter.
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from bugroute.functions.arrays import with_scalar
+
 EPS = 1e-10
 
 # The 14 loss names of the loss-function contract, in its order.
@@ -56,10 +58,11 @@ def activate(pre_output: Column | str, activation: str) -> Column:
     if a == "softsign":
         return F.transform(z, lambda x: x / (1.0 + F.abs(x)))
     if a == "softmax":
-        m = F.array_max(z)
-        e = F.transform(z, lambda x: F.exp(x - m))
-        total = F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x)
-        return F.transform(e, lambda x: x / total)
+        e = with_scalar(z, F.array_max(z), lambda a, m: F.transform(a, lambda x: F.exp(x - m)))
+        # each step binds its scalar and its array once (no work repeated an element)
+        bound = F.transform(F.array(F.struct(e.alias("e"))), lambda t: F.struct(
+            t["e"].alias("e"), F.aggregate(t["e"], F.lit(0.0), lambda acc, x: acc + x).alias("total")))
+        return F.transform(bound, lambda t: F.transform(t["e"], lambda x: x / t["total"]))[0]
     raise ValueError(f"unknown activation {activation!r}")
 
 

@@ -9,24 +9,23 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bugroute.functions.arrays import one_hot_array
 
 DEFAULT_MAX_STATES = 100_000
-DENSE_ONE_HOT_LIMIT = 1_000
+DENSE_ONE_HOT_LIMIT = 20_000
 
 
 def category_table(df: DataFrame, column: str, parse_int: bool = True) -> DataFrame:
-    """Distributed (value, state_idx) table, ascending by value (AGG1).
+    """Distributed (value, state_idx) table, ascending by value (AGG1): the rank
+    of each distinct value by a range sort, without a single-task window."""
+    from bugroute.operators.ordering import rank_by
 
-    The window runs over the *distinct* values only.
-    """
     value = F.col(column).try_cast("int") if parse_int else F.col(column)
     distinct = df.select(value.alias(column)).where(F.col(column).isNotNull()).distinct()
-    w = Window.orderBy(F.col(column))
-    return distinct.withColumn("state_idx", (F.row_number().over(w) - 1).cast("int"))
+    return rank_by(distinct, [F.col(column)], "state_idx")
 
 
 def fit_categories(df: DataFrame, column: str, parse_int: bool = True,
@@ -130,11 +129,15 @@ def index_classes(df: DataFrame, column: str = "class", mode: str = "dense",
         return df.withColumn(out, value), classes
     if mode != "dense":
         raise ValueError(f"unknown mode {mode!r}")
-    pairs = []
-    for i, c in enumerate(classes):
-        pairs += [F.lit(int(c)), F.lit(i)]
-    lookup = F.create_map(*pairs) if pairs else F.create_map().cast("map<int,int>")
-    return df.withColumn(out, F.element_at(lookup, value)), classes
+    return join_index(df, value, classes, out), classes
+
+
+def join_index(df: DataFrame, value, states: Sequence, out: str) -> DataFrame:
+    """``out``: the place of ``value`` in the list ``states`` (null if absent), by
+    a hash join; the list has been checked against a bound, so it is broadcast."""
+    table = df.sparkSession.createDataFrame([(int(s), i) for i, s in enumerate(states)], "__state int, __place int")
+    keyed = df.withColumn("__value", value).join(F.broadcast(table), F.col("__value") == F.col("__state"), "left")
+    return keyed.select(*(F.col(c) for c in df.columns if c != out), F.col("__place").alias(out))
 
 
 def class_index_table(df: DataFrame, column: str = "class") -> DataFrame:

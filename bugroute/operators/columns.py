@@ -47,6 +47,14 @@ def drop_where(df: DataFrame, column: str, op: str, value) -> DataFrame:
     return df.filter(F.coalesce(~cond, F.lit(False)))
 
 
+def count_where(df: DataFrame, column: str, op: str, value) -> DataFrame:
+    """What ``drop_where`` does to a table, as one row: (n_kept, n_removed,
+    n_bad), n_bad of the removed rows for a cell that is not an integer."""
+    cond = int_condition(column, op, value)
+    return df.agg(F.count_if(~cond).alias("n_kept"), F.count_if(cond | cond.isNull()).alias("n_removed"),
+                  F.count_if(F.col(column).try_cast("int").isNull()).alias("n_bad"))
+
+
 def drop_empty_text(df: DataFrame, column: str = "text") -> DataFrame:
     """Drop rows with empty or missing text (FLT2); CSV empties arrive as null."""
     return df.filter(F.length(F.coalesce(F.col(column), F.lit(""))) > 0)
@@ -59,29 +67,23 @@ def safe_int(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
 
 
 def to_category(df: DataFrame, column: str, mapping: Mapping[int, str] | DataFrame,
-                out: str | None = None, max_literal: int = 10_000,
-                max_broadcast_rows: int = 1_000_000) -> DataFrame:
+                out: str | None = None, max_broadcast_bytes: int = 64 << 20) -> DataFrame:
     """Int -> category name (PRJ3).
 
-    ``mapping`` is either a small dict (inlined as a literal map, no join) or
-    a (key, name) DataFrame, which is joined.  Unknown keys give null.
+    ``mapping`` is a dict or a (key, name) DataFrame; it is joined, by broadcast
+    if its measured size allows.  Unknown keys give null.
     """
     out = out or column
-    if isinstance(mapping, DataFrame):
-        key, name = mapping.columns[:2]
-        m = mapping.select(F.col(key).alias("__key"), F.col(name).alias("__name"))
-        # broadcast only under a counted bound; otherwise a shuffle join
-        if m.count() <= max_broadcast_rows:
-            m = F.broadcast(m)
-        joined = df.join(m, F.col(column) == F.col("__key"), "left")
-        return joined.withColumn(out, F.col("__name")).drop("__key", "__name")
-    if len(mapping) > max_literal:
-        raise ValueError("mapping too large for a literal map; pass it as a DataFrame")
-    pairs = []
-    for k, v in sorted(mapping.items()):
-        pairs += [F.lit(int(k)), F.lit(str(v))]
-    lookup = F.create_map(*pairs) if pairs else F.create_map().cast("map<int,string>")
-    return df.withColumn(out, F.element_at(lookup, F.col(column)))
+    if not isinstance(mapping, DataFrame):
+        rows = [(int(k), str(v)) for k, v in sorted(mapping.items())]
+        mapping = df.sparkSession.createDataFrame(rows, "key int, name string")
+    key, name = mapping.columns[:2]
+    m = mapping.select(F.col(key).alias("__key"), F.col(name).alias("__name"))
+    size = m.agg(F.sum(F.octet_length("__name") + 16)).first()[0] or 0
+    if size <= max_broadcast_bytes:
+        m = F.broadcast(m)
+    joined = df.join(m, F.col(column) == F.col("__key"), "left")
+    return joined.withColumn(out, F.col("__name")).drop("__key", "__name")
 
 
 def identity_names(values: Sequence[int]) -> dict[int, str]:

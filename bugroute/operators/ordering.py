@@ -1,138 +1,98 @@
 """Positions, positional split and batches (AGG4-6).
 
-A global row position is computed without a single-partition window:
-
-1. ``approxQuantile`` on the first key column gives bucket boundaries
-   (one pass over one column, a few KB to the driver); ``Bucketizer``
-   assigns buckets by binary search;
-2. one grouped count per bucket (partial aggregation, #buckets rows back);
-3. prefix sums of those counts are the bucket offsets (a tiny table,
-   broadcast: its size is the number of buckets, known before the join);
-4. ``row_number`` inside each bucket, ordered by the full key.
-
-Buckets hold about ``rows_per_bucket`` rows each, so every window task is
-bounded.  The key must be unique (use a tie-breaker column otherwise): a
-position is only defined for a total order.
-
-The positional split needs no position for every row: it finds the key at
-rank ``(num * n) div den`` and becomes a plain filter ``key < cutoff``.
+A global row position needs a total order (add a tie-breaker column to a key
+that repeats).  One method serves all sizes and key types: a range-partitioned
+sort on the *full* key, tagged with ``monotonically_increasing_id`` and written
+once to the shared checkpoint folder, which fixes partitions and ids; the
+per-partition counts give the offsets.  Nulls sort first.
+
+The positional split needs no position for every row of the table: only the
+key columns are sorted, the key at rank ``(num * n) div den`` is looked up
+there, and the split becomes a plain filter ``key < cutoff``.
 """
 
 from __future__ import annotations
 
-import math
 from typing import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_ROWS_PER_BUCKET = 2_000_000
+_ID_BITS = 33  # monotonically_increasing_id: partition id in the upper 31 bits
 
 
 def _keys(key: str | Sequence[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
-def _bounds(df: DataFrame, first: str, n: int, rows_per_bucket: int) -> list[float]:
-    """Approximate quantile boundaries of the first key column (sorted, unique)."""
-    n_buckets = max(1, math.ceil(n / rows_per_bucket))
-    if n_buckets == 1:
-        return []
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = df.approxQuantile(first, probs, 1.0 / (4 * n_buckets))
-    return sorted(set(float(b) for b in bounds if b is not None))
-
-
-def _bucketize(df: DataFrame, first: str, bounds: list[float]) -> DataFrame:
-    """Add ``__b`` = number of boundaries <= key (binary search, JVM side)."""
-    if not bounds:
-        return df.withColumn("__b", F.lit(0))
-    from pyspark.ml.feature import Bucketizer
-
-    splits = [-math.inf] + bounds + [math.inf]
-    keyed = df.withColumn("__k", F.col(first).cast("double"))
-    out = Bucketizer(splits=splits, inputCol="__k", outputCol="__bd").transform(keyed)
-    return out.withColumn("__b", F.col("__bd").cast("int")).drop("__k", "__bd")
+def rank_by(df: DataFrame, order, name: str = "idx") -> DataFrame:
+    """0-based position (long) of each row under a total ``order`` (list of
+    Columns), computed without a single-partition window.
 
+    The range-partitioned sort is distributed; the sorted rows are tagged with
+    ``monotonically_increasing_id`` and checkpointed to the shared checkpoint
+    folder, which fixes partitions and ids (safe against task retries and
+    executor loss).  Per-partition counts (one row per partition) give the
+    offsets, joined back by broadcast (bounded by the partition count).
+    """
+    from bugroute.session import ensure_checkpoint_dir
 
-def _bucket_counts(bucketed: DataFrame, n_buckets: int) -> list[int]:
-    rows = bucketed.groupBy("__b").agg(F.count(F.lit(1)).alias("n")).collect()
-    counts = {r["__b"]: r["n"] for r in rows}
-    return [counts.get(b, 0) for b in range(n_buckets)]
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    tagged = df.orderBy(*order).withColumn("__mid", F.monotonically_increasing_id())
+    tagged = tagged.checkpoint(eager=True)
+    pid = F.shiftright(F.col("__mid"), _ID_BITS)
+    counts = sorted((r["__pid"], r["n"]) for r in
+                    tagged.groupBy(pid.alias("__pid")).agg(F.count(F.lit(1)).alias("n")).collect())
+    offsets, total = [], 0
+    for p, c in counts:
+        offsets.append((int(p), total))
+        total += c
+    table = spark.createDataFrame(offsets or [(0, 0)], "__pid long, __offset long")
+    local = F.col("__mid").bitwiseAND(F.lit((1 << _ID_BITS) - 1))
+    return (tagged.withColumn("__pid", pid)
+            .join(F.broadcast(table), "__pid")
+            .withColumn(name, F.col("__offset") + local)
+            .drop("__pid", "__offset", "__mid"))
 
 
-def with_position(df: DataFrame, key: str | Sequence[str], name: str = "idx",
-                  rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+def with_position(df: DataFrame, key: str | Sequence[str], name: str = "idx") -> DataFrame:
     """Add the 0-based global position of each row in ascending key order."""
-    keys = _keys(key)
-    n = df.count()
-    bounds = _bounds(df, keys[0], n, rows_per_bucket)
-    bucketed = _bucketize(df, keys[0], bounds)
-    # one bucket: its count is n, no extra pass
-    counts = _bucket_counts(bucketed.select("__b"), len(bounds) + 1) if bounds else [n]
-    offsets, total = [], 0
-    for b, c in enumerate(counts):
-        offsets.append((b, total))
-        total += c
-    table = df.sparkSession.createDataFrame(offsets, "__b int, __offset long")
-    w = Window.partitionBy("__b").orderBy(*[F.col(k) for k in keys])
-    # The offsets table has exactly one row per bucket: the broadcast is bounded.
-    return (bucketed.join(F.broadcast(table), "__b")
-            .withColumn(name, F.col("__offset") + F.row_number().over(w) - 1)
-            .drop("__b", "__offset"))
+    return rank_by(df, [F.col(k).asc_nulls_first() for k in _keys(key)], name)
 
 
-def positional_cutoff(df: DataFrame, key: str | Sequence[str], num: int, den: int,
-                      rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET):
+def positional_cutoff(df: DataFrame, key: str | Sequence[str], num: int, den: int):
     """(n, t, cutoff key tuple or None) where t = (num * n) div den.
 
     ``cutoff`` is the key of the row at position t (the first test row).
-    Only the rows of the bucket that holds rank t are sorted, and that bucket
-    is selected by a range predicate on the key (pushed into the scan).
     """
     keys = _keys(key)
-    n = df.count()
+    ranked = with_position(df.select(*keys), keys, "__pos")
+    n = (ranked.agg(F.max("__pos")).first()[0] or 0) + 1 if not ranked.isEmpty() else 0
     t = (num * n) // den
     if t >= n:
         return n, t, None
-    bounds = _bounds(df, keys[0], n, rows_per_bucket)
-    counts = (_bucket_counts(_bucketize(df.select(keys[0]), keys[0], bounds), len(bounds) + 1)
-              if bounds else [n])
-    acc, b = 0, 0
-    for b, c in enumerate(counts):
-        if acc + c > t:
-            break
-        acc += c
-    rank = t - acc
-    first = F.col(keys[0]).cast("double")
-    in_bucket = F.lit(True)
-    if b > 0:
-        in_bucket = in_bucket & (first >= bounds[b - 1])
-    if b < len(bounds):
-        in_bucket = in_bucket & (first < bounds[b])
-    w = Window.orderBy(*[F.col(k) for k in keys])
-    # One bucket only (about rows_per_bucket rows), so this window is bounded.
-    row = (df.where(in_bucket).select(*keys)
-           .withColumn("__r", F.row_number().over(w) - 1)
-           .where(F.col("__r") == rank).drop("__r").collect())
-    return n, t, tuple(row[0])
+    return n, t, tuple(ranked.where(F.col("__pos") == t).select(*keys).first())
 
 
 def split_positional(df: DataFrame, key: str | Sequence[str], num: int = 9, den: int = 10,
-                     out: str = "is_train",
-                     rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+                     out: str = "is_train") -> DataFrame:
     """Mark the first ``(num * n) div den`` rows in key order as train (AGG4).
 
     The result is a filterable flag; ``train``/``test`` are then plain filters
     that Catalyst can push into the scan.
     """
     keys = _keys(key)
-    n, t, cutoff = positional_cutoff(df, keys, num, den, rows_per_bucket)
+    _, _, cutoff = positional_cutoff(df, keys, num, den)
     if cutoff is None:
         return df.withColumn(out, F.lit(True))
-    left = F.struct(*[F.col(k) for k in keys])
-    right = F.struct(*[F.lit(v).cast(df.schema[k].dataType) for k, v in zip(keys, cutoff)])
-    return df.withColumn(out, left < right)
+    # field by field, nulls first: earlier fields equal and this one smaller
+    less, same = F.lit(False), F.lit(True)
+    for k, v in zip(keys, cutoff):
+        c, value = F.col(k), F.lit(v).cast(df.schema[k].dataType)
+        smaller = F.lit(False) if v is None else c.isNull() | F.coalesce(c < value, F.lit(False))
+        less, same = less | (same & smaller), same & c.eqNullSafe(value)
+    return df.withColumn(out, less)
 
 
 def train_test(df: DataFrame, key: str | Sequence[str], num: int = 9, den: int = 10):
@@ -148,12 +108,11 @@ def split_hash(df: DataFrame, key: str, train_percent: int = 90, seed: int = 42,
     return df.withColumn(out, bucket < train_percent)
 
 
-def batches(df: DataFrame, key: str | Sequence[str], size: int, out: str = "batch_id",
-            rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+def batches(df: DataFrame, key: str | Sequence[str], size: int, out: str = "batch_id") -> DataFrame:
     """Fixed-size batches in key order: batch_id = position div size (AGG5)."""
     if size <= 0:
         raise ValueError("batch size must be positive")
-    pos = with_position(df, key, "__pos", rows_per_bucket)
+    pos = with_position(df, key, "__pos")
     return pos.withColumn(out, F.floor(F.col("__pos") / size).cast("long")).drop("__pos")
 
 
@@ -162,48 +121,9 @@ def batch_sizes(df: DataFrame, batch_col: str = "batch_id") -> DataFrame:
     return df.groupBy(batch_col).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def train_batch_size(n_train: int, cap: int = 25) -> int:
-    """Train batch size of the text job: min(n, 25)."""
-    return max(1, min(n_train, cap))
-
-
 def with_progress(df: DataFrame, name: str = "progress"):
     """Row-count progress metric (AGG6) via ``observe`` instead of per-row logs."""
     from pyspark.sql import Observation
 
     obs = Observation(name)
     return df.observe(obs, F.count(F.lit(1)).alias("rows")), obs
-
-
-_ID_BITS = 33  # monotonically_increasing_id: partition id in the upper 31 bits
-
-
-def rank_by(df: DataFrame, order, name: str = "idx") -> DataFrame:
-    """0-based dense position of each row under a total ``order`` (list of
-    Columns), computed without a single-partition window.
-
-    The range-partitioned sort is distributed; the sorted rows are tagged with
-    ``monotonically_increasing_id`` and checkpointed to the shared checkpoint
-    folder, which fixes partitions and ids (safe against task retries and
-    executor loss).  Per-partition counts (one row per partition) give the
-    offsets, joined back by broadcast (bounded by the partition count).
-    """
-    from bugroute.session import ensure_checkpoint_dir
-
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    tagged = df.orderBy(*order).withColumn("__mid", F.monotonically_increasing_id())
-    tagged = tagged.checkpoint(eager=True)
-    pid = F.shiftright(F.col("__mid"), _ID_BITS)
-    counts = sorted((r["__pid"], r["n"]) for r in
-                    tagged.groupBy(pid.alias("__pid")).agg(F.count(F.lit(1)).alias("n")).collect())
-    offsets, total = [], 0
-    for p, c in counts:
-        offsets.append((int(p), total))
-        total += c
-    table = spark.createDataFrame(offsets or [(0, 0)], "__pid long, __offset long")
-    local = F.col("__mid").bitwiseAND(F.lit((1 << _ID_BITS) - 1))
-    return (tagged.withColumn("__pid", pid)
-            .join(F.broadcast(table), "__pid")
-            .withColumn(name, (F.col("__offset") + local).cast("int" if total < 2**31 else "long"))
-            .drop("__pid", "__offset", "__mid"))

@@ -13,7 +13,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bugroute.functions.arrays import posexplode_rows
+from bugroute.functions.arrays import pad_array, posexplode_rows
 from bugroute.operators import categories as cat
 from bugroute.operators import columns as colops
 from bugroute.operators import evaluate as ev
@@ -21,6 +21,7 @@ from bugroute.operators import ordering as order
 from bugroute.operators import text as txt
 from bugroute.operators import vectors as vec
 from bugroute.plans import oracle_sql as q
+from bugroute.session import scratch_path
 from bugroute.schema import LIGHT_JOB_COLUMNS, SEVERITY_STATES, TEXT_JOB_COLUMNS
 from bugroute.sources.tables import bugs_table, label_preds_table, load_table, preds_table
 
@@ -97,6 +98,47 @@ def _drop_where_bad(spark, sf):
     return colops.drop_where(bugs_table(spark, sf), "class_raw", ">=", 25).select("row_id", "class_raw")
 
 
+@check("drop_where_counts", B + """SELECT count(*) FILTER (TRY_CAST(class_raw AS INT) < 25) AS n_kept,
+  count(*) FILTER (coalesce(TRY_CAST(class_raw AS INT) >= 25, true)) AS n_removed,
+  count(*) FILTER (TRY_CAST(class_raw AS INT) IS NULL) AS n_bad FROM bugs""")
+def _drop_where_counts(spark, sf):
+    return colops.count_where(bugs_table(spark, sf), "class_raw", ">=", 25)
+
+
+_CSV_TEXT = "nullif(regexp_replace({c}, '[\r\n,\"]', ' ', 'g'), '')"
+_CSV_SQL = B + "SELECT * REPLACE (" + ", ".join(
+    _CSV_TEXT.format(c=c) + " AS " + c for c in ("short_desc", "original_text", "text")) + ") FROM bugs"
+
+
+def _bugs_csv(spark, sf, **kw):
+    """The bug table written as the job's CSV and scanned again (SRC1, SRC2)."""
+    from bugroute.sinks.bugs_csv import write_bugs_csv
+    from bugroute.sources.bugs_csv import read_bugs
+
+    path = scratch_path(spark, "bugs-csv")
+    write_bugs_csv(bugs_table(spark, sf), path)
+    return read_bugs(spark, path, **kw)
+
+
+@check("bugs_csv", _CSV_SQL.replace("SELECT * REPLACE", "SELECT * EXCLUDE (class_raw) REPLACE"))
+def _src1(spark, sf):
+    return _bugs_csv(spark, sf)
+
+
+@check("bugs_csv_restricted", B + "SELECT component_id, class FROM bugs")
+def _src2(spark, sf):
+    return _bugs_csv(spark, sf, columns=[5, 13])
+
+
+@check("progress_rows", "SELECT count(*) AS n_rows, count(*) AS n_seen FROM documents")
+def _progress(spark, sf):
+    df, seen = order.with_progress(load_table(spark, sf, "documents").select("doc_id"))
+    path = scratch_path(spark, "progress")
+    df.write.parquet(path)
+    rows = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n_rows"))
+    return rows.withColumn("n_seen", F.lit(seen.get["rows"]).cast("long"))
+
+
 @check("drop_empty_text", B + "SELECT row_id FROM bugs WHERE length(coalesce(text, '')) > 0")
 def _drop_empty(spark, sf):
     return colops.drop_empty_text(bugs_table(spark, sf)).select("row_id")
@@ -119,7 +161,7 @@ def _to_category(spark, sf):
 # Categories, one-hot, classes (AGG1-3, PRJ4)
 
 @check("fit_categories", B + """SELECT component_id,
-  CAST(row_number() OVER (ORDER BY component_id) - 1 AS INT) AS state_idx
+  CAST(row_number() OVER (ORDER BY component_id) - 1 AS BIGINT) AS state_idx
 FROM (SELECT DISTINCT component_id FROM bugs WHERE component_id IS NOT NULL)""")
 def _fit_categories(spark, sf):
     return cat.category_table(bugs_table(spark, sf), "component_id")
@@ -149,9 +191,10 @@ def _one_hot(spark, sf):
     comps, prods = lists["component_id"], lists["product_id"]
     enc = cat.one_hot(cat.one_hot(cat.one_hot(b, "bug_severity", SEVERITY_STATES),
                                   "component_id", comps), "product_id", prods)
-    parts = [posexplode_rows(enc.withColumn("feature", F.lit(c)), ["row_id", "feature"], c)
-             for c in ("bug_severity", "component_id", "product_id")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    features = ("bug_severity", "component_id", "product_id")
+    one = enc.select("row_id", F.explode(F.array(*(
+        F.struct(F.lit(c).alias("feature"), F.col(c).alias("states")) for c in features))).alias("f"))
+    return posexplode_rows(one.select("row_id", "f.feature", "f.states"), ["row_id", "feature"], "states")
 
 
 @check("index_classes", B + """, cls AS (
@@ -202,7 +245,14 @@ def _batches(spark, sf):
 FROM bugs""")
 def _positions(spark, sf):
     return order.with_position(bugs_table(spark, sf).select("row_id", "product_id"),
-                               ["product_id", "row_id"], rows_per_bucket=150).select("row_id", "idx")
+                               ["product_id", "row_id"]).select("row_id", "idx")
+
+
+@check("positions_text_key", B + """SELECT row_id, CAST(row_number() OVER (ORDER BY bug_severity, short_desc, row_id) - 1
+  AS BIGINT) AS idx FROM bugs""")
+def _positions_text(spark, sf):
+    return order.with_position(bugs_table(spark, sf).select("row_id", "bug_severity", "short_desc"),
+                               ["bug_severity", "short_desc", "row_id"]).select("row_id", "idx")
 
 
 # --------------------------------------------------------------------------
@@ -287,10 +337,10 @@ def _metrics_labels(spark, sf):
 
 
 @check("metric_warnings", BP + _PER_CLASS_SQL.format(src="preds") + """
-SELECT class, 'Warning: class ' || CAST(class AS VARCHAR) || ' was never predicted by the model. This class was excluded from the average precision' AS warning
+SELECT class, replace('""" + ev.NEVER_PREDICTED + """', '{c}', CAST(class AS VARCHAR)) AS warning
 FROM pc WHERE tp = 0 AND fp = 0
 UNION ALL
-SELECT class, 'Warning: class ' || CAST(class AS VARCHAR) || ' has never appeared as a true label. This class was excluded from the average recall'
+SELECT class, replace('""" + ev.NEVER_TRUE_LABEL + """', '{c}', CAST(class AS VARCHAR))
 FROM pc WHERE tp = 0 AND fn = 0""")
 def _warnings(spark, sf):
     return ev.metric_warnings(preds_table(spark, sf))
@@ -311,6 +361,20 @@ def _report(spark, sf):
     return t.select("score", _r6(F.col("value")).alias("value"), "text")
 
 
+@check("report_full", BP + _PER_CLASS_SQL.format(src="preds") + """SELECT
+  (SELECT count(*) FROM conf) AS n_cells, (SELECT count(*) FROM pc WHERE tp = 0 AND (fp = 0 OR fn = 0)) AS n_warnings,
+  (SELECT string_agg('Examples labeled as ' || label || ' classified by model as ' || prediction || ': ' || cnt || ' times',
+   chr(10) ORDER BY label, prediction) FROM conf) AS cells, true AS short_has_none""")
+def _report_full(spark, sf):
+    preds = preds_table(spark, sf)
+    head = ev.report(preds).split(ev.TOP_RULE)[0].split("\n")
+    short = ev.report(preds, full=False).split(ev.TOP_RULE)[0].strip()
+    cells = [x for x in head if x.startswith("Examples")]
+    warned = [x for x in head if x.startswith("Warning")]
+    return spark.createDataFrame([(len(cells), len(warned), "\n".join(cells), short == "")],
+                                 "n_cells long, n_warnings long, cells string, short_has_none boolean")
+
+
 # --------------------------------------------------------------------------
 # Text (TXT1-TXT5)
 
@@ -404,7 +468,7 @@ def _nans(spark, sf):
             .withColumn("value", _r6(F.col("value").cast("double"))))
 
 
-VOCAB_CTE = ("vocab AS (SELECT word, count, CAST(row_number() OVER (ORDER BY count DESC, word) - 1 AS INT) AS idx "
+VOCAB_CTE = ("vocab AS (SELECT word, count, CAST(row_number() OVER (ORDER BY count DESC, word) - 1 AS BIGINT) AS idx "
              "FROM (SELECT word, count(*) AS count FROM (SELECT unnest(" + q.tokens_expr("text") + ") AS word "
              "FROM documents) GROUP BY word))")
 
@@ -462,24 +526,54 @@ def _dv1(spark, sf):
     return _doc_vectors_spark(spark, sf, 1)
 
 
-def _doc_vectors_cnn_sql() -> str:
-    head = _doc_vectors_sql(25).rsplit("SELECT allg.doc_id", 1)[0]
-    return head + """SELECT doc_id, "group", round(sum(value), 6) AS vsum,
-  round(sum(value * value), 6) AS vsq FROM (SELECT allg.doc_id, allg.grp AS "group",
-  coalesce(means.value, 0.0) AS value
-FROM allg LEFT JOIN means ON allg.doc_id = means.doc_id AND allg.grp = means.grp AND allg.pos = means.pos)
-GROUP BY 1, 2"""
+@check("doc_vectors_cnn", _doc_vectors_sql(25))
+def _dv25(spark, sf):
+    return _doc_vectors_spark(spark, sf, 25)
 
 
-@check("doc_vectors_cnn", _doc_vectors_cnn_sql())
-def _dv25(spark, sf):
-    docs = load_table(spark, sf, "documents")
-    dims = len(load_table(spark, sf, "embeddings").select("embedding").first()[0])
-    dv = vec.doc_vectors(docs, word_vector_table(spark, sf), "doc_id", 25, dims)
-    return dv.select(
-        "doc_id", "group",
-        _r6(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)).alias("vsum"),
-        _r6(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)).alias("vsq"))
+@check("vector_labels", "SELECT CASE WHEN label % 4 = 0 THEN 'v ' ELSE 'v' END || vec_id AS label FROM embeddings "
+       "WHERE label % 2 = 0")
+def _labels(spark, sf):
+    return vec.labels(named_vectors(spark, sf))
+
+
+@check("pad_codes", "SELECT vec_id, CAST(generate_subscripts(v, 1) - 1 AS INT) AS pos, unnest(v) AS code FROM (SELECT vec_id, "
+       "list_concat(list_transform(range(vec_id % 13), lambda i: CAST(i + label AS BIGINT)), "
+       "[CAST(0 AS BIGINT) FOR k IN range(40)])[1:40] AS v FROM embeddings)")
+def _pad(spark, sf):
+    e = load_table(spark, sf, "embeddings")
+    n = F.col("vec_id") % 13
+    codes = F.when(n == 0, F.array().cast("array<bigint>")).otherwise(
+        F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: i + F.col("label")))
+    return posexplode_rows(e.select("vec_id", pad_array(codes, 40).alias("v")), "vec_id", "v", "pos", "code")
+
+
+@check("assemble", "WITH " + VOCAB_CTE + B[4:].strip().join([", ", ""]) + """, wv AS (SELECT v.word, CAST(e.embedding AS DOUBLE[])
+  AS vector FROM vocab v JOIN embeddings e ON v.idx = e.vec_id),
+kept AS (SELECT * FROM bugs WHERE length(coalesce(text, '')) > 0),
+w AS (SELECT row_id, unnest(ws) AS word FROM (SELECT row_id, w AS ws FROM """ + q.words_from("kept", "row_id") + """)),
+tw AS (SELECT row_id, """ + q.word_token_expr("word") + """ AS token FROM w),
+hx AS (SELECT row_id, generate_subscripts(vector, 1) - 1 AS pos, unnest(vector) AS x FROM tw JOIN wv ON tw.token = wv.word
+  WHERE token <> ''),
+mean AS (SELECT row_id, pos, avg(x) AS value FROM hx GROUP BY row_id, pos),
+comp AS (SELECT component_id AS state, row_number() OVER (ORDER BY component_id) - 1 AS pos
+  FROM (SELECT DISTINCT component_id FROM bugs)),
+prod AS (SELECT product_id AS state, row_number() OVER (ORDER BY product_id) - 1 AS pos
+  FROM (SELECT DISTINCT product_id FROM bugs)),
+sev AS (SELECT * FROM (VALUES """ + q.severity_values() + """) s(pos, state)),
+cls AS (SELECT class, row_number() OVER (ORDER BY class) - 1 AS label FROM (SELECT DISTINCT class FROM bugs)),
+size AS (SELECT (SELECT max(len(embedding)) FROM embeddings) AS d, (SELECT count(*) FROM sev) AS s,
+  (SELECT count(*) FROM comp) AS c),
+one AS (SELECT row_id, mean.pos AS pos, value FROM mean
+  UNION ALL SELECT row_id, d + sev.pos, 1 FROM kept JOIN sev ON bug_severity = sev.state, size
+  UNION ALL SELECT row_id, d + s + comp.pos, 1 FROM kept JOIN comp ON component_id = comp.state, size
+  UNION ALL SELECT row_id, d + s + c + prod.pos, 1 FROM kept JOIN prod ON product_id = prod.state, size)
+SELECT row_id, CAST(label AS INT) AS label, CAST(pos AS INT) AS pos, round(value, 6) AS value
+FROM one JOIN kept USING (row_id) JOIN cls USING (class) WHERE value <> 0""")
+def _assemble(spark, sf):
+    plan = _text_plan(spark, sf)
+    out = posexplode_rows(plan.features, ["row_id", "label"], "features")
+    return out.where("value != 0").withColumn("value", _r6(F.col("value")))
 
 
 # --------------------------------------------------------------------------
@@ -497,13 +591,14 @@ LOSS_ACTIVATION = {
 
 def loss_inputs(spark: SparkSession, sf: str) -> DataFrame:
     """(vec_id, labels, pre_output, mask) derived from ``embeddings``:
-    labels = softmax of components 11-20, pre_output = components 1-10."""
+    labels = softmax of the second half of the components, pre_output = the first."""
     e = load_table(spark, sf, "embeddings")
     emb = F.col("embedding").cast("array<double>")
+    half = F.floor(F.size(emb) / 2).cast("int")
     return e.select(
         "vec_id",
-        activate(F.slice(emb, 11, 10), "softmax").alias("labels"),
-        F.slice(emb, 1, 10).alias("pre_output"),
+        activate(F.slice(emb, half + 1, half), "softmax").alias("labels"),
+        F.slice(emb, F.lit(1), half).alias("pre_output"),
         F.when(F.col("label") % 3 == 0, F.lit(0.0)).otherwise(F.lit(1.0)).alias("mask"))
 
 
@@ -547,9 +642,8 @@ def _duck_loss(name: str, p: str) -> str:
 
 _LOSS_BASE = """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS emb FROM embeddings),
 i AS (SELECT vec_id, CASE WHEN label % 3 = 0 THEN 0.0 ELSE 1.0 END AS mask,
-  list_transform(emb[11:20], lambda x: exp(x - list_max(emb[11:20])) /
-    list_sum(list_transform(emb[11:20], lambda t: exp(t - list_max(emb[11:20]))))) AS y,
-  emb[1:10] AS z FROM e),
+  list_transform(t, lambda x: exp(x - list_max(t)) / list_sum(list_transform(t, lambda u: exp(u - list_max(t))))) AS y,
+  z FROM (SELECT vec_id, label, emb[len(emb) // 2 + 1:len(emb) // 2 * 2] AS t, emb[1:len(emb) // 2] AS z FROM e)),
 act AS (SELECT vec_id, mask, y, """ + ", ".join(
     f"{v} AS p_{k}" for k, v in _DUCK_ACT.items()) + """ FROM i),
 scores AS (""" + "\nUNION ALL\n".join(
@@ -586,7 +680,6 @@ def _loss_totals(spark, sf):
 # Formats: each sink writes to the shared scratch folder, its source reads
 # it back, and the check compares with the table the file was made from.
 
-from bugroute.session import scratch_path  # noqa: E402
 from bugroute.sinks import vectors as snk  # noqa: E402
 from bugroute.functions.text import unescape_word  # noqa: E402
 from bugroute.sources import vectors as src  # noqa: E402
@@ -611,6 +704,7 @@ def _vec_rows(df: DataFrame, keys, vector: str = "vector") -> DataFrame:
     return out.withColumn("value", _r6(F.col("value").cast("double")))
 
 
+#: Exploded rows of an ``embeddings`` vector under other keys.
 _VEC_ROWS_SQL = ("SELECT {keys}, CAST(generate_subscripts(v, 1) - 1 AS INT) AS pos, "
                  "round(CAST(unnest(v) AS DOUBLE), 6) AS value FROM (SELECT {cols}, embedding AS v FROM embeddings)")
 
@@ -622,6 +716,49 @@ def _wv_text(spark, sf):
     return _vec_rows(src.read_word_vectors(spark, path, header="auto"), "word")
 
 
+@check("word_vectors_plain", _VEC_ROWS_SQL.format(keys="word", cols=_WORD_SQL + " AS word"))
+def _wv_plain(spark, sf):
+    path = scratch_path(spark, "vectors-plain")
+    snk.write_word_vectors(named_vectors(spark, sf), path, compression="gzip")
+    return _vec_rows(src.read_word_vectors(spark, path, header=False), "word")
+
+
+def _headed_files(spark, sf, path):
+    """Three files with a header each; the second also has its header as data."""
+    named = named_vectors(spark, sf)
+    dims = named.agg(F.max(F.size("vector"))).first()[0]
+    for k in range(3):
+        own = named.where(F.col("idx") % 3 == k)
+        body = own.select(snk.vector_line(F.col("word"), "vector").alias("value"), F.lit(2).alias("at"))
+        head = own.agg(F.concat_ws(" ", F.count(F.lit(1)), F.lit(dims)).alias("value")).withColumn("at", F.lit(1))
+        lines = head.unionByName(body).repartitionByRange(1, "at").sortWithinPartitions("at")
+        lines.select("value").write.mode("append").text(path)
+
+
+@check("word_vectors_header", _VEC_ROWS_SQL.format(keys="word", cols=_WORD_SQL + " AS word"))
+def _wv_header(spark, sf):
+    path = scratch_path(spark, "vectors-headed")
+    _headed_files(spark, sf, path)
+    return _vec_rows(src.read_word_vectors(spark, path), "word")
+
+
+@check("word_vectors_strict", _VEC_ROWS_SQL.format(keys="word", cols=_WORD_SQL + " AS word"))
+def _wv_strict(spark, sf):
+    path = scratch_path(spark, "vectors-strict")
+    _headed_files(spark, sf, path)
+    return _vec_rows(src.read_word_vectors(spark, path, strict_dims=True), "word")
+
+
+@check("embedding_checkpoints", """SELECT word, CAST(epoch AS INT) AS epoch,
+  CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS pos, round(CAST(unnest(embedding) AS DOUBLE), 6) AS value
+FROM (SELECT """ + _WORD_SQL + """ AS word, embedding FROM embeddings), (SELECT unnest([1, 12]) AS epoch)""")
+def _embedding_checkpoints(spark, sf):
+    path = scratch_path(spark, "embedding-checkpoints")
+    for epoch in (1, 12):
+        snk.save_embeddings(named_vectors(spark, sf).select("word", "vector"), path, epoch)
+    return _vec_rows(spark.read.parquet(path), ["word", "epoch"])
+
+
 @check("tagged_vectors", _VEC_ROWS_SQL.format(
     keys="is_label, word", cols=_WORD_SQL + " AS word, label % 2 = 0 AS is_label"))
 def _tagged(spark, sf):
@@ -703,6 +840,15 @@ def _bundle(spark, sf):
                     _r6(F.aggregate("syn1", F.lit(0.0), lambda a, x: a + x)).alias("syn1_sum"))
 
 
+@check("embedding_bundle_plain", """SELECT """ + _WORD_SQL + """ AS word, CAST(vec_id AS INT) AS idx, false AS is_label,
+  CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS pos, round(CAST(unnest(embedding) AS DOUBLE), 6) AS value
+FROM embeddings""")
+def _bundle_plain(spark, sf):
+    path = scratch_path(spark, "bundle-plain")
+    snk.write_embedding_bundle(path, named_vectors(spark, sf))
+    return _vec_rows(src.read_embedding_bundle(spark, path), ["word", "idx", "is_label"])
+
+
 @check("projection_csv", """SELECT """ + _WORD_SQL + """ AS word,
   round(CAST(embedding[1] AS DOUBLE), 6) AS x, round(CAST(embedding[2] AS DOUBLE), 6) AS y FROM embeddings""")
 def _projection(spark, sf):
@@ -717,9 +863,9 @@ def _projection(spark, sf):
         _r6(F.col("p")[0].cast("double")).alias("x"), _r6(F.col("p")[1].cast("double")).alias("y"))
 
 
-@check("libsvm", """SELECT CAST(label AS DOUBLE) AS label,
-  round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS feature_sum,
-  CAST(len(list_filter(embedding, lambda x: x <> 0)) AS INT) AS n_nonzero FROM embeddings""")
+@check("libsvm", """SELECT label, features, count(*) AS n FROM (SELECT CAST(label AS DOUBLE) AS label,
+  array_to_string(list_transform(embedding, lambda x: CAST(CAST(round(CAST(x AS DOUBLE) * 1000000) AS BIGINT) AS VARCHAR)), ' ')
+  AS features FROM embeddings) GROUP BY ALL""")
 def _libsvm(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
@@ -729,10 +875,8 @@ def _libsvm(spark, sf):
     snk.write_libsvm(e, path)
     dims = len(e.first()["features"])
     back = spark.read.format("libsvm").option("numFeatures", dims).load(path)
-    arr = vector_to_array("features")
-    return back.select("label",
-                       _r6(F.aggregate(arr, F.lit(0.0), lambda a, x: a + x)).alias("feature_sum"),
-                       F.size(F.filter(arr, lambda x: x != 0)).alias("n_nonzero"))
+    text = F.array_join(F.transform(vector_to_array("features"), lambda x: F.round(x * 1000000).cast("long").cast("string")), " ")
+    return back.groupBy("label", text.alias("features")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # --------------------------------------------------------------------------
@@ -780,51 +924,47 @@ def _route_mlp(spark, sf):
     return ev.metrics(tr.score(model, test))
 
 
-def _param_avg_curve(spark, sf, net, updater, lr, epochs, hidden=(100,), dropout=0.0, clip=None,
-                     architecture="rnn", l2=1e-5, pretrain_epochs=0):
-    plan = _text_plan(spark, sf, architecture)
+def _param_avg(spark, sf, epochs, on_epoch=None):
+    plan = _text_plan(spark, sf)
     train, test = order.train_test(plan.features, "row_id", 9, 10)
-    if net == "cnn":
-        hidden = (hidden[0], plan.height)
-    spec = pavg.NetSpec(net=net, n_in=plan.width, n_out=len(plan.classes), hidden=hidden, lr=lr,
-                        updater=updater, l2=l2, clip=clip, dropout=dropout)
-    start = None
-    if pretrain_epochs:
-        pre = pavg.NetSpec(**{**spec.__dict__, "pretrain": True})
-        start = pavg.train_param_avg(train, pre, epochs=pretrain_epochs)
-        start.spec = spec
-    rows = []
-
-    def on_epoch(epoch, trained):
-        for split, part in (("train", train), ("test", test)):
-            m = ev.metrics(pavg.predict(trained, part)).first()
-            rows.append((epoch, split, m))
-
-    pavg.train_param_avg(train, spec, epochs=epochs, batch=25, avg_every=5, start=start,
-                         save_path=scratch_path(spark, f"model-{net}"), on_epoch=on_epoch)
-    return tr.learning_curve(spark, rows)
+    spec = pavg.NetSpec(n_in=plan.width, n_out=len(plan.classes), lr=0.5, l2=1e-5)
+    return pavg.train_param_avg(train, spec, epochs=epochs, batch=25, avg_every=5,
+                                save_path=scratch_path(spark, "model"),
+                                on_epoch=on_epoch and on_epoch(train, test))
 
 
 @check("param_avg_softmax_curve", None)
 def _pavg_softmax(spark, sf):
-    return _param_avg_curve(spark, sf, "softmax", "sgd", 0.5, epochs=3)
+    rows = []
 
+    def curve(train, test):
+        def on_epoch(epoch, trained):
+            for split, part in (("train", train), ("test", test)):
+                rows.append((epoch, split, ev.metrics(pavg.predict(trained, part)).first()))
+        return on_epoch
 
-@check("param_avg_lstm_curve", None)
-def _pavg_lstm(spark, sf):
-    return _param_avg_curve(spark, sf, "lstm", "rmsprop", 0.01, epochs=3, hidden=(250,),
-                            dropout=0.5, clip=1.0)
+    _param_avg(spark, sf, 3, curve)
+    return tr.learning_curve(spark, rows)
 
 
-@check("param_avg_cnn_curve", None)
-def _pavg_cnn(spark, sf):
-    return _param_avg_curve(spark, sf, "cnn", "nesterov", 0.01, epochs=2, hidden=(100,),
-                            architecture="cnn", l2=5e-4)
+@check("param_avg_rows", B + """SELECT e.epoch, (9 * n) // 10 AS rows_trained
+FROM (SELECT count(*) AS n FROM bugs WHERE length(coalesce(text, '')) > 0),
+     (SELECT CAST(unnest([1, 2]) AS BIGINT) AS epoch) e""")
+def _pavg_rows(spark, sf):
+    return pavg.rows_trained(spark, _param_avg(spark, sf, 2))
 
 
-@check("param_avg_deep_curve", None)
-def _pavg_deep(spark, sf):
-    return _param_avg_curve(spark, sf, "deep", "sgd", 0.5, epochs=2, hidden=(500,), pretrain_epochs=1)
+@check("param_checkpoint", B + """SELECT 'same' AS params, 'same' AS spec, CAST(1 AS INT) AS epoch,
+  CAST((64 + 7 + (SELECT count(DISTINCT component_id) FROM bugs) + (SELECT count(DISTINCT product_id) FROM bugs) + 1)
+       * (SELECT count(DISTINCT class) FROM bugs) AS BIGINT) AS n_params""")
+def _pavg_checkpoint(spark, sf):
+    plan = _text_plan(spark, sf)
+    spec = pavg.NetSpec(n_in=plan.width, n_out=len(plan.classes), lr=0.5)
+    path = scratch_path(spark, "checkpointed")
+    trained = pavg.train_param_avg(plan.features, spec, epochs=1, save_path=path)
+    loaded, epoch = pavg.load_model(spark, path)
+    same = ["same" if x else "differs" for x in ((loaded.params == trained.params).all(), loaded.spec == trained.spec)]
+    return spark.createDataFrame([(*same, epoch, len(loaded.params))], "params string, spec string, epoch int, n_params long")
 
 
 @check("word2vec_vectors", None)

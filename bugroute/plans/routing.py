@@ -65,10 +65,7 @@ def encode_columns(bugs: DataFrame, columns=TEXT_JOB_COLUMNS, key: str = "row_id
         encoded, classes = cat.index_classes(encoded, "class", "dense", "label", classes=fitted_classes)
     else:
         classes = fitted[2]
-        lookup = {int(c): i for i, c in enumerate(classes)}
-        encoded = encoded.withColumn("label", F.element_at(
-            F.create_map(*[x for k, v in lookup.items() for x in (F.lit(k), F.lit(v))]),
-            F.col("class").try_cast("int")))
+        encoded = cat.join_index(encoded, F.col("class").try_cast("int"), classes, "label")
     return encoded, comps, prods, classes
 
 

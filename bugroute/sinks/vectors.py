@@ -74,6 +74,8 @@ def write_full_model(words: DataFrame, path: str, config_json: str = "{}",
               F.col("syn1").cast("array<double>").alias("syn1")]
     if "syn1neg" in words.columns:
         fields.append(F.col("syn1neg").cast("array<double>").alias("syn1Neg"))
+    if "gradient" in words.columns:
+        fields.append(F.col("gradient").cast("array<double>").alias("historicalGradient"))
     body = words.select(F.to_json(F.struct(*fields)).alias("value"))
     spark = words.sparkSession
     head = spark.createDataFrame([(config_json,), (exp_table,), (neg_table,)], "value string")

@@ -25,8 +25,9 @@ def spread(df: DataFrame, key: str | None = None) -> DataFrame:
 
     A file written as one row group is read by one task, which would run all
     per-row work (regex splits, tokenising) single-threaded.  Only then is the
-    scan hash-repartitioned on its key column (deterministic, no pre-sort); a
-    large input with many splits is returned unchanged (no shuffle).
+    scan hash-repartitioned on its key column (deterministic, no pre-sort).  A
+    plan for small files only: it runs where the session asks for it
+    (``spark.bugroute.spreadScans``, set by ``local_session``).
     """
     sc = df.sparkSession.sparkContext
     target = sc.defaultParallelism
@@ -35,9 +36,9 @@ def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     return df.repartition(target, F.col(key or df.columns[0]))
 
 
-def load_table(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = True) -> DataFrame:
+def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if spread_rows else df
+    return spread(df) if spark.conf.get("spark.bugroute.spreadScans", "false") == "true" else df
 
 
 # The stand-in status rotation, class per language, offsets.

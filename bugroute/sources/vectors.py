@@ -3,9 +3,9 @@
 Text formats are read with ``spark.read.text`` (gzip by extension, split
 across tasks) and parsed with JVM built-ins.  Line roles in the JSON formats
 are told apart by content, not by line number, so no global line index (and
-no single-task pass) is needed.  Binary word2vec files and foreign zip
-bundles are streamed file by file inside ``mapInPandas`` and emitted in
-bounded batches.
+no single-task pass) is needed.  Binary word2vec files and the members of foreign
+zip bundles are read by Spark's binary source, one a task, and emitted in bounded
+batches.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from bugroute.functions.text import trim_trailing_empty, unescape_word
 VOCAB_SCHEMA = T.StructType([
     T.StructField("word", T.StringType()),
     T.StructField("count", T.DoubleType()),
-    T.StructField("idx", T.IntegerType()),
+    T.StructField("idx", T.LongType()),
     T.StructField("codes", T.ArrayType(T.IntegerType())),
     T.StructField("points", T.ArrayType(T.IntegerType())),
     T.StructField("is_label", T.BooleanType()),
@@ -51,56 +51,63 @@ def _tokens(line) -> "F.Column":
     return trim_trailing_empty(F.split(line, " ", -1))
 
 
-def is_header_line(line: str) -> bool:
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """Text lines with their file and an id that rises within a file."""
+    return spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("__file"),
+        F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"))
+
+
+def first_lines(lines: DataFrame) -> DataFrame:
+    """(__file, __first, __id): the first line of each file, one row a file."""
+    return lines.where("__block = 0").groupBy("__file").agg(
+        F.min_by("value", "__id").alias("__first"), F.min("__id").alias("__id"))
+
+
+def is_header(line) -> "F.Column":
     """Auto header rule: no space, or a non-number after the first token, or
     fewer than 4 tokens."""
-    if " " not in line:
-        return True
-    parts = line.split(" ")
-    while parts and parts[-1] == "":
-        parts.pop()
-    try:
-        for p in parts[1:]:
-            float(p)
-    except ValueError:
-        return True
-    return len(parts) < 4
+    tokens = _tokens(line)
+    words = F.exists(F.slice(tokens, 2, F.lit(1 << 30)), lambda x: x.try_cast("double").isNull())
+    return ~line.contains(" ") | words | (F.size(tokens) < 4)
 
 
-def _parse_vector_lines(lines: DataFrame, first: int) -> DataFrame:
+def _parse_vector_lines(lines: DataFrame, first: int, *keep: str) -> DataFrame:
     """(word, vector array<float>) from tokenised lines; tokens from ``first``."""
-    t = lines.select(_tokens(F.col("value")).alias("__t"))
+    t = lines.select(_tokens(F.col("value")).alias("__t"), *keep)
     vector = F.transform(F.slice("__t", first + 2, F.lit(1 << 30)), lambda x: x.cast("float"))
     return t.select(unescape_word(F.col("__t")[first]).alias("word"),
-                    clear_nan_values(vector).alias("vector"))
+                    clear_nan_values(vector).alias("vector"), *keep)
 
 
 def read_word_vectors(spark: SparkSession, path: str, header="auto",
                       strict_dims: bool = False) -> DataFrame:
-    """Vectors as text: ``word v1 ... vn`` (SRC3, SRC4, SRC5).
+    """Vectors as text: ``word v1 ... vn`` (SRC3, SRC4, SRC5), of one file or many.
 
-    header='auto' applies the auto rule to the file's first line; True/False
-    force it.  ``strict_dims`` requires a ``words dims`` header and rows of
-    exactly dims values (rows of another length raise).
+    header='auto' applies the auto rule to each file's first line; True/False
+    force it for each file.  Exactly that line is left out: later lines equal to
+    it are data.  ``strict_dims`` requires a ``words dims`` header in every file
+    and rows of exactly dims values (other rows raise).
     """
-    lines = spark.read.text(path)
-    first = lines.head(1)
-    first_line = first[0]["value"] if first else None
-    has_header = (is_header_line(first_line) if header == "auto" else bool(header)) \
-        if first_line is not None else False
+    lines = _lines(spark, path)
+    firsts = first_lines(lines)
     if strict_dims:
-        if first_line is None:
+        if firsts.isEmpty():
             raise ValueError("empty vector file")
-        words, dims = (int(x) for x in first_line.split()[:2])
-        has_header = True
-    body = lines.where(F.col("value") != F.lit(first_line)) if has_header else lines
-    out = _parse_vector_lines(body, 0)
-    if strict_dims:
-        bad = F.size("vector") != dims
-        out = out.withColumn("vector", F.when(bad, F.raise_error(
-            F.concat(F.lit("vector length differs from header dims: "), F.col("word"))))
-            .otherwise(F.col("vector")))
-    return out
+        dims = F.split("__first", " ")[1].cast("int")
+        body = (lines.join(firsts.select("__id"), "__id", "left_anti")
+                .join(firsts.select("__file", dims.alias("__dims")), "__file"))
+    elif header is False:
+        body = lines
+    else:
+        heads = firsts if header is True else firsts.where(is_header(F.col("__first")))
+        body = lines.join(heads.select("__id"), "__id", "left_anti")
+    if not strict_dims:
+        return _parse_vector_lines(body, 0)
+    parsed = _parse_vector_lines(body, 0, "__dims")
+    checked = F.when(F.size("vector") == F.col("__dims"), F.col("vector")).otherwise(F.raise_error(
+        F.concat(F.lit("vector length differs from the header's: "), F.col("word"))))
+    return parsed.select("word", checked.alias("vector"))
 
 
 def read_tagged_vectors(spark: SparkSession, path: str) -> DataFrame:
@@ -109,37 +116,59 @@ def read_tagged_vectors(spark: SparkSession, path: str) -> DataFrame:
     t = lines.select(_tokens(F.col("value")).alias("__t"))
     tag = F.col("__t")[0]
     checked = F.when(tag.isin("L", "E"), tag == "L").otherwise(
-        F.raise_error(F.lit("Source stream doesn't look like a tagged vector file")))
+        F.raise_error(F.concat(F.lit("line without the tag L or E: "), F.col("value"))))
     vector = F.transform(F.slice("__t", 3, F.lit(1 << 30)), lambda x: x.cast("float"))
     return t.select(checked.alias("is_label"), unescape_word(F.col("__t")[1]).alias("word"),
                     clear_nan_values(vector).alias("vector"))
 
 
+def _checked(json, bad, what: str) -> "F.Column":
+    return F.when(bad, F.raise_error(F.concat(F.lit(what + ": "), F.substring(json, 1, 200)))).otherwise(json)
+
+
 def read_full_model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Full-model JSON lines (SRC10) -> (words, config).
 
-    words: (word, count, idx, codes, points, syn0, syn1, syn1neg); idx comes
-    from the Huffman node.  config: the one JSON line without a word.
+    words: (word, count, idx, codes, points, syn0, syn1, syn1neg, gradient); idx
+    comes from the Huffman node.  config: the JSON object without a word.  The
+    exp and negative tables are lines of numbers (or empty).  Any other line, a
+    broken object or a word without ``syn0`` raises.
     """
-    lines = spark.read.text(path)
-    parsed = lines.select("value", F.from_json("value", FULL_WORD_SCHEMA).alias("j"))
-    words = parsed.where(F.col("j.word").isNotNull() & F.col("j.syn0").isNotNull()).select(
+    value = F.col("value")
+    lines = spark.read.text(path).select(
+        value, F.try_parse_json(value).isNotNull().alias("valid"), F.from_json(value, FULL_WORD_SCHEMA).alias("j"))
+    table = value.rlike(r"^[-+0-9.eE ,\[\]]*$")
+    is_word = F.col("j.word").isNotNull()
+    is_config = F.col("valid") & value.startswith("{") & F.col("j.word").isNull() & F.col("j.syn0").isNull()
+    # the filters may run in any order, so the check itself leaves the tables alone
+    bad = ~table & ((~is_word & ~is_config) | (is_word & (F.col("j.syn0").isNull() | ~F.col("valid"))))
+    body = lines.where(~table).withColumn("value", _checked(value, bad, "not a word or a configuration"))
+    words = body.where(is_word | F.col("value").isNull() | bad).select(
         F.col("j.word").alias("word"), F.col("j.count").alias("count"),
         F.col("j.huffmanNode.idx").alias("idx"), F.col("j.huffmanNode.code").alias("codes"),
         F.col("j.huffmanNode.point").alias("points"), F.col("j.syn0").alias("syn0"),
-        F.col("j.syn1").alias("syn1"), F.col("j.syn1Neg").alias("syn1neg"))
-    config = lines.where(F.col("value").startswith("{") & ~F.col("value").contains('"syn0"')).select(
-        F.col("value").alias("config"))
+        F.col("j.syn1").alias("syn1"), F.col("j.syn1Neg").alias("syn1neg"),
+        F.col("j.historicalGradient").alias("gradient"))
+    config = body.where(is_config).select(F.col("value").alias("config"))
     return words, config
 
 
 def read_sequence_vectors(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Base64 JSON lines (SRC11) -> (elements (object, vector), config)."""
+    """Base64 JSON lines (SRC11) -> (elements (object, vector), config).
+
+    An object with the key ``object`` is an element and needs a vector; an object
+    without it is the configuration; any other line raises.
+    """
     lines = spark.read.text(path).where(F.length("value") > 0)
-    decoded = lines.select(F.unbase64("value").cast("string").alias("json"))
-    parsed = decoded.select("json", F.from_json("json", ELEMENT_SCHEMA).alias("j"))
-    elements = parsed.where(F.col("j.vector").isNotNull()).select("j.object", "j.vector")
-    config = parsed.where(F.col("j.vector").isNull()).select(F.col("json").alias("config"))
+    decoded = lines.select("value", F.coalesce(F.try_to_binary("value", F.lit("base64")).cast("string"), F.lit("")).alias("json"))
+    json = F.col("json")
+    parsed = decoded.select("value", json, F.try_parse_json(json).isNotNull().alias("valid"),
+                            F.from_json(json, ELEMENT_SCHEMA).alias("j"))
+    is_element = F.col("j.object").isNotNull()
+    bad = ~F.col("valid") | ~json.startswith("{") | (is_element != F.col("j.vector").isNotNull())
+    parsed = parsed.withColumn("json", _checked(json, (F.length("value") > 0) & F.coalesce(bad, F.lit(True)), "not an element or a configuration"))
+    elements = parsed.where(F.col("json").isNotNull() & is_element).select("j.object", "j.vector")
+    config = parsed.where(F.col("json").isNotNull() & ~is_element).select(F.col("json").alias("config"))
     return elements, config
 
 
@@ -176,49 +205,48 @@ def read_bundle_config(spark: SparkSession, path: str) -> DataFrame:
 
 # ---------------------------------------------------------------- binary/zip
 
-def _open_stream(p: str):
+def _stream(path: str, content: bytes):
     import gzip
+    import io
 
-    local = p[5:] if p.startswith("file:") else p
-    while local.startswith("//"):
-        local = local[1:]
-    fh = open(local, "rb")  # noqa: SIM115
-    return gzip.GzipFile(fileobj=fh) if local.endswith(".gz") else fh
+    raw = io.BytesIO(content)
+    return gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw
 
 
-def _word2vec_batches(paths, linebreaks: bool, normalize: bool, batch_rows: int = 4096):
+def _word2vec_batches(f, linebreaks: bool, normalize: bool, batch_rows: int = 4096):
     import numpy as np
     import pandas as pd
 
-    for p in paths:
-        with _open_stream(p) as f:
-            header = b""
-            while not header.endswith(b"\n"):
-                header += f.read(1)
-            n_words, dims = (int(x) for x in header.split()[:2])
+    n_words, dims = (int(x) for x in f.readline().split()[:2])
+    words, vecs = [], []
+    for _ in range(n_words):
+        w = bytearray()
+        while (ch := f.read(1)) not in (b" ", b"") and not (ch == b"\n" and w):
+            if ch != b"\n":
+                w += ch
+        raw = f.read(4 * dims)
+        if len(raw) < 4 * dims:
+            raise ValueError(f"the file ends inside the vector of {bytes(w)!r}")
+        v = np.frombuffer(raw, dtype="<f4").astype(np.float32)
+        if normalize:
+            norm = float(np.sqrt(np.dot(v.astype(np.float64), v.astype(np.float64))))
+            if norm > 0:
+                v = (v / norm).astype(np.float32)
+        if linebreaks:
+            f.read(1)
+        words.append(w.decode("utf-8", errors="replace"))
+        vecs.append(v)
+        if len(words) >= batch_rows:
+            yield pd.DataFrame({"word": words, "vector": vecs})
             words, vecs = [], []
-            for _ in range(n_words):
-                w = bytearray()
-                while True:
-                    ch = f.read(1)
-                    if ch in (b" ", b"") or (ch == b"\n" and w):
-                        break
-                    if ch != b"\n":
-                        w += ch
-                v = np.frombuffer(f.read(4 * dims), dtype="<f4").astype(np.float32)
-                if normalize:
-                    norm = float(np.sqrt(np.dot(v.astype(np.float64), v.astype(np.float64))))
-                    if norm > 0:
-                        v = (v / norm).astype(np.float32)
-                if linebreaks:
-                    f.read(1)
-                words.append(w.decode("utf-8", errors="replace"))
-                vecs.append(v)
-                if len(words) >= batch_rows:
-                    yield pd.DataFrame({"word": words, "vector": vecs})
-                    words, vecs = [], []
-            if words:
-                yield pd.DataFrame({"word": words, "vector": vecs})
+    if words:
+        yield pd.DataFrame({"word": words, "vector": vecs})
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of every file, one file a task: Spark reads them, so any
+    store that it knows will do."""
+    return spark.read.format("binaryFile").load(path).select("path", "content").repartition(F.col("path"))
 
 
 def read_word2vec_binary(spark: SparkSession, path: str, linebreaks: bool = False,
@@ -227,48 +255,86 @@ def read_word2vec_binary(spark: SparkSession, path: str, linebreaks: bool = Fals
     space-terminated string and dims little-endian float32.
 
     A binary model has no record boundaries to split at, so each file is one
-    task; the task streams it and emits bounded batches (memory does not grow
-    with the file).  Only file paths go through the scan (content not read).
+    task, which emits bounded batches.
     """
-    from bugroute.session import ship_package
-
-    ship_package(spark)
-    files = (spark.read.format("binaryFile").load(path).select("path")
-             .repartition(F.col("path")))
+    def parse(frames):
+        for pdf in frames:
+            for p, content in zip(pdf["path"], pdf["content"]):
+                yield from _word2vec_batches(_stream(p, content), linebreaks, normalize)
 
-    def parse(it):
-        for pdf in it:
-            yield from _word2vec_batches(list(pdf["path"]), linebreaks, normalize)
-
-    return files.mapInPandas(parse, "word string, vector array<float>")
+    return _files(spark, path).mapInPandas(parse, "word string, vector array<float>")
 
 
 def read_bundle_zip(spark: SparkSession, path: str) -> DataFrame:
-    """Foreign zip bundle (SRC8): (part, line_no, line) for every text part,
-    streamed entry by entry inside one task per zip file."""
-    from bugroute.session import ship_package
-
-    ship_package(spark)
-    files = spark.read.format("binaryFile").load(path).select("path").repartition(F.col("path"))
-
-    def parse(it):
+    """Foreign zip bundle (SRC8): (file, part, line_no, line) for every text
+    part.  The members are listed first and dealt out, so that each member is a
+    task of its own, which emits bounded batches."""
+    def members(frames):
         import io
         import zipfile
 
         import pandas as pd
 
-        for pdf in it:
-            for p in pdf["path"]:
-                with _open_stream(p) as fh, zipfile.ZipFile(fh) as z:
+        for pdf in frames:
+            for p, content in zip(pdf["path"], pdf["content"]):
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
                     for name in z.namelist():
-                        with z.open(name) as entry:
-                            rows = []
-                            for i, raw in enumerate(io.TextIOWrapper(entry, encoding="utf-8")):
-                                rows.append((name, i, raw.rstrip("\n").rstrip("\r")))
-                                if len(rows) >= 4096:
-                                    yield pd.DataFrame(rows, columns=["part", "line_no", "line"])
-                                    rows = []
-                            if rows:
-                                yield pd.DataFrame(rows, columns=["part", "line_no", "line"])
-
-    return files.mapInPandas(parse, "part string, line_no long, line string")
+                        yield pd.DataFrame({"file": [p], "part": [name], "content": [z.read(name)]})
+
+    def parse(frames):
+        import io
+
+        import pandas as pd
+
+        for pdf in frames:
+            for f, part, content in zip(pdf["file"], pdf["part"], pdf["content"]):
+                rows = []
+                for i, raw in enumerate(io.TextIOWrapper(io.BytesIO(content), encoding="utf-8")):
+                    rows.append((f, part, i, raw.rstrip("\n").rstrip("\r")))
+                    if len(rows) >= 4096:
+                        yield pd.DataFrame(rows, columns=["file", "part", "line_no", "line"])
+                        rows = []
+                if rows:
+                    yield pd.DataFrame(rows, columns=["file", "part", "line_no", "line"])
+
+    dealt = _files(spark, path).mapInPandas(members, "file string, part string, content binary").repartition("file", "part")
+    return dealt.mapInPandas(parse, "file string, part string, line_no long, line string")
+
+
+def bundle_tables(lines: DataFrame) -> DataFrame:
+    """The text parts of one bundle (``read_bundle_zip``) as (word, idx, vector,
+    syn1, codes, points, is_label) (SRC8, SRC9).
+
+    Row i of ``syn0.txt`` is word i (a header line does not count), row i of
+    ``syn1.txt`` its output weights; ``codes.txt`` and ``huffman.txt`` are joined
+    by word, unknown words left out; ``labels.txt`` may be absent.
+    """
+    def part(name, numbers, out):
+        t = lines.where(F.col("part") == name).select("line_no", "line", _tokens(F.col("line")).alias("__t"))
+        rest = F.transform(F.slice("__t", 2, F.lit(1 << 30)), lambda x: x.cast(numbers))
+        return t.select("line_no", "line", unescape_word(F.col("__t")[0]).alias("word"), rest.alias(out))
+
+    syn0 = part("syn0.txt", "float", "vector")
+    head = syn0.where((F.col("line_no") == 0) & is_header(F.col("line"))).select(F.lit(1).alias("__h"))
+    shift = head.agg(F.count(F.lit(1)).alias("__shift"))  # one row: 1 with a header line, else 0
+    syn0 = syn0.join(F.broadcast(shift), F.col("line_no") >= F.col("__shift")).select(
+        "word", (F.col("line_no") - F.col("__shift")).alias("idx"), clear_nan_values(F.col("vector")).alias("vector"))
+    syn1 = lines.where("part = 'syn1.txt'").select(F.col("line_no").alias("idx"), F.transform(
+        _tokens(F.col("line")), lambda x: x.cast("double")).alias("syn1"))
+    codes = part("codes.txt", "int", "codes").select("word", "codes")
+    points = part("huffman.txt", "int", "points").select("word", "points")
+    flags = lines.where("part = 'labels.txt'").select(
+        unescape_word(F.trim("line")).alias("word"), F.lit(True).alias("__label")).distinct()
+    return (syn0.join(syn1, "idx", "left").join(codes, "word", "left").join(points, "word", "left")
+            .join(flags, "word", "left")
+            .select("word", "idx", "vector", "syn1", "codes", "points", F.coalesce("__label", F.lit(False)).alias("is_label")))
+
+
+def read_zip_bundle(spark: SparkSession, path: str) -> DataFrame:
+    """A zip bundle as one table (see ``bundle_tables``).  The lines are written
+    once to the shared folder, since each part is read from them."""
+    from bugroute.session import scratch_path
+
+    scratch = scratch_path(spark, "zip-lines")
+    read_bundle_zip(spark, path).write.partitionBy("part").parquet(scratch)
+    return bundle_tables(spark.read.parquet(scratch))

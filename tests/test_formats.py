@@ -22,8 +22,64 @@ def _local(p):
 
 @pytest.mark.parametrize("first,header", [
     ("100 3", True), ("w 0.1 0.2", True), ("w 0.1 0.2 0.3", False), ("w a b c", True), ("word", True)])
-def test_auto_header_rule(first, header):
-    assert src.is_header_line(first) is header
+def test_auto_header_rule(spark, first, header):
+    row = spark.createDataFrame([(first,)], "value string").select(src.is_header(F.col("value"))).first()
+    assert row[0] is header
+
+
+def test_header_is_one_line_per_file(spark, tmp_out):
+    path = _local(tmp_out("wv-many"))
+    _write_lines(path + "/a.txt", ["a 1 2 3", "b 1 2 3", "a 1 2 3", "c 1 2 3"])
+    _write_lines(path + "/b.txt", ["1 3", "d 1 2 3"])
+    words = lambda **kw: sorted(r.word for r in src.read_word_vectors(spark, path, **kw).collect())
+    assert words() == ["a", "a", "b", "c", "d"]
+    assert words(header=True) == ["a", "b", "c", "d"]
+    assert words(header=False) == ["1", "a", "a", "b", "c", "d"]
+
+
+@pytest.mark.parametrize("line", ['{"word": "x", "count": 1}', '{"word": "x", "syn0": [1.0', "no json"])
+def test_broken_model_line_raises(spark, tmp_out, line):
+    path = _local(tmp_out("model-bad")) + "/m.json"
+    good = '{"word":"a","count":1.0,"huffmanNode":{"idx":0},"syn0":[1.0]}'
+    _write_lines(path, ['{"layersSize": 1}', "0.1 0.2", "", good])
+    words, config = src.read_full_model(spark, path)
+    assert [r.word for r in words.collect()] == ["a"] and config.count() == 1
+    _write_lines(path, ['{"layersSize": 1}', "", "", good, line])
+    with pytest.raises(Exception):
+        src.read_full_model(spark, path)[0].collect()
+
+
+def test_broken_sequence_line_raises(spark, tmp_out):
+    import base64
+
+    path = _local(tmp_out("seq-bad")) + "/s.txt"
+    enc = lambda x: base64.b64encode(x.encode()).decode()
+    _write_lines(path, [enc('{"layersSize": 1}'), enc('{"object": "a", "vector": [1.0]}')])
+    elements, config = src.read_sequence_vectors(spark, path)
+    assert [r.object for r in elements.collect()] == ["a"] and config.count() == 1
+    for bad in (enc('{"object": "b"}'), enc('{"vector": [1.0'), "***"):
+        _write_lines(path, [enc('{"layersSize": 1}'), bad])
+        with pytest.raises(Exception):
+            src.read_sequence_vectors(spark, path)[0].collect()
+
+
+def test_zip_bundle_tables(spark, tmp_out):
+    import zipfile
+
+    path = _local(tmp_out("zip-all"))
+    os.makedirs(path)
+    with zipfile.ZipFile(path + "/b.zip", "w") as z:
+        z.writestr("syn0.txt", "new_Az92_york 1 2 3 \nb 3 4 5 \n")
+        z.writestr("syn1.txt", "0.5 0.25 \n1.5 2.5 \n")
+        z.writestr("codes.txt", "b 0 1 \nnobody 1 \n")
+        z.writestr("huffman.txt", "b 7 8 \nnew_Az92_york 9 \n")
+        z.writestr("labels.txt", " b \nunknown\n")
+        z.writestr("config.json", "{}\n")
+    rows = {r.word: r for r in src.read_zip_bundle(spark, path + "/b.zip").collect()}
+    assert set(rows) == {"new york", "b"} and rows["b"].is_label and not rows["new york"].is_label
+    assert (rows["b"].idx, rows["b"].vector, rows["b"].syn1, rows["b"].codes, rows["b"].points) == (
+        1, [3.0, 4.0, 5.0], [1.5, 2.5], [0, 1], [7, 8])
+    assert rows["new york"].codes is None and rows["new york"].points == [9] and rows["new york"].idx == 0
 
 
 def test_read_word_vectors_auto_header(spark, tmp_out):
@@ -89,7 +145,7 @@ def test_zip_bundle_lines(spark, tmp_out):
     with zipfile.ZipFile(path + "/b.zip", "w") as z:
         z.writestr("syn0.txt", "a 1 2\nb 3 4\n")
         z.writestr("labels.txt", "a\n")
-    rows = sorted(tuple(r) for r in src.read_bundle_zip(spark, path + "/b.zip").collect())
+    rows = sorted(tuple(r) for r in src.read_bundle_zip(spark, path + "/b.zip").drop("file").collect())
     assert rows == [("labels.txt", 0, "a"), ("syn0.txt", 0, "a 1 2"), ("syn0.txt", 1, "b 3 4")]
 
 

@@ -38,46 +38,45 @@ def test_softmax_beats_majority(spark, plan):
 
 def test_param_avg_loss_falls_and_resumes(spark, plan, tmp_out):
     train, _ = order.train_test(plan.features, "row_id", 9, 10)
-    spec = pavg.NetSpec(net="softmax", n_in=plan.width, n_out=len(plan.classes), lr=0.5)
+    spec = pavg.NetSpec(n_in=plan.width, n_out=len(plan.classes), lr=0.5)
     path = tmp_out("pavg")
     m = pavg.train_param_avg(train, spec, epochs=4, save_path=path, avg_every=2)
     scores = [h[2] for h in m.history]
     assert scores[-1] < scores[0]
-    loaded, epoch = pavg.load_model(spark, path, spec)
-    assert epoch == 4 and np.allclose(loaded.params, m.params)
+    loaded, epoch = pavg.load_model(spark, path)
+    assert epoch == 4 and loaded.spec == spec and np.allclose(loaded.params, m.params)
     again = pavg.train_param_avg(train, spec, epochs=1, start=loaded, start_epoch=5, avg_every=2)
     assert len(again.history) >= 1
 
 
 def test_param_avg_deterministic(spark, plan):
     train, _ = order.train_test(plan.features, "row_id", 9, 10)
-    spec = pavg.NetSpec(net="lstm", n_in=plan.width, n_out=len(plan.classes), hidden=(16,),
-                        lr=0.01, updater="rmsprop", clip=1.0)
+    spec = pavg.NetSpec(n_in=plan.width, n_out=len(plan.classes), lr=0.01, updater="rmsprop", clip=1.0)
     a = pavg.train_param_avg(train, spec, epochs=1)
     b = pavg.train_param_avg(train.repartition(3), spec, epochs=1)
     assert np.allclose(a.params, b.params)
 
 
-def test_nets_gradients_numerically():
-    from bugroute.operators import nets
+@pytest.mark.parametrize("workers,rows", [(4, 882), (8, 1001), (200, 999)])
+def test_param_avg_trains_on_every_row(spark, workers, rows):
+    df = spark.range(rows).select(
+        F.col("id").alias("row_id"), F.array((F.col("id") % 7).cast("double"), F.lit(1.0)).alias("features"),
+        (F.col("id") % 3).cast("int").alias("label")).repartition(5)
+    spec = pavg.NetSpec(n_in=2, n_out=3, updater="nesterov")
+    trained = pavg.train_param_avg(df, spec, epochs=2, workers=workers, max_rounds=3)
+    assert [tuple(r) for r in pavg.rows_trained(spark, trained).orderBy("epoch").collect()] == [(1, rows), (2, rows)]
 
+
+def test_softmax_gradient_numerically():
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(6, 5))
-    y = rng.integers(0, 3, size=6)
-    onehot = np.eye(3)[y]
-    for net, hidden, n_in in (("softmax", (4,), 5), ("dense", (4, 3), 5), ("lstm", (4,), 5),
-                              ("cnn", (6, 11), 22), ("deep", (4,), 5)):
-        xx = rng.normal(size=(6, n_in))
-        flat = nets.init(net, n_in, 3, hidden, seed=1)
-        p = nets.unpack(flat, net, n_in, 3, hidden)
-        probs, cache = nets.forward(p, net, xx, hidden)
-        g = nets.flatten_grads(nets.backward(p, net, probs, onehot, cache, hidden), net, n_in, 3, hidden)
-        for i in rng.choice(len(flat), size=12, replace=False):
-            e = np.zeros_like(flat)
-            e[i] = 1e-6
-            lp = nets.loss(net, nets.forward(nets.unpack(flat + e, net, n_in, 3, hidden), net, xx, hidden)[0], y)
-            lm = nets.loss(net, nets.forward(nets.unpack(flat - e, net, n_in, 3, hidden), net, xx, hidden)[0], y)
-            assert g[i] == pytest.approx((lp - lm) / 2e-6, rel=1e-3, abs=1e-6), (net, i)
+    spec = pavg.NetSpec(n_in=5, n_out=3)
+    x, y, flat = rng.normal(size=(6, 5)), rng.integers(0, 3, size=6), pavg.initial(spec)
+    _, g = pavg.loss_and_gradient(spec, flat, x, y)
+    for i in range(len(flat)):
+        e = np.zeros_like(flat)
+        e[i] = 1e-6
+        up, down = (pavg.loss_and_gradient(spec, flat + k * e, x, y)[0] for k in (1, -1))
+        assert g[i] == pytest.approx((up - down) / 2e-6, rel=1e-3, abs=1e-6)
 
 
 def test_paragraph_vectors_separate_languages(spark):
