@@ -51,9 +51,18 @@ def selectors(ids: np.ndarray) -> np.ndarray:
     """The selector that packs most ids from each position of one padded run
     row; candidates shrink as the required run of small ids gets longer."""
     best = np.full(len(ids), 15, np.int8)
-    at = np.arange(len(ids) - 240)
-    most, have = ids[at], 1
-    for s in range(14, -1, -1):
+    n = len(ids) - 240
+    if not n:
+        return best
+    # up to four ids a word: the largest of the next two, three, four, for all positions
+    small = ids.astype(np.uint32) if ids.max() < 1 << 32 else ids
+    most = small[:n]
+    for s, j in ((14, 1), (13, 2), (12, 3)):
+        most = np.maximum(most, small[j:n + j])
+        best[:n][most < (1 << int(BITS[s]))] = s
+    at, have = np.flatnonzero(most < (1 << int(BITS[12]))), 4
+    ids, most = small, most[at]
+    for s in range(11, -1, -1):
         for j in range(have, int(COUNTS[s])):
             if j & 7 == 0:  # drop what is already too large
                 ok = most < (1 << int(BITS[s]))
@@ -182,7 +191,7 @@ class PieceEncoder:
 
     TAIL = ".,;:!?()[]{}<>#%&*$|/\\-_=+~^\""
 
-    def __init__(self, path: str, end_id: int, limit: int = 400_000):
+    def __init__(self, path: str, end_id: int, limit: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use all cores already
         from tokenizers import Tokenizer
 
