@@ -5,16 +5,16 @@ Le & Mikolov (2014), distributed bag of words: each document vector is
 trained to predict the document's own tokens against sampled noise tokens,
 through shared output weights U (vocabulary x dims).
 
-* Documents stay partitioned with their vector: a task owns its documents'
-  vectors, so those never need averaging or a shuffle between rounds.
+* Documents are dealt to a fixed number of slots by a hash of the key; a slot
+  is one partition and goes through its documents in key order.  Start vectors
+  and noise are seeded by the key, so neither the partitioning of the input nor
+  the size of the cluster changes a result.
 * U is the model: per round it is broadcast (size checked: vocabulary x
-  dims), each task updates a local copy while it trains its documents, and
-  the copies are averaged on the executors (``Summarizer.mean`` per chunk),
-  like parameter averaging.
-* Each round's document table is checkpointed to the shared checkpoint folder
-  (lineage cut; task retries see the same seeded work).
-* Inference for new documents freezes U and trains only their vectors, one
-  independent job per partition.
+  dims), each slot updates a local copy while it trains its documents, and
+  the copies are averaged on the executors (``Summarizer.mean`` per chunk).
+* Token ids are written once to the shared checkpoint folder; a round carries
+  only (key, vector).  Batches are streamed, never a whole partition.
+* Inference for new documents freezes U and trains only their vectors.
 """
 
 from __future__ import annotations
@@ -47,20 +47,32 @@ def _noise_cdf(counts):
     return np.cumsum(p / p.sum())
 
 
-def _train_docs(docs_idx, doc_vecs, out, cdf, lr, negative, rng, update_out=True):
-    """One pass of PV-DBOW SGD over the given documents (in place)."""
-    for d, idxs in enumerate(docs_idx):
-        v = doc_vecs[d]
-        for w in idxs:
-            targets = np.concatenate([[w], np.searchsorted(cdf, rng.random(negative))])
-            labels = np.zeros(len(targets))
-            labels[0] = 1.0
-            u = out[targets]
-            g = (labels - _sigmoid(u @ v)) * lr
-            grad_v = g @ u
-            if update_out:
-                out[targets] += np.outer(g, v)
-            v += grad_v
+STEP = 64  # tokens of a document whose gradients are taken together
+
+
+def _train_doc(ids, v, out, cdf, lr, negative, rng, update_out=True):
+    """One pass of PV-DBOW over a document's token ids: updates ``out`` in place
+    and returns the new document vector."""
+    labels = np.zeros((1, negative + 1), np.float32)
+    labels[0, 0] = 1.0
+    for a in range(0, len(ids), STEP):
+        own = ids[a:a + STEP]
+        noise = np.searchsorted(cdf, rng.random((len(own), negative)))
+        targets = np.concatenate([own[:, None], noise], 1)
+        u = out[targets]
+        g = ((labels - _sigmoid(u @ v)) * lr).astype(np.float32)
+        if update_out:
+            np.add.at(out, targets.ravel(), g.reshape(-1, 1) * v)
+        v = v + np.einsum("nk,nkd->d", g, u)
+    return v
+
+
+def _rng(seed: int, key_hash: int, epoch: int):
+    return np.random.default_rng([seed, key_hash & 0xFFFFFFFFFFFFFFFF, epoch])
+
+
+def _start(seed: int, key_hash: int, dims: int):
+    return ((_rng(seed, key_hash, 0).random(dims) - 0.5) / dims).astype(np.float32)
 
 
 def _vocab(df: DataFrame, tokens: str, min_count: int, dims: int):
@@ -69,119 +81,118 @@ def _vocab(df: DataFrame, tokens: str, min_count: int, dims: int):
     vocab = build_vocab(df.select(tokens), tokens, min_count).select("word", "count", "idx")
     n = vocab.count()
     if n * dims > MAX_MODEL_CELLS:
-        raise ValueError(f"vocabulary x dims = {n * dims} exceeds the broadcast bound; raise min_count")
+        raise ValueError(f"output weights of {n} words x {dims} are above the bound of {MAX_MODEL_CELLS} cells on every task")
     rows = vocab.orderBy("idx").collect()   # bounded by the check above
     return [r.word for r in rows], np.asarray([r["count"] for r in rows], dtype=np.float64)
 
 
+def _token_ids(df: DataFrame, key: str, tokens: str, words: list, keep=()) -> DataFrame:
+    """(key, __hash, keep..., ids): tokens as vocabulary places, unknown ones left
+    out; a document without known tokens keeps an empty list."""
+    spark = df.sparkSession
+    vocab = spark.createDataFrame([(w, i) for i, w in enumerate(words)] or [("", -1)], "__word string, __id int")
+    hashed = df.select(key, F.xxhash64(key).alias("__hash"), *keep, tokens, F.monotonically_increasing_id().alias("__row"))
+    flat = hashed.select("__row", F.posexplode(tokens).alias("__pos", "__word"))
+    # the vocabulary's size has been checked against the bound of the model
+    ids = (flat.join(F.broadcast(vocab), "__word").groupBy("__row")
+           .agg(F.transform(F.sort_array(F.collect_list(F.struct("__pos", "__id"))), lambda x: x["__id"]).alias("ids")))
+    return hashed.drop(tokens).join(ids, "__row", "left").drop("__row").withColumn(
+        "ids", F.coalesce("ids", F.array().cast("array<int>")))
+
+
 def train_paragraph_vectors(df: DataFrame, key: str, tokens: str = "tokens", dims: int = 100,
-                            epochs: int = 5, lr: float = 0.025, min_lr: float = 0.001,
+                            epochs: int = 20, lr: float = 0.025, min_lr: float = 0.001,
                             negative: int = 5, min_count: int = 1, seed: int = 12345,
-                            partitions: int | None = None):
-    """Returns (doc vectors DataFrame (key, vector array<float>), ParagraphModel)."""
+                            slots: int = 8, save_path: str | None = None):
+    """Returns (doc vectors DataFrame (key, vector array<float>), ParagraphModel).
+
+    ``slots`` is the number of parallel copies of U (part of the result, like
+    ``epochs``).  With ``save_path`` the vectors are kept after every epoch.
+    """
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
-    from bugroute.session import ensure_checkpoint_dir, ship_package
+    from bugroute.session import scratch_path
+    from bugroute.sinks.vectors import save_embeddings
 
     spark = df.sparkSession
     sc = spark.sparkContext
-    ensure_checkpoint_dir(spark)
-    ship_package(spark)
     words, counts = _vocab(df, tokens, min_count, dims)
     out = np.zeros((len(words), dims), dtype=np.float32)
     key_type = df.schema[key].dataType.simpleString()
-    parts = partitions or sc.defaultParallelism
-    table = (df.select(key, tokens).repartition(parts, key).sortWithinPartitions(key)
-             .withColumn("vector", F.lit(None).cast("array<float>")).checkpoint(eager=True))
-    n_rounds = max(1, epochs)
-    for r in range(n_rounds):
-        rate = lr - (lr - min_lr) * r / max(1, n_rounds - 1) if n_rounds > 1 else lr
-        bc = sc.broadcast((words, counts, out))
-
-        def run(it, r=r, rate=rate, bc=bc):
+    base = scratch_path(spark, "paragraph")
+    slot = F.pmod("__hash", F.lit(slots)).cast("int")
+    _token_ids(df, key, tokens, words).withColumn("__slot", slot).repartitionById(slots, F.col("__slot")).sortWithinPartitions(
+        key).write.parquet(f"{base}/tokens")
+    table = spark.read.parquet(f"{base}/tokens")
+    vectors = None
+    for r in range(max(1, epochs)):
+        rate = lr - (lr - min_lr) * r / max(1, epochs - 1) if epochs > 1 else lr
+        bc = sc.broadcast((counts, out))
+        now = table.withColumn("vector", F.lit(None).cast("array<float>")) if vectors is None else table.join(vectors, key)
+        now = now.repartitionById(slots, F.col("__slot")).sortWithinPartitions(key).select(key, "__hash", "ids", "vector")
+
+        def run(frames, r=r, rate=rate, bc=bc):
             import pandas as pd
-            from pyspark import TaskContext
-
-            wl, cn, u0 = bc.value
-            index = {w: i for i, w in enumerate(wl)}
-            cdf = _noise_cdf(cn)
-            pid = TaskContext.get().partitionId() if TaskContext.get() else 0
-            rng = np.random.default_rng(seed * 1000003 + r * 7919 + pid)
-            u = u0.copy()
-            frames = [pdf for pdf in it]
-            if not frames:
-                return
-            pdf = pd.concat(frames, ignore_index=True)
-            vecs = []
-            for v in pdf["vector"]:
-                if v is None:
-                    vecs.append(((rng.random(dims) - 0.5) / dims).astype(np.float32))
-                else:
-                    vecs.append(np.asarray(v, dtype=np.float32).copy())
-            idx = [[index[t] for t in toks if t in index] for toks in pdf[tokens]]
-            _train_docs(idx, vecs, u, cdf, rate, negative, rng)
-            docs = pd.DataFrame({"kind": "doc", key: pdf[key], tokens: pdf[tokens],
-                                 "vector": vecs, "chunk": -1, "values": None})
-            flat = u.astype(np.float64).ravel()
-            n_chunks = math.ceil(len(flat) / CHUNK)
-            chunks = pd.DataFrame({"kind": "u", key: None, tokens: None, "vector": None,
-                                   "chunk": np.arange(n_chunks, dtype=np.int32),
-                                   "values": [flat[i * CHUNK:(i + 1) * CHUNK] for i in range(n_chunks)]})
-            yield pd.concat([docs, chunks], ignore_index=True)
-
-        schema = (f"kind string, {key} {key_type}, {tokens} array<string>, vector array<float>, "
-                  "chunk int, values array<double>")
-        result = table.mapInPandas(run, schema).checkpoint(eager=True)
-        avg = (result.where(F.col("kind") == "u").groupBy("chunk")
-               .agg(Summarizer.mean(array_to_vector("values")).alias("m"))
-               .select("chunk", vector_to_array("m").alias("m")).collect())
+
+            cn, u0 = bc.value
+            cdf, u, seen = _noise_cdf(cn), u0.copy(), False
+            for pdf in frames:
+                seen = True
+                vecs = []
+                for h, ids, v in zip(pdf["__hash"], pdf["ids"], pdf["vector"]):
+                    v = _start(seed, int(h), dims) if v is None else np.asarray(v, np.float32)
+                    vecs.append(_train_doc(np.asarray(ids, np.int64), v, u, cdf, rate, negative, _rng(seed, int(h), r + 1)))
+                yield pd.DataFrame({key: pdf[key], "vector": vecs, "chunk": -1, "values": None})
+            if seen:
+                flat = u.astype(np.float64).ravel()
+                n = math.ceil(len(flat) / CHUNK)
+                yield pd.DataFrame({key: None, "vector": None, "chunk": np.arange(n, dtype=np.int32),
+                                    "values": [flat[i * CHUNK:(i + 1) * CHUNK] for i in range(n)]})
+
+        path = f"{base}/epoch-{r}"
+        now.mapInPandas(run, f"`{key}` {key_type}, vector array<float>, chunk int, values array<double>").write.parquet(path)
+        result = spark.read.parquet(path)
+        avg = (result.where("chunk >= 0").groupBy("chunk").agg(Summarizer.mean(array_to_vector("values")).alias("m"))
+               .select("chunk", vector_to_array("m").alias("m")).orderBy("chunk").collect())
         bc.destroy()
-        flat = np.concatenate([np.asarray(row["m"]) for row in sorted(avg, key=lambda x: x["chunk"])])
-        out = flat[:len(words) * dims].reshape(len(words), dims).astype(np.float32)
-        table = result.where(F.col("kind") == "doc").select(key, tokens, "vector")
-    return table.select(key, "vector"), ParagraphModel(words, counts, out, dims)
+        if avg:
+            out = np.concatenate([np.asarray(row["m"]) for row in avg]).reshape(len(words), dims).astype(np.float32)
+        vectors = result.where("chunk < 0").select(key, "vector")
+        if save_path:
+            save_embeddings(vectors, save_path, r + 1)
+    return vectors, ParagraphModel(words, counts, out, dims)
 
 
 def infer_vectors(model: ParagraphModel, df: DataFrame, key: str, tokens: str = "tokens",
                   epochs: int = 5, lr: float = 0.025, negative: int = 5, seed: int = 12345,
                   keep=()) -> DataFrame:
-    """Vectors for (new) documents with the output weights frozen: each task
-    trains only its own documents' vectors.  Documents without known tokens
-    get the zero vector."""
-    from bugroute.session import ship_package
-
+    """Vectors for (new) documents with the output weights frozen, the same under
+    any partitioning.  Documents without known tokens get the zero vector."""
     spark = df.sparkSession
-    ship_package(spark)
-    bc = spark.sparkContext.broadcast((model.words, model.counts, model.out))
+    bc = spark.sparkContext.broadcast((model.counts, model.out))
     dims = model.dims
-    key_type = df.schema[key].dataType.simpleString()
+    rows = _token_ids(df, key, tokens, model.words, keep)
 
-    def run(it):
+    def run(frames):
         import pandas as pd
-        from pyspark import TaskContext
 
-        wl, cn, u = bc.value
-        index = {w: i for i, w in enumerate(wl)}
+        cn, u = bc.value
         cdf = _noise_cdf(cn)
-        pid = TaskContext.get().partitionId() if TaskContext.get() else 0
-        rng = np.random.default_rng(seed + pid)
-        for pdf in it:
-            idx = [[index[t] for t in toks if t in index] for toks in pdf[tokens]]
-            vecs = [((rng.random(dims) - 0.5) / dims).astype(np.float32) if ids
-                    else np.zeros(dims, dtype=np.float32) for ids in idx]
-            for e in range(epochs):
-                rate = lr * (1 - e / max(1, epochs))
-                _train_docs(idx, vecs, u, cdf, rate, negative, rng, update_out=False)
-            out = pd.DataFrame({key: pdf[key]})
-            for k in keep:
-                out[k] = pdf[k]
+        for pdf in frames:
+            vecs = []
+            for h, ids in zip(pdf["__hash"], pdf["ids"]):
+                v = _start(seed, int(h), dims) if len(ids) else np.zeros(dims, np.float32)
+                for e in range(epochs):
+                    v = _train_doc(np.asarray(ids, np.int64), v, u, cdf, lr * (1 - e / max(1, epochs)), negative,
+                                   _rng(seed, int(h), e + 1), update_out=False)
+                vecs.append(np.asarray(v, np.float32))
+            out = pdf[[key, *keep]].copy()
             out["vector"] = vecs
             yield out
 
-    extra = "".join(f", {k} {df.schema[k].dataType.simpleString()}" for k in keep)
-    return df.select(key, *keep, tokens).mapInPandas(
-        run, f"{key} {key_type}{extra}, vector array<float>")
+    extra = "".join(f", `{k}` {df.schema[k].dataType.simpleString()}" for k in keep)
+    return rows.mapInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}{extra}, vector array<float>")
 
 
 def paragraph_group_vectors(model: ParagraphModel, df: DataFrame, key: str, height: int,
@@ -191,8 +202,7 @@ def paragraph_group_vectors(model: ParagraphModel, df: DataFrame, key: str, heig
     from bugroute.operators.text import group_token_arrays
 
     groups = group_token_arrays(df, key, height, text)
-    gid = (F.col(key).cast("long") * F.lit(height) + F.col("group")).alias("__gid")
-    keyed = groups.select(gid, key, "group", "tokens")
+    keyed = groups.select(F.concat_ws("/", F.col(key).cast("string"), "group").alias("__gid"), key, "group", "tokens")
     # key and group ride along through the task: no join back
     inferred = infer_vectors(model, keyed, "__gid", "tokens", epochs, seed=seed, keep=(key, "group"))
     return inferred.select(key, "group", F.col("vector").cast("array<double>").alias("vector"))

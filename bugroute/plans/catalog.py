@@ -888,14 +888,6 @@ from bugroute.operators import train as tr  # noqa: E402
 from bugroute.plans import routing  # noqa: E402
 
 
-@check("describe_schema", None)
-def _describe(spark, sf):
-    from bugroute.schema import STATUS_STATES
-
-    return colops.describe_schema(bugs_table(spark, sf),
-                                  {"bug_severity": SEVERITY_STATES, "bug_status": STATUS_STATES})
-
-
 @check("route_text_softmax", None)
 def _route_text(spark, sf):
     return routing.route_and_score(spark, sf, "rnn")
@@ -967,21 +959,46 @@ def _pavg_checkpoint(spark, sf):
     return spark.createDataFrame([(*same, epoch, len(loaded.params))], "params string, spec string, epoch int, n_params long")
 
 
-@check("word2vec_vectors", None)
+@check("word2vec_vectors", "WITH " + VOCAB_CTE + " SELECT word, CAST(100 AS INT) AS dims FROM vocab")
 def _word2vec(spark, sf):
-    toks = txt.tokens(load_table(spark, sf, "documents").select("text"), "text")
-    return tr.train_word_vectors(toks, "tokens", dims=100, max_iter=1, min_count=5)
+    wv, _ = routing.trained_word_vectors(spark, sf, epochs=20)
+    finite = F.forall("vector", lambda x: ~F.isnan(x))
+    return wv.select("word", F.when(finite, F.size("vector")).alias("dims"))
 
 
-@check("paragraph_vectors", None)
+@check("paragraph_vectors", "SELECT doc_id, CAST(100 AS INT) AS dims, CAST(100 AS INT) AS inferred_dims FROM documents")
 def _paragraph(spark, sf):
     from bugroute.operators import paragraph as pv
 
     docs = txt.tokens(load_table(spark, sf, "documents").select("doc_id", "text"), "text")
-    vectors, model = pv.train_paragraph_vectors(docs, "doc_id", "tokens", dims=32, epochs=2,
-                                                min_count=5)
-    inferred = pv.infer_vectors(model, docs, "doc_id", "tokens", epochs=2)
-    return vectors.join(inferred.withColumnRenamed("vector", "inferred"), "doc_id")
+    vectors, model = pv.train_paragraph_vectors(docs, "doc_id", "tokens", dims=100, epochs=5)
+    inferred = pv.infer_vectors(model, docs, "doc_id", "tokens").withColumnRenamed("vector", "inferred")
+    finite = lambda c: F.when(F.forall(c, lambda x: ~F.isnan(x)), F.size(c))
+    return vectors.join(inferred, "doc_id").select(
+        "doc_id", finite("vector").alias("dims"), finite("inferred").alias("inferred_dims"))
+
+
+@check("router_facts", B + """, kept AS (SELECT row_id, class FROM bugs WHERE length(coalesce(text, '')) > 0)
+SELECT (9 * count(*)) // 10 AS n_train, count(*) - (9 * count(*)) // 10 AS n_test,
+  (SELECT string_agg(DISTINCT CAST(class AS VARCHAR), ',' ORDER BY CAST(class AS VARCHAR)) FROM bugs) AS classes,
+  CAST(0 AS BIGINT) AS n_bad_probabilities, true AS beats_majority, true AS objective_falls FROM kept""")
+def _router_facts(spark, sf):
+    """ML1, ML4, EV10 as facts: split sizes, classes, probabilities that sum to
+    one, accuracy above the largest class's share, falling objective."""
+    plan = _text_plan(spark, sf)
+    train, test = order.train_test(plan.features, "row_id", 9, 10)
+    model = tr.train_softmax(train, max_iter=50)
+    scored = tr.score(model, test).checkpoint()
+    total = F.aggregate("probability", F.lit(0.0), lambda a, x: a + x)
+    facts = scored.agg(F.count(F.lit(1)).alias("n_test"), F.count_if(F.abs(total - 1) > 1e-9).alias("n_bad_probabilities"),
+                       F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("accuracy"))
+    most = scored.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"))
+    history = tr.objective_history(model)
+    return facts.join(F.broadcast(most), F.lit(True)).select(
+        F.lit(train.count()).cast("long").alias("n_train"), "n_test",
+        F.lit(",".join(sorted(map(str, plan.classes)))).alias("classes"), "n_bad_probabilities",
+        (F.col("accuracy") > F.col("most") / F.col("n_test")).alias("beats_majority"),
+        F.lit(history[-1] < history[0]).alias("objective_falls"))
 
 
 @check("route_text_paragraph", None)

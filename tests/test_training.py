@@ -79,24 +79,33 @@ def test_softmax_gradient_numerically():
         assert g[i] == pytest.approx((up - down) / 2e-6, rel=1e-3, abs=1e-6)
 
 
-def test_paragraph_vectors_separate_languages(spark):
+def test_paragraph_vectors(spark):
+    """Vectors of one language are nearer to each other than to the others, and
+    the same under any partitioning."""
     from bugroute.operators import paragraph as pv
     from bugroute.operators import text as txt
     from bugroute.sources.tables import load_table
     from tests.conftest import SF_SMALL
 
     docs = txt.tokens(load_table(spark, SF_SMALL, "documents").select("doc_id", "text", "lang"), "text")
-    vecs, model = pv.train_paragraph_vectors(docs.select("doc_id", "tokens"), "doc_id", "tokens",
-                                             dims=16, epochs=3, min_count=2)
+    vecs, model = pv.train_paragraph_vectors(docs.select("doc_id", "tokens"), "doc_id", "tokens", dims=16, epochs=3)
     assert model.out.shape == (len(model.words), 16)
     rows = vecs.join(docs.select("doc_id", "lang"), "doc_id").collect()
     assert len(rows) == docs.count()
-    by = {}
-    for r in rows:
-        v = np.asarray(r.vector)
-        by.setdefault(r.lang, []).append(v / (np.linalg.norm(v) + 1e-12))
-    cent = {k: np.mean(v, axis=0) for k, v in by.items() if len(v) > 5}
-    within = np.mean([np.mean([c @ x for x in by[k]]) for k, c in cent.items()])
-    assert within > 0.0
-    inf = pv.infer_vectors(model, docs.select("doc_id", "tokens"), "doc_id", "tokens", epochs=2)
-    assert inf.count() == docs.count()
+    unit = np.stack([np.asarray(r.vector) / (np.linalg.norm(r.vector) + 1e-12) for r in rows])
+    lang = np.array([r.lang for r in rows])
+    near, same = unit @ unit.T, lang[:, None] == lang[None]
+    np.fill_diagonal(same, False)
+    other = lang[:, None] != lang[None]
+    assert near[same].mean() > near[other].mean() + 0.05
+    again, _ = pv.train_paragraph_vectors(docs.select("doc_id", "tokens").repartition(5), "doc_id", "tokens", dims=16, epochs=3)
+    as_dict = lambda t: {r.doc_id: list(r.vector) for r in t.collect()}
+    assert as_dict(vecs) == as_dict(again)
+    one = as_dict(pv.infer_vectors(model, docs, "doc_id", "tokens", epochs=2))
+    assert one == as_dict(pv.infer_vectors(model, docs.repartition(7), "doc_id", "tokens", epochs=2)) and len(one) == len(rows)
+
+
+def test_light_router_beats_majority(spark):
+    plan = routing.light_features(routing.light_bugs(spark, SF_CHECK))
+    _, test = order.train_test(plan.features, "row_id", 7, 10)
+    assert routing.route_light(spark, SF_CHECK).first().accuracy > majority_accuracy(test) + 0.05
