@@ -48,7 +48,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     a lost executor costs a read of files instead of a recomputation."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

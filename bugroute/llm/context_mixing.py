@@ -1,16 +1,17 @@
 """Language-model scores by online logistic context mixing.
 
 The model predicts a text byte by byte, each byte as the binary decisions on its
-way down a Huffman tree (one for each last byte, built from the training texts'
-byte pairs, an end-of-text symbol included).  Each predictor looks up the decision under a hash of its context
-(the last two or four bytes, or the word so far) in a table of counts
-summed over all training texts, and gives the logarithm of the odds.  A mixer
-adds these with weights of its own for each gate (the class of the last byte),
-and an adaptive map corrects the result by what has come of similar predictions.
-Weights and map learn online: after each byte they move along the error of its
-decisions.  The score is the logarithm of the product of all decisions'
-probabilities, so it is the probability of the text under one model; divided by
-the bytes it gives bits a byte.
+way down a Huffman tree (one for each last byte, and one of its own for each of
+the ``PAIRS`` most frequent pairs of last bytes, built from the training texts'
+counts, an end-of-text symbol included).  Each predictor looks up the decision
+under a hash of its context (the last two or four bytes, or the word so far) in a
+table of counts summed over all training texts, and gives the logarithm of the
+odds.  A mixer adds these with weights of its own for each gate (the class of the
+last byte), and an adaptive map corrects the result by what has come of similar
+predictions.  Weights and map learn online: after each byte they move along the
+error of its decisions.  The score is the logarithm of the product of all
+decisions' probabilities, so it is the probability of the text under one model;
+divided by the bytes it gives bits a byte.
 
 Texts are scored in lanes that go forward together, one byte at a time, as array
 operations.  A lane is a segment of ``SEGMENT`` bytes of a text: contexts reach
@@ -49,8 +50,9 @@ BUCKETS = 32  # of the adaptive map, over probabilities
 MAP_RATE = 0.02
 MAP_SHARE = 0.25  # of the map in the result
 PRIOR = 0.2
-CHUNK = 8 << 20
+CHUNK = 12 << 20
 TRAIN_CHUNK = 2 << 20
+PAIRS = 128
 BLOCK = 1 << 17  # counts that travel in one row
 FAN_IN = 32
 
@@ -77,11 +79,20 @@ def empty_counts() -> list[np.ndarray]:
 
 
 class Code:
-    """The decisions (tree node, bit) of every choice (last byte, symbol), behind
-    one another; a choice is ``last byte * SYMBOLS + symbol``."""
+    """The decisions (tree node, bit) of every choice (tree, symbol), behind one
+    another; a choice is ``tree * SYMBOLS + symbol``.  ``tree`` gives the tree of
+    each pair of last bytes (``before last * 256 + last``)."""
 
     def __init__(self, counts: np.ndarray):
-        paths = [p for tree in counts.reshape(256, SYMBOLS).tolist() for p in self._paths(tree)]
+        """``counts``: how often each (pair of last bytes, symbol) comes."""
+        counts = counts.reshape(256, 256, SYMBOLS)
+        by_pair = counts.sum(2).ravel()
+        own = np.sort(np.argsort(-by_pair, kind="stable")[:PAIRS])
+        own = own[by_pair[own] > 0]
+        self.tree = np.tile(np.arange(256), 256)
+        self.tree[own] = 256 + np.arange(len(own))
+        tables = np.concatenate([counts.sum(0), counts.reshape(-1, SYMBOLS)[own]])
+        paths = [p for tree in tables.tolist() for p in self._paths(tree)]
         self.length = np.array([len(p) for p in paths], np.int64)
         self.first = np.cumsum(self.length) - self.length
         tree = np.repeat(np.arange(len(paths)) // SYMBOLS * SYMBOLS, self.length)
@@ -109,16 +120,18 @@ class Code:
         return paths
 
 
-def pair_counts(texts: list[bytes]) -> np.ndarray:
-    """How often each choice comes in the texts; before a text stands a zero byte."""
-    data = np.frombuffer(b"".join(b"\0" + t + b"\0" for t in texts), np.uint8).astype(np.int32)
-    size = np.fromiter(map(len, texts), np.int64, len(texts)) + 2
-    ends = np.cumsum(size)
-    choice = data[:-1] * SYMBOLS + data[1:]
-    choice[ends - 2] = data[ends - 2] * SYMBOLS + END
-    inside = np.ones(len(choice), bool)
-    inside[ends[:-1] - 1] = False
-    return np.bincount(choice[inside], minlength=256 * SYMBOLS)
+def trigram_counts(texts: list[bytes]) -> np.ndarray:
+    """How often each (pair of last bytes, symbol) comes in the texts; before a
+    text stand two zero bytes."""
+    data = np.frombuffer(b"".join(b"\0\0" + t + b"\0" for t in texts), np.uint8).astype(np.int32)
+    size = np.fromiter(map(len, texts), np.int64, len(texts)) + 3
+    ends = np.cumsum(size) - 1
+    symbol = data[2:].copy()
+    symbol[ends - 2] = END
+    place = (data[:-2] * 256 + data[1:-1]) * SYMBOLS + symbol
+    inside = np.ones(len(place), bool)
+    inside[ends[:-1] - 1], inside[ends[:-1]] = False, False
+    return np.bincount(place[inside], minlength=(1 << 16) * SYMBOLS)
 
 
 # The gate of each byte: blanks, letters of either case and UTF-8 parts, all else.
@@ -132,7 +145,8 @@ class Lanes:
     """The segments of some texts; ``steps`` yields, byte by byte, the lanes
     that still have a byte, their choices, contexts and gates."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], code: Code):
+        self.tree = code.tree
         size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1  # with the end
         self.bytes = np.frombuffer(b"".join(bytes(WARM_UP) + t + b"\0" for t in texts), np.uint8)
         first = np.cumsum(size + WARM_UP) - size
@@ -159,8 +173,8 @@ class Lanes:
             if t >= 0:
                 symbol = now.astype(np.int64)
                 symbol[self.end_at[:a] == t] = END
-                last = (recent & np.uint32(0xFF)).astype(np.int64)
-                yield a, last * SYMBOLS + symbol, _mixed(recent, word), _GATE[last]
+                tree = self.tree[recent & np.uint32(0xFFFF)]
+                yield a, tree * SYMBOLS + symbol, _mixed(recent, word), _GATE[recent & np.uint32(0xFF)]
             recent = recent << np.uint32(8) | now
             word = np.where(_GATE[now] == 0, np.uint32(0), (word + now + np.uint32(1)) * _WORD)
 
@@ -174,7 +188,7 @@ def _decisions(code: Code, choice: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return first, lane, np.arange(len(lane)) + (code.first[choice] - first)[lane]
 
 
-def _contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _contexts(texts: list[bytes], code: Code) -> tuple[np.ndarray, np.ndarray]:
     """(choices, contexts) of all bytes and ends of the texts at once."""
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     data = np.frombuffer(b"".join(bytes(4) + t + b"\0" for t in texts), np.uint8)
@@ -196,18 +210,18 @@ def _contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     word = (sums - sums[begin]) * np.cumprod(power, dtype=np.uint32)[:-1]
     symbol = data.astype(np.int64)
     symbol[end] = END
-    choice = (recent & np.uint32(0xFF)).astype(np.int64) * SYMBOLS + symbol
+    choice = code.tree[recent & np.uint32(0xFFFF)] * SYMBOLS + symbol
     return choice[inside], _mixed(recent[inside], word[inside])
 
 
 def count_decisions(texts: list[bytes], code: Code, counts: list[np.ndarray]) -> None:
     """Add the decisions of the texts to ``counts`` (context, slot and bit): each
     distinct (context, choice) is taken down its tree once."""
-    choice, context = _contexts(texts)
+    choice, context = _contexts(texts, code)
     for k in range(CONTEXTS):
-        pairs, times = np.unique(context[k].astype(np.uint64) << np.uint64(17) | choice.astype(np.uint64), return_counts=True)
-        _, lane, at = _decisions(code, (pairs & np.uint64((1 << 17) - 1)).astype(np.int64))
-        slot = _slots(k, (pairs >> np.uint64(17)).astype(np.uint32)[lane], code.node[at]).astype(np.int64) * 2 + (code.bit[at] > 0)
+        pairs, times = np.unique(context[k].astype(np.uint64) << np.uint64(18) | choice.astype(np.uint64), return_counts=True)
+        _, lane, at = _decisions(code, (pairs & np.uint64((1 << 18) - 1)).astype(np.int64))
+        slot = _slots(k, (pairs >> np.uint64(18)).astype(np.uint32)[lane], code.node[at]).astype(np.int64) * 2 + (code.bit[at] > 0)
         counts[k] += np.bincount(slot, times[lane], len(counts[k])).astype(np.int32)
 
 
@@ -217,7 +231,7 @@ def log_odds(counts: list[np.ndarray]) -> list[np.ndarray]:
 
 def log10_probability(texts: list[bytes], code: Code, tables: list[np.ndarray]) -> np.ndarray:
     """The score of every text."""
-    lanes = Lanes(texts)
+    lanes = Lanes(texts, code)
     n = len(lanes.start)
     weights = np.full((CONTEXTS, n * GATES), FIRST_WEIGHT, np.float32)
     refined = np.tile((np.arange(BUCKETS, dtype=np.float32) + np.float32(0.5)) / BUCKETS, n)
@@ -304,7 +318,7 @@ class _Places(dict):
 def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each slice of texts one row with its documents (keys, tokens, and the
     places and times of their distinct tokens) and the training texts' byte
-    pairs, and one row for each distinct token: its hash, its place, and how
+    triples, and one row for each distinct token: its hash, its place, and how
     often the training texts have it."""
     import xxhash
 
@@ -321,7 +335,8 @@ def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, times = np.unique(of << 32 | ids, return_counts=True)
             sizes, places = np.bincount(own >> 32, minlength=len(texts)), own & 0xFFFFFFFF
             in_train = np.bincount(ids[train[of]], minlength=len(place))
-            hist = pair_counts([t for t, k in zip(texts, train) if k])
+            hist = trigram_counts([t for t, k in zip(texts, train) if k])
+            hist_at = np.flatnonzero(hist)
             chunk, seq = task << 24 | seq, seq + 1
             n, none = len(place), pa.nulls(1, pa.binary())
             hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, place), np.uint64, n).view(np.int64)
@@ -329,14 +344,14 @@ def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names = ["chunk", "word", "place", "n", "keys", "tokens", "sizes", "places", "times", "hist"]
             keys = np.stack([part.column(c).to_numpy() for c in ("k1", "k2")], 1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([chunk], pa.int64()), *(pa.nulls(1, pa.int64()) for _ in range(3)), pack(keys, np.int64),
-                 pack(tokens, np.int64), pack(sizes, np.int64), pack(places, np.uint32), pack(times, np.uint32), pack(hist, np.int32)], names=names)
+                [pa.array([chunk], pa.int64()), pa.nulls(1, pa.int64()), *(pa.nulls(1, pa.int32()) for _ in range(2)), pack(keys, np.int64),
+                 pack(tokens, np.int64), pack(sizes, np.int64), pack(places, np.uint32), pack(times, np.uint32), pack(np.stack([hist_at, hist[hist_at]]), np.int32)], names=names)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, chunk)), pa.array(hashes), pa.array(np.arange(n)), pa.array(in_train),
+                [pa.array(np.full(n, chunk)), pa.array(hashes), pa.array(np.arange(n, dtype=np.int32)), pa.array(in_train.astype(np.int32)),
                  *[pa.nulls(n, pa.binary())] * 6], names=names)
 
 
-_TERMS = ("chunk long, word long, place long, n long, keys binary, tokens binary, sizes binary, places binary, "
+_TERMS = ("chunk long, word long, place int, n int, keys binary, tokens binary, sizes binary, places binary, "
           "times binary, hist binary")
 
 
@@ -376,17 +391,18 @@ def base_scores(rows: DataFrame) -> tuple[DataFrame, int, np.ndarray]:
     base = slices_of.drop("hist").join(vectors, "chunk").mapInArrow(
         _base_rows(n_train, n_distinct), "k1 long, k2 long, n_tokens long, n_known long, base_score double")
     hist = slices_of.select("hist").mapInArrow(_hist_rows, "choice int, n long").groupBy("choice").agg(F.sum("n").alias("n"))
-    choices = np.zeros(256 * SYMBOLS, np.int64)
+    choices = np.zeros((1 << 16) * SYMBOLS, np.int64)
     got = hist.toArrow()  # at most a row a choice
     choices[got.column("choice").to_numpy()] = got.column("n").to_numpy()
     return base, n_train, choices
 
 
 def _hist_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(256 * SYMBOLS, np.int64)
+    total = np.zeros((1 << 16) * SYMBOLS, np.int64)
     for batch in batches:
         for x in batch.column("hist"):
-            total += np.frombuffer(x.as_py(), np.int32)
+            at, n = np.frombuffer(x.as_py(), np.int32).reshape(2, -1)
+            total[at] += n
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["choice", "n"])
 
