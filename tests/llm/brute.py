@@ -74,14 +74,15 @@ def contamination(rows, items, window=10):
 
 
 def line_shingles(line, k=12):
-    """The k characters from each word start on (single blanks part words)."""
-    return {line[m.start():m.start() + k] for m in re.finditer(r"(?:(?<= )|^)[^ ]", line)}
+    """The first k characters of each word and its successor (single blanks part words)."""
+    words = line.split(" ")
+    return {f"{a} {b}"[:k] for a, b in zip(words, [*words[1:], ""])}
 
 
 def line_dedup(rows, percent=75, min_words=5):
     """rows: (doc_id, text) with distinct ids -> texts without repeated lines."""
     lines = [(i, p, x.lower().strip(" ")) for i, t in rows if t is not None for p, x in enumerate(t.split("\n"))]
-    lines = [x for x in lines if len([w for w in x[2].split(" ") if w]) >= min_words]
+    lines = [x for x in lines if len(x[2].split(" ")) >= min_words]
     names = sorted({x[2] for x in lines})
     at = {x: k for k, x in enumerate(names)}
     root = groups(len(names), linked([line_shingles(x) for x in names], percent))
