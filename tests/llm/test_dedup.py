@@ -97,8 +97,7 @@ def test_line_dedup_edges(edge, empty):
     assert line_dedup.line_dedup(empty).count() == 0
 
 
-def test_line_dedup_varied_lines(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "CELL", 4)
+def test_line_dedup_varied_lines(spark):
     rng = np.random.default_rng(3)
     base = SENTENCE.split() * 2
     rows = []
