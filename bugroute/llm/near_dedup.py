@@ -6,13 +6,12 @@ hash takes on the set, as the number of leading zeros (6 bits) and the next
 ``MANTISSA`` bits: 16 bits a bucket instead of 64.  Equal sets are one class
 from here on.  Bands of ``ROWS`` registers make the candidate buckets.
 
-Links are found in rounds, without ever listing the pairs of a bucket: first
-each member with the bucket's least member and with its neighbour in hash order;
-then, only in buckets whose members still lie in several components, members
-outside the largest one with the best partners of other components, by the
-collision-corrected similarity of the registers, ``FANOUT`` of them at first and
-four times as many in each further round, until no pair that may be linked is
-left untested.  Every link is confirmed on the full sets.
+Links are found without ever listing the pairs of a bucket: first each member
+with the bucket's least member and with its neighbour in hash order; then, only
+in buckets whose members still lie in several components, the collision-corrected
+similarity of the registers tells block by block which members may be linked with
+another component, and these go through an exact similarity join with prefix,
+length and positional filters.  Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -28,13 +27,13 @@ from pyspark.sql import functions as F
 
 from bugroute.llm.common import SPACE_WORD, WordHash, gram_hashes, lean, materialize, mix64, prepare, slices
 from bugroute.llm.components import components, relabel
+from bugroute.llm.similarity import prefix_pairs
 
 SHINGLE = 5
 PERCENT = 75  # of the union that linked sets share at least
 REGISTERS, ROWS, MANTISSA = 63, 3, 10
 BANDS = REGISTERS // ROWS  # a pair at 0.75 misses all 21 bands once in 100,000
 LOWEST_ESTIMATE = 0.5  # 4.6 standard errors below 0.75
-FANOUT = 4
 BLOCK = 1024
 BITS_LOG2 = 25
 
@@ -148,46 +147,33 @@ def _set_rows(bits):
     return rows
 
 
-def _search_rows(least_rank: int, fanout: int):
-    """mapInArrow function over rows sorted by (bucket, cell): for every query
-    row those of its likely partners, best first, that have rank ``least_rank``
-    to ``least_rank + fanout`` and lie in another component.  Cells have at most
-    two blocks of rows.  A pair (-1, -1) says that there are more."""
+def _open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (bucket, cell), the nodes that may be linked with one of
+    another component by estimate and size.  Cells have at most two blocks of rows."""
 
-    def found(group: pa.Table) -> list[tuple[int, int]]:
+    def found(group: pa.Table) -> np.ndarray:
         query = group.column("query").to_numpy(zero_copy_only=False)
         q, d = np.flatnonzero(query), np.flatnonzero(~query)
+        node, label, size = (group.column(c).to_numpy() for c in ("node", "label", "n_shingles"))
         if not len(q) or not len(d):
-            return []
+            return node[:0]
         sign = np.frombuffer(b"".join(group.column("sign").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        node, label, size = (group.column(c).to_numpy() for c in ("node", "label", "n_shingles"))
         near = estimate(sign[q], sign[d], size[q], size[d])
         small = np.minimum(size[q][:, None], size[d][None]) * 100 >= PERCENT * np.maximum(size[q][:, None], size[d][None])
-        near[(node[q][:, None] == node[d][None]) | ~small | (near < LOWEST_ESTIMATE)] = -1
-        rank = np.empty(near.shape, np.int64)
-        np.put_along_axis(rank, np.argsort(-near, 1, kind="stable"), np.arange(len(d))[None], 1)
-        open_pairs = (near > 0) & (label[q][:, None] != label[d][None]) & (rank >= least_rank)
-        i, j = np.nonzero(open_pairs & (rank < least_rank + fanout))
-        a, b = node[q][i], node[d][j]
-        more = [(-1, -1)] if (open_pairs & (rank >= least_rank + fanout)).any() else []
-        return more + list(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
+        near = small & (near >= LOWEST_ESTIMATE) & (label[q][:, None] != label[d][None])
+        return np.concatenate([node[q][near.any(1)], node[d][near.any(0)]])
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            rest = table if rest is None else pa.concat_tables([rest, table])
-            keys = np.stack([rest.column("bucket").to_numpy(), rest.column("cell").to_numpy()])
-            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
-            pairs = []
-            for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist()):
-                pairs += found(rest.slice(a, b - a))
-            rest = rest.slice(int(cuts[-1])) if len(cuts) else rest
-            yield _pairs(pairs)
-        if rest is not None:
-            yield _pairs(found(rest))
-
-    return rows
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        rest = table if rest is None else pa.concat_tables([rest, table])
+        keys = np.stack([rest.column("bucket").to_numpy(), rest.column("cell").to_numpy()])
+        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+        nodes = [found(rest.slice(a, b - a)) for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist())]
+        rest = rest.slice(int(cuts[-1])) if len(cuts) else rest
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([np.empty(0, np.int64), *nodes])))], names=["node"])
+    if rest is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(found(rest)))], names=["node"])
 
 
 def _likely_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,9 +189,6 @@ def _likely_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(batch.column(c).to_numpy()[ok]) for c in "ab"], names=["a", "b"])
 
 
-def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    pairs = list(dict.fromkeys(pairs))
-    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
 class _Links:
@@ -249,8 +232,10 @@ class _Links:
         both = both.select("a", "b", shared.alias("n"), (F.size("x") + F.size("y")).alias("total"))
         return materialize(both.where(f"100 * n >= {PERCENT} * (total - n)").select("a", "b"), "near-links")
 
-    def open_pairs(self, labels: DataFrame, least_rank: int, fanout: int) -> DataFrame:
-        """Untested pairs over components, ranked by estimate."""
+    def open_pairs(self, labels: DataFrame) -> DataFrame:
+        """The pairs over components that may still be linked: the estimates of
+        all such pairs of a bucket are looked at block by block, and the nodes
+        that they leave go through an exact similarity join of their sets."""
         of = self.members.join(labels.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select(
             "bucket", "node", F.coalesce("label", "node").alias("label"))
         per = of.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -266,7 +251,9 @@ class _Links:
             F.transform(F.sequence(F.lit(0), n_data - 1), lambda d: F.pmod(block, n_query).cast("int") * n_data + d)).alias("cell"))
         cells = data.unionByName(asks).join(self.classes.select("node", "sign", "n_shingles"), "node")
         cells = cells.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell", "node")
-        return cells.mapInArrow(_search_rows(least_rank, fanout), "a long, b long").distinct()
+        nodes = cells.mapInArrow(_open_rows, "node long").distinct().join(labels, "node", "left").select(
+            "node", F.coalesce("label", "node").alias("label"))
+        return prefix_pairs(materialize(nodes.join(self.sets, "node"), "near-open"), PERCENT)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -292,17 +279,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             F.min("n_shingles").alias("n_shingles"), F.min("raw").alias("raw")), "near-classes")
     links = _Links(texts, classes)
     labels = materialize(components(links.confirmed(links.likely(links.first_pairs()))), "near-labels")
-    rank, fanout, more = 0, FANOUT, True
-    while more:
-        pairs = materialize(links.open_pairs(labels, rank, fanout), "near-open")
-        more = not pairs.where("a < 0").isEmpty()
-        found = links.confirmed(pairs.where("a >= 0"))
-        tied = found.join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left").select(
-            F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"))
-        new = tied.select(F.explode(F.array("la", "lb")).alias("node")).distinct()
-        every = labels.unionByName(new.select("node", F.col("node").alias("label"))).distinct()
-        labels = materialize(relabel(every, tied), "near-labels")
-        rank, fanout = rank + fanout, fanout * 4
+    found = links.confirmed(links.open_pairs(labels))
+    tied = found.join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left").select(
+        F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"))
+    new = tied.select(F.explode(F.array("la", "lb")).alias("node")).distinct()
+    every = labels.unionByName(new.select("node", F.col("node").alias("label"))).distinct()
+    labels = materialize(relabel(every, tied), "near-labels")
     named = classes.join(labels, "node", "left").select("digest", "low", F.coalesce("label", "node").alias("class_id"))
     least = named.groupBy("class_id").agg(F.min("low").alias("component_id"))
     named = named.join(least, "class_id").select("digest", "class_id", "component_id")
