@@ -129,10 +129,11 @@ def trained_word_vectors(spark: SparkSession, sf_dir: str, dims: int = 100, epoc
 
 
 def route_and_score(spark: SparkSession, sf_dir: str, architecture: str = "rnn",
-                    max_iter: int = 50, split=(9, 10)) -> DataFrame:
+                    max_iter: int = 50, split=(9, 10), trained: bool = True) -> DataFrame:
     """Train the softmax router on the first 9/10 and score the rest:
-    one row with the seven scores (and n)."""
-    wv, dims = trained_word_vectors(spark, sf_dir)
+    one row with the seven scores (and n).  Word vectors are trained on the
+    documents, or (``trained=False``) loaded from the ``embeddings`` table."""
+    wv, dims = (trained_word_vectors if trained else derived_word_vectors)(spark, sf_dir)
     plan = text_features(bugs_table(spark, sf_dir), wv, dims, architecture)
     train, test = order.train_test(plan.features, "row_id", *split)
     model = tr.train_softmax(train, max_iter=max_iter)
