@@ -206,7 +206,7 @@ class UnitEncoder:
     """Ids of whole texts; every (unit, variant) is segmented once, as long as
     the kept units have at most ``limit`` characters in all."""
 
-    def __init__(self, vocabulary: Vocabulary, dropout: float, seed: int, limit: int = 4_000_000):
+    def __init__(self, vocabulary: Vocabulary, dropout: float, seed: int, limit: int = 3_000_000):
         self.vocabulary, self.dropout, self.seed, self.limit = vocabulary, dropout, seed, limit
         self.variants = VARIANTS if dropout else 1
         self._forget()
@@ -257,7 +257,7 @@ class UnitEncoder:
 _ENCODERS: dict = {}  # one a worker process, kept over tasks
 
 
-def _encode_rows(vocabulary, path: str, dropout: float, seed: int):
+def _encode_rows(vocabulary, path: str, dropout: float, seed: int, check: bool = False):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         setting = (path, dropout, seed)
         encoder = _ENCODERS.get(setting)
@@ -269,16 +269,22 @@ def _encode_rows(vocabulary, path: str, dropout: float, seed: int):
                 keys = part.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
                 ids, counts = encoder.encode(texts, mix64(keys ^ np.uint64(seed)))
                 ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([zlib.crc32(t.encode()) for t in texts], pa.int64()),
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], names=["doc_id", "text_crc32", "ids"])
+                columns = {"doc_id": part.column("doc_id"),
+                           "text_crc32": pa.array([zlib.crc32(t.encode()) for t in texts], pa.int64()),
+                           "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))}
+                if check:
+                    flat, at = ids.tolist(), ends.tolist()
+                    columns["lossless"] = pa.array([
+                        encoder.vocabulary.decode(flat[a:b]) == t.encode() for a, b, t in zip(at, at[1:], texts)], pa.bool_())
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return rows
 
 
 def encode(docs: DataFrame, vocabulary_path: str, dropout: float = DROPOUT, seed: int = SEED, id_col: str = "doc_id",
-           text_col: str = "text") -> DataFrame:
-    """(doc_id, text_crc32, ids) of every row.
+           text_col: str = "text", check: bool = False) -> DataFrame:
+    """(doc_id, text_crc32, ids) of every row; with ``check`` also whether the
+    ids decode to the text (lossless).
 
     Null and empty texts have no ids; rows with the same id and text get the
     same ids; an empty table gives no rows; other columns are never read.
@@ -288,8 +294,8 @@ def encode(docs: DataFrame, vocabulary_path: str, dropout: float = DROPOUT, seed
                        F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("key"))
     vocabulary = spark.sparkContext.broadcast(Vocabulary(vocabulary_path))  # a fixed vocabulary file
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(lean(_encode_rows(vocabulary, vocabulary_path, dropout, seed)),
-                           f"doc_id {kind}, text_crc32 long, ids array<int>")
+    return rows.mapInArrow(lean(_encode_rows(vocabulary, vocabulary_path, dropout, seed, check)),
+                           f"doc_id {kind}, text_crc32 long, ids array<int>" + ", lossless boolean" * check)
 
 
 def _decode_rows(vocabulary):
@@ -315,8 +321,7 @@ def decode(rows: DataFrame, vocabulary_path: str) -> DataFrame:
 
 def encode_and_check(docs: DataFrame, vocabulary_path: str, dropout: float = DROPOUT, seed: int = SEED,
                      id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_ids, ids, lossless) of every row; lossless: the decoded ids
-    have the text's checksum."""
-    rows = decode(encode(docs, vocabulary_path, dropout, seed, id_col, text_col), vocabulary_path)
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids",
-                       (F.crc32(F.col("decoded").cast("binary")) == F.col("text_crc32")).alias("lossless"))
+    """(doc_id, n_ids, ids, lossless) of every row: encoded and decoded in the
+    same task, so that an executor needs one Python worker a core."""
+    rows = encode(docs, vocabulary_path, dropout, seed, id_col, text_col, check=True)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "lossless")

@@ -131,6 +131,8 @@ def test_pieces(spark, edge, empty):
     assert sum(first[i][0] != plain[i] for i in texts) > 0.8 * len(texts)
     other = {r.doc_id: r.ids for r in pieces.encode(docs, PIECES, seed=99).collect()}
     assert any(other[i] != first[i][0] for i in texts)
+    back = pieces.decode(pieces.encode(docs, PIECES), PIECES).collect()
+    assert {r.doc_id: r.decoded for r in back} == texts
     out = pieces.encode_and_check(edge, PIECES).collect()
     assert len(out) == len(edge_rows()) and all(r.lossless for r in out)
     assert {r.n_ids for r in out if r.doc_id in (1, 2)} == {0}
