@@ -285,7 +285,7 @@ def test_context_mixing_scores(small):
 def test_context_mixing_is_a_distribution():
     """Over all choices of a byte, the decisions' probabilities add up to one."""
     texts = [t.encode() for _, t in edge_rows()[3:9] if t]
-    code = context_mixing.Code(context_mixing.pair_counts(texts))
+    code = context_mixing.Code(context_mixing.trigram_counts(texts))
     counts = context_mixing.empty_counts()
     context_mixing.count_decisions(texts, code, counts)
     tables = context_mixing.log_odds(counts)
@@ -293,11 +293,11 @@ def test_context_mixing_is_a_distribution():
     longer = context_mixing.log10_probability([b"the" + bytes([b]) for b in range(1, 256)], code, tables)
     assert (10.0 ** longer).sum() + 10.0 ** one[0] <= 1
     whole = context_mixing.log10_probability([b""], code, tables)
-    assert whole[0] < 0 and (2.0 ** -code.length.reshape(256, -1)).sum(1).max() <= 1 + 1e-9
-    choice, context = context_mixing._contexts(texts)
+    assert whole[0] < 0 and (2.0 ** -code.length.reshape(-1, context_mixing.SYMBOLS)).sum(1).max() <= 1 + 1e-9
+    choice, context = context_mixing._contexts(texts, code)
     bulk = Counter(zip(choice.tolist(), *(c.tolist() for c in context)))
     rolled = Counter()
-    for _, c, x, _ in context_mixing.Lanes(texts).steps():
+    for _, c, x, _ in context_mixing.Lanes(texts, code).steps():
         rolled.update(zip(c.tolist(), *(k.tolist() for k in x)))
     assert sum((bulk - rolled).values()) <= 0.01 * sum(bulk.values())
 
