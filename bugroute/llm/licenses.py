@@ -1,8 +1,9 @@
 """License scan: an exact set-similarity join of text blocks with templates.
 
-A document is cut into blocks: its lines, and for lines of more than ``BLOCK``
-words windows of ``BLOCK`` words, ``BLOCK / 2`` apart, so that every run of up
-to ``BLOCK / 2`` words lies whole in a block.  A block meets a template when it
+A document is cut into blocks: its lines, and the word sequence of the whole
+text, across line ends; of what has more than ``BLOCK`` words, windows of
+``BLOCK`` words, ``BLOCK / 2`` apart, so that every run of up to ``BLOCK / 2``
+words lies whole in a block, however its lines are wrapped.  A block meets a template when it
 has at least ``THRESHOLD`` of the template's distinct words.
 
 The words of the templates are ordered by the number of documents that have
@@ -60,18 +61,27 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(ALNUM_TABLE).split()
 
 
+def _windows(first: int, words: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    if len(words) <= BLOCK:
+        if words:
+            yield first, words
+    else:
+        for at in range(0, len(words) - BLOCK // 2, BLOCK // 2):
+            yield first + at, words[at:at + BLOCK]
+
+
 def blocks_of(text: bytes) -> Iterator[tuple[int, list[bytes]]]:
-    """(first word, words) of each block of the text."""
-    first = 0
+    """(first word, words) of each block of the text, each once."""
+    every, seen = [], set()
     for line in text.split(b"\n"):
         words = words_of(line)
-        if len(words) <= BLOCK:
-            if words:
-                yield first, words
-        else:
-            for at in range(0, len(words) - BLOCK // 2, BLOCK // 2):
-                yield first + at, words[at:at + BLOCK]
-        first += len(words)
+        for first, block in _windows(len(every), words):
+            seen.add((first, len(block)))
+            yield first, block
+        every += words
+    for first, block in _windows(0, every):
+        if (first, len(block)) not in seen:
+            yield first, block
 
 
 class TemplateIndex:
