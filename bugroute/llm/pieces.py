@@ -4,11 +4,11 @@ A text is cut into units (a run of blanks with the characters after it, up to
 the next blank or line end; no piece of such a vocabulary crosses these cuts).
 The merges of a unit are taken from an agenda, best score first.  Each candidate
 merge is skipped once with probability ``dropout``, decided by a hash of the
-seed, the unit, its variant and the three ends of the merge, so the same seed
-always gives the same pieces on any cluster.  The variant of each occurrence
-comes from a hash of the seed, the row's key and the unit's place in the text;
-with ``VARIANTS`` of them, frequent words appear in several segmentations while
-each (unit, variant) is worked out once per worker.
+seed, the unit, its occurrence (the row's key and the unit's place in the text)
+and the three ends of the merge, so the same seed always gives the same pieces on
+any cluster and every occurrence is drawn anew.  The pieces without dropout are
+kept for each unit, with the merges that make them: they are the pieces of each
+occurrence that skips none of those merges.  All others are worked out one by one.
 
 Characters without a piece are written as byte pieces; so is the character that
 the vocabulary uses for blanks, which keeps decoding exact.
@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 
 from bugroute.llm.common import lean, mix64, prepare, slices
 
-VARIANTS = 4
 DROPOUT = 0.1
 SEED = 17
 BLANK = "▁"
@@ -41,6 +40,19 @@ _M = (1 << 64) - 1
 _K = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9)
 
 
+def unit_keys(units: list[str], seed: int) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(u.encode("utf-8", "surrogatepass"), seed) for u in units), np.uint64, len(units))
+
+
+def _ends_hash(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return a * np.uint64(_K[0]) + b * np.uint64(_K[1]) + c * np.uint64(_K[2])
+
+
+def _skipped(h: np.ndarray, edge: int) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(_K[3])
+    return ((h ^ (h >> np.uint64(29))) >> np.uint64(32)) < edge
+
+
 class Vocabulary:
     """Pieces with their merge scores, read from a model file by its library."""
 
@@ -88,14 +100,14 @@ class Vocabulary:
         at = np.searchsorted(self.pair_keys, k)
         place = np.where(self.pair_keys[at] == k, self.pair_place[at], NEVER)
         if edge:
-            h = key ^ (a * np.uint64(_K[0]) + b * np.uint64(_K[1]) + c * np.uint64(_K[2]))
-            h = (h ^ (h >> np.uint64(31))) * np.uint64(_K[3])
-            place[((h ^ (h >> np.uint64(29))) >> np.uint64(32)) < edge] = NEVER
+            place[_skipped(key ^ _ends_hash(a, b, c), edge)] = NEVER
         return place
 
-    def _segment_even(self, symbols: np.ndarray, key: np.ndarray, edge: int) -> tuple[np.ndarray, np.ndarray]:
+    def _segment_even(self, symbols: np.ndarray, key: np.ndarray, edge: int,
+                      made: list | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Units of one length together: in each step every unit makes its best
-        merge.  (ids behind one another, ids of each unit)."""
+        merge.  (ids behind one another, ids of each unit); ``made`` takes the
+        merges as arrays (unit, its three ends)."""
         n, m = symbols.shape
         result, sizes, unit = np.empty((n, m), np.int32), np.empty(n, np.int64), np.arange(n)
         start = np.tile(np.arange(m + 1, dtype=np.uint64), (n, 1))
@@ -114,6 +126,8 @@ class Vocabulary:
                 rows = rows[:len(unit)]
                 if not len(unit):
                     break
+            if made is not None:
+                made.append((unit, start[rows, j], start[rows, j + 1], start[rows, j + 2]))
             m -= 1
             at = j[:, None]
             cols = np.arange(m + 1)
@@ -128,7 +142,8 @@ class Vocabulary:
                                             start[ok, p + 2], key[ok], edge)
         return result[np.arange(result.shape[1]) < sizes[:, None]], sizes
 
-    def segment_all(self, units: list[str], variants: np.ndarray, dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    def segment_all(self, units: list[str], variants: np.ndarray, dropout: float, seed: int,
+                    made: list | None = None) -> tuple[np.ndarray, np.ndarray]:
         """``segment`` of every (unit, variant): short units of known characters
         by length, all others one by one."""
         lens = np.fromiter(map(len, units), np.int64, len(units))
@@ -139,20 +154,25 @@ class Vocabulary:
             (u[:2] == "  " for u in units), bool, len(units))
         edge = int(dropout * (1 << 32))
         out, sizes = [np.empty(0, np.uint16)] * len(units), np.zeros(len(units), np.int64)
-        keys = np.fromiter((xxhash.xxh3_64_intdigest(u.encode("utf-8", "surrogatepass"), seed) for u in units), np.uint64,
-                           len(units)) + variants.astype(np.uint64)
+        keys = unit_keys(units, seed) + variants.astype(np.uint64)
         for n in np.unique(lens[~odd]).tolist():
             pick = np.flatnonzero(~odd & (lens == n))
-            flat, size = self._segment_even(chars[first[pick][:, None] + np.arange(n)], keys[pick], edge)
+            own = None if made is None else []
+            flat, size = self._segment_even(chars[first[pick][:, None] + np.arange(n)], keys[pick], edge, own)
             sizes[pick] = size
+            for unit, *ends in own or ():
+                made.append((pick[unit], *ends))
             for k, ids in zip(pick.tolist(), np.split(flat.astype(np.uint16), np.cumsum(size)[:-1])):
                 out[k] = ids
         for k in np.flatnonzero(odd).tolist():
-            out[k] = np.array(self.segment(units[k], int(variants[k]), dropout, seed), np.uint16)
+            own = None if made is None else []
+            out[k] = np.array(self.segment(units[k], int(variants[k]), dropout, seed, own), np.uint16)
             sizes[k] = len(out[k])
+            if own:
+                made.append((np.full(len(own), k), *np.array(own, np.uint64).T))
         return (np.concatenate(out) if out else np.empty(0, np.uint16)), sizes
 
-    def segment(self, unit: str, variant: int, dropout: float, seed: int) -> list[int]:
+    def segment(self, unit: str, variant: int, dropout: float, seed: int, made: list | None = None) -> list[int]:
         """The unit's piece ids: agenda merges, some of them skipped."""
         cost, n = self.cost, len(unit)
         end = list(range(1, n + 1))  # of the symbol that starts here; 0: none does
@@ -174,6 +194,8 @@ class Vocabulary:
                 h = ((h ^ (h >> 31)) * _K[3]) & _M
                 if (h ^ (h >> 29)) >> 32 < edge:
                     continue
+            if made is not None:
+                made.append((a, b, c))
             end[a], end[b] = c, 0
             if c < n:
                 before[c] = a
@@ -203,22 +225,42 @@ class Vocabulary:
 
 
 class UnitEncoder:
-    """Ids of whole texts; every (unit, variant) is segmented once, as long as
-    the kept units have at most ``limit`` characters in all."""
+    """Ids of whole texts.  The ids and merges of a unit without dropout are kept
+    as long as the kept units have at most ``limit`` characters in all; units of
+    more than EVEN characters, which hardly ever skip nothing, are not."""
 
     def __init__(self, vocabulary: Vocabulary, dropout: float, seed: int, limit: int = 3_000_000):
         self.vocabulary, self.dropout, self.seed, self.limit = vocabulary, dropout, seed, limit
-        self.variants = VARIANTS if dropout else 1
+        self.edge = int(dropout * (1 << 32))
         self._forget()
 
     def _forget(self) -> None:
         self.place: dict[str, int] = {}
         self.units: list[str] = []
         self.chars = 0
-        self.first = np.full(1 << 16, -1, np.int64)  # of (unit, variant) in ids; -1: not made yet
-        self.size = np.zeros(1 << 16, np.int64)
-        self.ids = np.empty(1 << 18, np.uint16)
-        self.used = 0
+        self.ids = np.empty(0, np.uint16)
+        self.first, self.size = np.empty(0, np.int64), np.empty(0, np.int64)  # of each unit in ids
+        self.long, self.key = np.empty(0, bool), np.empty(0, np.uint64)
+        self.merges = np.empty(0, np.uint64)  # hashes of the merges' ends
+        self.merge_first, self.merge_size = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _learn(self, units: list[str]) -> None:
+        """Keep the ids and merges of new units."""
+        long = np.fromiter((bool(self.edge) and len(u) > EVEN for u in units), bool, len(units))
+        made: list = []
+        plain = ["" if x else u for u, x in zip(units, long.tolist())]
+        flat, size = self.vocabulary.segment_all(plain, np.zeros(len(units), np.int64), 0.0, self.seed,
+                                                 made if self.edge else None)
+        owner = np.concatenate([np.empty(0, np.int64), *(m[0] for m in made)]).astype(np.int64)
+        hashes = np.concatenate([np.empty(0, np.uint64), *(_ends_hash(*m[1:]) for m in made)])
+        merges = np.bincount(owner, minlength=len(units))
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
+        self.merge_first = np.concatenate([self.merge_first, len(self.merges) + np.cumsum(merges) - merges])
+        self.size, self.merge_size = np.concatenate([self.size, size]), np.concatenate([self.merge_size, merges])
+        self.ids = np.concatenate([self.ids, flat])
+        self.merges = np.concatenate([self.merges, hashes[np.argsort(owner, kind="stable")]])
+        self.long = np.concatenate([self.long, long])
+        self.key = np.concatenate([self.key, unit_keys(units, self.seed)])
 
     def encode(self, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids of each text)."""
@@ -227,31 +269,31 @@ class UnitEncoder:
         units = [UNIT.findall(" " + t) if t else [] for t in texts]
         counts = np.fromiter(map(len, units), np.int64, len(units))
         place, known = self.place, self.units
+        old = len(known)
         for u in chain.from_iterable(units):
             if u not in place:
                 place[u] = len(known)
                 known.append(u)
                 self.chars += len(u) + 16
+        if len(known) > old:
+            self._learn(known[old:])
         at = np.fromiter(map(place.__getitem__, chain.from_iterable(units)), np.int64, int(counts.sum()))
         owner = np.repeat(np.arange(len(texts)), counts)
         nth = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
-        draw = mix64(keys[owner] + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        at = at * self.variants + (draw % np.uint64(self.variants)).astype(np.int64)
-        while len(known) * self.variants > len(self.first):
-            self.first = np.concatenate([self.first, np.full_like(self.first, -1)])
-            self.size = np.concatenate([self.size, np.zeros_like(self.size)])
-        fresh = np.unique(at[self.first[at] < 0])
-        made, lens = self.vocabulary.segment_all([known[k // self.variants] for k in fresh.tolist()],
-                                                 fresh % self.variants, self.dropout, self.seed)
-        while self.used + int(lens.sum()) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        self.ids[self.used:self.used + len(made)] = made
-        self.first[fresh] = self.used + np.cumsum(lens) - lens
-        self.size[fresh] = lens
-        self.used += int(lens.sum())
-        lens = self.size[at]
-        source = np.arange(int(lens.sum())) + np.repeat(self.first[at] - (np.cumsum(lens) - lens), lens)
-        return self.ids[source].astype(np.int32), np.bincount(owner, lens, len(texts)).astype(np.int64)
+        first, lens, pool = self.first[at], self.size[at], self.ids
+        if self.edge:
+            draw = mix64(keys[owner] + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            n = self.merge_size[at]
+            merge = np.arange(int(n.sum())) + np.repeat(self.merge_first[at] - (np.cumsum(n) - n), n)
+            skip = _skipped(np.repeat(self.key[at] + draw, n) ^ self.merges[merge], self.edge)
+            anew = self.long[at]
+            anew[np.repeat(np.arange(len(at)), n)[skip]] = True
+            anew = np.flatnonzero(anew)
+            flat, size = self.vocabulary.segment_all([known[k] for k in at[anew].tolist()], draw[anew], self.dropout, self.seed)
+            first[anew], lens[anew] = len(pool) + np.cumsum(size) - size, size
+            pool = np.concatenate([pool, flat])
+        source = np.arange(int(lens.sum())) + np.repeat(first - (np.cumsum(lens) - lens), lens)
+        return pool[source].astype(np.int32), np.bincount(owner, lens, len(texts)).astype(np.int64)
 
 
 _ENCODERS: dict = {}  # one a worker process, kept over tasks
