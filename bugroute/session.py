@@ -72,6 +72,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/bugroute/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Is there a file or folder at ``path`` (in any store that Spark knows)?"""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+
+
 _SHIPPED: set[str] = set()
 
 

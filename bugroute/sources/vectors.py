@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from bugroute.functions.arrays import clear_nan_values
 from bugroute.functions.text import trim_trailing_empty, unescape_word
+from bugroute.session import exists
 
 VOCAB_SCHEMA = T.StructType([
     T.StructField("word", T.StringType()),
@@ -113,7 +114,7 @@ def read_word_vectors(spark: SparkSession, path: str, header="auto",
 def read_tagged_vectors(spark: SparkSession, path: str) -> DataFrame:
     """``L|E word v1 ... vn`` -> (is_label, word, vector) (SRC7); other tags raise."""
     lines = spark.read.text(path)
-    t = lines.select(_tokens(F.col("value")).alias("__t"))
+    t = lines.select("value", _tokens(F.col("value")).alias("__t"))
     tag = F.col("__t")[0]
     checked = F.when(tag.isin("L", "E"), tag == "L").otherwise(
         F.raise_error(F.concat(F.lit("line without the tag L or E: "), F.col("value"))))
@@ -190,11 +191,9 @@ def read_embedding_bundle(spark: SparkSession, path: str) -> DataFrame:
     out = (spark.read.parquet(f"{base}/syn0")
            .join(spark.read.parquet(f"{base}/syn1"), "idx", "left")
            .join(spark.read.parquet(f"{base}/codes"), "word", "left"))
-    try:
-        labels = spark.read.parquet(f"{base}/labels")
-    except Exception:  # noqa: BLE001  (the labels part is optional)
+    if not exists(spark, f"{base}/labels"):   # the labels part is optional
         return out.withColumn("is_label", F.lit(False))
-    flags = labels.select(F.trim("label").alias("word")).distinct().withColumn("__lab", F.lit(True))
+    flags = spark.read.parquet(f"{base}/labels").select(F.trim("label").alias("word")).distinct().withColumn("__lab", F.lit(True))
     return (out.join(flags, "word", "left")
             .withColumn("is_label", F.coalesce("__lab", F.lit(False))).drop("__lab"))
 

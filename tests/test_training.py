@@ -109,3 +109,15 @@ def test_light_router_beats_majority(spark):
     plan = routing.light_features(routing.light_bugs(spark, SF_CHECK))
     _, test = order.train_test(plan.features, "row_id", 7, 10)
     assert routing.route_light(spark, SF_CHECK).first().accuracy > majority_accuracy(test) + 0.05
+
+
+def test_two_class_model_after_an_observation(spark):
+    """Scoring a two-class model must not ship the session (an observed session
+    cannot be serialised)."""
+    rows, seen = order.with_progress(spark.range(200))
+    assert rows.count() == 200 and seen.get["rows"] == 200
+    df = spark.range(200).select((F.col("id") % 2).cast("int").alias("label"),
+                                 F.array((F.col("id") % 2).cast("double"), F.lit(1.0)).alias("features"))
+    model = tr.train_softmax(df, max_iter=10)
+    assert tr.score(model, df).where("label = prediction").count() == 200
+    assert tr.objective_history(model)[-1] < tr.objective_history(model)[0]
