@@ -73,17 +73,15 @@ def contamination(rows, items, window=10):
     return out
 
 
-def line_shingles(line, k=12):
-    """The first k characters of each word and its successor (single blanks part words)."""
-    words = line.split(" ")
-    return {f"{a} {b}"[:k] for a, b in zip(words, [*words[1:], ""])}
+def line_shingles(line, k=7):
+    """All runs of k characters; a shorter line is one."""
+    return {line[i:i + k] for i in range(max(len(line) - k, 0) + 1)}
 
 
-def line_dedup(rows, percent=75, min_words=5):
+def line_dedup(rows, percent=75):
     """rows: (doc_id, text) with distinct ids -> texts without repeated lines."""
-    lines = [(i, p, x.lower().strip(" ")) for i, t in rows if t is not None for p, x in enumerate(t.split("\n"))]
-    lines = [x for x in lines if len(x[2].split(" ")) >= min_words]
-    names = sorted({x[2] for x in lines})
+    lines = [(i, p, x.lower().strip(" ")) for i, t in rows if t is not None for p, x in enumerate(t.split("\n")) if x.strip()]
+    names = sorted({x for *_, x in lines})
     at = {x: k for k, x in enumerate(names)}
     root = groups(len(names), linked([line_shingles(x) for x in names], percent))
     first = {}
