@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from bugroute.llm import context_mixing, decontaminate, exact_dedup, langid, licenses, line_dedup, near_dedup, pieces, token_blocks, toxicity
+from bugroute.llm import (context_mixing, decontaminate, exact_dedup, filter_audit, langid, licenses, line_dedup, near_dedup,
+                          pieces, token_blocks, toxicity, vector_codes, warc)
 from bugroute.llm.common import fold, read_table
 
 
@@ -60,6 +61,18 @@ def op7_licenses(spark, sf_dir):
     return licenses.scan_licenses(read_table(spark, sf_dir, "documents")).drop("blocks")
 
 
+def op11_warc(spark, sf_dir):
+    return warc.archive_round_trip(read_table(spark, sf_dir, "pages"))
+
+
+def op12_filter_audit(spark, sf_dir):
+    return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op13_vector_codes(spark, sf_dir):
+    return vector_codes.code_report(read_table(spark, sf_dir, "embeddings"))
+
+
 CATALOG = {
     "op1_context_mixing": (op1_context_mixing, None),
     "op2_near_dedup": (op2_near_dedup, near_dedup.ORACLE_SQL),
@@ -71,4 +84,7 @@ CATALOG = {
     "op8_exact_dedup": (op8_exact_dedup, exact_dedup.ORACLE_SQL),
     "op9_token_blocks": (op9_token_blocks, None),
     "op10_toxicity": (op10_toxicity, None),
+    "op11_warc": (op11_warc, warc.ORACLE_SQL),
+    "op12_filter_audit": (op12_filter_audit, filter_audit.ORACLE_SQL),
+    "op13_vector_codes": (op13_vector_codes, vector_codes.ORACLE_SQL),
 }
