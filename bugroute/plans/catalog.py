@@ -8,6 +8,7 @@ to 6 places on both sides, so the engines compare value by value.
 
 from __future__ import annotations
 
+import math
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -683,6 +684,8 @@ def _loss_totals(spark, sf):
 from bugroute.sinks import vectors as snk  # noqa: E402
 from bugroute.functions.text import unescape_word  # noqa: E402
 from bugroute.sources import vectors as src  # noqa: E402
+from bugroute.sinks import binary  # noqa: E402
+from bugroute.operators import huffman  # noqa: E402
 
 _WORD_SQL = ("CASE WHEN label % 4 = 0 THEN 'v ' || CAST(vec_id AS VARCHAR) "
              "ELSE 'v' || CAST(vec_id AS VARCHAR) END")
@@ -776,25 +779,27 @@ def _model_words(spark, sf):
                     F.reverse(F.col("vector").cast("array<double>")).alias("syn1"))
 
 
-@check("full_model_json", """SELECT """ + _WORD_SQL + """ AS word, CAST(label + 1 AS DOUBLE) AS count,
-  CAST(vec_id AS INT) AS idx,
-  CAST((label + 1) % 2 AS VARCHAR) || ',' || CAST(vec_id % 2 AS VARCHAR) AS codes,
-  CAST(vec_id AS VARCHAR) || ',' || CAST(label + 1 AS VARCHAR) AS points,
-  round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS syn0_sum,
-  round(list_sum(list_transform(range(1, len(embedding) + 1),
-        lambda i: i * CAST(embedding[len(embedding) + 1 - i] AS DOUBLE))), 6) AS syn1_moment
-FROM embeddings""")
+def _numbers(df: DataFrame, keys, **parts) -> DataFrame:
+    """(keys, part, pos, value) of several array columns, one row a number."""
+    rows = F.array(*(F.struct(F.lit(p).alias("part"), F.col(c).cast("array<double>").alias("v")) for p, c in parts.items()))
+    out = df.select(*keys, F.explode(rows).alias("__p")).select(*keys, "__p.part", F.col("__p.v").alias("v"))
+    return posexplode_rows(out, [*keys, "part"], "v")
+
+
+def _numbers_sql(keys: str, source: str, **parts: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT {keys}, '{p}' AS part, CAST(generate_subscripts(v, 1) - 1 AS INT) AS pos, unnest(v) AS value "
+        f"FROM (SELECT *, CAST({e} AS DOUBLE[]) AS v FROM {source})" for p, e in parts.items())
+
+
+@check("full_model_json", _numbers_sql("word, count, idx", "(SELECT " + _WORD_SQL + """ AS word, CAST(label + 1 AS DOUBLE) AS count,
+  CAST(vec_id AS INT) AS idx, label, embedding FROM embeddings)""", codes="[(label + 1) % 2, idx % 2]", points="[idx, label + 1]",
+    syn0="embedding", syn1="list_reverse(embedding)"))
 def _full_model(spark, sf):
     path = scratch_path(spark, "full-model")
     snk.write_full_model(_model_words(spark, sf), path, config_json='{"layersSize": 64}')
     words, _config = src.read_full_model(spark, path)
-    moment = F.aggregate(F.zip_with(F.sequence(F.lit(1), F.size("syn1")), "syn1", lambda i, x: i * x),
-                         F.lit(0.0), lambda a, x: a + x)
-    return words.select(
-        "word", "count", "idx", F.array_join("codes", ",").alias("codes"),
-        F.array_join("points", ",").alias("points"),
-        _r6(F.aggregate("syn0", F.lit(0.0), lambda a, x: a + x)).alias("syn0_sum"),
-        _r6(moment).alias("syn1_moment"))
+    return _numbers(words, ["word", "count", "idx"], codes="codes", points="points", syn0="syn0", syn1="syn1")
 
 
 @check("sequence_vectors", _VEC_ROWS_SQL.format(keys="object", cols=_WORD_SQL + " AS object"))
@@ -814,14 +819,13 @@ def _vocab_json(spark, sf):
     return src.read_vocab(spark, path).select("word", "count", "idx")
 
 
-@check("embedding_bundle", """SELECT """ + _WORD_SQL + """ AS word, CAST(vec_id AS INT) AS idx,
-  label = 0 AS is_label,
-  CAST(CASE WHEN vec_id % 3 = 0 THEN 2 END AS INT) AS n_codes,
-  round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS vec_sum,
-  round(list_sum(CAST(embedding AS DOUBLE[])) * 2, 6) AS syn1_sum
-FROM embeddings""")
-def _bundle(spark, sf):
-    path = scratch_path(spark, "bundle")
+_BUNDLE_SQL = _numbers_sql("word, idx, is_label", "(SELECT " + _WORD_SQL + """ AS word, CAST(vec_id AS INT) AS idx,
+  label = 0 AS is_label, embedding FROM embeddings)""", syn0="embedding", syn1="list_transform(embedding, lambda x: 2 * CAST(x AS DOUBLE))",
+    codes="CASE WHEN idx % 3 = 0 THEN [0, 1] ELSE [] END", points="CASE WHEN idx % 3 = 0 THEN [idx, idx] ELSE [] END")
+
+
+def _bundle_parts(spark, sf):
+    """(vectors, syn1, codes, labels) of a bundle; some codes and labels have no word."""
     v = named_vectors(spark, sf)
     lab = F.col("is_label") & (F.col("count") == 1)
     syn1 = v.select("idx", F.transform(F.col("vector").cast("array<double>"), lambda x: 2 * x).alias("syn1"))
@@ -829,15 +833,68 @@ def _bundle(spark, sf):
         "word", F.array(F.lit(0), F.lit(1)).alias("codes"), F.array("idx", "idx").alias("points"))
     unknown = v.select(F.concat(F.lit("u"), F.col("word")).alias("word"),
                        F.array(F.lit(1)).alias("codes"), F.array("idx").alias("points"))
-    labels = v.select(F.when(lab, F.concat(F.lit(" "), F.col("word"), F.lit(" ")))
-                      .otherwise(F.concat(F.lit("nolabel"), F.col("word"))).alias("label"))
-    snk.write_embedding_bundle(path, v, syn1, known.unionByName(unknown), labels, '{"layersSize": 64}')
-    b = src.read_embedding_bundle(spark, path)
-    total = F.aggregate(F.col("vector").cast("array<double>"), F.lit(0.0), lambda a, x: a + x)
-    return b.select("word", "idx", "is_label",
-                    F.when(F.col("codes").isNotNull(), F.size("codes")).alias("n_codes"),
-                    _r6(total).alias("vec_sum"),
-                    _r6(F.aggregate("syn1", F.lit(0.0), lambda a, x: a + x)).alias("syn1_sum"))
+    labels = v.select(F.when(lab, F.col("word")).otherwise(F.concat(F.lit("nolabel"), F.col("word"))).alias("label"))
+    return v, syn1, known.unionByName(unknown), labels
+
+
+def _bundle_rows(bundle: DataFrame) -> DataFrame:
+    ids = bundle.withColumn("idx", F.col("idx").cast("int"))
+    return _numbers(ids, ["word", "idx", "is_label"], syn0="vector", syn1="syn1", codes="codes", points="points")
+
+
+@check("embedding_bundle", _BUNDLE_SQL)
+def _bundle(spark, sf):
+    path = scratch_path(spark, "bundle")
+    v, syn1, codes, labels = _bundle_parts(spark, sf)
+    spaced = labels.select(F.concat(F.lit(" "), "label", F.lit(" ")).alias("label"))
+    snk.write_embedding_bundle(path, v, syn1, codes, spaced, '{"layersSize": 64}')
+    return _bundle_rows(src.read_embedding_bundle(spark, path))
+
+
+@check("zip_bundle", _BUNDLE_SQL)
+def _zip_bundle(spark, sf):
+    path = scratch_path(spark, "zip-bundle")
+    binary.write_zip_bundle(path, *_bundle_parts(spark, sf), '{"layersSize": 64}')
+    return _bundle_rows(src.read_zip_bundle(spark, path))
+
+
+@check("word2vec_binary", _numbers_sql("word", "(SELECT 'v' || CAST(vec_id AS VARCHAR) AS word, embedding FROM embeddings)", syn0="embedding"))
+def _word2vec_binary(spark, sf):
+    path = scratch_path(spark, "word2vec-binary")
+    v = named_vectors(spark, sf).select(F.concat(F.lit("v"), "idx").alias("word"), "vector")
+    binary.write_word2vec_binary(v, path, rows_per_file=200)
+    back = src.read_word2vec_binary(spark, path, linebreaks=True, normalize=False, partition_bytes=20_000)
+    return _numbers(back, ["word"], syn0="vector")
+
+
+@check("huffman_codes", "WITH " + VOCAB_CTE + """
+SELECT word, CAST(1 AS BIGINT) AS n_at_code, true AS as_long, true AS rooted FROM vocab""")
+def _huffman(spark, sf):
+    """Each word's code is its own, its points start at the root; see also ``huffman_facts``."""
+    vocab = vec.build_vocab(txt.tokens(load_table(spark, sf, "documents"), "text"), "tokens")
+    codes = huffman.huffman_codes(vocab).withColumn("code", F.array_join("codes", "")).checkpoint()
+    at = codes.groupBy("code").agg(F.count(F.lit(1)).alias("n_at_code"))
+    top = F.lit(vocab.count() - 2)
+    return codes.join(at, "code").select("word", "n_at_code", (F.size("codes") == F.size("points")).alias("as_long"),
+                                         (F.get("points", F.lit(0)) == top).alias("rooted"))
+
+
+@check("huffman_facts", "WITH " + VOCAB_CTE + """
+SELECT count(*) AS n_words, 1.0::DOUBLE AS kraft, true AS near_entropy, 0::BIGINT AS n_longer_than_rarer FROM vocab""")
+def _huffman_facts(spark, sf):
+    """The lengths fill the tree (Kraft sum 1), a word of more occurrences has no
+    longer code, and the mean length is within one bit of the entropy."""
+    vocab = vec.build_vocab(txt.tokens(load_table(spark, sf, "documents"), "text"), "tokens")
+    codes = huffman.huffman_codes(vocab).select("count", F.size("codes").alias("bits"))
+    per = codes.groupBy("count").agg(F.min("bits").alias("low"), F.max("bits").alias("high"), F.count(F.lit(1)).alias("n"),
+                                     F.sum(F.pow(F.lit(0.5), F.col("bits"))).alias("kraft"), F.sum("bits").alias("bits"))
+    rows = sorted(per.collect(), key=lambda r: r["count"])   # distinct counts
+    total = sum(r["count"] * r["n"] for r in rows)
+    mean = sum(r["count"] * r["bits"] for r in rows) / total
+    entropy = -sum(r["n"] * r["count"] / total * math.log2(r["count"] / total) for r in rows)
+    longer = sum(b["high"] > a["low"] for a, b in zip(rows, rows[1:]))
+    return spark.createDataFrame([(sum(r["n"] for r in rows), sum(r["kraft"] for r in rows), entropy <= mean + 1e-9 < entropy + 1, longer)],
+                                 "n_words long, kraft double, near_entropy boolean, n_longer_than_rarer long")
 
 
 @check("embedding_bundle_plain", """SELECT """ + _WORD_SQL + """ AS word, CAST(vec_id AS INT) AS idx, false AS is_label,
@@ -959,6 +1016,20 @@ def _pavg_checkpoint(spark, sf):
     return spark.createDataFrame([(*same, epoch, len(loaded.params))], "params string, spec string, epoch int, n_params long")
 
 
+@check("paragraph_tokens", "WITH " + VOCAB_CTE + """,
+t AS (SELECT doc_id, unnest(t) AS word, generate_subscripts(t, 1) AS pos FROM (SELECT doc_id, """ + q.tokens_expr("text") + """ AS t FROM documents)),
+i AS (SELECT doc_id, count(*) AS n_tokens, string_agg(CAST(idx AS VARCHAR), ',' ORDER BY pos) AS ids FROM t JOIN vocab USING (word) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_tokens, 0) AS n_tokens, sha256(coalesce(ids, '')) AS ids_sha256 FROM documents LEFT JOIN i USING (doc_id)""")
+def _paragraph_tokens(spark, sf):
+    """The tokens that VEC5 trains on, of rows dealt out without regard to their keys."""
+    from bugroute.operators.embedding import token_ids
+
+    docs = txt.tokens(load_table(spark, sf, "documents").select("doc_id", "text"), "text").repartition(5)
+    ids = token_ids(docs, "doc_id", "tokens", vec.build_vocab(docs.select("tokens")))
+    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined.cast("binary"), 256).alias("ids_sha256"))
+
+
 @check("word2vec_vectors", "WITH " + VOCAB_CTE + " SELECT word, CAST(100 AS INT) AS dims FROM vocab")
 def _word2vec(spark, sf):
     wv, _ = routing.trained_word_vectors(spark, sf, epochs=20)
@@ -971,7 +1042,7 @@ def _paragraph(spark, sf):
     from bugroute.operators import paragraph as pv
 
     docs = txt.tokens(load_table(spark, sf, "documents").select("doc_id", "text"), "text")
-    vectors, model = pv.train_paragraph_vectors(docs, "doc_id", "tokens", dims=100, epochs=5)
+    vectors, model = pv.train_paragraph_vectors(docs, "doc_id", "tokens", dims=100, epochs=20)
     inferred = pv.infer_vectors(model, docs, "doc_id", "tokens").withColumnRenamed("vector", "inferred")
     finite = lambda c: F.when(F.forall(c, lambda x: ~F.isnan(x)), F.size(c))
     return vectors.join(inferred, "doc_id").select(

@@ -79,6 +79,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a scratch table that no later step reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 _SHIPPED: set[str] = set()
 
 

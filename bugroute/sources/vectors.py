@@ -3,9 +3,8 @@
 Text formats are read with ``spark.read.text`` (gzip by extension, split
 across tasks) and parsed with JVM built-ins.  Line roles in the JSON formats
 are told apart by content, not by line number, so no global line index (and
-no single-task pass) is needed.  Binary word2vec files and the members of foreign
-zip bundles are read by Spark's binary source, one a task, and emitted in bounded
-batches.
+no single-task pass) is needed.  Binary word2vec files are read by byte ranges and
+foreign zip bundles by their members (``bugroute.sources.ranges``).
 """
 
 from __future__ import annotations
@@ -16,7 +15,8 @@ from pyspark.sql import types as T
 
 from bugroute.functions.arrays import clear_nan_values
 from bugroute.functions.text import trim_trailing_empty, unescape_word
-from bugroute.session import exists
+from bugroute.session import exists, ship_package
+from bugroute.sources import ranges
 
 VOCAB_SCHEMA = T.StructType([
     T.StructField("word", T.StringType()),
@@ -242,62 +242,39 @@ def _word2vec_batches(f, linebreaks: bool, normalize: bool, batch_rows: int = 40
         yield pd.DataFrame({"word": words, "vector": vecs})
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content) of every file, one file a task: Spark reads them, so any
-    store that it knows will do."""
-    return spark.read.format("binaryFile").load(path).select("path", "content").repartition(F.col("path"))
-
-
 def read_word2vec_binary(spark: SparkSession, path: str, linebreaks: bool = False,
-                         normalize: bool = True) -> DataFrame:
-    """word2vec binary (SRC6): ASCII ``count dims`` then per word a
-    space-terminated string and dims little-endian float32.
-
-    A binary model has no record boundaries to split at, so each file is one
-    task, which emits bounded batches.
+                         normalize: bool = True, partition_bytes: int = ranges.PARTITION_BYTES) -> DataFrame:
+    """word2vec binary (SRC6), a file or a folder of files: ASCII ``count dims``
+    then per word a space-terminated string and dims little-endian float32.
+
+    Files are cut into ranges of about ``partition_bytes`` (see
+    ``bugroute.sources.ranges``); a file of one range or many gives the same rows,
+    all records that it holds.  Gzipped files can't be cut: each is one task, which
+    gives bounded batches.
     """
+    ship_package(spark)
+    spark.dataSource.register(ranges.Word2VecBinary)
+    plain = spark.read.format(ranges.Word2VecBinary.name()).options(
+        path=path, linebreaks=linebreaks, normalize=normalize, partitionBytes=partition_bytes).load()
+
     def parse(frames):
         for pdf in frames:
             for p, content in zip(pdf["path"], pdf["content"]):
                 yield from _word2vec_batches(_stream(p, content), linebreaks, normalize)
 
-    return _files(spark, path).mapInPandas(parse, "word string, vector array<float>")
+    if not ranges.data_files(path, ".gz"):
+        return plain
+    packed = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
+    return plain.unionByName(packed.repartition(F.col("path")).mapInPandas(parse, "word string, vector array<float>"))
 
 
 def read_bundle_zip(spark: SparkSession, path: str) -> DataFrame:
-    """Foreign zip bundle (SRC8): (file, part, line_no, line) for every text
-    part.  The members are listed first and dealt out, so that each member is a
-    task of its own, which emits bounded batches."""
-    def members(frames):
-        import io
-        import zipfile
-
-        import pandas as pd
-
-        for pdf in frames:
-            for p, content in zip(pdf["path"], pdf["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for name in z.namelist():
-                        yield pd.DataFrame({"file": [p], "part": [name], "content": [z.read(name)]})
-
-    def parse(frames):
-        import io
-
-        import pandas as pd
-
-        for pdf in frames:
-            for f, part, content in zip(pdf["file"], pdf["part"], pdf["content"]):
-                rows = []
-                for i, raw in enumerate(io.TextIOWrapper(io.BytesIO(content), encoding="utf-8")):
-                    rows.append((f, part, i, raw.rstrip("\n").rstrip("\r")))
-                    if len(rows) >= 4096:
-                        yield pd.DataFrame(rows, columns=["file", "part", "line_no", "line"])
-                        rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=["file", "part", "line_no", "line"])
-
-    dealt = _files(spark, path).mapInPandas(members, "file string, part string, content binary").repartition("file", "part")
-    return dealt.mapInPandas(parse, "file string, part string, line_no long, line string")
+    """Foreign zip bundles (SRC8), a file or a folder of them: (file, part,
+    line_no, line) of every text part.  A member is a task, which inflates it as a
+    stream."""
+    ship_package(spark)
+    spark.dataSource.register(ranges.ZipLines)
+    return spark.read.format(ranges.ZipLines.name()).option("path", path).load()
 
 
 def bundle_tables(lines: DataFrame) -> DataFrame:
