@@ -1,70 +1,38 @@
 """Paragraph vectors, PV-DBOW with negative sampling (VEC5 paragraph half,
-VEC6 inference), as a Spark job.
-
-Le & Mikolov (2014), distributed bag of words: each document vector is
-trained to predict the document's own tokens against sampled noise tokens,
-through shared output weights U (vocabulary x dims).
-
-* Documents are dealt to a fixed number of slots by a hash of the key; a slot
-  is one partition and goes through its documents in key order.  Start vectors
-  and noise are seeded by the key, so neither the partitioning of the input nor
-  the size of the cluster changes a result.
-* U is the model: per round it is broadcast (size checked: vocabulary x
-  dims), each slot updates a local copy while it trains its documents, and
-  the copies are averaged on the executors (``Summarizer.mean`` per chunk).
-* Token ids are written once to the shared checkpoint folder; a round carries
-  only (key, vector).  Batches are streamed, never a whole partition.
-* Inference for new documents freezes U and trains only their vectors.
+VEC6 inference).
+
+Le & Mikolov (2014), distributed bag of words: each document vector is trained
+to tell the document's own words from sampled noise words, through output
+weights that all documents share.  The weights are a table, see
+``bugroute.operators.embedding``; documents meet only the rows of their own words
+and of their noise words.
+
+Start vectors and noise are seeded by the documents' keys and the words' places, so
+neither the partitioning of the input nor the size of the cluster changes a result.
+Inference for new documents reads the weights and changes their vectors only.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-MAX_MODEL_CELLS = 50_000_000   # vocabulary x dims broadcast bound
-CHUNK = 1 << 16
+from bugroute.operators import embedding as emb
+from bugroute.session import ship_package
 
 
 @dataclass
 class ParagraphModel:
-    words: list          # vocabulary in index order
-    counts: np.ndarray   # token counts (noise distribution)
-    out: np.ndarray      # U, (vocab, dims) float32
+    vocab: DataFrame     # (word, count, idx)
+    weights: DataFrame   # (idx, w), output weights
     dims: int
-
-
-def _sigmoid(x):
-    return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
-
-
-def _noise_cdf(counts):
-    p = np.power(counts.astype(np.float64), 0.75)
-    return np.cumsum(p / p.sum())
-
-
-STEP = 64  # tokens of a document whose gradients are taken together
-
-
-def _train_doc(ids, v, out, cdf, lr, negative, rng, update_out=True):
-    """One pass of PV-DBOW over a document's token ids: updates ``out`` in place
-    and returns the new document vector."""
-    labels = np.zeros((1, negative + 1), np.float32)
-    labels[0, 0] = 1.0
-    for a in range(0, len(ids), STEP):
-        own = ids[a:a + STEP]
-        noise = np.searchsorted(cdf, rng.random((len(own), negative)))
-        targets = np.concatenate([own[:, None], noise], 1)
-        u = out[targets]
-        g = ((labels - _sigmoid(u @ v)) * lr).astype(np.float32)
-        if update_out:
-            np.add.at(out, targets.ravel(), g.reshape(-1, 1) * v)
-        v = v + np.einsum("nk,nkd->d", g, u)
-    return v
+    seed: int
 
 
 def _rng(seed: int, key_hash: int, epoch: int):
@@ -75,124 +43,71 @@ def _start(seed: int, key_hash: int, dims: int):
     return ((_rng(seed, key_hash, 0).random(dims) - 0.5) / dims).astype(np.float32)
 
 
-def _vocab(df: DataFrame, tokens: str, min_count: int, dims: int):
-    from bugroute.operators.vectors import build_vocab
-
-    vocab = build_vocab(df.select(tokens), tokens, min_count).select("word", "count", "idx")
-    n = vocab.count()
-    if n * dims > MAX_MODEL_CELLS:
-        raise ValueError(f"output weights of {n} words x {dims} are above the bound of {MAX_MODEL_CELLS} cells on every task")
-    rows = vocab.orderBy("idx").collect()   # bounded by the check above
-    return [r.word for r in rows], np.asarray([r["count"] for r in rows], dtype=np.float64)
-
-
-def _token_ids(df: DataFrame, key: str, tokens: str, words: list, keep=()) -> DataFrame:
-    """(key, __hash, keep..., ids): tokens as vocabulary places, unknown ones left
-    out; a document without known tokens keeps an empty list."""
-    spark = df.sparkSession
-    vocab = spark.createDataFrame([(w, i) for i, w in enumerate(words)] or [("", -1)], "__word string, __id int")
-    hashed = df.select(key, F.xxhash64(key).alias("__hash"), *keep, tokens, F.monotonically_increasing_id().alias("__row"))
-    flat = hashed.select("__row", F.posexplode(tokens).alias("__pos", "__word"))
-    # the vocabulary's size has been checked against the bound of the model
-    ids = (flat.join(F.broadcast(vocab), "__word").groupBy("__row")
-           .agg(F.transform(F.sort_array(F.collect_list(F.struct("__pos", "__id"))), lambda x: x["__id"]).alias("ids")))
-    return hashed.drop(tokens).join(ids, "__row", "left").drop("__row").withColumn(
-        "ids", F.coalesce("ids", F.array().cast("array<int>")))
-
-
 def train_paragraph_vectors(df: DataFrame, key: str, tokens: str = "tokens", dims: int = 100,
                             epochs: int = 20, lr: float = 0.025, min_lr: float = 0.001,
                             negative: int = 5, min_count: int = 1, seed: int = 12345,
-                            slots: int = 8, save_path: str | None = None):
-    """Returns (doc vectors DataFrame (key, vector array<float>), ParagraphModel).
+                            save_path: str | None = None) -> tuple[DataFrame, ParagraphModel]:
+    """((key, vector array<float>), ParagraphModel).
 
-    ``slots`` is the number of parallel copies of U (part of the result, like
-    ``epochs``).  With ``save_path`` the vectors are kept after every epoch.
+    A document without known tokens keeps its start vector.  With ``save_path``
+    the vectors are kept after every epoch.
     """
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-
-    from bugroute.session import scratch_path
+    from bugroute.operators.vectors import build_vocab
     from bugroute.sinks.vectors import save_embeddings
 
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    words, counts = _vocab(df, tokens, min_count, dims)
-    out = np.zeros((len(words), dims), dtype=np.float32)
-    key_type = df.schema[key].dataType.simpleString()
-    base = scratch_path(spark, "paragraph")
-    slot = F.pmod("__hash", F.lit(slots)).cast("int")
-    _token_ids(df, key, tokens, words).withColumn("__slot", slot).repartitionById(slots, F.col("__slot")).sortWithinPartitions(
-        key).write.parquet(f"{base}/tokens")
-    table = spark.read.parquet(f"{base}/tokens")
-    vectors = None
-    for r in range(max(1, epochs)):
-        rate = lr - (lr - min_lr) * r / max(1, epochs - 1) if epochs > 1 else lr
-        bc = sc.broadcast((counts, out))
-        now = table.withColumn("vector", F.lit(None).cast("array<float>")) if vectors is None else table.join(vectors, key)
-        now = now.repartitionById(slots, F.col("__slot")).sortWithinPartitions(key).select(key, "__hash", "ids", "vector")
-
-        def run(frames, r=r, rate=rate, bc=bc):
-            import pandas as pd
-
-            cn, u0 = bc.value
-            cdf, u, seen = _noise_cdf(cn), u0.copy(), False
-            for pdf in frames:
-                seen = True
-                vecs = []
-                for h, ids, v in zip(pdf["__hash"], pdf["ids"], pdf["vector"]):
-                    v = _start(seed, int(h), dims) if v is None else np.asarray(v, np.float32)
-                    vecs.append(_train_doc(np.asarray(ids, np.int64), v, u, cdf, rate, negative, _rng(seed, int(h), r + 1)))
-                yield pd.DataFrame({key: pdf[key], "vector": vecs, "chunk": -1, "values": None})
-            if seen:
-                flat = u.astype(np.float64).ravel()
-                n = math.ceil(len(flat) / CHUNK)
-                yield pd.DataFrame({key: None, "vector": None, "chunk": np.arange(n, dtype=np.int32),
-                                    "values": [flat[i * CHUNK:(i + 1) * CHUNK] for i in range(n)]})
-
-        path = f"{base}/epoch-{r}"
-        now.mapInPandas(run, f"`{key}` {key_type}, vector array<float>, chunk int, values array<double>").write.parquet(path)
-        result = spark.read.parquet(path)
-        avg = (result.where("chunk >= 0").groupBy("chunk").agg(Summarizer.mean(array_to_vector("values")).alias("m"))
-               .select("chunk", vector_to_array("m").alias("m")).orderBy("chunk").collect())
-        bc.destroy()
-        if avg:
-            out = np.concatenate([np.asarray(row["m"]) for row in avg]).reshape(len(words), dims).astype(np.float32)
-        vectors = result.where("chunk < 0").select(key, "vector")
+    vocab = build_vocab(df.select(tokens), tokens, min_count).select("word", "count", "idx")
+    docs, slots, base = emb.dealt(emb.token_ids(df, key, tokens, vocab), key)
+
+    def train(documents, weights, pool, epoch):
+        rate = emb.rate_of(epoch, epochs, lr, min_lr)
+        return [emb.dbow_pass(ids, _start(seed, h, dims) if v is None else v, weights, pool, rate, negative, _rng(seed, h, epoch))
+                for h, ids, v in documents]
+
+    def start(idx):
+        return np.zeros((len(idx), dims), np.float32)
+
+    def after(epoch, vectors):
         if save_path:
-            save_embeddings(vectors, save_path, r + 1)
-    return vectors, ParagraphModel(words, counts, out, dims)
+            save_embeddings(vectors, save_path, epoch)
+
+    vectors, weights = emb.rounds(docs, key, slots, base, vocab, dims, train, start, max(1, epochs), seed, after)
+    return vectors, ParagraphModel(vocab, weights, dims, seed)
 
 
 def infer_vectors(model: ParagraphModel, df: DataFrame, key: str, tokens: str = "tokens",
                   epochs: int = 5, lr: float = 0.025, negative: int = 5, seed: int = 12345,
                   keep=()) -> DataFrame:
-    """Vectors for (new) documents with the output weights frozen, the same under
-    any partitioning.  Documents without known tokens get the zero vector."""
+    """(key, keep..., vector) of (new) documents with the output weights frozen.
+    A document's vector follows from its key and tokens alone; without known
+    tokens it is zero."""
     spark = df.sparkSession
-    bc = spark.sparkContext.broadcast((model.counts, model.out))
+    ship_package(spark)
     dims = model.dims
-    rows = _token_ids(df, key, tokens, model.words, keep)
-
-    def run(frames):
-        import pandas as pd
-
-        cn, u = bc.value
-        cdf = _noise_cdf(cn)
-        for pdf in frames:
-            vecs = []
-            for h, ids in zip(pdf["__hash"], pdf["ids"]):
-                v = _start(seed, int(h), dims) if len(ids) else np.zeros(dims, np.float32)
-                for e in range(epochs):
-                    v = _train_doc(np.asarray(ids, np.int64), v, u, cdf, lr * (1 - e / max(1, epochs)), negative,
-                                   _rng(seed, int(h), e + 1), update_out=False)
-                vecs.append(np.asarray(v, np.float32))
-            out = pdf[[key, *keep]].copy()
-            out["vector"] = vecs
-            yield out
-
-    extra = "".join(f", `{k}` {df.schema[k].dataType.simpleString()}" for k in keep)
-    return rows.mapInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}{extra}, vector array<float>")
+    docs, slots, base = emb.dealt(emb.token_ids(df, key, tokens, model.vocab, keep), key)
+    lines, total, bucket = emb.noise_lines(model.vocab)
+    noise = emb.draw_noise(spark, lines, total, bucket, slots, model.seed, 0, shared=True)
+    own = docs.select("slot", F.explode("ids").alias("idx"), F.lit(0).alias("n"))
+    need = own.distinct().unionByName(noise).groupBy(F.col("slot").alias("slot"), "idx").agg(F.sum("n").alias("n"))
+    need = need.join(model.weights, "idx")
+    docs = docs.select(key, *keep, "__hash", "slot", "ids", F.lit(None).cast("array<float>").alias("vector"))
+
+    kinds = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in (key, *keep)) + "vector array<float>"
+    out = to_arrow_schema(StructType.fromDDL(kinds))
+
+    def run(left, right):
+        if not left.num_rows:
+            return out.empty_table()
+        idx, weights, pool = emb._local(right, dims, None)
+        vectors = []
+        for h, ids, _ in emb._documents(left, idx):
+            v = _start(seed, h, dims) if len(ids) else np.zeros(dims, np.float32)
+            for e in range(epochs):
+                v = emb.dbow_pass(ids, v, weights, pool, lr * (1 - e / max(1, epochs)), negative, _rng(seed, h, e + 1), update_out=False)
+            vectors.append(np.asarray(v, np.float32))
+        return left.select([key, *keep]).append_column("vector", pa.array(vectors, pa.list_(pa.float32())))
+
+    both = docs.repartition(2 * slots, "slot").groupBy("slot").cogroup(need.repartition(2 * slots, "slot").groupBy("slot"))
+    return both.applyInArrow(run, kinds)
 
 
 def paragraph_group_vectors(model: ParagraphModel, df: DataFrame, key: str, height: int,

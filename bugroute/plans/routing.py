@@ -23,6 +23,7 @@ from bugroute.operators import evaluate as ev
 from bugroute.operators import ordering as order
 from bugroute.operators import train as tr
 from bugroute.operators import vectors as vec
+from bugroute.operators.embedding import train_word_vectors
 from bugroute.operators.text import HEIGHT_BY_ARCHITECTURE
 from bugroute.schema import LIGHT_JOB_COLUMNS, SEVERITY_STATES, TEXT_JOB_COLUMNS
 from bugroute.session import ensure_checkpoint_dir
@@ -118,14 +119,14 @@ def derived_word_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, i
     return vec.vectors_from(vocab, emb, matrix_idx="vec_id", matrix_vector="embedding"), dims
 
 
-def trained_word_vectors(spark: SparkSession, sf_dir: str, dims: int = 100, epochs: int = 3) -> tuple[DataFrame, int]:
+def trained_word_vectors(spark: SparkSession, sf_dir: str, dims: int = 100, epochs: int = 20) -> tuple[DataFrame, int]:
     """Word vectors trained on the sentences of all documents, one for every
     word that occurs (windows do not cross sentences)."""
     from bugroute.operators import text as txt
 
     docs = load_table(spark, sf_dir, "documents")
-    sentences = txt.tokens(txt.sentences(docs, "text", key="doc_id"), "sentence")
-    return tr.train_word_vectors(sentences, "tokens", dims=dims, max_iter=epochs), dims
+    sentences = txt.sentences(docs, "text", key="doc_id").withColumn("key", F.concat_ws("/", "doc_id", "pos"))
+    return train_word_vectors(txt.tokens(sentences, "sentence"), "key", dims=dims, epochs=epochs), dims
 
 
 def route_and_score(spark: SparkSession, sf_dir: str, architecture: str = "rnn",

@@ -89,7 +89,7 @@ def test_paragraph_vectors(spark):
 
     docs = txt.tokens(load_table(spark, SF_SMALL, "documents").select("doc_id", "text", "lang"), "text")
     vecs, model = pv.train_paragraph_vectors(docs.select("doc_id", "tokens"), "doc_id", "tokens", dims=16, epochs=3)
-    assert model.out.shape == (len(model.words), 16)
+    assert model.weights.count() == model.vocab.count()
     rows = vecs.join(docs.select("doc_id", "lang"), "doc_id").collect()
     assert len(rows) == docs.count()
     unit = np.stack([np.asarray(r.vector) / (np.linalg.norm(r.vector) + 1e-12) for r in rows])
@@ -98,11 +98,80 @@ def test_paragraph_vectors(spark):
     np.fill_diagonal(same, False)
     other = lang[:, None] != lang[None]
     assert near[same].mean() > near[other].mean() + 0.05
-    again, _ = pv.train_paragraph_vectors(docs.select("doc_id", "tokens").repartition(5), "doc_id", "tokens", dims=16, epochs=3)
     as_dict = lambda t: {r.doc_id: list(r.vector) for r in t.collect()}
-    assert as_dict(vecs) == as_dict(again)
     one = as_dict(pv.infer_vectors(model, docs, "doc_id", "tokens", epochs=2))
-    assert one == as_dict(pv.infer_vectors(model, docs.repartition(7), "doc_id", "tokens", epochs=2)) and len(one) == len(rows)
+    assert len(one) == len(rows)
+    for other in (docs.repartition(5), docs.repartition(7, "doc_id")):
+        again, _ = pv.train_paragraph_vectors(other.select("doc_id", "tokens"), "doc_id", "tokens", dims=16, epochs=3)
+        assert as_dict(vecs) == as_dict(again)
+        assert one == as_dict(pv.infer_vectors(model, other, "doc_id", "tokens", epochs=2))
+
+
+def test_inference_needs_only_the_document(spark):
+    """A document's inferred vector does not depend on the others."""
+    from bugroute.operators import paragraph as pv
+    from tests.conftest import SF_SMALL
+
+    docs = token_rows(spark, SF_SMALL)
+    _, model = pv.train_paragraph_vectors(docs, "doc_id", "tokens", dims=8, epochs=2)
+    every = {r.doc_id: list(r.vector) for r in pv.infer_vectors(model, docs, "doc_id", "tokens", epochs=2).collect()}
+    few = pv.infer_vectors(model, docs.where("doc_id % 10 = 3"), "doc_id", "tokens", epochs=2).collect()
+    assert few and all(list(r.vector) == every[r.doc_id] for r in few)
+
+
+def token_rows(spark, sf):
+    from bugroute.operators import text as txt
+    from bugroute.sources.tables import load_table
+
+    return txt.tokens(load_table(spark, sf, "documents").select("doc_id", "text"), "text").select("doc_id", "tokens")
+
+
+def test_token_ids_stay_with_their_document(spark):
+    from bugroute.operators.embedding import token_ids
+    from bugroute.operators.vectors import build_vocab
+
+    rows = [(i, [f"w{(i * k) % 17}" for k in range(i % 9)]) for i in range(60)] + [(None, ["w1", None, "odd"]), (77, None)]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>").repartition(6)
+    vocab = build_vocab(df, min_count=2)
+    place = {r.word: r.idx for r in vocab.collect()}
+    want = {i: [place[w] for w in t or [] if w in place] for i, t in rows}
+    for other in (df, df.repartition(5), df.repartition(9, "id"), df.coalesce(1)):
+        assert {r.id: r.ids for r in token_ids(other, "id", "tokens", vocab).collect()} == want
+
+
+def test_noise_follows_counts(spark):
+    """The stretches cover the line without gap or overlap, and draws follow them."""
+    import math
+
+    from bugroute.operators import embedding as emb
+
+    counts = [40_000, 900, 900, 81, 16, 16, 1, 1, 1]
+    vocab = spark.createDataFrame([(f"w{i}", c, i) for i, c in enumerate(counts)], "word string, count long, idx long")
+    lines, total, width = emb.noise_lines(vocab)
+    got = sorted((r.idx, r.low, r.high) for r in lines.select("idx", "low", "high").distinct().collect())
+    mass = [max(1, math.floor(c ** 0.75 * emb.MASS_UNIT)) for c in counts]
+    assert got == [(i, sum(mass[:i]), sum(mass[:i + 1])) for i in range(len(counts))] and total == sum(mass)
+    draws = {(r.slot, r.idx): r.n for r in emb.draw_noise(spark, lines, total, width, 3, 1, 1).collect()}
+    for slot in range(3):
+        assert sum(n for (s, _), n in draws.items() if s == slot) == emb.POOL
+    assert abs(sum(n for (_, i), n in draws.items() if i == 0) / (3 * emb.POOL) - mass[0] / total) < 0.02
+
+
+def test_word_vectors_by_company(spark):
+    """Words that occur together are nearer; the same under any partitioning."""
+    from bugroute.operators.embedding import train_word_vectors
+
+    rng = np.random.default_rng(4)
+    rows = [(i, [f"{'ab'[i % 2]}{k}" for k in rng.integers(0, 40, 60)]) for i in range(600)] + [(-1, []), (-2, ["alone"])]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>")
+    got = {r.word: r.vector for r in train_word_vectors(df.repartition(3), "id", dims=16, epochs=6).collect()}
+    assert got == {r.word: r.vector for r in train_word_vectors(df.repartition(8, "id"), "id", dims=16, epochs=6).collect()}
+    assert len(got) == 81
+    names = sorted(w for w in got if w != "alone")
+    unit = np.stack([np.asarray(got[w]) / np.linalg.norm(got[w]) for w in names])
+    same = np.array([[x[0] == y[0] for y in names] for x in names])
+    near = unit @ unit.T
+    assert near[same & ~np.eye(len(names), dtype=bool)].mean() > near[~same].mean() + 0.3
 
 
 def test_light_router_beats_majority(spark):
