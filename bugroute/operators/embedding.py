@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from bugroute.session import delete, scratch_path, ship_package
 
@@ -77,18 +77,32 @@ def noise_lines(vocab: DataFrame) -> tuple[DataFrame, int, int]:
     return lines.select(F.explode(buckets).alias("bucket"), "idx", "low", "high"), total, width
 
 
-def draw_noise(spark: SparkSession, lines: DataFrame, total: int, width: int, slots: int, seed: int, epoch: int,
+def draw_noise(spark: SparkSession, lines: DataFrame, total: int, width: int, slots: int, seed: int, epochs: int = 1,
                shared: bool = False) -> DataFrame:
-    """(slot, idx, n): ``POOL`` noise words for every slot, the same ones for all
-    slots if ``shared``."""
+    """(epoch, slot, idx, n): ``POOL`` noise words for every epoch and slot, the same
+    ones for all slots if ``shared``."""
     if not total:
-        return spark.createDataFrame([], "slot int, idx int, n long")
+        return spark.createDataFrame([], "epoch int, slot int, idx int, n long")
     number = F.pmod(F.col("id"), F.lit(POOL)) if shared else F.col("id")
-    draws = spark.range(slots * POOL).select(
-        F.floor(F.col("id") / POOL).cast("int").alias("slot"),
-        F.pmod(F.xxhash64(number, F.lit(seed), F.lit(epoch)), F.lit(total)).alias("at"))
+    turn = F.floor(F.col("id") / POOL)
+    draws = spark.range(epochs * slots * POOL).select(
+        (F.floor(turn / slots) + 1).cast("int").alias("epoch"), F.pmod(turn, F.lit(slots)).cast("int").alias("slot"),
+        F.pmod(F.xxhash64(number, F.lit(seed)), F.lit(total)).alias("at"))
     draws = draws.withColumn("bucket", F.floor(F.col("at") / width))
-    return draws.join(lines, "bucket").where("low <= at and at < high").groupBy("slot", "idx").agg(F.count(F.lit(1)).alias("n"))
+    return draws.join(lines, "bucket").where("low <= at and at < high").groupBy("epoch", "slot", "idx").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+def needed(docs: DataFrame, vocab: DataFrame, slots: int, seed: int, epochs: int, path: str, shared: bool = False) -> DataFrame:
+    """(epoch, slot, idx, n): the words that a slot meets in an epoch, n times as
+    noise; written once, by epoch."""
+    lines, total, width = noise_lines(vocab)
+    noise = draw_noise(docs.sparkSession, lines, total, width, slots, seed, epochs, shared)
+    own = docs.select("slot", F.explode("ids").alias("idx")).distinct()
+    every = F.explode(F.sequence(F.lit(1), F.lit(epochs))).alias("epoch")
+    own = own.select(every, F.col("slot"), "idx", F.lit(0).cast("long").alias("n"))
+    own.unionByName(noise).groupBy("epoch", "slot", "idx").agg(F.sum("n").alias("n")).write.partitionBy("epoch").parquet(path)
+    return docs.sparkSession.read.parquet(path)
 
 
 def dealt(ids: DataFrame, key: str) -> tuple[DataFrame, int, str]:
@@ -153,76 +167,82 @@ def as_arrays(weights: DataFrame, width: int, dims: int) -> DataFrame:
     return weights.mapInArrow(rows, "idx int, vector array<float>")
 
 
-def _local(right: pa.Table, width: int, start) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words in order, their weights, places of the drawn noise words)."""
-    if not right.num_rows:   # then without columns
-        return np.empty(0, np.int32), np.empty((0, width), np.float32), np.empty(0, np.int64)
-    order = np.argsort(right.column("idx").to_numpy(), kind="stable")
-    idx = right.column("idx").to_numpy()[order]
-    weights = _matrix(right.column("w"), width)[order] if "w" in right.column_names else start(idx)
-    return idx, weights, np.repeat(np.arange(len(idx)), right.column("n").to_numpy()[order])
-
-
-def _documents(left: pa.Table, idx: np.ndarray) -> list:
+def _documents(batch: pa.RecordBatch, idx: np.ndarray) -> list:
     """(hash, places of the tokens among the slot's words, vector or None) of every document."""
     return [(h, np.searchsorted(idx, ids.values.to_numpy()), v.values.to_numpy().astype(np.float32) if v.is_valid else None)
-            for h, ids, v in zip(left.column("__hash").to_pylist(), left.column("ids"), left.column("vector"))]
-
-
-def _result(left: pa.Table, vectors: list, idx: np.ndarray, weights: np.ndarray) -> pa.Table:
-    """A row for each document, then one for each word of the slot."""
-    n_docs, n_words = left.num_rows, len(idx)
-    out = {f.name: pa.concat_arrays([left.column(f.name).combine_chunks(), pa.nulls(n_words, f.type)])
-           for f in left.schema if f.name != "vector"}
-    out["vector"] = pa.array([*vectors, *[None] * n_words], pa.list_(pa.float32()))
-    out["slot"] = pa.concat_arrays([left.column("slot").combine_chunks(), pa.array(np.full(n_words, left.column("slot")[0].as_py(), np.int32))])
-    out["idx"] = pa.concat_arrays([pa.nulls(n_docs, pa.int32()), pa.array(idx.astype(np.int32))])
-    out["w"] = pa.concat_arrays([pa.nulls(n_docs, pa.binary()), _binary(weights)])
-    return pa.table(out)
+            for h, ids, v in zip(batch.column("__hash").to_pylist(), batch.column("ids"), batch.column("vector"))]
+
+
+def slot_rows(docs: DataFrame, need: DataFrame, slots: int) -> DataFrame:
+    """One partition a slot: its words in order, then its documents in key order,
+    so that a task holds the slot's weights and streams its documents."""
+    rows = docs.withColumn("kind", F.lit(1)).unionByName(need.withColumn("kind", F.lit(0)), allowMissingColumns=True)
+    key = [c for c in docs.columns if c not in ("slot", "__hash", "ids", "vector")]
+    return rows.repartitionById(slots, F.col("slot")).sortWithinPartitions("kind", "idx", "__hash", *key)
+
+
+def slot_parts(batches: Iterator[pa.RecordBatch], width: int, start) -> Iterator[tuple]:
+    """The words (idx, weights, pool of noise words as places among them), then
+    batches of the documents."""
+    idx, weights, drawn, words = [], [], [], None
+    for batch in batches:
+        n = int((batch.column("kind").to_numpy() == 0).sum())
+        if n:
+            part = batch.slice(0, n)
+            idx.append(part.column("idx").to_numpy())
+            drawn.append(part.column("n").to_numpy())
+            weights.append(_matrix(part.column("w"), width) if "w" in part.schema.names else start(idx[-1]))
+        if n < batch.num_rows:
+            if words is None:
+                words = np.concatenate([np.empty(0, np.int32), *idx])
+                pool = np.repeat(np.arange(len(words)), np.concatenate([np.empty(0, np.int64), *drawn]))
+                yield words, np.concatenate([np.empty((0, width), np.float32), *weights]), pool
+                weights = []
+            yield batch.slice(n)
 
 
 def rounds(docs: DataFrame, key: str, slots: int, base: str, vocab: DataFrame, width: int, train, start, epochs: int, seed: int,
            after=None) -> tuple[DataFrame, DataFrame]:
     """Run ``epochs`` rounds; returns the tables (key, vector) and (idx, w).
 
-    ``train(documents, weights, pool, epoch)`` goes through a slot's documents,
-    changes ``weights`` in place and gives the documents' vectors (or Nones);
-    ``start(idx)`` gives the first weights of words; ``after(epoch, vectors)`` is
-    called once a round is written.
+    ``train(documents, weights, pool, epoch)`` goes through a batch of a slot's
+    documents, changes ``weights`` in place and gives the documents' vectors (or
+    Nones); ``start(idx)`` gives the first weights of words; ``after(epoch,
+    vectors)`` is called once a round is written.
     """
     spark = docs.sparkSession
     ship_package(spark)
-    key_type = docs.schema[key].dataType.simpleString()
-    lines, total, bucket = noise_lines(vocab)
-    lines.write.parquet(f"{base}/noise")
-    lines = spark.read.parquet(f"{base}/noise")
-    docs.select("slot", F.explode("ids").alias("idx")).distinct().write.parquet(f"{base}/own")
-    own = spark.read.parquet(f"{base}/own")
+    need = needed(docs, vocab, slots, seed, epochs, f"{base}/need")
     docs = docs.select(key, "__hash", "slot", "ids", F.lit(None).cast("array<float>").alias("vector"))
-    schema = f"`{key}` {key_type}, __hash long, slot int, ids array<int>, vector array<float>, idx int, w binary"
-    out = to_arrow_schema(StructType.fromDDL(schema))
+    schema = StructType([StructField(f.name, f.dataType) for f in docs.schema]).add("idx", "integer").add("w", "binary")
+    out = to_arrow_schema(schema)
     weights = None
 
     def task(epoch):
-        def run(left, right):
-            if not left.num_rows:   # noise words alone: no vote
-                return out.empty_table()
-            idx, w, pool = _local(right, width, start)
-            left = left.sort_by([("__hash", "ascending"), (key, "ascending")])
-            return _result(left, train(_documents(left, idx), w, pool, epoch), idx, w)
+        def run(batches):
+            parts = slot_parts(batches, width, start)
+            words = next(parts, None)
+            if words is None:   # no documents: no vote
+                return
+            idx, w, pool = words
+            for batch in parts:
+                vectors = train(_documents(batch, idx), w, pool, epoch)
+                columns = {n: batch.column(n) for n in (key, "__hash", "slot", "ids")}
+                columns["vector"] = pa.array(vectors, pa.list_(pa.float32()))
+                yield _rows(columns, batch.num_rows, out)
+                slot = batch.column("slot")[0].as_py()
+            for a in range(0, len(idx), 4096):
+                n = len(idx[a:a + 4096])
+                yield _rows({"slot": pa.array(np.full(n, slot, np.int32)), "idx": pa.array(idx[a:a + n]), "w": _binary(w[a:a + n])}, n, out)
 
         return run
 
     for epoch in range(1, epochs + 1):
-        noise = draw_noise(spark, lines, total, bucket, slots, seed, epoch)
-        need = own.withColumn("n", F.lit(0)).unionByName(noise).groupBy("slot", "idx").agg(F.sum("n").alias("n"))
-        if weights is not None:
-            need = need.join(weights, "idx")
-
-        both = docs.repartition(2 * slots, "slot").groupBy("slot").cogroup(need.repartition(2 * slots, "slot").groupBy("slot"))
+        now = need.where(F.col("epoch") == epoch).select("slot", "idx", "n")
+        now = now if weights is None else now.join(weights, "idx")
         path = f"{base}/epoch-{epoch}"
-        both.applyInArrow(task(epoch), schema).write.parquet(path)
-        result = spark.read.parquet(path)
+        slot_rows(docs, now, slots).mapInArrow(task(epoch), schema).write.parquet(path)
+        result = spark.read.schema(schema).parquet(path)
         docs = result.where("idx is null").select(key, "__hash", "slot", "ids", "vector")
         copies = result.where("idx is not null").select("idx", "slot", "w").repartition("idx").sortWithinPartitions("idx", "slot")
         weights = copies.select("idx", "w").mapInArrow(_averages(width), "idx int, w binary")
@@ -231,7 +251,13 @@ def rounds(docs: DataFrame, key: str, slots: int, base: str, vocab: DataFrame, w
         if epoch > 1:
             delete(spark, f"{base}/epoch-{epoch - 1}")
     weights.write.parquet(f"{base}/weights")
-    return docs.select(key, "vector"), spark.read.parquet(f"{base}/weights")
+    return docs.select(key, "vector"), spark.read.schema("idx int, w binary").parquet(f"{base}/weights")
+
+
+def _rows(columns: dict, n: int, schema: pa.Schema) -> pa.RecordBatch:
+    """``columns`` with nulls for the others of ``schema``."""
+    return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema],
+                                      schema=schema)
 
 
 # ---------------------------------------------------------------- gradients

@@ -84,30 +84,27 @@ def infer_vectors(model: ParagraphModel, df: DataFrame, key: str, tokens: str =
     ship_package(spark)
     dims = model.dims
     docs, slots, base = emb.dealt(emb.token_ids(df, key, tokens, model.vocab, keep), key)
-    lines, total, bucket = emb.noise_lines(model.vocab)
-    noise = emb.draw_noise(spark, lines, total, bucket, slots, model.seed, 0, shared=True)
-    own = docs.select("slot", F.explode("ids").alias("idx"), F.lit(0).alias("n"))
-    need = own.distinct().unionByName(noise).groupBy(F.col("slot").alias("slot"), "idx").agg(F.sum("n").alias("n"))
-    need = need.join(model.weights, "idx")
+    # the same noise words for every slot: a vector doesn't depend on the other documents
+    need = emb.needed(docs, model.vocab, slots, model.seed, 1, f"{base}/need", shared=True).select("slot", "idx", "n")
     docs = docs.select(key, *keep, "__hash", "slot", "ids", F.lit(None).cast("array<float>").alias("vector"))
-
-    kinds = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in (key, *keep)) + "vector array<float>"
-    out = to_arrow_schema(StructType.fromDDL(kinds))
-
-    def run(left, right):
-        if not left.num_rows:
-            return out.empty_table()
-        idx, weights, pool = emb._local(right, dims, None)
-        vectors = []
-        for h, ids, _ in emb._documents(left, idx):
-            v = _start(seed, h, dims) if len(ids) else np.zeros(dims, np.float32)
-            for e in range(epochs):
-                v = emb.dbow_pass(ids, v, weights, pool, lr * (1 - e / max(1, epochs)), negative, _rng(seed, h, e + 1), update_out=False)
-            vectors.append(np.asarray(v, np.float32))
-        return left.select([key, *keep]).append_column("vector", pa.array(vectors, pa.list_(pa.float32())))
-
-    both = docs.repartition(2 * slots, "slot").groupBy("slot").cogroup(need.repartition(2 * slots, "slot").groupBy("slot"))
-    return both.applyInArrow(run, kinds)
+    schema = StructType([docs.schema[k] for k in (key, *keep, "vector")])
+    out = to_arrow_schema(schema)
+
+    def run(batches):
+        parts = emb.slot_parts(batches, dims, None)
+        idx, weights, pool = next(parts, (None, None, None))
+        for batch in parts:
+            vectors = []
+            for h, ids, _ in emb._documents(batch, idx):
+                v = _start(seed, h, dims) if len(ids) else np.zeros(dims, np.float32)
+                for e in range(epochs):
+                    v = emb.dbow_pass(ids, v, weights, pool, lr * (1 - e / max(1, epochs)), negative, _rng(seed, h, e + 1),
+                                      update_out=False)
+                vectors.append(np.asarray(v, np.float32))
+            columns = {k: batch.column(k) for k in (key, *keep)} | {"vector": pa.array(vectors, pa.list_(pa.float32()))}
+            yield emb._rows(columns, batch.num_rows, out)
+
+    return emb.slot_rows(docs, need.join(model.weights, "idx"), slots).mapInArrow(run, schema)
 
 
 def paragraph_group_vectors(model: ParagraphModel, df: DataFrame, key: str, height: int,

@@ -119,7 +119,7 @@ def derived_word_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, i
     return vec.vectors_from(vocab, emb, matrix_idx="vec_id", matrix_vector="embedding"), dims
 
 
-def trained_word_vectors(spark: SparkSession, sf_dir: str, dims: int = 100, epochs: int = 20) -> tuple[DataFrame, int]:
+def trained_word_vectors(spark: SparkSession, sf_dir: str, dims: int = 100, epochs: int = 5) -> tuple[DataFrame, int]:
     """Word vectors trained on the sentences of all documents, one for every
     word that occurs (windows do not cross sentences)."""
     from bugroute.operators import text as txt

@@ -151,7 +151,7 @@ def test_noise_follows_counts(spark):
     got = sorted((r.idx, r.low, r.high) for r in lines.select("idx", "low", "high").distinct().collect())
     mass = [max(1, math.floor(c ** 0.75 * emb.MASS_UNIT)) for c in counts]
     assert got == [(i, sum(mass[:i]), sum(mass[:i + 1])) for i in range(len(counts))] and total == sum(mass)
-    draws = {(r.slot, r.idx): r.n for r in emb.draw_noise(spark, lines, total, width, 3, 1, 1).collect()}
+    draws = {(r.slot, r.idx): r.n for r in emb.draw_noise(spark, lines, total, width, 3, 1).collect()}
     for slot in range(3):
         assert sum(n for (s, _), n in draws.items() if s == slot) == emb.POOL
     assert abs(sum(n for (_, i), n in draws.items() if i == 0) / (3 * emb.POOL) - mass[0] / total) < 0.02
