@@ -154,7 +154,7 @@ def shared_spans(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="t
     every run of words that a document shares with an item, found from each
     common fingerprint and reaching up to ``WINDOW - GRAM`` words around it."""
     spark = prepare(docs.sparkSession)
-    test = items.where(F.col(item_col).isNotNull()).select(
+    test = items.select(
         F.lit(0).cast("long").alias("rid"), F.col(item_col).cast("string").alias("id"),
         F.col(item_text_col).cast("string").alias("text"))
     test = materialize(fingerprints(test, list(range(1, WINDOW)), own_short=True).where("n_gram != 0"), "benchmark-grams")
@@ -163,7 +163,7 @@ def shared_spans(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="t
     train = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("string").alias("id"),
                         F.col(text_col).cast("string").alias("text"))
     train = materialize(fingerprints(train, lengths, bits), "document-grams")
-    # copies of an item or of a passage meet as one row a text
+    # copies of an item or of a passage meet as one row a text; ids that are null aren't listed
     test = test.groupBy("fp", "n_gram", "left", "gram", "right").agg(F.collect_set("id").alias("items"))
     pairs = train.where("n_gram != 0").join(
         test.select("fp", "n_gram", "gram", F.col("left").alias("item_left"), F.col("right").alias("item_right"), "items"),
@@ -184,8 +184,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     A window is ``WINDOW`` consecutive words of an item (all words of a shorter
     one); a document word inside an occurrence of a window is hit.  Null and
-    empty texts have no words and no hits; items without words or id have no
-    window; repeated document rows are judged one by one (``rid`` tells them
+    empty texts have no words and no hits; items without words have no window, those
+    without id mark words but are not listed or counted; repeated document rows are judged one by one (``rid`` tells them
     apart), equal items each count.  Other columns are never read.
     """
     texts, spans = shared_spans(docs, items, id_col, text_col, item_col, item_text_col)
@@ -194,7 +194,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
            .distinct().groupBy("rid").agg(F.count(F.lit(1)).alias("n_hit")))
     found = (spans.select("rid", F.explode("items").alias("item")).distinct()
              .groupBy("rid").agg(F.array_sort(F.collect_list("item")).alias("items")))
-    return texts.join(hit.join(found, "rid"), "rid", "left").select(
+    return texts.join(hit.join(found, "rid", "left"), "rid", "left").select(
         "rid", F.col("doc_id").cast(docs.schema[id_col].dataType).alias("doc_id"), "text_key", "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.greatest(F.size(F.coalesce("items", F.array())), F.lit(0)).cast("long").alias("n_items"),

@@ -152,7 +152,7 @@ def viterbi(scores: np.ndarray, owner: np.ndarray, n_texts: int, penalty: float)
     counts = counts[order]
     n_steps = int(counts[0]) if n_texts else 0
     active = np.searchsorted(-counts, -np.arange(n_steps), side="left")  # texts with more than t words
-    came = np.full(scores.shape, -1, np.int8)  # -1: no switch before this word
+    came = np.full(scores.shape, -1, np.int16)  # -1: no switch before this word
     best = np.zeros((n_texts, scores.shape[1]), np.float32)
     for t in range(n_steps):
         a = active[t]
@@ -165,8 +165,8 @@ def viterbi(scores: np.ndarray, owner: np.ndarray, n_texts: int, penalty: float)
             came[at] = np.where(move, top[:, None], -1)
             best[:a] = np.maximum(v, switched)
         best[:a] += scores[at]
-    label = np.zeros(len(scores), np.int8)
-    now = best.argmax(1).astype(np.int8)
+    label = np.zeros(len(scores), np.int16)
+    now = best.argmax(1).astype(np.int16)
     for t in range(n_steps - 1, -1, -1):
         a = active[t]
         at = first[:a] + t

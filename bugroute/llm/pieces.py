@@ -72,6 +72,7 @@ class Vocabulary:
                 piece = model.id_to_piece(i).replace(BLANK, " ")
                 self.ids[piece], self.cost[piece], self.bytes[i] = i, -model.get_score(i), piece.encode()
         self.longest = max(map(len, self.ids))
+        self.kind = np.uint16 if n <= 1 << 16 else np.uint32
         self._pair_table()
 
     def _pair_table(self) -> None:
@@ -153,7 +154,7 @@ class Vocabulary:
         odd = (unknown[first + lens] > unknown[first]) | (lens > EVEN) | np.fromiter(
             (u[:2] == "  " for u in units), bool, len(units))
         edge = int(dropout * (1 << 32))
-        out, sizes = [np.empty(0, np.uint16)] * len(units), np.zeros(len(units), np.int64)
+        out, sizes = [np.empty(0, self.kind)] * len(units), np.zeros(len(units), np.int64)
         keys = unit_keys(units, seed) + variants.astype(np.uint64)
         for n in np.unique(lens[~odd]).tolist():
             pick = np.flatnonzero(~odd & (lens == n))
@@ -162,15 +163,15 @@ class Vocabulary:
             sizes[pick] = size
             for unit, *ends in own or ():
                 made.append((pick[unit], *ends))
-            for k, ids in zip(pick.tolist(), np.split(flat.astype(np.uint16), np.cumsum(size)[:-1])):
+            for k, ids in zip(pick.tolist(), np.split(flat.astype(self.kind), np.cumsum(size)[:-1])):
                 out[k] = ids
         for k in np.flatnonzero(odd).tolist():
             own = None if made is None else []
-            out[k] = np.array(self.segment(units[k], int(variants[k]), dropout, seed, own), np.uint16)
+            out[k] = np.array(self.segment(units[k], int(variants[k]), dropout, seed, own), self.kind)
             sizes[k] = len(out[k])
             if own:
                 made.append((np.full(len(own), k), *np.array(own, np.uint64).T))
-        return (np.concatenate(out) if out else np.empty(0, np.uint16)), sizes
+        return (np.concatenate(out) if out else np.empty(0, self.kind)), sizes
 
     def segment(self, unit: str, variant: int, dropout: float, seed: int, made: list | None = None) -> list[int]:
         """The unit's piece ids: agenda merges, some of them skipped."""
@@ -238,7 +239,7 @@ class UnitEncoder:
         self.place: dict[str, int] = {}
         self.units: list[str] = []
         self.chars = 0
-        self.ids = np.empty(0, np.uint16)
+        self.ids = np.empty(0, self.vocabulary.kind)
         self.first, self.size = np.empty(0, np.int64), np.empty(0, np.int64)  # of each unit in ids
         self.long, self.key = np.empty(0, bool), np.empty(0, np.uint64)
         self.merges = np.empty(0, np.uint64)  # hashes of the merges' ends

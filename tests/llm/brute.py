@@ -57,8 +57,8 @@ def contamination(rows, items, window=10):
     for item, text in items:
         w = ALNUM.findall(low(text))
         n = min(len(w), window)
-        for i in range(len(w) - n + 1 if n and item is not None else 0):
-            windows[tuple(w[i:i + n])].add(str(item))
+        for i in range(len(w) - n + 1 if n else 0):
+            windows[tuple(w[i:i + n])] |= {str(item)} if item is not None else set()
     lengths = {len(g) for g in windows}
     out = []
     for i, text in rows:

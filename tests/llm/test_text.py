@@ -308,3 +308,25 @@ def test_slices_cover_all_rows():
     batch = pa.RecordBatch.from_pydict({"text": ["a" * k for k in (3, 0, 50, 1, 1, 90, 2)] + [None]})
     parts = list(slices(batch, "text", 10))
     assert sum(p.num_rows for p in parts) == 8 and pa.Table.from_batches(parts).to_pydict() == pa.Table.from_batches([batch]).to_pydict()
+
+
+def test_many_languages():
+    """Labels past 127 come back as they are."""
+    scores = np.full((6, 300), -5.0, np.float32)
+    scores[:, 150], scores[3:, 299] = 0, 9
+    assert langid.viterbi(scores, np.zeros(6, np.int64), 1, 1.0).tolist() == [150] * 3 + [299] * 3
+
+
+def test_large_vocabularies():
+    """Ids of 65,536 and more don't wrap."""
+    from bugroute.llm.pieces import Vocabulary
+
+    v = Vocabulary.__new__(Vocabulary)
+    n = 70_000
+    v.ids = {" ": 5, "a": 69_990, "b": 69_991, "ab": 69_999, " ab": 69_998}
+    v.cost = {" ": 9.0, "a": 8.0, "b": 7.0, "ab": 1.0, " ab": 2.0}
+    v.byte_ids, v.bytes, v.longest = list(range(256)), [b""] * n, 3
+    v.kind = np.uint32
+    v._pair_table()
+    ids, sizes = v.segment_all([" ab", " ba"], np.zeros(2, np.int64), 0.0, 1)
+    assert ids.tolist() == [69_998, 5, 69_991, 69_990] and sizes.tolist() == [1, 3]
