@@ -84,15 +84,22 @@ def _safe_div(num, den):
     return F.when(den == 0, F.lit(float("nan"))).otherwise(num / den)
 
 
-def example_score(name: str, labels: Column | str, output: Column | str) -> Column:
-    """Per-example loss given labels and *activated* output."""
+def example_score(name: str, labels: Column | str, output: Column | str, mask: Column | str | None = None) -> Column:
+    """Per-example loss given labels and *activated* output.
+
+    ``mask``: an array with a factor for each output's share of the score; norms
+    and the number of outputs that a loss divides by stay those of all outputs.
+    """
     name = canonical(name)
     y = _col(labels).cast("array<double>")
     p = _col(output).cast("array<double>")
     n_out = F.size(y).cast("double")
 
     def zsum(f):
-        return _sum(F.zip_with(y, p, f))
+        shares = F.zip_with(y, p, f)
+        if mask is not None:
+            shares = F.zip_with(shares, _col(mask).cast("array<double>"), lambda s, m: s * m)
+        return _sum(shares)
 
     if name == "MSE":
         return zsum(lambda a, b: (a - b) * (a - b)) / n_out
@@ -128,6 +135,6 @@ def example_score(name: str, labels: Column | str, output: Column | str) -> Colu
 
 
 def loss_score(name: str, labels: Column | str, pre_output: Column | str,
-               activation: str = "identity") -> Column:
-    """Per-example loss from labels and the pre-activation output."""
-    return example_score(name, labels, activate(pre_output, activation))
+               activation: str = "identity", mask: Column | str | None = None) -> Column:
+    """Per-example loss from labels and the pre-activation output (``mask``: by output)."""
+    return example_score(name, labels, activate(pre_output, activation), mask)

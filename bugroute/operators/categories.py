@@ -16,6 +16,7 @@ from bugroute.functions.arrays import one_hot_array
 
 DEFAULT_MAX_STATES = 100_000
 DENSE_ONE_HOT_LIMIT = 20_000
+LITERAL_STATES = 64   # up to here a list is searched in the row
 
 
 def category_table(df: DataFrame, column: str, parse_int: bool = True) -> DataFrame:
@@ -113,6 +114,38 @@ def one_hot(df: DataFrame, column: str, states: Sequence, out: str = "array",
     raise ValueError(f"unknown out={out!r}")
 
 
+def category_places(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, dict]:
+    """(``df`` with each column replaced by its place among the column's distinct
+    values, {column: number of values}); null and unparsable cells have none.
+
+    The value tables stay tables: each is joined back, by broadcast if it was
+    counted as at most ``DEFAULT_MAX_STATES`` rows.
+    """
+    widths = {}
+    for c in columns:
+        table = category_table(df, c).select(F.col(c).alias("__value"), F.col("state_idx").cast("int").alias("__place"))
+        widths[c] = table.count()
+        if widths[c] <= DEFAULT_MAX_STATES:
+            table = F.broadcast(table)
+        joined = df.join(table, F.col(c).try_cast("int") == F.col("__value"), "left")
+        df = joined.select(*(F.col("__place").alias(c) if x == c else F.col(x) for x in df.columns))
+    return df, widths
+
+
+def one_hot_vectors(df: DataFrame, widths: dict) -> DataFrame:
+    """Replace places (``category_places``) by sparse ML vectors of the given widths;
+    a null place gives no entry."""
+    from pyspark.ml.feature import OneHotEncoder
+
+    names = [c for c, n in widths.items() if n]
+    keyed = df.select("*", *(F.coalesce(F.col(c), F.lit(widths[c])).cast("double").alias(f"__at_{c}") for c in names))
+    # fitted on the largest index of each column, which stands for "none" and is dropped
+    encoder = OneHotEncoder(inputCols=[f"__at_{c}" for c in names], outputCols=[f"__hot_{c}" for c in names], dropLast=True)
+    top = df.sparkSession.createDataFrame([tuple(float(widths[c]) for c in names)], [f"__at_{c}" for c in names])
+    hot = encoder.fit(top).transform(keyed) if names else keyed
+    return hot.select(*(F.col(f"__hot_{c}").alias(c) if c in names else F.col(c) for c in df.columns))
+
+
 def index_classes(df: DataFrame, column: str = "class", mode: str = "dense",
                   out: str = "label", max_classes: int = DEFAULT_MAX_STATES,
                   classes: list | None = None) -> tuple[DataFrame, list]:
@@ -133,8 +166,12 @@ def index_classes(df: DataFrame, column: str = "class", mode: str = "dense",
 
 
 def join_index(df: DataFrame, value, states: Sequence, out: str) -> DataFrame:
-    """``out``: the place of ``value`` in the list ``states`` (null if absent), by
-    a hash join; the list has been checked against a bound, so it is broadcast."""
+    """``out``: the place of ``value`` in the list ``states`` (null if absent): a
+    short list is searched in the row, a longer one joined by hash; the list has been
+    checked against a bound, so it is broadcast."""
+    if len(states) <= LITERAL_STATES:
+        place = F.array_position(F.array(*(F.lit(int(s)) for s in states)), value) if states else F.lit(0)
+        return df.withColumn(out, F.when(place > 0, (place - 1).cast("int")))
     table = df.sparkSession.createDataFrame([(int(s), i) for i, s in enumerate(states)], "__state int, __place int")
     keyed = df.withColumn("__value", value).join(F.broadcast(table), F.col("__value") == F.col("__state"), "left")
     return keyed.select(*(F.col(c) for c in df.columns if c != out), F.col("__place").alias(out))

@@ -8,17 +8,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from bugroute.functions.losses import canonical, loss_score
 
 
+def _masked(df: DataFrame, name: str, labels: str, pre_output: str, activation: str, mask: str | None):
+    """The score of a loss under a mask: an array masks single outputs, a number
+    the whole example; the score under a null mask is null."""
+    if mask is not None and isinstance(df.schema[mask].dataType, ArrayType):
+        return loss_score(canonical(name), labels, pre_output, activation, mask)
+    score = loss_score(canonical(name), labels, pre_output, activation)
+    return score if mask is None else score * F.col(mask).cast("double")
+
+
 def loss(df: DataFrame, name: str, labels: str = "labels", pre_output: str = "pre_output",
          activation: str = "identity", mask: str | None = None, out: str = "score") -> DataFrame:
-    """Add the per-example score of loss ``name`` (times ``mask`` if given)."""
-    s = loss_score(canonical(name), labels, pre_output, activation)
-    if mask is not None:
-        s = s * F.col(mask).cast("double")
-    return df.withColumn(out, s)
+    """Add the per-example score of loss ``name``.  ``mask`` names a column with a
+    factor for the example, or an array with one for each output."""
+    return df.withColumn(out, _masked(df, name, labels, pre_output, activation, mask))
 
 
 def loss_total(df: DataFrame, name: str, labels: str = "labels", pre_output: str = "pre_output",
@@ -39,10 +47,7 @@ def loss_totals(df: DataFrame, names_activations, labels: str = "labels",
     one projection with every score, one aggregate, then a stack."""
     scores = []
     for i, (name, act) in enumerate(names_activations):
-        s = loss_score(canonical(name), labels, pre_output, act)
-        if mask is not None:
-            s = s * F.col(mask).cast("double")
-        scores.append(s.alias(f"__s{i}"))
+        scores.append(_masked(df, name, labels, pre_output, act, mask).alias(f"__s{i}"))
     agg = df.select(*scores).agg(F.count(F.lit(1)).alias("n"),
                                  *[F.sum(f"__s{i}").alias(f"__t{i}") for i in range(len(scores))])
     stacked = F.stack(F.lit(len(scores)), *[x for i, (name, _) in enumerate(names_activations)

@@ -145,3 +145,22 @@ def assemble(df: DataFrame, key: str, group_arrays: DataFrame, one_hot_columns:
         "vectors", F.coalesce("vectors", _zero_groups(height, dims)))
     feats = F.flatten(F.transform("vectors", lambda v: F.concat(v, F.col("__tail"))))
     return joined.select(key, feats.alias(out), F.col(label))
+
+
+def assemble_sparse(df: DataFrame, key: str, group_arrays: DataFrame | None, one_hot_columns: Sequence[str],
+                    height: int, dims: int, label: str = "label", out: str = "features") -> DataFrame:
+    """The rows of ``assemble`` as sparse ML vectors (PRJ5): for each group its vector,
+    then the one-hot vectors (sparse ML vectors too), so a row costs its entries and
+    not its width.  Without ``group_arrays`` a row is its one-hots alone.
+    """
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import array_to_vector
+
+    rows = df.select(key, *one_hot_columns, F.col(label).alias(label))
+    groups = []
+    if group_arrays is not None:
+        rows = rows.join(group_arrays, key, "left").withColumn("vectors", F.coalesce("vectors", _zero_groups(height, dims)))
+        groups = [f"__group_{g}" for g in range(height)]
+        rows = rows.select("*", *(array_to_vector(F.col("vectors")[g]).alias(c) for g, c in enumerate(groups)))
+    columns = [c for g in groups for c in (g, *one_hot_columns)] if groups else list(one_hot_columns)
+    return VectorAssembler(inputCols=columns, outputCol=out).transform(rows).select(key, out, label)

@@ -549,7 +549,7 @@ def _pad(spark, sf):
     return posexplode_rows(e.select("vec_id", pad_array(codes, 40).alias("v")), "vec_id", "v", "pos", "code")
 
 
-@check("assemble", "WITH " + VOCAB_CTE + B[4:].strip().join([", ", ""]) + """, wv AS (SELECT v.word, CAST(e.embedding AS DOUBLE[])
+_ASSEMBLE_SQL = ("WITH " + VOCAB_CTE + B[4:].strip().join([", ", ""]) + """, wv AS (SELECT v.word, CAST(e.embedding AS DOUBLE[])
   AS vector FROM vocab v JOIN embeddings e ON v.idx = e.vec_id),
 kept AS (SELECT * FROM bugs WHERE length(coalesce(text, '')) > 0),
 w AS (SELECT row_id, unnest(ws) AS word FROM (SELECT row_id, w AS ws FROM """ + q.words_from("kept", "row_id") + """)),
@@ -571,12 +571,27 @@ one AS (SELECT row_id, mean.pos AS pos, value FROM mean
   UNION ALL SELECT row_id, d + s + c + prod.pos, 1 FROM kept JOIN prod ON product_id = prod.state, size)
 SELECT row_id, CAST(label AS INT) AS label, CAST(pos AS INT) AS pos, round(value, 6) AS value
 FROM one JOIN kept USING (row_id) JOIN cls USING (class) WHERE value <> 0""")
+
+
+@check("assemble", _ASSEMBLE_SQL)
 def _assemble(spark, sf):
     plan = _text_plan(spark, sf)
     out = posexplode_rows(plan.features, ["row_id", "label"], "features")
     return out.where("value != 0").withColumn("value", _r6(F.col("value")))
 
 
+@check("assemble_sparse", _ASSEMBLE_SQL)
+def _assemble_sparse(spark, sf):
+    """The same rows from sparse vectors, categories as tables."""
+    from pyspark.ml.functions import vector_to_array
+
+    wv, dims = routing.derived_word_vectors(spark, sf)
+    plan = routing.text_features(bugs_table(spark, sf), wv, dims, "rnn", sparse=True)
+    dense = plan.features.select("row_id", "label", vector_to_array("features").alias("features"))
+    out = posexplode_rows(dense, ["row_id", "label"], "features")
+    return out.where("value != 0").withColumn("value", _r6(F.col("value")))
+
+
 # --------------------------------------------------------------------------
 # Losses (LS1-LS14)
 
@@ -612,7 +627,8 @@ _DUCK_ACT = {
 _CLIP = "least(greatest({x}, 1e-10), 1 - 1e-10)"
 
 
-def _duck_loss(name: str, p: str) -> str:
+def _duck_loss(name: str, p: str, factor: str = "") -> str:
+    """``factor``: SQL factor of output i's share, like ``* m[i]``."""
     a, b = "y[i]", f"{p}[i]"
     cb = _CLIP.format(x=b)
     terms = {
@@ -628,10 +644,10 @@ def _duck_loss(name: str, p: str) -> str:
         "Poisson": f"{b} - {a} * ln({cb})",
     }
     if name == "CosineProximity":
-        return ("-(list_sum(list_transform(range(1, len(y) + 1), lambda i: y[i] * p[i])) / "
+        return ("-(list_sum(list_transform(range(1, len(y) + 1), lambda i: y[i] * p[i]" + factor + ")) / "
                 "(sqrt(list_sum(list_transform(y, lambda a: a * a))) * "
                 f"sqrt(list_sum(list_transform({p}, lambda b: b * b)))))").replace("p[i]", f"{p}[i]")
-    s = f"list_sum(list_transform(range(1, len(y) + 1), lambda i: {terms[name]}))"
+    s = f"list_sum(list_transform(range(1, len(y) + 1), lambda i: ({terms[name]}){factor}))"
     if name in ("MCXENT", "NegativeLogLikelihood", "BinaryXENT"):
         s = f"-({s})"
     if name in ("MSE", "MAE", "MSLE", "Poisson"):
@@ -668,6 +684,21 @@ def _losses(spark, sf):
     return _loss_scores(spark, sf).select("vec_id", "loss", _r6(F.col("score")).alias("score"))
 
 
+@check("losses_masked", _LOSS_BASE.split("scores AS (")[0] + "scores AS (" + "\nUNION ALL\n".join(
+    f"SELECT vec_id, '{n}' AS loss, CAST({_duck_loss(n, 'p_' + LOSS_ACTIVATION.get(n, 'identity'), ' * ((i + vec_id) % 2)')} AS DOUBLE) "
+    "AS score FROM act" for n in LOSS_NAMES) + """)
+SELECT vec_id, loss, round(score, 6) AS score FROM scores""")
+def _losses_masked(spark, sf):
+    """Every second output masked out."""
+    half = F.transform("labels", lambda _, i: (F.pmod(i + 1 + F.col("vec_id"), F.lit(2))).cast("double"))
+    inp = loss_inputs(spark, sf).withColumn("outputs", half)
+    scored = inp
+    for n in LOSS_NAMES:
+        scored = lossops.loss(scored, n, activation=LOSS_ACTIVATION.get(n, "identity"), mask="outputs", out=n)
+    stacked = F.stack(F.lit(len(LOSS_NAMES)), *(x for n in LOSS_NAMES for x in (F.lit(n), F.col(n)))).alias("loss", "score")
+    return scored.select("vec_id", stacked).withColumn("score", _r6(F.col("score")))
+
+
 @check("loss_totals", _LOSS_BASE + """SELECT loss, round(sum(score * mask), 6) AS total,
   round(sum(score * mask) / count(*), 6) AS average FROM scores GROUP BY loss""")
 def _loss_totals(spark, sf):
@@ -941,6 +972,7 @@ def _libsvm(spark, sf):
 # invariants in tests/).
 
 from bugroute.operators import param_avg as pavg  # noqa: E402
+from bugroute.streaming.curve import curve_stream  # noqa: E402
 from bugroute.operators import train as tr  # noqa: E402
 from bugroute.plans import routing  # noqa: E402
 
@@ -996,6 +1028,30 @@ def _pavg_softmax(spark, sf):
     return tr.learning_curve(spark, rows)
 
 
+@check("curve_counts", B + """, kept AS (SELECT row_id, class FROM bugs WHERE length(coalesce(text, '')) > 0),
+cls AS (SELECT class, row_number() OVER (ORDER BY class) - 1 AS label FROM (SELECT DISTINCT class FROM bugs)),
+s AS (SELECT label, CASE WHEN row_number() OVER (ORDER BY row_id) <= (9 * count(*) OVER ()) // 10 THEN 'train' ELSE 'test' END AS split
+      FROM kept JOIN cls USING (class)),
+m AS (SELECT split, 'n' AS metric, count(*) AS value FROM s GROUP BY split
+      UNION ALL SELECT split, 'n[' || CAST(label AS VARCHAR) || ']', count(*) FROM s GROUP BY split, label)
+SELECT CAST(unnest([1, 2]) AS INT) AS epoch, split, metric, CAST(value AS DOUBLE) AS value FROM m""")
+def _curve_counts(spark, sf):
+    """The learning curve's counts, from a stream over the epochs' checkpoints that
+    is started again after the second one."""
+    plan = _text_plan(spark, sf)
+    train, test = order.train_test(plan.features, "row_id", 9, 10)
+    spec = pavg.NetSpec(n_in=plan.width, n_out=len(plan.classes), lr=0.5)
+    models, sink, progress = (scratch_path(spark, n) for n in ("curve-models", "curve", "curve-progress"))
+    trained = pavg.train_param_avg(train, spec, epochs=1, save_path=models)
+    for more in (False, True, False):
+        if more:
+            pavg.train_param_avg(train, spec, epochs=1, start=trained, start_epoch=2, save_path=models)
+        query = curve_stream(spark, models, sink, progress, {"train": train, "test": test})
+        query.awaitTermination()
+    curve = spark.read.parquet(sink)
+    return curve.where("metric like 'n%'").select(F.col("epoch").cast("int").alias("epoch"), "split", "metric", "value")
+
+
 @check("param_avg_rows", B + """SELECT e.epoch, (9 * n) // 10 AS rows_trained
 FROM (SELECT count(*) AS n FROM bugs WHERE length(coalesce(text, '')) > 0),
      (SELECT CAST(unnest([1, 2]) AS BIGINT) AS epoch) e""")

@@ -46,13 +46,23 @@ class FeaturePlan:
 
 
 def encode_columns(bugs: DataFrame, columns=TEXT_JOB_COLUMNS, key: str = "row_id",
-                   fitted: tuple | None = None):
+                   fitted: tuple | None = None, sparse: bool = False):
     """Projection, category fits and one-hots shared by both jobs.
 
     ``fitted`` = (components, products, classes) reuses earlier fits (new
     data, streams); otherwise they are fitted here (distinct lists only).
+    With ``sparse`` one-hots are sparse vectors and the lists of components and
+    products stay tables (their places are returned as ranges).
     """
     kept = colops.keep_columns(bugs, [key, *columns])
+    if sparse:
+        states = F.array(*map(F.lit, SEVERITY_STATES))
+        place = F.array_position(states, F.col("bug_severity"))
+        placed, widths = cat.category_places(kept, ["component_id", "product_id"])
+        placed = placed.withColumn("bug_severity", F.when(place > 0, (place - 1).cast("int")))
+        indexed, classes = cat.index_classes(placed, "class", "dense", "label")
+        hot = cat.one_hot_vectors(indexed, {"bug_severity": len(SEVERITY_STATES), **widths})
+        return hot, range(widths["component_id"]), range(widths["product_id"]), classes
     if fitted is None:
         # one pass over the table for all three lists
         lists = cat.fit_categories_many(kept, ["component_id", "product_id", "class"])
@@ -73,12 +83,13 @@ def encode_columns(bugs: DataFrame, columns=TEXT_JOB_COLUMNS, key: str = "row_id
 def text_features(bugs: DataFrame, word_vectors: DataFrame | None, dims: int,
                   architecture: str = "rnn", key: str = "row_id",
                   checkpoint: bool = True, fitted: tuple | None = None,
-                  paragraph=None) -> FeaturePlan:
-    """Feature rows of the text job.  Group vectors are the mean of known word
+                  paragraph=None, sparse: bool = False) -> FeaturePlan:
+    """Feature rows of the text job (with ``sparse`` as sparse vectors, for any
+    number of components and products).  Group vectors are the mean of known word
     vectors, or, with a trained ``paragraph`` model, inferred paragraph
     vectors (one per word group, as the reference infers them)."""
     height = HEIGHT_BY_ARCHITECTURE[architecture]
-    encoded, comps, prods, classes = encode_columns(bugs, TEXT_JOB_COLUMNS, key, fitted)
+    encoded, comps, prods, classes = encode_columns(bugs, TEXT_JOB_COLUMNS, key, fitted, sparse)
     rows = colops.drop_empty_text(encoded)
     if paragraph is not None:
         from bugroute.operators.paragraph import paragraph_group_vectors
@@ -90,18 +101,21 @@ def text_features(bugs: DataFrame, word_vectors: DataFrame | None, dims: int,
         gv = gv.select(key, F.transform("__p", lambda x: x["vector"]).alias("vectors"))
     else:
         gv = vec.group_vector_arrays(rows.select(key, "text"), word_vectors, key, height, dims)
-    feats = vec.assemble(rows, key, gv, ["bug_severity", "component_id", "product_id"],
-                         height, dims, label="label")
+    put_together = vec.assemble_sparse if sparse else vec.assemble
+    feats = put_together(rows, key, gv, ["bug_severity", "component_id", "product_id"], height, dims, label="label")
     if checkpoint:
         ensure_checkpoint_dir(feats.sparkSession)
         feats = feats.checkpoint(eager=True)
     return FeaturePlan(feats, comps, prods, classes, dims, height)
 
 
-def light_features(bugs: DataFrame, key: str = "row_id", drop_class_from: int = 25) -> FeaturePlan:
+def light_features(bugs: DataFrame, key: str = "row_id", drop_class_from: int = 25, sparse: bool = False) -> FeaturePlan:
     """No-text job: drop class >= 25, one-hots only, class kept as its name."""
     kept = colops.drop_where(bugs, "class", ">=", drop_class_from)
-    encoded, comps, prods, classes = encode_columns(kept, LIGHT_JOB_COLUMNS, key)
+    encoded, comps, prods, classes = encode_columns(kept, LIGHT_JOB_COLUMNS, key, sparse=sparse)
+    if sparse:
+        feats = vec.assemble_sparse(encoded, key, None, ["bug_severity", "component_id", "product_id"], 1, 0)
+        return FeaturePlan(feats, comps, prods, classes, 0, 1)
     feats = encoded.select(key, F.concat("bug_severity", "component_id", "product_id").alias("features"),
                            "label")
     return FeaturePlan(feats, comps, prods, classes, 0, 1)

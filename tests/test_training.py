@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -67,6 +69,37 @@ def test_param_avg_trains_on_every_row(spark, workers, rows):
     assert [tuple(r) for r in pavg.rows_trained(spark, trained).orderBy("epoch").collect()] == [(1, rows), (2, rows)]
 
 
+def test_averaging_interval_is_constant(spark):
+    """More rows give more rounds, not longer ones."""
+    spec = pavg.NetSpec(n_in=2, n_out=3)
+    for rows, rounds in ((100, 1), (1_000, 10), (4_000, 40)):
+        df = spark.range(rows).select(F.col("id").alias("row_id"), F.array((F.col("id") % 7).cast("double"), F.lit(1.0)).alias("features"),
+                                      (F.col("id") % 3).cast("int").alias("label"))
+        trained = pavg.train_param_avg(df, spec, workers=2, batch=10, avg_every=5)
+        assert len(trained.history) == rounds and max(h[3] for h in trained.history) < 2 * 2 * 10 * 5
+
+
+def test_model_in_many_chunks(spark, monkeypatch):
+    """A model of several chunks trains and predicts like one of a single chunk."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 6))
+    rows = [(i, v.tolist(), int(v[:3].argmax())) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "row_id long, features array<double>, label int").repartition(3)
+    spec = pavg.NetSpec(n_in=6, n_out=3, lr=0.3, updater="nesterov", momentum=0.5)
+    start = pavg.train_param_avg(df, spec, epochs=2, workers=2)
+    flat = np.concatenate([start.params, start.state])
+    assert len(flat) == 2 * spec.n_params
+    pieces = spark.createDataFrame([(k, bytearray(flat[5 * k:5 * k + 5].tobytes())) for k in range(math.ceil(len(flat) / 5))],
+                                   "chunk int, values binary")
+    chunked = pavg.TrainedNet(spec, pieces)
+    assert np.array_equal(chunked.params, start.params)
+    ways = [sorted(map(tuple, pavg.predict(m, df, keep=("row_id",), broadcast_mb=mb).collect())) for m, mb in
+            ((start, 64), (chunked, 64), (chunked, 0))]
+    assert ways[0] == ways[1] == ways[2] and len(ways[0]) == 300
+    one, other = (pavg.train_param_avg(df, spec, workers=2, start=m, start_epoch=3) for m in (start, chunked))
+    assert np.array_equal(one.params, other.params)
+
+
 def test_softmax_gradient_numerically():
     rng = np.random.default_rng(0)
     spec = pavg.NetSpec(n_in=5, n_out=3)
