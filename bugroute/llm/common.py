@@ -52,6 +52,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of a ``bit_table``: 4 MB whatever the data.
+BITS_LOG2 = 25
+
+
+def bit_table(hashes: DataFrame, name: str) -> Column:
+    """A table of 2**BITS_LOG2 bits, one column ``h`` of hashes set in it, as a
+    scalar array: its size does not depend on the data."""
+    words = hashes.select(F.col("h").bitwiseAND((1 << BITS_LOG2) - 1).alias("p")).groupBy(
+        F.shiftright("p", 6).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
+    spark = hashes.sparkSession
+    table = spark.range(1 << (BITS_LOG2 - 6)).join(words, "id", "left").select("id", F.coalesce("bits", F.lit(0)).alias("bits"))
+    table = materialize(table.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))),
+                                              lambda x: x["bits"]).alias("bits")), name)
+    return table.scalar()
+
+
+def in_bit_table(h: Column, table: Column) -> Column:
+    p = h.bitwiseAND((1 << BITS_LOG2) - 1)
+    word = F.get(table, F.shiftright(p, 6).cast("int"))
+    return F.getbit(word, p.bitwiseAND(63).cast("int")) == 1
+
+
 def lean(rows):
     """A mapInArrow function that runs without the search for reference cycles:
     with large dictionaries it takes longer than the work itself."""
