@@ -120,9 +120,11 @@ class Code:
         return paths
 
 
-def trigram_counts(texts: list[bytes]) -> np.ndarray:
-    """How often each (pair of last bytes, symbol) comes in the texts; before a
-    text stand two zero bytes."""
+def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(choice, times) of each (pair of last bytes, symbol) that comes in the texts;
+    before a text stand two zero bytes."""
+    if not texts:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     data = np.frombuffer(b"".join(b"\0\0" + t + b"\0" for t in texts), np.uint8).astype(np.int32)
     size = np.fromiter(map(len, texts), np.int64, len(texts)) + 3
     ends = np.cumsum(size) - 1
@@ -131,7 +133,15 @@ def trigram_counts(texts: list[bytes]) -> np.ndarray:
     place = (data[:-2] * 256 + data[1:-1]) * SYMBOLS + symbol
     inside = np.ones(len(place), bool)
     inside[ends[:-1] - 1], inside[ends[:-1]] = False, False
-    return np.bincount(place[inside], minlength=(1 << 16) * SYMBOLS)
+    return np.unique(place[inside], return_counts=True)
+
+
+def trigram_counts(texts: list[bytes]) -> np.ndarray:
+    """The counts of all choices."""
+    counts = np.zeros((1 << 16) * SYMBOLS, np.int64)
+    at, times = trigrams(texts)
+    counts[at] = times
+    return counts
 
 
 # The gate of each byte: blanks, letters of either case and UTF-8 parts, all else.
@@ -226,7 +236,7 @@ def count_decisions(texts: list[bytes], code: Code, counts: list[np.ndarray]) ->
 
 
 def log_odds(counts: list[np.ndarray]) -> list[np.ndarray]:
-    return [np.log((c[1::2] + np.float32(PRIOR)) / (c[0::2] + np.float32(PRIOR))) for c in counts]
+    return [np.log((c[1::2] + PRIOR) / (c[0::2] + PRIOR)).astype(np.float32) for c in counts]
 
 
 def log10_probability(texts: list[bytes], code: Code, tables: list[np.ndarray]) -> np.ndarray:
@@ -283,8 +293,13 @@ def _table_rows(code):
     return rows
 
 
+def _counts(block: bytes) -> np.ndarray:
+    """A task's counts have 32 bits, sums 64."""
+    return np.frombuffer(block, np.int32 if len(block) == 4 * BLOCK else np.int64).astype(np.int64)
+
+
 def _add_blocks(rows: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(x, np.int32) for x in rows["counts"])
+    total = sum(_counts(x) for x in rows["counts"])
     return pd.DataFrame({"task": rows["task"].iloc[:1], "block": rows["block"].iloc[:1], "counts": [total.tobytes()]})
 
 
@@ -298,9 +313,9 @@ def train_tables(texts: DataFrame, code: Code) -> list[np.ndarray]:
         blocks = blocks.withColumn("task", F.floor(F.col("task") / FAN_IN)).groupBy("task", "block").applyInPandas(_add_blocks, kind)
         blocks = materialize(blocks, "mixing-counts")
         tasks = -(-tasks // FAN_IN)
-    counts = np.concatenate(empty_counts()).reshape(-1, BLOCK)
+    counts = np.concatenate(empty_counts()).astype(np.int64).reshape(-1, BLOCK)
     for r in blocks.collect():  # the tables' fixed size
-        counts[r["block"]] = np.frombuffer(r["counts"], np.int32)
+        counts[r["block"]] = _counts(r["counts"])
     return log_odds(np.split(counts.ravel(), np.cumsum([2 << b for b in SLOTS_LOG2])[:-1]))
 
 
@@ -335,8 +350,7 @@ def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, times = np.unique(of << 32 | ids, return_counts=True)
             sizes, places = np.bincount(own >> 32, minlength=len(texts)), own & 0xFFFFFFFF
             in_train = np.bincount(ids[train[of]], minlength=len(place))
-            hist = trigram_counts([t for t, k in zip(texts, train) if k])
-            hist_at = np.flatnonzero(hist)
+            hist = np.stack(trigrams([t for t, k in zip(texts, train) if k]))
             chunk, seq = task << 24 | seq, seq + 1
             n, none = len(place), pa.nulls(1, pa.binary())
             hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, place), np.uint64, n).view(np.int64)
@@ -345,7 +359,7 @@ def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = np.stack([part.column(c).to_numpy() for c in ("k1", "k2")], 1)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([chunk], pa.int64()), pa.nulls(1, pa.int64()), *(pa.nulls(1, pa.int32()) for _ in range(2)), pack(keys, np.int64),
-                 pack(tokens, np.int64), pack(sizes, np.int64), pack(places, np.uint32), pack(times, np.uint32), pack(np.stack([hist_at, hist[hist_at]]), np.int32)], names=names)
+                 pack(tokens, np.int64), pack(sizes, np.int64), pack(places, np.uint32), pack(times, np.uint32), pack(hist, np.int32)], names=names)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(n, chunk)), pa.array(hashes), pa.array(np.arange(n, dtype=np.int32)), pa.array(in_train.astype(np.int32)),
                  *[pa.nulls(n, pa.binary())] * 6], names=names)
@@ -398,13 +412,10 @@ def base_scores(rows: DataFrame) -> tuple[DataFrame, int, np.ndarray]:
 
 
 def _hist_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((1 << 16) * SYMBOLS, np.int64)
     for batch in batches:
         for x in batch.column("hist"):
             at, n = np.frombuffer(x.as_py(), np.int32).reshape(2, -1)
-            total[at] += n
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["choice", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n.astype(np.int64))], names=["choice", "n"])
 
 
 # ---- scoring ---------------------------------------------------------------------
