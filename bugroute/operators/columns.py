@@ -55,6 +55,31 @@ def count_where(df: DataFrame, column: str, op: str, value) -> DataFrame:
                   F.count_if(F.col(column).try_cast("int").isNull()).alias("n_bad"))
 
 
+KEPT = "kept"
+
+
+def divide_rows(df: DataFrame, rules: Mapping[str, "F.Column"], path: str) -> tuple[DataFrame, DataFrame, dict]:
+    """(kept rows, rejected rows with the column ``verdict``, {verdict: rows}) in one
+    pass over ``df`` (FLT1, SRC1).
+
+    ``rules``: reason -> condition that rejects a row; the first one that holds
+    is its verdict, and a condition that is null (it can't be decided) holds.  The
+    rows are written once, by verdict, and counted on the way; a reader of either
+    part reads its own files only.
+    """
+    from pyspark.sql import Observation
+
+    verdict = F.coalesce(*(F.when(F.coalesce(c, F.lit(True)), F.lit(name)) for name, c in rules.items()), F.lit(KEPT))
+    marked = df.withColumn("verdict", verdict)
+    names = [KEPT, *rules]
+    seen = Observation()
+    marked.observe(seen, *(F.count_if(F.col("verdict") == n).alias(f"n{i}") for i, n in enumerate(names))).write.partitionBy(
+        "verdict").parquet(path)
+    rows = df.sparkSession.read.schema(marked.schema).parquet(path)
+    counts = {n: seen.get[f"n{i}"] for i, n in enumerate(names)}
+    return rows.where(F.col("verdict") == KEPT).drop("verdict"), rows.where(F.col("verdict") != KEPT), counts
+
+
 def drop_empty_text(df: DataFrame, column: str = "text") -> DataFrame:
     """Drop rows with empty or missing text (FLT2); CSV empties arrive as null."""
     return df.filter(F.length(F.coalesce(F.col(column), F.lit(""))) > 0)

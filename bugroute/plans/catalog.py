@@ -106,6 +106,21 @@ def _drop_where_counts(spark, sf):
     return colops.count_where(bugs_table(spark, sf), "class_raw", ">=", 25)
 
 
+@check("rows_by_verdict", B + """, v AS (SELECT row_id, CASE WHEN TRY_CAST(class_raw AS INT) IS NULL THEN 'class is no number'
+    WHEN TRY_CAST(class_raw AS INT) >= 25 THEN 'class of 25 or more' WHEN length(coalesce(text, '')) = 0 THEN 'no text' ELSE 'kept' END AS verdict
+  FROM bugs)
+SELECT row_id, verdict, count(*) OVER (PARTITION BY verdict) AS n_observed FROM v""")
+def _rows_by_verdict(spark, sf):
+    """Kept and rejected rows of one write, with the counts observed on the way."""
+    number = F.col("class_raw").try_cast("int")
+    rules = {"class is no number": number.isNull(), "class of 25 or more": number >= 25,
+             "no text": F.length(F.coalesce("text", F.lit(""))) == 0}
+    kept, gone, counts = colops.divide_rows(bugs_table(spark, sf), rules, scratch_path(spark, "verdicts"))
+    rows = kept.select("row_id", F.lit(colops.KEPT).alias("verdict")).unionByName(gone.select("row_id", "verdict"))
+    seen = spark.createDataFrame(list(counts.items()), "verdict string, n_observed long")
+    return rows.join(F.broadcast(seen), "verdict")
+
+
 _CSV_TEXT = "nullif(regexp_replace({c}, '[\r\n,\"]', ' ', 'g'), '')"
 _CSV_SQL = B + "SELECT * REPLACE (" + ", ".join(
     _CSV_TEXT.format(c=c) + " AS " + c for c in ("short_desc", "original_text", "text")) + ") FROM bugs"

@@ -75,3 +75,17 @@ def test_hot_class_and_hot_token(spark):
     got = {r.k: r.vector for r in vec.doc_vectors(docs, wv, "k", 1, 2).collect()}
     # digits are stripped from tokens, so w0/w1/w2 all look up "w"
     assert all(v == [50 / 51, 1 / 51] for v in got.values()) and len(got) == 60
+
+
+def test_divide_rows(spark, tmp_out):
+    """Every row in one part, under the first rule that rejects it; undecided ones go."""
+    from bugroute.operators.columns import divide_rows
+
+    df = spark.createDataFrame([(1, 5, "a"), (2, 30, "b"), (3, None, "c"), (4, 7, ""), (5, 40, ""), (6, 7, None)], "id long, c int, t string")
+    rules = {"large": F.col("c") > 25, "no text": F.length("t") == 0}
+    kept, gone, counts = divide_rows(df, rules, tmp_out("verdicts"))
+    assert sorted(map(tuple, kept.collect())) == [(1, 5, "a")] and kept.columns == df.columns
+    assert {r.id: r.verdict for r in gone.collect()} == {2: "large", 3: "large", 4: "no text", 5: "large", 6: "no text"}
+    assert counts == {"kept": 1, "large": 3, "no text": 2}
+    kept, gone, counts = divide_rows(df.limit(0), rules, tmp_out("verdicts-none"))
+    assert kept.count() == gone.count() == 0 and set(counts.values()) == {0}
