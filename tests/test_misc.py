@@ -1,8 +1,10 @@
+import pytest
 from pyspark.sql import functions as F
 
 from bugroute.functions.arrays import pad_array
 from bugroute.operators import categories as cat
 from bugroute.operators import ordering as order
+from bugroute.operators import vectors as vec
 
 
 def test_with_progress_counts_rows(spark):
@@ -89,3 +91,26 @@ def test_divide_rows(spark, tmp_out):
     assert counts == {"kept": 1, "large": 3, "no text": 2}
     kept, gone, counts = divide_rows(df.limit(0), rules, tmp_out("verdicts-none"))
     assert kept.count() == gone.count() == 0 and set(counts.values()) == {0}
+
+
+@pytest.mark.parametrize("height", [1, 25])
+def test_group_means_shuffle_texts_and_not_vectors(spark, height):
+    """One exchange, of the texts by key; the same means by a shuffle join; rows of one key count together."""
+    texts = [("a", "red green red blue one two three"), ("b", "green"), ("a", "blue"), (None, "red"), ("c", "")]
+    docs = spark.createDataFrame(texts, "k string, text string")
+    wv = spark.createDataFrame([("red", [1.0, 2.0]), ("green", [3.0, 5.0]), ("blue", [-4.0, 0.5])], "word string, vector array<double>")
+    near = vec.group_vector_arrays(docs, wv, "k", height, 2)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(k") == 1 and "ObjectHashAggregate(keys=[k#" not in plan.split("collect_list")[0]
+    far = vec.group_vector_arrays(docs, wv, "k", height, 2, broadcast_cell_limit=0)
+    got = {r.k: r.vectors for r in near.collect()}
+    assert got == {r.k: r.vectors for r in far.collect()} and set(got) == {"a", "b", None}
+    if height == 1:
+        assert got["b"] == [[3.0, 5.0]]
+
+
+def test_word_vector_of_another_size_is_an_error(spark):
+    docs = spark.createDataFrame([("a", "red")], "k string, text string")
+    wv = spark.createDataFrame([("red", [1.0, 2.0, 3.0])], "word string, vector array<double>")
+    with pytest.raises(Exception, match="not 2 components"):
+        vec.group_vector_arrays(docs, wv, "k", 1, 2).collect()
