@@ -109,8 +109,11 @@ def test_group_means_shuffle_texts_and_not_vectors(spark, height):
         assert got["b"] == [[3.0, 5.0]]
 
 
-def test_word_vector_of_another_size_is_an_error(spark):
-    docs = spark.createDataFrame([("a", "red")], "k string, text string")
-    wv = spark.createDataFrame([("red", [1.0, 2.0, 3.0])], "word string, vector array<double>")
-    with pytest.raises(Exception, match="not 2 components"):
+@pytest.mark.parametrize("vector", [[1.0, 2.0, 3.0], [1.0, None]])
+def test_word_vector_of_another_size_or_with_nulls_is_an_error(spark, vector):
+    docs = spark.createDataFrame([("a", "red blue")], "k string, text string")
+    wv = spark.createDataFrame([("red", [1.0, 2.0]), ("blue", None)], "word string, vector array<double>")
+    assert [r.vectors for r in vec.group_vector_arrays(docs, wv, "k", 1, 2).collect()] == [[[1.0, 2.0]]]
+    wv = spark.createDataFrame([("red", vector)], "word string, vector array<double>")
+    with pytest.raises(Exception, match="nulls or not 2 components"):
         vec.group_vector_arrays(docs, wv, "k", 1, 2).collect()
