@@ -340,17 +340,23 @@ def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     task, seq = TaskContext.get().partitionId(), 0
     for batch in batches:
         for part in slices(batch, "text", CHUNK):
-            texts = _texts(part)
-            train = ~part.column("held_out").to_numpy(zero_copy_only=False)
             place = _Places()
-            split = [t.lower().split() for t in texts]
-            tokens = np.fromiter(map(len, split), np.int64, len(split)) + 1
-            ids = np.fromiter((place[w] for words in split for w in (b"", *words)), np.int64, int(tokens.sum()))
-            of = np.repeat(np.arange(len(texts)), tokens)
-            own, times = np.unique(of << 32 | ids, return_counts=True)
-            sizes, places = np.bincount(own >> 32, minlength=len(texts)), own & 0xFFFFFFFF
-            in_train = np.bincount(ids[train[of]], minlength=len(place))
-            hist = np.stack(trigrams([t for t, k in zip(texts, train) if k]))
+            found: list[list[np.ndarray]] = []
+            for few in slices(part, "text", TRAIN_CHUNK):  # words and triples of some texts at a time
+                texts = _texts(few)
+                train = ~few.column("held_out").to_numpy(zero_copy_only=False)
+                split = [t.lower().split() for t in texts]
+                tokens = np.fromiter(map(len, split), np.int64, len(split)) + 1
+                ids = np.fromiter((place[w] for words in split for w in (b"", *words)), np.int64, int(tokens.sum()))
+                of = np.repeat(np.arange(len(texts)), tokens)
+                own, times = np.unique(of << 32 | ids, return_counts=True)
+                triples, often = trigrams([t for t, k in zip(texts, train) if k])
+                found.append([tokens, np.bincount(own >> 32, minlength=len(texts)), own & 0xFFFFFFFF, times,
+                              *np.unique(ids[train[of]], return_counts=True), triples, often])
+            tokens, sizes, places, times, trained, n_trained, triples, often = map(np.concatenate, zip(*found))
+            in_train = np.bincount(trained, n_trained, len(place)).astype(np.int64)
+            choices, at = np.unique(triples, return_inverse=True)
+            hist = np.stack([choices, np.bincount(at, often, len(choices)).astype(np.int64)])
             chunk, seq = task << 24 | seq, seq + 1
             n, none = len(place), pa.nulls(1, pa.binary())
             hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, place), np.uint64, n).view(np.int64)
