@@ -223,3 +223,31 @@ def test_two_class_model_after_an_observation(spark):
     model = tr.train_softmax(df, max_iter=10)
     assert tr.score(model, df).where("label = prediction").count() == 200
     assert tr.objective_history(model)[-1] < tr.objective_history(model)[0]
+
+
+def test_rounds_of_an_epoch_in_one_shuffle(spark, monkeypatch):
+    """A round is one job, and the model, losses and rows are those of rounds that
+    write tables; slots without rows don't vote."""
+    sc = spark.sparkContext
+    spec = pavg.NetSpec(n_in=2, n_out=3, updater="nesterov", momentum=0.5, l2=1e-3)
+
+    def trained(rows, mb, **kwargs):
+        df = spark.range(rows).select(F.col("id").alias("row_id"), F.array((F.col("id") % 7).cast("double"), F.lit(1.0)).alias("features"),
+                                      (F.col("id") % 3).cast("int").alias("label")).repartition(3)
+        monkeypatch.setattr(pavg, "GATHER_MB", mb)
+        group = f"rounds-{rows}-{mb}-{len(kwargs)}"
+        sc.setJobGroup(group, group)
+        net = pavg.train_param_avg(df, spec, **{"workers": 3, "batch": 4, "avg_every": 2} | kwargs)
+        params = net.params
+        jobs = len(sc.statusTracker().getJobIdsForGroup(group))
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        return net, params, jobs
+
+    few, many = trained(100, 4), trained(400, 4)
+    assert len(few[0].history) == 5 and len(many[0].history) == 17
+    assert many[2] - few[2] == 12   # one job for each round more
+    for rows, kwargs in ((50, {}), (5, {"workers": 20, "epochs": 2})):
+        one, other = trained(rows, 4, **kwargs), trained(rows, -1, **kwargs)
+        assert np.array_equal(one[1], other[1])
+        assert [(e, r, n) for e, r, _, n in one[0].history] == [(e, r, n) for e, r, _, n in other[0].history]
+        assert np.allclose([h[2] for h in one[0].history], [h[2] for h in other[0].history])
