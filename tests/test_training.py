@@ -251,3 +251,16 @@ def test_rounds_of_an_epoch_in_one_shuffle(spark, monkeypatch):
         assert np.array_equal(one[1], other[1])
         assert [(e, r, n) for e, r, _, n in one[0].history] == [(e, r, n) for e, r, _, n in other[0].history]
         assert np.allclose([h[2] for h in one[0].history], [h[2] for h in other[0].history])
+
+
+def test_texts_are_dealt_by_their_length(spark, monkeypatch):
+    """More text makes more tasks that count tokens, and not larger ones."""
+    from bugroute.operators import vectors as vec
+
+    words = spark.createDataFrame([("a", [1.0, 2.0])], "word string, vector array<double>")
+    df = spark.range(300).select("id", F.repeat(F.lit("a b "), 100).alias("text"))
+    monkeypatch.setattr(vec, "TEXT_BYTES", 4000)
+    out = vec.group_vector_arrays(df, words, "id", 1, 2)
+    assert "hashpartitioning(id" in out._jdf.queryExecution().executedPlan().toString()
+    assert ", 30), REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r.vectors[0]) for r in out.collect()} == {(1.0, 2.0)} and out.count() == 300
