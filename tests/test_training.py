@@ -253,6 +253,14 @@ def test_rounds_of_an_epoch_in_one_shuffle(spark, monkeypatch):
         assert np.allclose([h[2] for h in one[0].history], [h[2] for h in other[0].history])
 
 
+def test_paragraph_tokens_are_dealt_to_all_tasks(spark):
+    from bugroute.plans.catalog import CATALOG
+    from tests.conftest import SF_SMALL
+
+    plan = CATALOG["paragraph_tokens"][0](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert f"Repartition {spark.conf.get('spark.sql.shuffle.partitions')}, true" in plan
+
+
 def test_texts_are_dealt_by_their_length(spark, monkeypatch):
     """More text makes more tasks that count tokens, and not larger ones."""
     from bugroute.operators import vectors as vec
