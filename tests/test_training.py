@@ -253,6 +253,17 @@ def test_rounds_of_an_epoch_in_one_shuffle(spark, monkeypatch):
         assert np.allclose([h[2] for h in one[0].history], [h[2] for h in other[0].history])
 
 
+def test_slots_grow_before_their_number(spark):
+    """A word's weights travel once a slot: slots are larger where tokens are many."""
+    from bugroute.operators import embedding as emb
+
+    def slots(texts, length):
+        ids = spark.range(texts).select("id", F.array_repeat(F.lit(1), length).alias("ids"))
+        return emb.dealt(ids, "id")[1]
+
+    assert [slots(10, 10), slots(3, emb.SLOT_TOKENS), slots(72, emb.SLOT_TOKENS)] == [1, 3, emb.SLOTS]
+
+
 def test_paragraph_tokens_are_dealt_to_all_tasks(spark):
     from bugroute.plans.catalog import CATALOG
     from tests.conftest import SF_SMALL
