@@ -130,12 +130,13 @@ class Vocabulary:
             if made is not None:
                 made.append((unit, start[rows, j], start[rows, j + 1], start[rows, j + 2]))
             m -= 1
-            at = j[:, None]
-            cols = np.arange(m + 1)
-            symbols = np.take_along_axis(symbols, cols[:m] + (cols[:m] > at), 1)
-            start = np.take_along_axis(start, cols + (cols > at), 1)
+            left = np.ones((len(unit), m + 2), bool)
+            left[rows, j + 1] = False  # the right one of the two goes, with its start
+            symbols, start = symbols[left[:, :m + 1]].reshape(-1, m), start[left].reshape(-1, m + 1)
             symbols[rows, j] = self.in_order[best]
-            place = np.take_along_axis(place, cols[:m - 1] + (cols[:m - 1] >= at), 1)
+            left[rows, j + 1] = True
+            left[rows, j] = False
+            place = place[left[:, :m]].reshape(len(unit), m - 1)
             for side in (j - 1, j):  # the new symbol with its left and its right neighbour
                 ok = np.flatnonzero((side >= 0) & (side < m - 1))
                 p = side[ok]
@@ -143,10 +144,10 @@ class Vocabulary:
                                             start[ok, p + 2], key[ok], edge)
         return result[np.arange(result.shape[1]) < sizes[:, None]], sizes
 
-    def segment_all(self, units: list[str], variants: np.ndarray, dropout: float, seed: int,
-                    made: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def segment_all(self, units: list[str], variants: np.ndarray, dropout: float, seed: int, made: list | None = None,
+                    keys: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """``segment`` of every (unit, variant): short units of known characters
-        by length, all others one by one."""
+        by length, all others one by one; ``keys``: the units' keys, if known."""
         lens = np.fromiter(map(len, units), np.int64, len(units))
         chars = self.char_ids[np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)]
         first = np.cumsum(lens) - lens
@@ -154,24 +155,30 @@ class Vocabulary:
         odd = (unknown[first + lens] > unknown[first]) | (lens > EVEN) | np.fromiter(
             (u[:2] == "  " for u in units), bool, len(units))
         edge = int(dropout * (1 << 32))
-        out, sizes = [np.empty(0, self.kind)] * len(units), np.zeros(len(units), np.int64)
-        keys = unit_keys(units, seed) + variants.astype(np.uint64)
+        sizes = np.zeros(len(units), np.int64)
+        parts = []  # units and their ids behind one another
+        keys = (unit_keys(units, seed) if keys is None else keys) + variants.astype(np.uint64)
         for n in np.unique(lens[~odd]).tolist():
             pick = np.flatnonzero(~odd & (lens == n))
             own = None if made is None else []
-            flat, size = self._segment_even(chars[first[pick][:, None] + np.arange(n)], keys[pick], edge, own)
-            sizes[pick] = size
+            flat, sizes[pick] = self._segment_even(chars[first[pick][:, None] + np.arange(n)], keys[pick], edge, own)
             for unit, *ends in own or ():
                 made.append((pick[unit], *ends))
-            for k, ids in zip(pick.tolist(), np.split(flat.astype(self.kind), np.cumsum(size)[:-1])):
-                out[k] = ids
-        for k in np.flatnonzero(odd).tolist():
+            parts.append((pick, flat))
+        pick = np.flatnonzero(odd)
+        alone = []
+        for k in pick.tolist():
             own = None if made is None else []
-            out[k] = np.array(self.segment(units[k], int(variants[k]), dropout, seed, own), self.kind)
-            sizes[k] = len(out[k])
+            alone.append(self.segment(units[k], int(variants[k]), dropout, seed, own))
+            sizes[k] = len(alone[-1])
             if own:
                 made.append((np.full(len(own), k), *np.array(own, np.uint64).T))
-        return (np.concatenate(out) if out else np.empty(0, self.kind)), sizes
+        parts.append((pick, np.array(list(chain.from_iterable(alone)), np.int32)))
+        out, begin = np.empty(int(sizes.sum()), self.kind), np.cumsum(sizes) - sizes
+        for pick, flat in parts:
+            size = sizes[pick]
+            out[np.arange(len(flat)) + np.repeat(begin[pick] - (np.cumsum(size) - size), size)] = flat
+        return out, sizes
 
     def segment(self, unit: str, variant: int, dropout: float, seed: int, made: list | None = None) -> list[int]:
         """The unit's piece ids: agenda merges, some of them skipped."""
@@ -225,6 +232,19 @@ class Vocabulary:
         return b"".join(map(self.bytes.__getitem__, ids))[1:]
 
 
+class _Units(dict):
+    """unit -> its place in ``known``; a new one is put behind."""
+
+    def __init__(self):
+        super().__init__()
+        self.known: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        n = self[unit] = len(self.known)
+        self.known.append(unit)
+        return n
+
+
 class UnitEncoder:
     """Ids of whole texts.  The ids and merges of a unit without dropout are kept
     as long as the kept units have at most ``limit`` characters in all; units of
@@ -236,8 +256,7 @@ class UnitEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.units: list[str] = []
+        self.place = _Units()
         self.chars = 0
         self.ids = np.empty(0, self.vocabulary.kind)
         self.first, self.size = np.empty(0, np.int64), np.empty(0, np.int64)  # of each unit in ids
@@ -269,16 +288,13 @@ class UnitEncoder:
             self._forget()
         units = [UNIT.findall(" " + t) if t else [] for t in texts]
         counts = np.fromiter(map(len, units), np.int64, len(units))
-        place, known = self.place, self.units
+        known = self.place.known
         old = len(known)
-        for u in chain.from_iterable(units):
-            if u not in place:
-                place[u] = len(known)
-                known.append(u)
-                self.chars += len(u) + 16
+        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(units)), np.int64, int(counts.sum()))
         if len(known) > old:
-            self._learn(known[old:])
-        at = np.fromiter(map(place.__getitem__, chain.from_iterable(units)), np.int64, int(counts.sum()))
+            new = known[old:]
+            self.chars += sum(map(len, new)) + 16 * len(new)
+            self._learn(new)
         owner = np.repeat(np.arange(len(texts)), counts)
         nth = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
         first, lens, pool = self.first[at], self.size[at], self.ids
@@ -290,7 +306,9 @@ class UnitEncoder:
             anew = self.long[at]
             anew[np.repeat(np.arange(len(at)), n)[skip]] = True
             anew = np.flatnonzero(anew)
-            flat, size = self.vocabulary.segment_all([known[k] for k in at[anew].tolist()], draw[anew], self.dropout, self.seed)
+            again = at[anew]
+            flat, size = self.vocabulary.segment_all([known[k] for k in again.tolist()], draw[anew], self.dropout, self.seed,
+                                                     keys=self.key[again])
             first[anew], lens[anew] = len(pool) + np.cumsum(size) - size, size
             pool = np.concatenate([pool, flat])
         source = np.arange(int(lens.sum())) + np.repeat(first - (np.cumsum(lens) - lens), lens)
