@@ -29,6 +29,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -88,16 +89,17 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rows[:, :RUN] = flat.reshape(n_runs, RUN)
     row = rows.ravel()
     best = selectors(np.concatenate([row, np.zeros(240, np.uint64)]))[:len(row)]
-    step = COUNTS[best].tolist()
-    starts, run_first = [], []
-    for r in range(n_runs):
-        i = r * (RUN + 240)
-        end = i + min(RUN, len(plain) - r * RUN)
-        run_first.append(len(starts))
-        while i < end:
-            starts.append(i)
-            i += step[i]
-    at = np.array(starts, np.int64)
+    step = COUNTS[best]
+    # the words' first ids: all runs go forward together, a word at a time
+    first = np.arange(n_runs) * (RUN + 240)
+    at, end, starts = first, first + np.minimum(RUN, len(plain) - np.arange(n_runs) * RUN), [first]
+    while len(at):
+        at = at + step[at]
+        if (at >= end).any():
+            at, end = at[at < end], end[at < end]
+        starts.append(at)
+    at = np.sort(np.concatenate(starts))
+    run_first = np.searchsorted(at, first)
     sel = best[at].astype(np.int64)
     words = sel.astype(np.uint64) << np.uint64(60)
     for s in np.unique(sel):
@@ -107,7 +109,7 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             for j in range(COUNTS[s]):
                 value |= row[at[pick] + j] << np.uint64(j * BITS[s])
         words[pick] = value
-    return words, np.array(run_first, np.uint64), escapes
+    return words, run_first.astype(np.uint64), escapes
 
 
 def unpack(words: np.ndarray, run_first: np.ndarray, n_ids: int) -> np.ndarray:
@@ -176,6 +178,10 @@ def byte_letters() -> list[str]:
     return [c for _, c in sorted([(b, chr(b)) for b in plain] + [(b, chr(0x100 + k)) for k, b in enumerate(others)])]
 
 
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 class PieceEncoder:
     """The tokenizer's ids of texts, asking the library once for each distinct
     word.
@@ -196,6 +202,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize = self.tokenizer.model.tokenize
         self.end_id, self.limit = end_id, limit
         self.letters = {b: c for b, c in enumerate(byte_letters())}
         self.words: dict[str, list[int]] = {}
@@ -231,8 +238,10 @@ class PieceEncoder:
         if ids is None:
             if len(self.words) >= self.limit:
                 self.words.clear()
-            spelt = word.encode().decode("latin-1").translate(self.letters)
-            ids = self.words[word] = [t.id for t in self.tokenizer.model.tokenize(spelt)]
+            # of ASCII letters with a blank in front, only the blank is spelt otherwise
+            spelt = (word.replace(" ", self.letters[32]) if word.isascii()
+                     else word.encode().decode("latin-1").translate(self.letters))
+            ids = self.words[word] = [t.id for t in self.tokenize(spelt)]
         if not tail:
             return ids
         more = self.tails.get(tail)
@@ -262,15 +271,16 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(counts, ids) of the texts, with the end id after each."""
-        pieces = []
-        for t in texts:
-            p = t.split(" ")
-            p[0] = (p[0],)
-            pieces.append(p)
         if len(self.number) > self.limit:
             self.forget()
-        n_pieces = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(pieces)), np.int64, int(n_pieces.sum()))
+        pieces = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        begin = pieces.offsets.to_numpy()
+        n_pieces, begin = np.diff(begin), begin[:-1]
+        flat = pieces.values
+        different = flat.dictionary_encode()  # each piece is looked up once, with its blank
+        numbers = np.fromiter(map(self.number.__getitem__, _strings(different.dictionary)), np.int64, len(different.dictionary))
+        at = numbers[different.indices.to_numpy()]
+        at[begin] = np.fromiter((self.number[p,] for p in _strings(flat.take(pa.array(begin)))), np.int64, len(begin))
         self._learn()
         owner = np.repeat(np.arange(len(texts)), n_pieces)
         whole = np.unique(owner[~self.alone[at]])
